@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dac
+from . import dac, quality
 
 QUERIES = {
     "op5_token_ids": dac.query,
+    "op10_quality": quality.query,
 }
 ORACLES: dict[str, str] = {}
