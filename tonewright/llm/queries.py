@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dac, quality
+from . import dac, langid, quality
 
 QUERIES = {
     "op5_token_ids": dac.query,
+    "op6_language_id": langid.query,
     "op10_quality": quality.query,
 }
 ORACLES: dict[str, str] = {}
