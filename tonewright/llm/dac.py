@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import pieces
+from .textkit import Hasher, buffers, pieces
 
 MAGIC = b"DACS"
 STEP = 512  # bits between two entries of a rank directory
@@ -90,74 +90,175 @@ class Reader:
         return value
 
 
+#: Classes of code points: 0 other, 1 letter, 2 number, 3 white space; 4: not the same in all
+#: versions of Unicode, so texts with it go to the library whole.
+def _classes() -> np.ndarray:
+    import unicodedata
+
+    now, then = unicodedata.category, unicodedata.ucd_3_2_0.category
+    out = np.zeros(0x110000, np.uint8)
+    for cp in range(0x110000):
+        kind = now(chr(cp))
+        out[cp] = {"L": 1, "N": 2}.get(kind[0], 0) if kind[0] == then(chr(cp))[0] else 4
+    out[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
+    out[0x180E] = 4
+    return out
+
+
 class PieceEncoder:
     """Whole-text encoding with the ``tokenizers`` library, each distinct pre-token once.
 
     Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens in a row. A text with the string of an added token goes to the library whole.
+    pre-tokens in a row. Pre-tokens of the byte-level pattern (contractions; letters, numbers
+    or other signs with a space before them; white space) are found in all texts at once; a
+    table of their 64-bit hashes leads to their ids, and only those not met before go to the
+    library. Texts with the string of an added token, or with code points whose class changed
+    between versions of Unicode, go to the library whole.
     """
 
-    KEEP = 400_000  # pre-tokens remembered; beyond it the memory starts anew
+    KEEP = 1 << 21  # pre-tokens remembered; beyond it the memory starts anew
+    classes: np.ndarray | None = None
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(pattern).findall
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if PieceEncoder.classes is None:
+            PieceEncoder.classes = _classes()
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.starts = [], [0]
-        self.flat = self.first = None
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
-        words, counts, whole = [], [], {}
-        for k, text in enumerate(texts):
-            text = text or ""
-            if any(a in text for a in self.added):
-                whole[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                found = []
+        self.bits, self.n = 16, 0
+        self.slots, self.where = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.ids, self.first = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each remembered key, or -1. Keys are never 0."""
+        mask, out = np.uint64((1 << self.bits) - 1), np.full(len(keys), -1, np.int32)
+        left, at = np.arange(len(keys)), keys & mask
+        while len(left):
+            held = self.slots[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.where[at[hit]]
+            on = ~hit & (held != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & mask
+        return out
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        mask, at = np.uint64((1 << self.bits) - 1), keys & np.uint64((1 << self.bits) - 1)
+        while len(keys):
+            free = self.slots[at] == 0
+            self.slots[at[free]], self.where[at[free]] = keys[free], numbers[free]
+            lost = self.slots[at] != keys
+            keys, numbers, at = keys[lost], numbers[lost], (at[lost] + np.uint64(1)) & mask
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = got.ids, np.array(got.word_ids, np.int64)
+        size = np.bincount(of, minlength=len(words))
+        begin, end = int(self.first[self.n]), int(self.first[self.n]) + len(ids)
+        if end > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * end)
+        if self.n + len(words) + 1 > len(self.first):
+            self.first = np.resize(self.first, 2 * (self.n + len(words) + 1))
+        self.ids[begin:end] = ids
+        numbers = np.arange(self.n, self.n + len(words), dtype=np.int32)
+        self.first[self.n + 1 : self.n + 1 + len(words)] = begin + np.cumsum(size)
+        self.n += len(words)
+        if 2 * self.n > len(self.slots):
+            old = self.slots != 0
+            kept, where = self.slots[old], self.where[old]
+            self.bits = int(2 * self.n).bit_length() + 1
+            self.slots, self.where = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(kept, where)
+        self._place(keys, numbers)
+
+    def pretokens(self, points: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Starts, as indices of code points, of all pre-tokens. edge: marks the texts' starts."""
+        kind, n = self.classes[points], len(points)
+        cut = edge.copy()
+        cut[1:] |= kind[1:] != kind[:-1]
+        runs = np.flatnonzero(cut)
+        ends = np.append(runs[1:], n)
+        is_space = kind[runs] == 3
+        begins = runs.copy()
+        # A space before a run of one text belongs to it; of other white space the last sign stands alone.
+        followed = np.zeros(len(runs), bool)
+        followed[:-1] = is_space[:-1] & ~edge[runs[1:]]
+        takes = np.flatnonzero(followed)
+        last = ends[takes] - 1
+        joined = points[last] == 32
+        begins[takes[joined] + 1] -= 1
+        alone = last[~joined & (last > runs[takes])]
+        gone = np.zeros(len(runs), bool)
+        gone[takes[joined]] = ends[takes[joined]] - runs[takes[joined]] == 1
+        # Contractions: an apostrophe by itself and the letters after it.
+        quote = np.flatnonzero((points[runs] == 39) & (ends - runs == 1) & (begins == runs))
+        quote = quote[quote + 1 < len(runs)]
+        quote = quote[(kind[runs[quote + 1]] == 1) & ~edge[runs[quote + 1]]] if len(quote) else quote
+        if len(quote):
+            after = runs[quote + 1]
+            one, size = points[after], ends[quote + 1] - after
+            two = np.where(size > 1, points[np.minimum(after + 1, n - 1)], 0)
+            pair = one.astype(np.int64) << 8 | np.minimum(two, 255)
+            takes_n = np.where(np.isin(one, [ord(c) for c in "sdmt"]), 1, np.where(np.isin(pair, [ord(a) << 8 | ord(b) for a, b in ("ll", "ve", "re")]), 2, 0))
+            quote, size, takes_n = quote[takes_n > 0], size[takes_n > 0], takes_n[takes_n > 0]
+            begins[quote + 1] += takes_n
+            gone[quote + 1] |= size == takes_n
+        mark = np.zeros(n, bool)
+        mark[begins[~gone]] = True
+        mark[alone] = True
+        return np.flatnonzero(mark)
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text) of an Arrow string column."""
+        raw, off = buffers(column)
+        n = len(off) - 1
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[off] = True
+        start = at[self.pretokens(points, edge[:-1][at])]
+        end = np.append(start[1:], len(raw))
+        keys = Hasher(raw).of(start, end) | np.uint64(1)
+        number = self._find(keys)
+        if (number < 0).any():
+            new, which = np.unique(keys[number < 0], return_index=True)
+            if self.n + len(new) > self.KEEP:
+                self.forget()
+                new, which = np.unique(keys, return_index=True)
+                spans = which
             else:
-                found = self.split(text)
-            words += found
-            counts.append(len(found))
-        new = list(set(words).difference(self.index))
-        if len(self.index) + len(new) > self.KEEP:
-            self.forget()
-            new = list(set(words))
-        if new:
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.index[word] = len(self.starts) - 1
-                self.ids += got.ids
-                self.starts.append(len(self.ids))
-            self.flat = None
-        if self.flat is None:
-            self.flat, self.first = np.array(self.ids, np.uint32), np.array(self.starts, np.int64)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        begin, size = self.first[at], self.first[at + 1] - self.first[at]
+                spans = np.flatnonzero(number < 0)[which]
+            view = raw.tobytes()
+            self._learn(new, [view[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())])
+            number = self._find(keys)
+        begin = self.first[number]
+        size = self.first[number + 1] - begin
         place = np.concatenate([[0], np.cumsum(size)])
-        out = self.flat[np.repeat(begin - place[:-1], size) + np.arange(place[-1])]
-        edges = place[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        n = np.diff(edges)
-        if whole:
+        out = self.ids[np.repeat(begin - place[:-1], size) + np.arange(place[-1])].astype(np.uint32)
+        edges = place[np.searchsorted(start, off)]
+        count = np.diff(edges)
+        odd = set(np.searchsorted(off, at[self.classes[points] == 4], "right") - 1) | {k for k in range(n) if any(raw[off[k] : off[k + 1]].tobytes().find(a) >= 0 for a in self.added)} if (self.classes[points] == 4).any() or any(raw.tobytes().find(a) >= 0 for a in self.added) else set()
+        if odd:
             parts = np.split(out, edges[1:-1])
-            for k, ids in whole.items():
-                parts[k], n[k] = np.array(ids, np.uint32), len(ids)
+            for k in odd:
+                parts[k] = np.array(self.tokenizer.encode(raw[off[k] : off[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+                count[k] = len(parts[k])
             out = np.concatenate(parts)
-        return out, n
+        return out, count
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = {}
 
 BLOCKS = "part int, start long, doc_ids array<long>, counts array<long>, payload binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Write the ids of all texts, in ascending doc_id order, each text closed by ``end_id``.
 
     Texts are range-partitioned by doc_id; a task encodes its range in batches and emits
@@ -165,9 +266,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
     """
 
     def blocks(batches):
-        encoder = _encoders.get((tokenizer, pattern))
+        encoder = _encoders.get(tokenizer)
         if encoder is None:
-            encoder = _encoders.setdefault((tokenizer, pattern), PieceEncoder(tokenizer, pattern))
+            encoder = _encoders.setdefault(tokenizer, PieceEncoder(tokenizer))
         part, start, ids, counts, held, n_held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block():
@@ -179,7 +280,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
 
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 20):
-                flat, n = encoder(piece.column(1).to_pylist())
+                flat, n = encoder(piece.column(1))
                 closed = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
                 held.append(closed)
                 ids += piece.column(0).to_pylist()
@@ -213,14 +314,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return stored.join(F.broadcast(before), "part").select("start", "before", "doc_ids", "counts", "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(docs: DataFrame, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
+def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The contract of the query: encode, write, read back."""
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     path = common.fresh_path(docs.sparkSession, "dac")
-    write(docs, path, tokenizer, pattern)
+    write(docs, path, tokenizer)
     return read(docs.sparkSession, path)
 
 
