@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dac, langid, quality
+from . import dac, jaccard, langid, quality
 
 QUERIES = {
+    "op4_ngram_jaccard": jaccard.query,
     "op5_token_ids": dac.query,
     "op6_language_id": langid.query,
     "op10_quality": quality.query,
