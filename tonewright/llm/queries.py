@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dac, jaccard, langid, quality
+from . import dac, jaccard, langid, quality, suffixes
 
 QUERIES = {
+    "op3_suffix_dedup": suffixes.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_token_ids": dac.query,
     "op6_language_id": langid.query,
