@@ -10,8 +10,8 @@ scanning inverted lists. The boundary is the size with the least expected cost.
    between them by size on that key's list are chained, so one edge for each neighbour
    suffices: copies never make all pairs.
 3. Chained sets form candidate clusters. Each cluster's texts meet once; inverted lists give
-   the overlaps of all its sets, hence exact links. Clusters of more than BLOCK sets are
-   dealt in pairs of blocks.
+   the overlaps of all its sets, hence exact links. Large clusters are dealt in
+   pairs of blocks.
 4. Links make classes; equal sets were one set all along.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer words than
@@ -35,7 +35,7 @@ from .textkit import Words, buffers, mix, pieces, shingles, unique_per_doc
 SIZE, PART, WHOLE = 5, 80, 100  # shingle words; 100 * intersection >= 80 * union
 SLOT_BITS, SLAB_BITS = 22, 16  # the sketch: 2**22 counters, moved in slabs of 2**16
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
-BLOCK = 4096  # sets of a cluster that one task holds against each other
+BLOCK, BLOCK_SHINGLES = 1024, 500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
 
 
 def sets_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ def identity(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequency level (bit length of the count) of each slot over all shingles, and how many
+    """Frequency level (six steps for each doubling of the count) of each slot over all shingles, and how many
     documents there are of each number of shingles, up to 255."""
     slab = 1 << SLAB_BITS
 
@@ -90,7 +90,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     half = len(data) // 2
                     total[np.frombuffer(data[:half], "<u2")] += np.frombuffer(data[half:], "<u2")
         for k, total in sums.items():
-            data = total.astype("<i8") if k < 0 else np.ceil(np.log2(total + 1)).astype(np.uint8)
+            data = total.astype("<i8") if k < 0 else np.minimum(np.rint(6 * np.log2(total + 1)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
     level, hist = np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(256, np.int64)
@@ -120,7 +120,7 @@ def boundary(hist: np.ndarray) -> int:
 
 def keys_of(doc: np.ndarray, value: np.ndarray, size: np.ndarray, level: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, key) of all that each set posts."""
-    rank = (level[(value >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (mix(value) >> np.uint64(7))
+    rank = (level[(value >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(value) >> np.uint64(8))
     order = np.lexsort((rank, doc))
     doc, value = doc[order], value[order]
     first = np.concatenate([[0], np.cumsum(size)])
@@ -229,10 +229,10 @@ def join(docs: DataFrame) -> DataFrame:
     lists = posted.select(F.explode("keys").alias("key"), F.col("n_shingles"), "s1").repartition("key").sortWithinPartitions("key", "n_shingles", "s1")
     cluster = components(lists.mapInArrow(chain, "u long, v long"), "clusters")
 
-    kinds = posted.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("row_id").alias("node"))
+    kinds = posted.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("row_id").alias("node"), F.first("n_shingles").alias("size"))
     kinds = settle(kinds, "kinds")
-    member = settle(kinds.join(cluster.withColumnRenamed("node", "s1"), "s1").select("node", "s1", "s2", "copies", F.col("component").alias("cluster")), "members")
-    blocks = member.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = settle(kinds.join(cluster.withColumnRenamed("node", "s1"), "s1").select("node", "s1", "s2", "copies", "size", F.col("component").alias("cluster")), "members")
+    blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = member.join(blocks, "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "s1", "s2")
     named = dealt.join(docs.select(F.col("row_id").alias("node"), "text"), "node").select("cluster", "i", "j", "mine", "node", "copies", "s1", "s2", "text")

@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
-        n = max(n, 2 * len(_powers))
+        n = max(n, len(_powers) * 5 // 4)
         full = np.full(n, _BASE, U64)
         full[0] = 1
         _powers = np.multiply.accumulate(full)
@@ -78,7 +78,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
     """Slices of a batch whose texts have about ``limit`` bytes at most (a longer text stands alone)."""
     _, off = buffers(batch.column(batch.schema.get_field_index(text)))
     at = 0
