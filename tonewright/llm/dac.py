@@ -116,15 +116,21 @@ class PieceEncoder:
     between versions of Unicode, go to the library whole.
     """
 
-    KEEP = 1 << 21  # pre-tokens remembered; beyond it the memory starts anew
+    KEEP = 1 << 20  # pre-tokens remembered; beyond it the memory starts anew
     classes: np.ndarray | None = None
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The sign of every byte of UTF-8, as the library's own byte-level step shows it.
+        shows, signs = ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for cp in (*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x10000, 0x40), *range(0x10000, 0x110000, 0x1000)):
+            signs.update(zip(chr(cp).encode(), "".join(part for part, _ in shows.pre_tokenize_str(chr(cp)))))
+        self.signs = signs
         if PieceEncoder.classes is None:
             PieceEncoder.classes = _classes()
         self.forget()
@@ -154,23 +160,26 @@ class PieceEncoder:
             lost = self.slots[at] != keys
             keys, numbers, at = keys[lost], numbers[lost], (at[lost] + np.uint64(1)) & mask
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, of = got.ids, np.array(got.word_ids, np.int64)
-        size = np.bincount(of, minlength=len(words))
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Ids of new pre-tokens from the library's model, which reads bytes as printable signs."""
+        merge, ids, size = self.tokenizer.model.tokenize, [], []
+        for word in words:
+            got = [t.id for t in merge(word.decode("latin-1").translate(self.signs))]
+            ids += got
+            size.append(len(got))
         begin, end = int(self.first[self.n]), int(self.first[self.n]) + len(ids)
         if end > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * end)
+            self.ids.resize(end * 5 // 4, refcheck=False)
         if self.n + len(words) + 1 > len(self.first):
-            self.first = np.resize(self.first, 2 * (self.n + len(words) + 1))
+            self.first.resize((self.n + len(words) + 1) * 5 // 4, refcheck=False)
         self.ids[begin:end] = ids
         numbers = np.arange(self.n, self.n + len(words), dtype=np.int32)
         self.first[self.n + 1 : self.n + 1 + len(words)] = begin + np.cumsum(size)
         self.n += len(words)
-        if 2 * self.n > len(self.slots):
+        if 10 * self.n > 6 * len(self.slots):
             old = self.slots != 0
             kept, where = self.slots[old], self.where[old]
-            self.bits = int(2 * self.n).bit_length() + 1
+            self.bits = int(2 * self.n).bit_length()
             self.slots, self.where = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
             self._place(kept, where)
         self._place(keys, numbers)
@@ -235,7 +244,7 @@ class PieceEncoder:
             else:
                 spans = np.flatnonzero(number < 0)[which]
             view = raw.tobytes()
-            self._learn(new, [view[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())])
+            self._learn(new, [view[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist())])
             number = self._find(keys)
         begin = self.first[number]
         size = self.first[number + 1] - begin
