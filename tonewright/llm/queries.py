@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import dac, jaccard, langid, quality, suffixes
+from . import ann, dac, jaccard, langid, quality, suffixes
 
 QUERIES = {
     "op3_suffix_dedup": suffixes.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_token_ids": dac.query,
     "op6_language_id": langid.query,
+    "op7_multi_index_ann": ann.query,
     "op10_quality": quality.query,
 }
 ORACLES: dict[str, str] = {}
