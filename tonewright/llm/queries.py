@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, dac, jaccard, langid, quality, suffixes
+from . import ann, dac, decontaminate, jaccard, langid, quality, suffixes
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
     "op3_suffix_dedup": suffixes.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_token_ids": dac.query,
