@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, dac, decontaminate, jaccard, langid, quality, suffixes
+from . import ann, dac, decontaminate, htmltext, jaccard, langid, quality, suffixes
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_ids": dac.query,
     "op6_language_id": langid.query,
     "op7_multi_index_ann": ann.query,
+    "op8_html_text": htmltext.query,
     "op10_quality": quality.query,
 }
 ORACLES: dict[str, str] = {}
