@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, dac, decontaminate, htmltext, jaccard, langid, quality, suffixes
+from . import ann, chat, dac, decontaminate, htmltext, jaccard, langid, mixing, quality, suffixes
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_decontaminate": decontaminate.query,
     "op3_suffix_dedup": suffixes.query,
     "op4_ngram_jaccard": jaccard.query,
@@ -12,6 +13,10 @@ QUERIES = {
     "op6_language_id": langid.query,
     "op7_multi_index_ann": ann.query,
     "op8_html_text": htmltext.query,
+    "op9_chat_format": chat.query,
     "op10_quality": quality.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+}
