@@ -29,7 +29,7 @@ from .common import settle
 
 EVERY, RESULTS = 20, 20
 TARGET, PROBES = 0.95, 128  # recall to reach on so many queries, those of least hash
-SAMPLE = 20_000  # vectors the codebooks are fitted on, those of least hash
+SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on, those of least hash
 SHARD = 8_192  # vectors in a shard
 ROUNDS = 12
 
@@ -124,8 +124,8 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
     few = rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= results + 1)
     entries = settle(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     n = entries.count()
-    sample = entries.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(SAMPLE).select("embedding").toArrow()
-    x = matrix(sample.column(0).combine_chunks())
+    sample = common.hash_sample(entries.select("embedding", F.col("ids")[0].alias("id")), SAMPLE, n, "embedding").toArrow()
+    x = matrix(sample.column(0).combine_chunks())[np.argsort(np.asarray(sample.column(1).combine_chunks()), kind="stable")]
     k = int(np.clip(2 ** round(np.log2(0.5 * n**0.45)), 2, 256))
     half = max(1, dim // 2)
     parts = (slice(0, half), slice(half, dim)) if dim > 1 else (slice(0, 1), slice(0, 0))

@@ -70,3 +70,11 @@ def unsettle(df: DataFrame) -> None:
 def held_out(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5 is 0; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+def hash_sample(df: DataFrame, n: int, total: int, *columns: str) -> DataFrame:
+    """About n of ``total`` rows, those whose hash lies lowest; never more than 2 n. What a task
+    sends on is its share of the sample, so this stays bounded however many tasks there are."""
+    if total > n:
+        df = df.where(F.xxhash64(*columns) < int(-(1 << 63) + (1 << 64) * n // total))
+    return df.limit(2 * n)

@@ -30,7 +30,7 @@ from . import common
 from .crf import Chains, Crf
 from .textkit import pieces
 
-SAMPLE_PAGES, MADE_PAGES = 200, 400  # training pages from the table (those of least hash) and from the generator
+SAMPLE_PAGES, MADE_PAGES = 200, 400  # training pages from the table (about, those of least hash) and from the generator
 
 # Elements by kind, and words in attributes that tell what an element is for.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -249,8 +249,9 @@ def made_pages(n: int, seed: int = 11) -> list[tuple[list[tuple[str, int, float]
 def fit(pages: DataFrame) -> Crf:
     """The field, from made pages and a bounded sample of pages that mark their article."""
     sample = made_pages(MADE_PAGES)
-    rows = pages.select(F.col("html").cast("string").alias("html")).where("html is not null and length(html) <= 200000").orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
-    for row in rows:
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where("length(html) <= 200000")
+    rows = common.hash_sample(known, SAMPLE_PAGES, pages.count(), "page_id", "html").collect()
+    for row in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"])):
         found = blocks(row["html"])
         y = marked(found)
         if y is not None:
