@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schema import TRACK, CleanupParams
 
-LENGTH = F.col("end_s") - F.col("start_s")
+def _length() -> Column:
+    return F.col("end_s") - F.col("start_s")
 
 
 def _by(*more: str):
@@ -19,7 +20,7 @@ def velocity_floor(notes: DataFrame, floor: int = 15) -> DataFrame:
 
 
 def min_duration(notes: DataFrame, least: float = 0.02) -> DataFrame:
-    return notes.where(LENGTH >= least)
+    return notes.where(_length() >= least)
 
 
 def de_overlap(notes: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def de_overlap(notes: DataFrame) -> DataFrame:
 def duration_cap(notes: DataFrame, beats: float = 2.0, tempo: float = 120.0) -> DataFrame:
     """A note longer than so many beats ends at the track's next onset, if that comes first."""
     following = F.expr("min(start_s) OVER (PARTITION BY song_id, track ORDER BY start_s RANGE BETWEEN 1e-6D FOLLOWING AND UNBOUNDED FOLLOWING)")
-    out = notes.withColumn("_next", following).withColumn("trimmed_duration_cap", F.coalesce((LENGTH > F.lit(beats * 60.0 / tempo)) & (F.col("_next") < F.col("end_s")), F.lit(False)))
+    out = notes.withColumn("_next", following).withColumn("trimmed_duration_cap", F.coalesce((_length() > F.lit(beats * 60.0 / tempo)) & (F.col("_next") < F.col("end_s")), F.lit(False)))
     return out.withColumn("end_s", F.when(F.col("trimmed_duration_cap"), F.col("_next")).otherwise(F.col("end_s"))).drop("_next")
 
 
@@ -123,7 +124,7 @@ def stats(notes: DataFrame, p: CleanupParams = CleanupParams()) -> DataFrame:
     capped = duration_cap(de_overlap(floored), p.max_duration_beats, p.tempo)
     done = clean(notes, p)
     before = notes.groupBy(*TRACK).agg(F.count("*").alias("notes_before"), F.sum((F.col("velocity") < p.velocity_floor).cast("long")).alias("dropped_velocity_floor"))
-    middle = capped.groupBy(*TRACK).agg(F.sum(F.col("trimmed_de_overlap").cast("long")).alias("trimmed_de_overlap"), F.sum(F.col("trimmed_duration_cap").cast("long")).alias("trimmed_duration_cap"), F.sum((LENGTH < p.min_duration).cast("long")).alias("dropped_too_short"))
+    middle = capped.groupBy(*TRACK).agg(F.sum(F.col("trimmed_de_overlap").cast("long")).alias("trimmed_de_overlap"), F.sum(F.col("trimmed_duration_cap").cast("long")).alias("trimmed_duration_cap"), F.sum((_length() < p.min_duration).cast("long")).alias("dropped_too_short"))
     name = lambda df, when: df.select(*TRACK, *[F.col(c).alias(f"{c}_{when}") for c in ("median_duration", "polyphony", "silence_ratio", "grid_error")])
     after = done.groupBy(*TRACK).agg(F.count("*").alias("notes_after"))
     out = before

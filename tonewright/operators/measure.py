@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schema import CHORD_TOL, TRACK
 
-LENGTH = F.col("end_s") - F.col("start_s")
+def _length() -> Column:
+    return F.col("end_s") - F.col("start_s")
 
 
 def off_grid(time: Column, step: float | Column) -> Column:
@@ -24,12 +25,12 @@ def track_counts(notes: DataFrame, tracks: DataFrame | None = None) -> DataFrame
 
 
 def median_duration(notes: DataFrame) -> DataFrame:
-    return notes.groupBy(*TRACK).agg(F.count("*").alias("n"), F.round(F.median(LENGTH), 4).alias("median_duration"))
+    return notes.groupBy(*TRACK).agg(F.count("*").alias("n"), F.round(F.median(_length()), 4).alias("median_duration"))
 
 
 def polyphony(notes: DataFrame) -> DataFrame:
     """Mean number of notes sounding over the track's span."""
-    a = notes.groupBy(*TRACK).agg(F.sum(LENGTH).alias("_sum"), (F.max("end_s") - F.min("start_s")).alias("_span"))
+    a = notes.groupBy(*TRACK).agg(F.sum(_length()).alias("_sum"), (F.max("end_s") - F.min("start_s")).alias("_span"))
     return a.select(*TRACK, F.when(F.col("_span") > 0, F.round(F.col("_sum") / F.col("_span"), 3)).otherwise(0.0).alias("polyphony"))
 
 
