@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGHT, MAP_GAIN, MAP_THRESHOLD, MIN_ALIGNMENT, MIN_ONSETS, OFF_FILL, PULSE_TOL, SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, TEMPO_PRIOR, TRACK
+from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGHT, MAP_GAIN, MAP_THRESHOLD, MIN_ALIGNMENT, MIN_ONSETS, OFF_FILL, PULSE_TOL, SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, TEMPO_PRIOR, TRACK, dealt
 from .measure import onset_dedupe
 
 
@@ -78,7 +78,7 @@ def fit(onsets: DataFrame, bpm: float | None = None, least: int = 1) -> DataFram
         found = free_tempo(t) if bpm is None else best_period(t, bpm)
         return pd.DataFrame([[pdf["song_id"].iloc[0], pdf["track"].iloc[0], len(t), *found]], columns=["song_id", "track", "n", "bpm", "anchor", "r"])
 
-    return onsets.select(*TRACK, "t").groupBy(*TRACK).applyInPandas(one, FITTED)
+    return dealt(onsets.select(*TRACK, "t"), *TRACK).groupBy(*TRACK).applyInPandas(one, FITTED)
 
 
 def fit_tracks(onsets: DataFrame, bpm: float, least: int = MIN_ONSETS) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DEFAULT_TEMPO, MAX_BPM, MIN_BPM, OCTAVE_RATIOS, SUBDIVISIONS, TRACK
+from ..schema import DEFAULT_TEMPO, MAX_BPM, MIN_BPM, OCTAVE_RATIOS, SUBDIVISIONS, TRACK, dealt
 
 
 def in_range(bpm: Column) -> Column:
@@ -111,7 +111,7 @@ def onset_tempo(notes: DataFrame) -> DataFrame:
         found = autocorrelation(pdf["start_s"].to_numpy(), pdf["velocity"].to_numpy() / 127.0, float(pdf["end_s"].max()))
         return pd.DataFrame([[pdf["song_id"].iloc[0], *(found or (None, None))]], columns=["song_id", "bpm", "beat0"])
 
-    return notes.select("song_id", "note_id", "start_s", "end_s", "velocity").groupBy("song_id").applyInPandas(one, "song_id long, bpm double, beat0 double")
+    return dealt(notes.select("song_id", "note_id", "start_s", "end_s", "velocity"), "song_id").groupBy("song_id").applyInPandas(one, "song_id long, bpm double, beat0 double")
 
 
 def resolve(songs: DataFrame) -> DataFrame:

@@ -80,3 +80,9 @@ class CleanupParams:
     @property
     def step(self) -> float:
         return self.beat / self.quantize_division
+
+
+def dealt(df, *keys: str):
+    """Rows dealt out by key over all shuffle partitions. For groups that cost much more to work on
+    than to move: by their few bytes alone they would be packed into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
