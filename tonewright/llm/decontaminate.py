@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Words are runs without white space, ASCII letters lower-cased, signs at their ends cut off.
-Every GRAM-word gram of a test item is counted over all documents; an item's seeds are its
-rare grams and, whatever their counts, its rarest quarter. Where a document holds a seed, the
+Every GRAM-word gram of a test item is counted over all documents. An item's seeds are its
+grams that are rare in the corpus (RARE) or, so that an item leaked many times keeps its own,
+not much more frequent than the item's rarer ones (COMMON times its lower quartile). Where a document holds a seed, the
 words around it are aligned locally with the item's (MATCH, MISMATCH, GAP), and the best score
 over that of a perfect copy is the similarity: edits, insertions and losses lower it little by
 little, so paraphrased copies are found as well as exact ones.
@@ -26,7 +27,7 @@ from . import common
 from .textkit import LOWER, Hasher, Words, buffers, pieces
 
 GRAM, PAD = 4, 12
-RARE = 1000  # a gram is rare in at most one document of so many
+RARE, COMMON = 1000, 4  # rare: in at most one document of so many
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 CHUNK_BYTES = 4 << 20
@@ -83,14 +84,15 @@ class Items:
         return np.where(self.known[at] == gram, at, -1)
 
     def seeds(self, df: np.ndarray, n_docs: int) -> "Items":
-        """Keep as seeds the rare grams and each item's rarest quarter (four at least)."""
+        """Keep as seeds the grams that occur and are rare, for the corpus or for their item."""
         count = np.repeat(df, np.diff(self.start))
-        order = np.lexsort((self.place, count, self.of))
-        of = self.of[order]
-        size = np.bincount(of, minlength=len(self.ids))
-        rank = np.arange(len(of)) - (np.cumsum(size) - size)[of]
-        seed = np.zeros(len(of), bool)
-        seed[order] = (count[order] * RARE <= n_docs) | (rank < np.maximum(4, size[of] // 4))
+        occurs = np.flatnonzero(count)
+        order = occurs[np.lexsort((count[occurs], self.of[occurs]))]
+        size = np.bincount(self.of[order], minlength=len(self.ids))
+        quarter = np.zeros(len(self.ids), np.int64)
+        some = size > 0
+        quarter[some] = count[order][(np.cumsum(size) - size)[some] + size[some] // 4]
+        seed = (count > 0) & ((count * RARE <= n_docs) | (count <= COMMON * quarter[self.of]))
         self.of, self.place, self.gram = self.of[seed], self.place[seed], self.gram[seed]
         self.known, self.start = np.unique(self.gram, return_index=True)
         self.start = np.append(self.start, len(self.gram))

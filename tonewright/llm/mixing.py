@@ -112,10 +112,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_texts(docs: DataFrame, **options) -> DataFrame:
     """The documents chosen in one epoch, texts cut to their token prefix, with all their columns."""
-    chosen = mix(docs, epochs=1, **options).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("take_tokens").alias("_take"), F.col("n_tokens").alias("_n")).groupBy("_id", "_hash").agg(F.max("_take").alias("_take"), F.max("_n").alias("_n"))
-    found = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    ends = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_take").cast("int")), "")
-    cut = found.withColumn("text", F.when(F.col("_take") < F.col("_n"), ends).otherwise(F.col("text")))
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    key, digest, take, whole = (own + c for c in ("id", "hash", "take", "n"))
+    chosen = mix(docs, epochs=1, **options).groupBy(F.col("doc_id").alias(key), F.col("row_hash").alias(digest)).agg(F.max("take_tokens").alias(take), F.max("n_tokens").alias(whole))
+    found = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)))
+    ends = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col(take).cast("int")), "")
+    cut = found.withColumn("text", F.when(F.col(take) < F.col(whole), ends).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
