@@ -117,6 +117,7 @@ def spans(row: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 KEY = "h1 long, h2 long"
+KNOWN = 1 << 62  # marks a place whose run is known to repeat
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -141,6 +142,21 @@ def find(docs: DataFrame) -> DataFrame:
                 of, p, a, b, gram, run = sampled(*buffers(piece.column(0)))
                 h = [np.asarray(piece.column(k))[of] for k in (1, 2)]
                 place = p << 16 | (p - a) << 8 | (p - b)
+                # Runs that repeat within the piece are known to: they travel marked, each under a
+                # key of its own, and two of them stand for the rest. So a frequent gram stays few rows.
+                both = mix(gram) ^ run
+                order = np.argsort(both, kind="stable")
+                left = np.zeros(len(both), bool)
+                left[1:] = both[order][1:] == both[order][:-1]
+                right = np.append(left[1:], False)
+                known = order[left | right]
+                third = np.zeros(len(both), bool)
+                third[2:] = left[2:] & left[1:-1]
+                rest = np.sort(order[~third])
+                alone = mix(h[0][known].view(np.uint64) ^ mix(h[1][known].view(np.uint64) + place[known].astype(np.uint64)))
+                gram, run = np.concatenate([gram[rest], alone]), np.concatenate([run[rest], alone])
+                h = [np.concatenate([x[rest], x[known]]) for x in h]
+                place = np.concatenate([place[rest], place[known] | KNOWN])
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(run.view(np.int64)), pa.array(h[0]), pa.array(h[1]), pa.array(place)], ["gram", "run", "h1", "h2", "place"])
 
     def pair(batches):
@@ -149,20 +165,22 @@ def find(docs: DataFrame) -> DataFrame:
         held = None  # the last row, and whether the row before it has its gram and its run
 
         def told(rows, before_gram, before_run, closed):
-            gram, run = rows[0], rows[1]
+            gram, run, kept = rows[0], rows[1], rows
             n = len(gram)
             same_gram, same_run = gram[1:] == gram[:-1], (gram[1:] == gram[:-1]) & (run[1:] == run[:-1])
             left_g, left_r = np.concatenate([[before_gram], same_gram]), np.concatenate([[before_run], same_run])
             right_g, right_r = np.concatenate([same_gram, [False]]), np.concatenate([same_run, [False]])
             use = np.ones(n, bool)
             use[-1] = closed
-            whole = left_r | right_r
+            known = rows[4] >= KNOWN
+            rows = [*rows[:4], rows[4] & (KNOWN - 1)]
+            whole = left_r | right_r | known
             edge = whole & ((left_g & ~left_r) | (right_g & ~right_r))
             kinds = [(0, whole), (1, ~whole & (left_g | right_g)), (2, edge)]
             at = np.concatenate([np.flatnonzero(m & use) for _, m in kinds])
             kind = np.concatenate([np.full(int((m & use).sum()), k, np.int32) for k, m in kinds])
             out = pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(rows[k][at]) for k in (0, 2, 3, 4))], ["kind", "gram", "h1", "h2", "place"])
-            return out, ([r[-1:] for r in rows], bool(left_g[-1]), bool(left_r[-1]))
+            return out, ([r[-1:] for r in kept], bool(left_g[-1]), bool(left_r[-1]))
 
         for batch in batches:
             rows = [np.asarray(batch.column(k)) for k in range(5)]
