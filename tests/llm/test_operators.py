@@ -517,3 +517,10 @@ def test_pipeline(spark, sf):
     assert mixed.columns == columns and 0 < mixed.count() < clean.count()
     ids = stage["token_ids"](spark, mixed, sf)
     assert ids.count() == mixed.count() == pipeline.run(spark, sf).count()
+
+
+def test_sieve(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "key")
+    sifted = common.sift(spark.range(6000).withColumnRenamed("id", "key"), "key", common.sieve(keys, "key"), "f").where("f")
+    got = {r.key for r in sifted.collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1010

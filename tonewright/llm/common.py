@@ -78,3 +78,31 @@ def hash_sample(df: DataFrame, n: int, total: int, *columns: str) -> DataFrame:
     if total > n:
         df = df.where(F.xxhash64(*columns) < int(-(1 << 63) + (1 << 64) * n // total))
     return df.limit(2 * n)
+
+
+SIEVE_BITS = 1 << 23
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes of a long column: at most 256 rows of 4 KB, whatever the table's size."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    return keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+
+def sift(df: DataFrame, key: str, held: DataFrame, flag: str) -> DataFrame:
+    """Adds ``flag``: whether the sieve may hold the row's key. False is certain, so rows that need no
+    join can pass by it without a shuffle. Broadcasts the sieve, of at most 1 MB."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    place = F.bitmap_bit_position(slot)
+    bits = held.select(F.col("bucket").alias(flag + "_b"), F.col("bits").alias(flag + "_s"))
+    byte = F.conv(F.hex(F.substring(F.col(flag + "_s"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col(flag + "_b"), "left")
+    return found.withColumn(flag, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop(flag + "_b", flag + "_s")
+
+
+def unused(df: DataFrame) -> str:
+    """A prefix that no column's name begins with."""
+    own = "_"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    return own

@@ -187,6 +187,10 @@ def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarr
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (linked documents) for every row of docs(doc_id, text)."""
+    return _join(docs).drop("row_id")
+
+
+def _join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     # Rows without an id are told apart by a hash of their text.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_id", F.coalesce("doc_id", F.xxhash64("text")))
@@ -235,7 +239,9 @@ def join(docs: DataFrame) -> DataFrame:
     blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = member.join(blocks, "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "s1", "s2")
-    named = dealt.join(docs.select(F.col("row_id").alias("node"), "text"), "node").select("cluster", "i", "j", "mine", "node", "copies", "s1", "s2", "text")
+    # Most texts are in no cluster and needn't move.
+    wanted = common.sift(docs.select(F.col("row_id").alias("node"), "text"), "node", common.sieve(member, "node"), "wanted").where("wanted")
+    named = dealt.join(wanted, "node").select("cluster", "i", "j", "mine", "node", "copies", "s1", "s2", "text")
 
     def compare(batches):
         group, rows = None, []
@@ -276,7 +282,7 @@ def join(docs: DataFrame) -> DataFrame:
     known = kinds.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(least, "component").join(counts, "node", "left").select("s1", "s2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return posted.select("doc_id", "n_shingles", "s1", "s2").join(known, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return posted.select("doc_id", "row_id", "n_shingles", "s1", "s2").join(known, ["s1", "s2"], "left").select("doc_id", "row_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +290,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: that of the class's own id. Rows without an id stay."""
-    kept = join(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    return first
+    """One document of each class, that of the class's own id; one row of each id. A row without id
+    stays if no row of its class has one, once for each text. Rows that surely stay aren't moved."""
+    found = settle(_join(docs).select("row_id", "doc_id", "component_id"), "kept")
+    stays = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
+    judged = found.groupBy("row_id").agg(F.min(stays).alias("stays"), F.count("*").alias("n"))
+    doubtful = settle(judged.where("NOT stays OR n > 1"), "doubtful")
+    own = common.unused(docs)
+    key, flag = own + "key", own + "flag"
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    sifted = common.sift(keyed, key, common.sieve(doubtful, "row_id"), flag)
+    again = sifted.where(F.col(flag))
+    told = doubtful.select(F.col("row_id").alias(own + "row"), F.col("stays").alias(own + "stays"), F.col("n").alias(own + "n"))
+    again = again.join(told, F.col(key) == F.col(own + "row"), "left").where(F.coalesce(F.col(own + "stays"), F.lit(True)))
+    once = again.where(F.coalesce(F.col(own + "n"), F.lit(1)) == 1).select(*docs.columns).unionByName(again.where(F.col(own + "n") > 1).dropDuplicates([key]).select(*docs.columns))
+    return sifted.where(~F.col(flag)).select(*docs.columns).unionByName(once)

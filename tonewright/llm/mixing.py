@@ -112,17 +112,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_texts(docs: DataFrame, **options) -> DataFrame:
     """The documents chosen in one epoch, texts cut to their token prefix, with all their columns."""
-    own = "_"
-    while any(c.startswith(own) for c in docs.columns):
-        own += "_"
-    key, digest, take, whole = (own + c for c in ("id", "hash", "take", "n"))
-    chosen = mix(docs, epochs=1, **options).groupBy(F.col("doc_id").alias(key), F.col("row_hash").alias(digest)).agg(F.max("take_tokens").alias(take), F.max("n_tokens").alias(whole))
-    found = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)))
+    own = common.unused(docs)
+    key, take, whole, flag = (own + c for c in ("key", "take", "n", "flag"))
+    chosen = mix(docs, epochs=1, **options).groupBy(F.xxhash64("doc_id", "row_hash").alias(key)).agg(F.max("take_tokens").alias(take), F.max("n_tokens").alias(whole))
+    chosen = common.settle(chosen, "chosen")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    # Documents that are taken whole pass by; only the others meet what was chosen.
+    rest = common.settle(keyed.select(key).join(chosen.where(F.col(take) == F.col(whole)), key, "left_anti"), "rest")
+    sifted = common.sift(keyed, key, common.sieve(rest, key), flag)
+    found = sifted.where(F.col(flag)).join(chosen, key)
     ends = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col(take).cast("int")), "")
     cut = found.withColumn("text", F.when(F.col(take) < F.col(whole), ends).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return sifted.where(~F.col(flag)).select(*docs.columns).unionByName(cut.select(*docs.columns))
 
 
 def _cases(value: str, weights, other: int = 1) -> str:
