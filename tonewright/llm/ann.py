@@ -97,7 +97,7 @@ def enough(placed: DataFrame, asked: DataFrame, books: list, parts: tuple, sizes
         yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(best[1].ravel().astype(np.int32)), pa.array(best[0].ravel())], ["q", "cell", "score"])
 
     top = Window.partitionBy("q").orderBy(F.desc("score"), "cell")
-    found = placed.select("cell", "embedding").mapInArrow(exact, "q int, cell int, score double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= results + 1).select("q", "cell").collect()
+    found = placed.select("cell", "embedding").mapInArrow(common.tidy(exact), "q int, cell int, score double").withColumn("r", F.row_number().over(top)).where(F.col("r") <= results + 1).select("q", "cell").collect()
     total = (q[:, parts[0]] @ books[0].T)[:, :, None] + (q[:, parts[1]] @ books[1].T)[:, None, :]
     total = total.reshape(len(q), -1)
     need = []
@@ -139,7 +139,7 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
                 cell = nearest(v[:, parts[0]], books[0]) * k2 + nearest(v[:, parts[1]], books[1])
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), batch.column(1)], ["cell", "embedding", "ids"])
 
-    placed = settle(entries.select("embedding", "ids").mapInArrow(cells, "cell int, embedding array<double>, ids array<long>"), "cells")
+    placed = settle(entries.select("embedding", "ids").mapInArrow(common.tidy(cells), "cell int, embedding array<double>, ids array<long>"), "cells")
     # At most 65,536 cells, whatever the number of vectors.
     sizes = np.zeros(len(books[0]) * k2, np.int64)
     for row in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():
@@ -183,8 +183,8 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
 
     asked = rows.where(F.col("vec_id") % every == 0)
     distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("qid"))
-    left = distinct.select("qid", "embedding").mapInArrow(probes, "shard int, qid long, embedding array<double>, cells array<int>")
-    right = placed.mapInArrow(dealt, "shard int, cell int, embedding array<double>, ids array<long>")
+    left = distinct.select("qid", "embedding").mapInArrow(common.tidy(probes), "shard int, qid long, embedding array<double>, cells array<int>")
+    right = placed.mapInArrow(common.tidy(dealt), "shard int, cell int, embedding array<double>, ids array<long>")
 
     def rank(queries: pa.Table, held: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])

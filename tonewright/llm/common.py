@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +110,21 @@ def unused(df: DataFrame) -> str:
     while any(c.startswith(own) for c in df.columns):
         own += "_"
     return own
+
+
+def tidy(f):
+    """For functions of ``mapInArrow``: a worker lives on after its task, so what the task freed goes
+    back to the system rather than waiting in the allocators for the next one."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run

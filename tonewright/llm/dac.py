@@ -116,7 +116,7 @@ class PieceEncoder:
     between versions of Unicode, go to the library whole.
     """
 
-    KEEP = 1 << 20  # pre-tokens remembered; beyond it the memory starts anew
+    KEEP = 600_000  # pre-tokens remembered; beyond it the memory starts anew
     classes: np.ndarray | None = None
 
     def __init__(self, path: str):
@@ -301,7 +301,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             yield block()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCKS).write.parquet(path)
+    ordered.mapInArrow(common.tidy(blocks), BLOCKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -320,7 +320,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_pydict({"doc_id": row["doc_ids"].values.cast(pa.int64()), "start": pa.array(edge[:-1] + row["start"].as_py() + row["before"].as_py()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array([zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.int64())})
 
-    return stored.join(F.broadcast(before), "part").select("start", "before", "doc_ids", "counts", "payload").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.join(F.broadcast(before), "part").select("start", "before", "doc_ids", "counts", "payload").mapInArrow(common.tidy(digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ def seeded(docs: DataFrame, items: DataFrame) -> Items:
 
     df, n_docs = np.zeros(len(held.known), np.int64), 0
     # One row for each gram of the chunk at most.
-    for row in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         if row["gram"] < 0:
             n_docs = row["n"]
         else:
@@ -222,7 +222,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
                     keep = similarity >= threshold
                     yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc[keep])), pa.array([held.ids[i] for i in item[keep]], pa.int64()), pa.array(similarity[keep]), pa.array(end[keep]), pa.array(n[keep].astype(np.int64))], ["doc_id", "item_id", "similarity", "last_word", "n_seeds"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, item_id long, similarity double, last_word long, n_seeds long")
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(scan), "doc_id long, item_id long, similarity double, last_word long, n_seeds long")
         out = found if out is None else out.union(found)
     return out
 
@@ -245,5 +245,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     bad[doc[similarity >= THRESHOLD]] = True
                     yield piece.filter(pa.array(~bad))
 
-        clean = clean.mapInArrow(keep, docs.schema)
+        clean = clean.mapInArrow(common.tidy(keep), docs.schema)
     return clean

@@ -272,7 +272,7 @@ def extract(pages: DataFrame, model: Crf) -> DataFrame:
                 text = ["\n\n".join(b[0] for b, keep in zip(p, y[a : a + len(p)].tolist()) if keep) for p, a in zip(found, first.tolist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(common.tidy(extracted), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

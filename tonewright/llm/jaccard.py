@@ -94,7 +94,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
     level, hist = np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(256, np.int64)
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "slab int, data binary").repartition("slab").mapInArrow(add, "slab int, data binary")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(count), "slab int, data binary").repartition("slab").mapInArrow(common.tidy(add), "slab int, data binary")
     for row in counted.collect():  # 2**22 bytes in all, whatever the table's size
         if row["slab"] < 0:
             hist += np.frombuffer(row["data"], "<i8")
@@ -213,7 +213,7 @@ def _join(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(size), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))], ["doc_id", "row_id", "n_shingles", "s1", "s2", "keys"])
 
-    posted = settle(docs.mapInArrow(post, "doc_id long, row_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "posted")
+    posted = settle(docs.mapInArrow(common.tidy(post), "doc_id long, row_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "posted")
 
     def chain(batches):
         last = None
@@ -231,7 +231,7 @@ def _join(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
 
     lists = posted.select(F.explode("keys").alias("key"), F.col("n_shingles"), "s1").repartition("key").sortWithinPartitions("key", "n_shingles", "s1")
-    cluster = components(lists.mapInArrow(chain, "u long, v long"), "clusters")
+    cluster = components(lists.mapInArrow(common.tidy(chain), "u long, v long"), "clusters")
 
     kinds = posted.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("row_id").alias("node"), F.first("n_shingles").alias("size"))
     kinds = settle(kinds, "kinds")
@@ -276,7 +276,7 @@ def _join(docs: DataFrame) -> DataFrame:
         if rows:
             yield done()
 
-    found = settle(named.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(compare, "node long, root long, links long"), "links")
+    found = settle(named.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(common.tidy(compare), "node long, root long, links long"), "links")
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = kinds.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

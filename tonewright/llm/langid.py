@@ -173,7 +173,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
                 best, score = model.predict(*buffers(piece.column(2)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(names[best], pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(predicted, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(predicted), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Crf, float]:
                     if b > a:
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[k]], pa.int64()), "y": pa.array([y[k]], pa.int32()), "x": pa.array([x[a:b].tobytes()], pa.binary())})
 
-    rows = sorted(texts.mapInArrow(lines, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows = sorted(texts.mapInArrow(common.tidy(lines), "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
     if len({r["y"] for r in rows}) < 2:
         return model, prior
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, 3 * N_OWN + 2) for r in rows]
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Crf, prior: float) -> DataFrame:
                 value = np.clip(np.where(weight > 0, total / np.maximum(weight, 1), prior), 0, 1)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), pa.array(np.diff(found.first).astype(np.int64)), pa.array(np.bincount(found.doc, weights=p < 0.5, minlength=n).astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_lines", "n_bad_lines"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_bad_lines long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(scored), "doc_id long, held_out boolean, score double, predicted int, n_lines long, n_bad_lines long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,4 +179,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 value = np.where(weight > 0, np.bincount(found.doc, weights=size * p, minlength=piece.num_rows) / np.maximum(weight, 1), prior)
                 yield piece.filter(pa.array(value >= THRESHOLD))
 
-    return docs.select(*names).mapInArrow(kept, schema)
+    return docs.select(*names).mapInArrow(common.tidy(kept), schema)

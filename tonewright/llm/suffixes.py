@@ -197,8 +197,8 @@ def find(docs: DataFrame) -> DataFrame:
                 yield out
 
     texts = _identified(docs)
-    grams = texts.select("text", "h1", "h2").mapInArrow(sample, f"gram long, run long, {KEY}, place long")
-    paired = settle(grams.repartition("gram").sortWithinPartitions("gram", "run").mapInArrow(pair, f"kind int, gram long, {KEY}, place long"), "paired")
+    grams = texts.select("text", "h1", "h2").mapInArrow(common.tidy(sample), f"gram long, run long, {KEY}, place long")
+    paired = settle(grams.repartition("gram").sortWithinPartitions("gram", "run").mapInArrow(common.tidy(pair), f"kind int, gram long, {KEY}, place long"), "paired")
     p, before, after = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     whole = paired.where("kind = 0").select("h1", "h2", (p - before).alias("first"), (p - after).alias("last"))
 
@@ -217,7 +217,7 @@ def find(docs: DataFrame) -> DataFrame:
                 n = len(place)
                 yield pa.RecordBatch.from_arrays([pa.array([text[i : i + GRAM] for i in p.tolist()], pa.binary()), pa.array(gram), pa.array(np.full(n, batch.column(0)[k].as_py())), pa.array(np.full(n, batch.column(1)[k].as_py())), pa.array(place), pa.array(part, pa.binary())], ["lead", "gram", "h1", "h2", "place", "part"])
 
-    suffixes = settle(holders.mapInArrow(cut, f"lead binary, gram long, {KEY}, place long, part binary"), "suffixes")
+    suffixes = settle(holders.mapInArrow(common.tidy(cut), f"lead binary, gram long, {KEY}, place long, part binary"), "suffixes")
     hot = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
     some_hot = hot.first() is not None
     rest = suffixes.join(hot, "gram", "left_anti") if some_hot else suffixes
@@ -251,7 +251,7 @@ def find(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), pa.array(p[r] - da[r] + first), pa.array(p[r] - da[r] + last)], ["h1", "h2", "first", "last"])
             at = to
 
-    parts = rest.select("lead", "h1", "h2", "place", "part").repartitionByRange("lead").mapInArrow(bucket, f"{KEY}, first long, last long")
+    parts = rest.select("lead", "h1", "h2", "place", "part").repartitionByRange("lead").mapInArrow(common.tidy(bucket), f"{KEY}, first long, last long")
     out = whole.union(parts)
     if some_hot:
 
@@ -268,7 +268,7 @@ def find(docs: DataFrame) -> DataFrame:
                 w2 = mix(Hasher(raw).of(start, start + LENGTH // 2) ^ np.uint64(0x5851F42D4C957F2D))
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(h1[row]), pa.array(h2[row]), pa.array((p - da)[row] + within)], ["w1", "w2", "h1", "h2", "first"])
 
-        each = settle(suffixes.join(hot, "gram", "left_semi").select("h1", "h2", "place", "part").mapInArrow(windows_of, f"w1 long, w2 long, {KEY}, first long").distinct(), "windows")
+        each = settle(suffixes.join(hot, "gram", "left_semi").select("h1", "h2", "place", "part").mapInArrow(common.tidy(windows_of), f"w1 long, w2 long, {KEY}, first long").distinct(), "windows")
         twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
         out = out.union(each.join(twice, ["w1", "w2"]).select("h1", "h2", "first", F.col("first").alias("last")))
     return out
@@ -305,7 +305,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()))})
 
     joined = _identified(docs).join(runs, ["h1", "h2"], "left").select("doc_id", "text", "runs")
-    done = joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
+    done = joined.mapInArrow(common.tidy(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
     return done if with_text else done.drop("kept")
 
 
