@@ -125,3 +125,42 @@ def test_octave_fold(spark):
 
     got = [r.b for r in spark.createDataFrame([(30.0,), (12.0,), (120.0,), (410.0,), (1000.0,)], "x double").select(T.octave_fold(F.col("x")).alias("b")).collect()]
     assert got == [60.0, 96.0, 120.0, 102.5, 125.0]
+
+
+def whole_song(spark, beats, late=0.02):
+    """A chord on every pulse, changing every four; a bass a little late; a kick on the pulses."""
+    chords, rows = [(57, 60, 64), (53, 57, 60), (48, 52, 55), (55, 59, 62)], []
+    rough = np.random.default_rng(5).uniform(-0.008, 0.008, len(beats))
+    for k, t in enumerate(beats):
+        gap = beats[k + 1] - t if k + 1 < len(beats) else t - beats[k - 1]
+        for p in chords[k // 4 % 4]:
+            rows.append((0, "comping", len(rows), p, 80, float(t), float(t + 0.9 * gap), False, 0))
+        rows.append((0, "bass", len(rows), 36 + k // 4 % 4, 90, float(t + late + rough[k]), float(t + late + 0.5 * gap), False, 0))
+        rows.append((0, "drums", len(rows), 36, 110, float(t), float(t + 0.1), True, 0))
+    return spark.createDataFrame(rows, NOTE)
+
+
+def test_the_whole_stage_on_a_steady_song(spark):
+    info, notes = G.apply(whole_song(spark, 1.0 + np.arange(96) * 60 / 114), 112.0)
+    i = info.first()
+    assert i.fitted and i.tempo == "constant" and i.bpm == pytest.approx(114, rel=1e-3)
+    bar = 4 * 60 / 114
+    assert min(abs((i.first_bar - 1.0) % bar), bar - abs((i.first_bar - 1.0) % bar)) < 0.01
+    assert {t.track: t.latency_ms for t in i.tracks}["bass"] == pytest.approx(20, abs=4)
+    starts = np.array([r.start_s for r in notes.collect()])
+    off = (starts - 1.0 + 0.25) % (60 / 114) - 0.25
+    assert np.abs(off).max() < 0.03 and notes.count() == 5 * 96
+
+
+def test_the_whole_stage_follows_a_drift(spark):
+    song_ = whole_song(spark, drifting(200))
+    info, notes = G.apply(song_, 99.0, mode="auto")
+    assert info.first().tempo == "map" and notes.count() == 1000
+    steady, _ = G.apply(whole_song(spark, 1.0 + np.arange(96) * 60 / 114), 114.0, mode="auto")
+    assert steady.first().tempo == "constant"
+
+
+def test_songs_without_a_grid_are_left(spark):
+    rng = np.random.default_rng(0)
+    info, notes = G.apply(song(spark, np.sort(rng.uniform(0, 100, 300))), 114.0)
+    assert not info.first().fitted and notes.count() == 0

@@ -253,8 +253,63 @@ def snap(notes: DataFrame, late: DataFrame, bpm: float, anchor: float) -> DataFr
     return out.withColumns({"start_s": F.col("_on"), "end_s": F.col("_off")}).drop("_on", "_off", "latency")
 
 
-def apply(notes: DataFrame, bpm: float, snap_notes: bool = False) -> DataFrame:
-    """The whole grid stage for songs near one tempo: per song the fitted grid on a pulse with bar one,
-    or fitted = false. Grids are rows; nothing is collected."""
-    onsets = onset_dedupe(notes)
-    return fit_pulse(onsets, bpm).withColumn("fitted", F.lit(True))
+def warp(notes: DataFrame, grids: DataFrame) -> DataFrame:
+    """Notes with starts and ends in pulses of their song's grid; pulse 0 is the first at or after time
+    0 less one, so ``base`` is the anchor's place."""
+    p = 60.0 / F.col("bpm")
+    base = F.ceil(F.col("anchor") / p)
+    joined = notes.join(grids.select("song_id", "bpm", "anchor"), "song_id")
+    return joined.withColumns({"start_s": (F.col("start_s") - F.col("anchor")) / p + base, "end_s": (F.col("end_s") - F.col("anchor")) / p + base, "base": base}).drop("bpm", "anchor")
+
+
+def apply(notes: DataFrame, bpm: float, groups: tuple[int, ...] = (1, 1, 1, 1), den: int = 4, mode: str = "constant", downbeat: int | None = None, shift_pulses: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The whole grid stage for songs near one tempo: (info, snapped notes).
+
+    Per song: the grid in the meter's pulse, bar one from the harmony (or ``downbeat`` from 1), moved by
+    ``shift_pulses``; per track: its latency; notes snapped. ``mode`` map follows a tempo map instead,
+    auto does so where no constant grid fits or a map is clearly nearer. Notes are warped to pulses, where
+    every song has one and the same grid, so each step is one job over all songs. Songs without a fit are
+    left out of the notes and have ``fitted`` false.
+    """
+    from . import tempo_map as P
+
+    pulses = sum(groups)
+    # Each of these is small beside the notes, costs a fit, and is read several times.
+    onsets = onset_dedupe(notes).cache()
+    found = fit_pulse(onsets, bpm, den, min_alignment=0.0 if mode != "constant" else MIN_ALIGNMENT).cache()
+    songs = notes.select("song_id").distinct()
+    flat = warp(notes, found)
+    mapped = None
+    if mode != "constant":
+        beats = P.fit_map(notes, notes, bpm).cache()
+        chosen = found.select("song_id")
+        if mode == "auto":
+            off = flat.groupBy("song_id").agg(F.avg(F.abs(signed(F.col("start_s"), F.lit(0.0), F.lit(0.25)) / 0.25)).alias("offset"))
+            near = P.offset_16th(notes, beats).join(off, "song_id")
+            chosen = near.where(use_map(F.col("offset"), F.col("offset") - F.col("offset_16th"))).select("song_id")
+        chosen = chosen.cache()
+        mapped = beats.join(chosen, "song_id", "left_semi").cache()
+        at = lambda c: P.position(notes.join(chosen, "song_id", "left_semi"), mapped, c, c + "_p").select(*TRACK, "note_id", c + "_p")
+        placed = notes.join(at("start_s"), [*TRACK, "note_id"]).join(at("end_s"), [*TRACK, "note_id"]).withColumns({"start_s": F.col("start_s_p"), "end_s": F.col("end_s_p"), "base": F.lit(0).cast("long")}).drop("start_s_p", "end_s_p")
+        flat = flat.join(chosen, "song_id", "left_anti").unionByName(placed)
+    flat = flat.cache()
+    phase = bar_phase(flat, 60.0, 0.0, groups).select("song_id", F.col("phase").alias("bar_one"), "confidence")
+    one = F.lit(downbeat - 1) if downbeat else F.col("bar_one")
+    late = latency(flat, 60.0, 0.0)
+    fitted = fit_ms(flat, late, 60.0, 0.0).withColumnRenamed("grid_fit_ms", "_fit")
+    snapped = snap(flat, late, 60.0, 0.0)
+    tempo = found.select("song_id", "bpm", "anchor", "r")
+    seconds = lambda c: F.greatest(F.lit(0.0), F.col("anchor") + (F.col(c) - F.col("base")) * 60.0 / F.col("bpm"))
+    back = snapped.join(tempo, "song_id").withColumns({c: seconds(c) for c in ("start_s", "end_s")}).drop("bpm", "anchor", "r", "base", "step")
+    kind = songs.withColumn("tempo", F.lit("constant"))
+    if mapped is not None:
+        has = mapped.select("song_id").distinct()
+        timed = P.time_at(P.time_at(snapped.join(has, "song_id", "left_semi"), mapped, "start_s", "_on"), mapped, "end_s", "_off").withColumns({"start_s": F.greatest(F.lit(0.0), "_on"), "end_s": F.col("_off")}).drop("_on", "_off", "base", "step")
+        back = back.join(has, "song_id", "left_anti").unionByName(timed)
+        kind = songs.join(has.withColumn("m", F.lit(True)), "song_id", "left").select("song_id", F.when(F.col("m"), "map").otherwise("constant").alias("tempo"))
+    base = flat.groupBy("song_id").agg(F.min("base").alias("base"))
+    info = kind.join(tempo, "song_id", "left").join(phase, "song_id", "left").join(base, "song_id", "left")
+    bar = F.pmod(one + F.lit(shift_pulses), F.lit(pulses))
+    first = F.when(F.col("tempo") == "constant", F.pmod(F.col("anchor") + (bar - F.col("base")) * 60.0 / F.col("bpm"), pulses * 60.0 / F.col("bpm")))
+    tracks = late.join(fitted, TRACK).join(tempo, "song_id").groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("track", F.round(F.col("latency") * 60000 / F.col("bpm"), 2).alias("latency_ms"), F.round(F.col("_fit") * 60 / F.col("bpm"), 2).alias("grid_fit_ms")))).alias("tracks"))
+    return info.join(tracks, "song_id", "left").select("song_id", F.col("r").isNotNull().alias("fitted"), "tempo", "bpm", bar.cast("int").alias("bar_one"), first.alias("first_bar"), "confidence", "tracks"), back
