@@ -141,11 +141,11 @@ def accent_profile(spark, d):
 LATE = f"late AS (SELECT song_id, track, median({signed('start_s')}) AS latency FROM notes GROUP BY ALL)"
 
 
-@_q("latency", f"{LATE} SELECT song_id, track, round(latency, 6) AS latency, round(latency + round_even((0.2 - latency) / {SIX_SQL}, 0) * {SIX_SQL}, 6) AS hinted FROM late")
+@_q("latency", f"{LATE} SELECT song_id, track, round(latency, 6) + 0.0::double AS latency, round(latency + round_even((0.2 - latency) / {SIX_SQL}, 0) * {SIX_SQL}, 6) AS hinted FROM late")
 def latency(spark, d):
     n = gridded(spark, d)
     plain = G.latency(n, BPM, ANCHOR)
-    return plain.join(G.latency(n, BPM, ANCHOR, F.lit(0.2)).withColumnRenamed("latency", "hinted"), TRACK).select(*TRACK, F.round("latency", 6).alias("latency"), F.round("hinted", 6).alias("hinted"))
+    return plain.join(G.latency(n, BPM, ANCHOR, F.lit(0.2)).withColumnRenamed("latency", "hinted"), TRACK).select(*TRACK, (F.round("latency", 6) + F.lit(0.0)).alias("latency"), F.round("hinted", 6).alias("hinted"))
 
 
 @_q("grid_fit_ms", f"{LATE} SELECT song_id, track, round(median(abs({signed('start_s - latency')})) * 1000, 4) AS grid_fit_ms FROM notes JOIN late USING (song_id, track) GROUP BY song_id, track")

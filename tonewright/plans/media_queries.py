@@ -51,9 +51,9 @@ def louder_stems(spark, d):
     return A.louder_than(blocks(spark, d), -8.3).groupBy("song_id", "stem").agg(F.count("*").alias("blocks"))
 
 
-@_q("mixdown", f"{SAMPLES_SQL}, m AS (SELECT song_id, i, sum(x) AS x FROM s WHERE stem <> 'view' GROUP BY ALL), g AS (SELECT song_id, CASE WHEN max(abs(x)) > 0.99 THEN 0.99 / max(abs(x)) ELSE 1 END AS gain FROM m GROUP BY song_id) SELECT song_id, i // {SR} AS block_id, i % {SR} AS i, round(x * gain, 6) AS x FROM m JOIN g USING (song_id)")
+@_q("mixdown", f"{SAMPLES_SQL}, m AS (SELECT song_id, i, sum(x) AS x FROM s WHERE stem <> 'view' GROUP BY ALL), g AS (SELECT song_id, CASE WHEN max(abs(x)) > 0.99 THEN 0.99 / max(abs(x)) ELSE 1 END AS gain FROM m GROUP BY song_id) SELECT song_id, i // {SR} AS block_id, i % {SR} AS i, round(x * gain, 6) + 0.0::double AS x FROM m JOIN g USING (song_id)")
 def mixdown(spark, d):
-    return A.mixdown(blocks(spark, d), ("view",)).select("song_id", "block_id", F.posexplode("samples").alias("i", "x")).select("song_id", "block_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+    return A.mixdown(blocks(spark, d), ("view",)).select("song_id", "block_id", F.posexplode("samples").alias("i", "x")).select("song_id", "block_id", F.col("i").cast("long").alias("i"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
 @_q("mono_downmix", f"{SAMPLES_SQL}, j AS (SELECT a.song_id, a.i, 0.5 * (a.x + b.x) AS x FROM s a JOIN s b ON a.song_id = b.song_id AND a.i = b.i AND a.stem = 'click' AND b.stem = 'error') SELECT song_id, i // {SR} AS block_id, round(sum(x), 6) AS total, count(*) AS n FROM j GROUP BY ALL")

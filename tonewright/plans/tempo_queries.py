@@ -216,6 +216,6 @@ def pulse_histogram(spark, d):
     return T.pulse_histogram(gridded(spark, d), BPM, ANCHOR, 4)
 
 
-@_q("tempo_per_8_bars", f"{BEATS_SQL}, b AS (SELECT song_id, k // 4 AS bar, t FROM beats WHERE k % 4 = 0) SELECT song_id, bar // 8 AS part, count(*) AS n, round(240 / regr_slope(t, bar), 5) AS bpm FROM b GROUP BY ALL HAVING count(*) >= 2")
+@_q("tempo_per_8_bars", f"{BEATS_SQL}, b AS (SELECT song_id, k // 4 AS bar, t FROM beats WHERE k % 4 = 0) SELECT song_id, CAST(bar // 8 AS BIGINT) AS part, count(*) AS n, round(240 / regr_slope(t, bar), 5) AS bpm FROM b GROUP BY ALL HAVING count(*) >= 2")
 def tempo_per_8_bars(spark, d):
     return T.tempo_per_bars(P.bar_lines(beats_of(spark, d), 4), 4).select("song_id", "part", "n", F.round("bpm", 5).alias("bpm"))
