@@ -35,7 +35,8 @@ from .textkit import Words, buffers, mix, pieces, shingles, unique_per_doc
 SIZE, PART, WHOLE = 5, 80, 100  # shingle words; 100 * intersection >= 80 * union
 SLOT_BITS, SLAB_BITS = 22, 16  # the sketch: 2**22 counters, moved in slabs of 2**16
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
-BLOCK, BLOCK_SHINGLES = 1024, 500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
+BROADCAST_ROWS = 500_000  # members (about 60 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
 
 
 def sets_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +242,9 @@ def _join(docs: DataFrame) -> DataFrame:
     dealt = member.join(blocks, "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "s1", "s2")
     # Most texts are in no cluster and needn't move.
     wanted = common.sift(docs.select(F.col("row_id").alias("node"), "text"), "node", common.sieve(member, "node"), "wanted").where("wanted")
-    named = dealt.join(wanted, "node").select("cluster", "i", "j", "mine", "node", "copies", "s1", "s2", "text")
+    if dealt.count() <= BROADCAST_ROWS:
+        dealt = F.broadcast(dealt)
+    named = wanted.join(dealt, "node").select("cluster", "i", "j", "mine", "node", "copies", "s1", "s2", "text")
 
     def compare(batches):
         group, rows = None, []
