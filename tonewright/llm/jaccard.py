@@ -36,7 +36,7 @@ SIZE, PART, WHOLE = 5, 80, 100  # shingle words; 100 * intersection >= 80 * unio
 SLOT_BITS, SLAB_BITS = 22, 16  # the sketch: 2**22 counters, moved in slabs of 2**16
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
 BROADCAST_ROWS = 500_000  # members (about 60 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
+BLOCK, BLOCK_SHINGLES = 1024, 1_500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
 
 
 def sets_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +44,18 @@ def sets_of(column) -> tuple[np.ndarray, np.ndarray]:
     return unique_per_doc(*shingles(Words(*buffers(column)), SIZE))
 
 
+def sets_in(table: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a whole table, a piece at a time: hashing takes many times the text's memory."""
+    docs, values, base = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for batch in table.to_batches():
+        for piece in pieces(batch, text, 1 << 20):
+            doc, value = sets_of(piece.column(piece.schema.get_field_index(text)))
+            docs.append(doc + base)
+            values.append(value)
+            base += piece.num_rows
+    return np.concatenate(docs), np.concatenate(values)
+
+
 def identity(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and 128-bit identity of each document's set."""
     size = np.bincount(doc, minlength=n).astype(np.int64)
@@ -252,13 +264,13 @@ def _join(docs: DataFrame) -> DataFrame:
         def done():
             table = pa.Table.from_batches(rows)
             # Rows that repeat an id may have fetched each other's text: the set's identity tells.
-            doc, value = sets_of(table.column(8))
+            doc, value = sets_in(table, "text")
             _, s1, s2 = identity(doc, value, table.num_rows)
             right = (s1 == np.asarray(table.column(6).combine_chunks())) & (s2 == np.asarray(table.column(7).combine_chunks()))
             _, at = np.unique(np.where(right, np.stack([s1, s2]), 0), axis=1, return_index=True)
             at = np.sort(at[right[at]])
             table = table.take(pa.array(at))
-            doc, value = sets_of(table.column(8))
+            doc, value = sets_in(table, "text")
             size = np.bincount(doc, minlength=len(at)).astype(np.int64)
             node, copies, side = (np.asarray(table.column(k).combine_chunks()) for k in (4, 5, 3))
             root, found = links(doc, value, size, copies, side, group[1] != group[2])
