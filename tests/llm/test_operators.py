@@ -418,6 +418,37 @@ def test_benchmark_in_chunks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(12)}
 
 
+def edited(text, every=12):
+    return " ".join("other" if k % every == every - 1 else w for k, w in enumerate(text.split()))
+
+
+def test_rarity_steers_the_cost_only(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(k, sentence(rng, 60)) for k in range(2)]
+    # Many edited copies make all grams frequent that they share with the one exact copy.
+    docs = [(k, sentence(rng, 20) + " " + edited(items[0][1])) for k in range(300)] + [(300, items[0][1])]
+    docs += [(301, " ".join(items[1][1].split()[:6])), (302, items[1][1])] + [(303 + k, sentence(rng, 40)) for k in range(20)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, 0) for k in range(301)} | {(302, 1)}
+    rows = decontaminate.find(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    assert {r.doc_id for r in decontaminate.keep_clean(table, bench).collect()} == {301, *range(303, 323)}
+    # Nothing rare, and few hits at once: the same rows.
+    raw, off = decontaminate.buffers(pa.array([t for _, t in docs], pa.large_string()))
+    words, w = decontaminate.word_hashes(raw, off)
+    of, _, gram = decontaminate.grams(words, w.first)
+    grams = [set(gram[of == k].tolist()) for k in range(len(docs))]
+    got = []
+    for common_, hits in ((4, 1_000_000), (0, 1_000_000), (0, 30), (4, 30)):
+        monkeypatch.setattr(decontaminate, "COMMON", common_)
+        monkeypatch.setattr(decontaminate, "BATCH_HITS", hits)
+        held = decontaminate.Items([k for k, _ in items], [t for _, t in items])
+        df = np.array([sum(x in seen for seen in grams) for x in held.known.tolist()])
+        doc, item, similarity, end, n = decontaminate.matches(held.seeds(df, len(docs)), raw, off)
+        got.append(sorted(x for x in zip(doc.tolist(), item.tolist(), similarity.tolist(), end.tolist(), n.tolist()) if x[2] >= decontaminate.THRESHOLD))
+    assert got == [got[0]] * 4 and {x[:2] for x in got[0]} == want
+
+
 # --- mixture ------------------------------------------------------------------------------------
 
 def poured(budget, children):

@@ -1,13 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Words are runs without white space, ASCII letters lower-cased, signs at their ends cut off.
-Every GRAM-word gram of a test item is counted over all documents. An item's seeds are its
+Every GRAM-word gram of a test item is counted over all documents. An item's rare seeds are its
 grams that are rare in the corpus (RARE) or, so that an item leaked many times keeps its own,
-not much more frequent than the item's rarer ones (COMMON times its lower quartile). Where a document holds a seed, the
+not much more frequent than the item's rarer ones (COMMON times its lower quartile). Where a document holds a rare seed, the
 words around it are aligned locally with the item's (MATCH, MISMATCH, GAP), and the best score
 over that of a perfect copy is the similarity: edits, insertions and losses lower it little by
 little, so paraphrased copies are found as well as exact ones.
 
+Grams that aren't rare are seeds too. The words around them are aligned unless too few are the
+item's for any alignment to reach the threshold; so rarity steers the cost and never the result.
+
 The items are held by every worker in chunks of at most CHUNK_BYTES; a benchmark beyond that
 takes further passes. Nothing is shuffled but counts.
 
@@ -32,6 +35,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 CHUNK_BYTES = 4 << 20
 BATCH_CELLS = 4_000_000  # of alignment tables at once
+BATCH_HITS = 1_000_000  # places of items that documents' grams point at, at once
 
 _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -84,7 +88,7 @@ class Items:
         return np.where(self.known[at] == gram, at, -1)
 
     def seeds(self, df: np.ndarray, n_docs: int) -> "Items":
-        """Keep as seeds the grams that occur and are rare, for the corpus or for their item."""
+        """Keep the grams that occur and mark those that are rare, for the corpus or for their item."""
         count = np.repeat(df, np.diff(self.start))
         occurs = np.flatnonzero(count)
         order = occurs[np.lexsort((count[occurs], self.of[occurs]))]
@@ -92,12 +96,36 @@ class Items:
         quarter = np.zeros(len(self.ids), np.int64)
         some = size > 0
         quarter[some] = count[order][(np.cumsum(size) - size)[some] + size[some] // 4]
-        seed = (count > 0) & ((count * RARE <= n_docs) | (count <= COMMON * quarter[self.of]))
-        self.of, self.place, self.gram = self.of[seed], self.place[seed], self.gram[seed]
+        rare = (count * RARE <= n_docs) | (count <= COMMON * quarter[self.of])
+        self.of, self.place, self.gram, self.rare = self.of[occurs], self.place[occurs], self.gram[occurs], rare[occurs]
         self.known, self.start = np.unique(self.gram, return_index=True)
         self.start = np.append(self.start, len(self.gram))
+        # Entries by gram and item, and how often each item has each of its words.
+        self.entry = np.repeat(np.arange(len(self.known)), np.diff(self.start)) * len(self.ids) + self.of
+        self.vocabulary, word = np.unique(self.words, return_inverse=True)
+        self.has, self.times = np.unique(np.repeat(np.arange(len(self.ids)), np.diff(self.first)) * len(self.vocabulary) + word, return_counts=True)
         return self
 
+    def shared(self, item: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words each window [low, high) of ``words`` has in common with its item, repeats counted."""
+        out, size = np.zeros(len(item), np.int64), high - low
+        ends = np.cumsum(size)
+        k = 0
+        while k < len(item):
+            to = max(k + 1, int(np.searchsorted(ends, ends[k] - size[k] + BATCH_HITS, "right")))
+            n = size[k:to]
+            window = np.repeat(np.arange(k, to), n)
+            word = words[np.arange(n.sum()) + np.repeat(low[k:to] - np.cumsum(n) + n, n)]
+            at = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == word
+            window, key = window[known], item[window[known]] * len(self.vocabulary) + at[known]
+            at = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
+            known = self.has[at] == key
+            pair, times = np.unique(window[known] * len(self.has) + at[known], return_counts=True)
+            np.add.at(out, pair // len(self.has), np.minimum(times, self.times[pair % len(self.has)]))
+            k = to
+        return out
+
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local score of each pair and where in the text it ends, all pairs of a batch at once."""
@@ -120,43 +148,73 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, where
 
 
-def matches(items: Items, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, item, similarity, last word, seeds) of every pair with a seed in common."""
+def matches(items: Items, raw: np.ndarray, off: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, ...]:
+    """(document, item, similarity, last word, seeds) of the pairs with a gram in common; those
+    that can't reach the threshold may be left out."""
     words, w = word_hashes(raw, off)
     of, place, gram = grams(words, w.first)
     number = items.hits(gram)
     at = np.flatnonzero(number >= 0)
-    number = number[at]
-    each = items.start[number + 1] - items.start[number]
-    at = np.repeat(at, each)
-    entry = np.repeat(items.start[number] - np.cumsum(each) + each, each) + np.arange(each.sum())
-    doc, item = of[at], items.of[entry]
-    size = np.diff(items.first)[item]
+    of, place, number = of[at], place[at], number[at]
+    ends = np.cumsum(items.start[number + 1] - items.start[number])
+    out, k = [], 0
+    while k < len(at):
+        # Whole documents; one with too many hits meets the items a part at a time.
+        before = ends[k - 1] if k else 0
+        to = int(np.searchsorted(ends, before + BATCH_HITS, "right"))
+        if to < len(at):
+            to = int(np.searchsorted(of, of[to]))
+        to = to if to > k else int(np.searchsorted(of, of[k], "right"))
+        parts = -(-int(ends[to - 1] - before) // BATCH_HITS)
+        bounds = np.linspace(0, len(items.ids), parts + 1).astype(np.int64)
+        for first, last in zip(bounds[:-1], bounds[1:]):
+            out.append(aligned(items, words, w.first, of[k:to], place[k:to], number[k:to], first, last, threshold))
+        k = to
+    none = np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*out))) if out else (none, none, np.zeros(0), none, none)
+
+
+def aligned(items: Items, words: np.ndarray, texts: np.ndarray, of: np.ndarray, place: np.ndarray, number: np.ndarray, low_item: int, high_item: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """What ``matches`` gives, of the items [low_item, high_item) and the grams of some documents."""
+    start = np.searchsorted(items.entry, number * len(items.ids) + low_item)
+    each = np.searchsorted(items.entry, number * len(items.ids) + high_item) - start
+    at = np.repeat(np.arange(len(of)), each)
+    entry = np.repeat(start - np.cumsum(each) + each, each) + np.arange(each.sum())
+    doc, item, rare = of[at], items.of[entry], items.rare[entry]
+    size, length = np.diff(items.first)[item], np.diff(texts)
     low = np.maximum(place[at] - items.place[entry] - PAD, 0)
-    high = np.minimum(place[at] - items.place[entry] + size + PAD, np.diff(w.first)[doc])
+    high = np.minimum(place[at] - items.place[entry] + size + PAD, length[doc])
     order = np.lexsort((low, item, doc))
-    doc, item, low, high = doc[order], item[order], low[order], high[order]
+    doc, item, low, high, rare = doc[order], item[order], low[order], high[order], rare[order]
     none = np.zeros(0, np.int64)
     if not len(doc):
         return none, none, np.zeros(0), none, none
     # Windows of one pair that overlap are one.
     pair = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))])
-    span = int(np.diff(w.first).max()) + 1
+    span = int(length.max()) + 1
     reach = np.maximum.accumulate(high + pair * span)
     new = np.ones(len(doc), bool)
     new[1:] = low[1:] + pair[1:] * span > reach[:-1]
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(doc)) - 1
-    doc, item, low, high, n_seeds = doc[start], item[start], low[start], reach[last] - pair[start] * span, last - start + 1
+    doc, item, low, high, n_seeds = doc[start], item[start], low[start], reach[last] - pair[start] * span, np.bincount(pair)[pair[start]]
+    # No alignment of a window scores more than a match for each word in common.
+    try_ = np.logical_or.reduceat(rare, start)
+    other = np.flatnonzero(~try_)
+    most = MATCH * items.shared(item[other], words, texts[doc[other]] + low[other], texts[doc[other]] + high[other])
+    try_[other] = most / (MATCH * np.diff(items.first)[item[other]]) >= threshold
+    doc, item, low, high, n_seeds = doc[try_], item[try_], low[try_], high[try_], n_seeds[try_]
+    if not len(doc):
+        return none, none, np.zeros(0), none, none
     best, end = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     order = np.lexsort((high - low, np.diff(items.first)[item]))
     k = 0
     while k < len(order):
-        cells, to = 0, k
+        to = k
         while to < len(order) and (to == k or (to - k + 1) * int(high[order[to]] - low[order[to]]) <= BATCH_CELLS // 16):
             to += 1
         part = order[k:to]
-        b, e = align([items.words[items.first[i] : items.first[i + 1]] for i in item[part]], [words[w.first[d] + x : w.first[d] + y] for d, x, y in zip(doc[part], low[part], high[part])])
+        b, e = align([items.words[items.first[i] : items.first[i + 1]] for i in item[part]], [words[texts[d] + x : texts[d] + y] for d, x, y in zip(doc[part], low[part], high[part])])
         best[part], end[part] = b, low[part] + e
         k = to
     similarity = best / (MATCH * np.diff(items.first)[item])
@@ -165,8 +223,7 @@ def matches(items: Items, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     doc, item, similarity, end, n_seeds = doc[order], item[order], similarity[order], end[order], n_seeds[order]
     head = np.ones(len(doc), bool)
     head[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-    total = np.add.reduceat(n_seeds, np.flatnonzero(head))
-    return doc[head], item[head], similarity[head], end[head], total
+    return doc[head], item[head], similarity[head], end[head], n_seeds[head]
 
 
 def chunks(benchmark: DataFrame) -> list[DataFrame]:
@@ -218,7 +275,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
             held = shared.value
             for batch in batches:
                 for piece in pieces(batch, "text"):
-                    doc, item, similarity, end, n = matches(held, *buffers(piece.column(1)))
+                    doc, item, similarity, end, n = matches(held, *buffers(piece.column(1)), threshold)
                     keep = similarity >= threshold
                     yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc[keep])), pa.array([held.ids[i] for i in item[keep]], pa.int64()), pa.array(similarity[keep]), pa.array(end[keep]), pa.array(n[keep].astype(np.int64))], ["doc_id", "item_id", "similarity", "last_word", "n_seeds"])
 
