@@ -524,6 +524,17 @@ def test_calls_that_wait(spark):
     assert order.index("cc") < order.index("bc") < order.index("ac") and order.index("bc") < order.index("br") and len(order) == 7
 
 
+def test_query_orders_calls_that_wait(spark, tmp_path):
+    call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": "reply", "arguments": "{}", **({"after": a} if a else {})} for i, a in c]})
+    done = lambda i: json.dumps({"tool_call_id": i, "content": "x"})
+    rows = [(1, 0, "assistant", call(("c", "b"), ("d", "c"), ("b", "a"))), (1, 1, "assistant", call(("a", None))), (1, 3, "tool", done("a")), (1, 2, "tool", done("c")), (1, 5, "tool", done("b")), (1, 4, "tool", done("d")),
+            (2, 0, "assistant", call(("x", "y"), ("y", "x"), ("t", "x"), ("s", "s"), ("g", "gone"))), (2, 1, "tool", done("y")), (None, 0, "assistant", call(("n", "m"), ("m", None)))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(chat.query(spark, str(tmp_path)).where("conv_id is not null").collect(), key=lambda r: (r.conv_id, r.position))
+    assert [r.call_id + r.kind[0] for r in got if r.conv_id == 1] == ["ac", "ar", "bc", "br", "cc", "cr", "dc", "dr"]
+    assert [r.turn for r in got if r.conv_id == 2] == [0] * 5 + [1] and got[-1].call_id == "y"
+
+
 # --- queries ------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

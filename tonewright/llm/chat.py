@@ -57,30 +57,34 @@ def canonical(json: Column) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """calls(conv_id, call_id, turn, after) -> conv_id, call_id, base, depth: base the turn of the first
-    call it waits for, through others; depth how many there are. Pointers double each round."""
-    now = calls.select("conv_id", "call_id", F.col("turn").alias("base"), F.when(F.col("after").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("after").alias("next"))
-    there = calls.select("conv_id", F.col("call_id").alias("next"), F.lit(True).alias("there"))
-    now = now.join(there, ["conv_id", "next"], "left").withColumns({"depth": F.when(F.col("there"), F.col("depth")).otherwise(0), "next": F.when(F.col("there"), F.col("next"))}).select("conv_id", "call_id", "base", "depth", "next")
+    """calls(conv_id, call_id, turn, done, after) -> conv_id, call_id, base, depth of those that wait for
+    others: base the last turn of the calls it waits for, through others, and of their results
+    (``done``); depth how many there are. Pointers double each round."""
+    waiting = calls.where("after is not null").select("conv_id", "call_id", "turn", "done", F.col("after").alias("next"))
+    there = calls.select("conv_id", F.col("call_id").alias("next"), F.col("done").alias("done2"))
+    now = waiting.join(there, ["conv_id", "next"]).select("conv_id", "call_id", F.greatest("turn", "done2").alias("base"), F.greatest("done", "done2").alias("done"), F.lit(1).cast("long").alias("depth"), "next")
+    # A pointer stays where it leads to a call that itself waits for one that is there.
+    there = now.select("conv_id", F.col("call_id").alias("next"), F.lit(True).alias("there"))
+    now = common.settle(now.join(there, ["conv_id", "next"], "left").select("conv_id", "call_id", "base", "done", "depth", F.when(F.col("there"), F.col("next")).alias("next")), "depths")
     # Each round resolves some call, unless all that are left wait in a circle.
     waiting, left = None, now.where("next is not null").count()
     while left and left != waiting:
         waiting = left
-        far = now.select("conv_id", F.col("call_id").alias("next"), F.col("base").alias("base2"), F.col("depth").alias("depth2"), F.col("next").alias("next2"))
-        now = common.settle(now.join(far, ["conv_id", "next"], "left").select("conv_id", "call_id", F.coalesce(F.greatest("base", "base2"), "base").alias("base"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("next2").alias("next")), "depths")
+        far = now.select("conv_id", F.col("call_id").alias("next"), F.col("done").alias("done2"), F.col("depth").alias("depth2"), F.col("next").alias("next2"))
+        now = common.settle(now.join(far, ["conv_id", "next"], "left").select("conv_id", "call_id", F.greatest("base", "done2").alias("base"), F.greatest("done", "done2").alias("done"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("next2").alias("next")), "depths")
         left = now.where("next is not null").count()
     # What still has a pointer waits in a circle.
-    return now.select("conv_id", "call_id", F.when(F.col("next").isNull(), F.col("base")).alias("base"), F.when(F.col("next").isNull(), F.col("depth")).otherwise(0).alias("depth"))
+    return now.where("next is null").select("conv_id", "call_id", "base", "depth")
 
 
-def link(messages: DataFrame, schemas: dict, waits: bool = False) -> DataFrame:
+def link(messages: DataFrame, schemas: dict, waits: bool = True) -> DataFrame:
     """messages(conv_id, turn, role, kind, call_id, name, arguments, after, text), kind ``call``,
     ``result`` or ``message`` -> conv_id, position, turn, role, kind, call_id, linked, valid, line."""
     first = messages.where("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "arguments", "after")).alias("call")).select("conv_id", "call_id", F.col("call.turn").alias("call_turn"), F.col("call.after").alias("after"))
-    answered = messages.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"))
+    answered = messages.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.max("turn").alias("result_turn"))
     known = first.join(answered, ["conv_id", "call_id"], "left")
     if waits:
-        known = known.join(depths(first.select("conv_id", "call_id", F.col("call_turn").alias("turn"), "after")), ["conv_id", "call_id"], "left").withColumns({"at": F.coalesce(F.greatest("call_turn", "base"), "call_turn"), "depth": F.coalesce("depth", F.lit(0))})
+        known = known.join(depths(known.select("conv_id", "call_id", F.col("call_turn").alias("turn"), F.greatest("call_turn", "result_turn").alias("done"), "after")), ["conv_id", "call_id"], "left").withColumns({"at": F.coalesce(F.greatest("call_turn", "base"), "call_turn"), "depth": F.coalesce("depth", F.lit(0))})
     else:
         known = known.withColumns({"at": F.col("call_turn"), "depth": F.lit(0)})
     known = known.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "at", "depth", "n_results")
