@@ -535,6 +535,16 @@ def test_query_orders_calls_that_wait(spark, tmp_path):
     assert [r.turn for r in got if r.conv_id == 2] == [0] * 5 + [1] and got[-1].call_id == "y"
 
 
+def test_turns_keep_what_they_hold(spark):
+    texts = ['{"content":"hi","tool_calls":[]}', '{"tool_calls":"x"}', '{"tool_calls":[1,2]}', '{"tool_calls":null,"content":"n"}', '{"tool_calls":{"id":"o"}}', '{"tool_calls":[null]}', '{"tool_calls":[{"id":"p"},7]}', '{"tool_calls":[[{"id":"q"}]]}', '{"tool_calls":[{"id":']
+    rows = [(1, k, "system", t) for k, t in enumerate(texts)] + [(1, 20, "assistant", '{"content":"so","tool_calls":[{"id":"a","name":"f","arguments":"{}"},{"id":"b","arguments":{"x":1}}]}'), (1, 21, "assistant", '{"content":null,"tool_calls":[{}]}')]
+    got = sorted(chat.link(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), {}).collect(), key=lambda r: r.position)
+    assert [(r.turn, r.kind, json.loads(r.line).get("content")) for r in got[: len(texts)]] == [(k, "message", t) for k, t in enumerate(texts)]
+    assert sorted((r.turn, r.kind, r.call_id) for r in got[len(texts) :] if r.kind == "call" and r.call_id) == [(20, "call", "a"), (20, "call", "b")]
+    assert [json.loads(r.line)["content"] for r in got if r.turn == 20 and r.kind == "message"] == ["so"]
+    assert [r.kind for r in got if r.turn == 21] == ["call"] and [r.position for r in got] == list(range(1, len(texts) + 5))
+
+
 # --- queries ------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

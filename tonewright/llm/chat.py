@@ -119,13 +119,16 @@ def link(messages: DataFrame, schemas: dict, waits: bool = True) -> DataFrame:
 def from_turns(conversations: DataFrame) -> DataFrame:
     """Events of a plain conversation: a user's turn calls the tool ``reply`` with its text, an
     assistant's turn is the result of the turn before it; other roles are messages. Turns whose
-    text is JSON with ``tool_calls`` or ``tool_call_id`` are read as that."""
+    text is JSON with ``tool_calls`` (a list of objects, one at least) or ``tool_call_id`` are read
+    as that; content beside calls is a message of the same turn."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
     asked = F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - 1).cast("string"))
-    told = F.when(F.col("text").startswith("{"), F.get_json_object("text", "$.tool_calls"))
+    told = F.from_json(F.when(F.col("text").startswith("{"), F.get_json_object("text", "$.tool_calls")), "array<struct<id:string,name:string,arguments:string,after:string>>")
+    kinds = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.when(F.col("text").startswith("{"), F.col("text"))), "$.tool_calls", "variant"))
+    rows = rows.withColumn("_calls", F.when(kinds.startswith("ARRAY<OBJECT<") & (F.size(told) > 0), told))
     answer = F.when(F.col("text").startswith("{"), F.get_json_object("text", "$.tool_call_id"))
-    plain = rows.where(told.isNull()).withColumn("_answer", answer).select(
+    plain = rows.where("_calls is null").withColumn("_answer", answer).select(
         "conv_id", "turn", "role",
         F.when(F.col("_answer").isNotNull(), "result").when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message").alias("kind"),
         F.coalesce("_answer", F.when(F.col("role") == "user", name).when(F.col("role") == "assistant", asked)).alias("call_id"),
@@ -133,9 +136,11 @@ def from_turns(conversations: DataFrame) -> DataFrame:
         F.when((F.col("role") == "user") & F.col("_answer").isNull(), F.to_json(F.struct("text", "turn"))).alias("arguments"),
         F.lit(None).cast("string").alias("after"), "text",
     )
-    calls = rows.where(told.isNotNull()).select("conv_id", "turn", "role", F.explode(F.from_json(told, "array<struct<id:string,name:string,arguments:string,after:string>>")).alias("c"), "text")
+    calls = rows.where("_calls is not null").select("conv_id", "turn", "role", F.explode("_calls").alias("c"), "text")
     calls = calls.select("conv_id", "turn", "role", F.lit("call").alias("kind"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"), "text")
-    return plain.unionByName(calls)
+    beside = rows.where("_calls is not null").withColumn("text", F.get_json_object("text", "$.content")).where("text is not null")
+    beside = beside.select("conv_id", "turn", "role", F.lit("message").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("call_id", "name", "arguments", "after")], "text")
+    return plain.unionByName(calls).unionByName(beside)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
