@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonewright.functions import backends
 from tonewright.operators import signal as A
 from tonewright.operators.cache import Cache
+from tonewright.plans import media_queries
 from tonewright.sources import midi, wav
 from tonewright.streaming import event_log
 
@@ -78,6 +80,14 @@ def test_lag(spark):
     assert A.audio_lag(on, env, 0.003).first().lag == pytest.approx(0.06, abs=0.004)
 
 
+def test_lag_of_late_notes(spark, sf, monkeypatch):
+    late = media_queries.notes(spark, sf).withColumn("start_s", F.col("start_s") + 60).withColumn("end_s", F.col("end_s") + 60)
+    monkeypatch.setattr(media_queries, "notes", lambda *_: late)
+    rows = media_queries.audio_lag(spark, sf).collect()
+    assert len(rows) == late.select("song_id", "track").distinct().count() > 0
+    assert all(r.lag == pytest.approx(-0.05, abs=0.002) and r.score > 0.9 for r in rows)
+
+
 def test_tokens(spark):
     got = A.decode_tokens(spark.createDataFrame([(7, [2, 11, 338, 476, 51, 336, 500, 3]), (8, [2, 11, 338, 3]), (9, [])], "clip_id long, tokens array<int>")).collect()
     assert [(r.clip_id, r.pitch, r.velocity, round(r.start_s, 2)) for r in got] == [(7, 38, 76, 0.07), (7, 36, 100, 0.47), (8, 38, 100, 0.07)]

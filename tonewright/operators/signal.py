@@ -80,7 +80,8 @@ def audio_lag(onsets: DataFrame, env: DataFrame, hop: float, window: float = LAG
     n = int(np.floor(2 * window / step + 1e-6)) + 1
     lags = onsets.select(*TRACK, "t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("x", (F.col("t") - (F.lit(-window) + F.col("i") * F.lit(step))) / F.lit(hop))
     frames = env.select(*TRACK, "frame", "v", F.lead("v").over(Window.partitionBy(*TRACK).orderBy("frame")).alias("w"))
-    at = lags.withColumn("frame", F.floor("x")).join(frames, [*TRACK, "frame"], "left")
+    # The frames of long songs are too many to broadcast.
+    at = lags.withColumn("frame", F.floor("x")).join(frames.hint("merge"), [*TRACK, "frame"], "left")
     f = F.col("x") - F.col("frame")
     value = F.when(F.col("w").isNotNull(), F.col("v") * (1 - f) + F.col("w") * f).when(f < 1e-9, F.col("v"))
     score = at.groupBy(*TRACK, "i").agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import merge as G
 from ..operators import signal as A
 from ..operators.measure import onset_dedupe
-from ..schema import TRACK
+from ..schema import LAG_WINDOW, TRACK
 from ..sources import midi, wav
 from ..sources.notes import NOTES_SQL, notes
 from .note_queries import DEDUPE
@@ -82,9 +82,14 @@ def silence_trim(spark, d):
 ENV_SQL = "env AS (SELECT song_id, track, CAST(frame AS BIGINT) AS frame, exp(-abs(((frame * 0.003::double - 0.05::double) / 0.5::double) - round_even((frame * 0.003::double - 0.05::double) / 0.5::double, 0)) * 20) AS v FROM (SELECT DISTINCT song_id, track FROM notes), (SELECT unnest(range(20000)) AS frame))"
 
 
-def envelope(spark, d):
+def strength(tracks):
+    """tracks(song_id, track, last) -> a frame for each number up to the last."""
     t = (F.col("frame") * F.lit(0.003) - F.lit(0.05)) / F.lit(0.5)
-    return notes(spark, d).select(*TRACK).distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19999).cast("long")))).withColumn("v", F.exp(-F.abs(t - F.rint(t)) * 20))
+    return tracks.select(*TRACK, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame")).withColumn("v", F.exp(-F.abs(t - F.rint(t)) * 20))
+
+
+def envelope(spark, d):
+    return strength(notes(spark, d).select(*TRACK).distinct().withColumn("last", F.lit(19999).cast("long")))
 
 
 @_q("onset_envelope", f"{ENV_SQL} SELECT song_id, track, frame, round((v - avg(v) OVER (PARTITION BY song_id, track)) / (stddev_pop(v) OVER (PARTITION BY song_id, track) + 1e-9), 5) AS v FROM env")
@@ -95,8 +100,10 @@ def onset_envelope(spark, d):
 @_q("audio_lag")
 def audio_lag(spark, d):
     """601 lags of every onset: tested against a brute-force version."""
-    regular = notes(spark, d).where("start_s < 50").withColumn("start_s", F.rint(F.col("start_s") * 2) / 2)
-    return A.audio_lag(onset_dedupe(regular), envelope(spark, d), 0.003).select(*TRACK, F.round("lag", 3).alias("lag"), F.round("score", 5).alias("score"))
+    regular = onset_dedupe(notes(spark, d).withColumn("start_s", F.rint(F.col("start_s") * 2) / 2))
+    # Every lag of the last onset is within the envelope.
+    ends = regular.groupBy(*TRACK).agg(F.ceil((F.max("t") + LAG_WINDOW) / 0.003 + 1).alias("last"))
+    return A.audio_lag(regular, strength(ends), 0.003).select(*TRACK, F.round("lag", 3).alias("lag"), F.round("score", 5).alias("score"))
 
 
 @_q("onset_f1")
