@@ -293,6 +293,23 @@ def test_languages(spark, sf, empty):
     assert {r.lang_pred for r in langid.predict(odd, {}).collect()} == {"und"}
 
 
+def test_letters_and_short_languages(spark, sf):
+    docs = common.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held = langid.sample(docs)
+    signs = ["😀 👍🏽", "€ 500 – 600", "… — ©", "١٢٣", "２０２４年".replace("年", "")]
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate([*signs, "日本", "é", "— ñ", "Ж 5"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(odd, held).collect()}
+    assert [(got[k].lang_pred, got[k].score) for k in range(len(signs))] == [("und", 0)] * len(signs)
+    assert all(got[k].lang_pred in held and got[k].score > 0 for k in range(len(signs), len(got)))
+    # A language of short rows only is learned from them, and takes no other's texts; signs teach nothing.
+    short = spark.createDataFrame([(10_000 + k, f"zzyq wvuu qxx {k}", "zq") for k in range(20)] + [(10_100 + k, "—", "signs") for k in range(20)] + [(10_200 + k, "brief", "en") for k in range(20)], docs.schema)
+    more = langid.sample(docs.unionByName(short))
+    assert more.keys() == held.keys() | {"zq"} and all(more[k] == held[k] for k in held)
+    rows = langid.predict(docs.unionByName(short), more).join(docs.unionByName(short).select("doc_id", "lang"), "doc_id").where("lang not in ('signs') and doc_id not between 10200 and 10219").collect()
+    assert all(r.lang_pred == "zq" for r in rows if r.lang == "zq")
+    assert np.mean([r.lang_pred == r.lang for r in rows if r.held_out]) > 0.95
+
+
 # --- nearest neighbours -------------------------------------------------------------------
 
 VEC = "vec_id long, embedding array<float>, label int, cell int, shard int, qid long"

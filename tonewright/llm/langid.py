@@ -2,14 +2,15 @@
 
 For every language a suffix automaton is built over labelled text. A text is cut greedily
 into the longest pieces that occur in that text; the language that needs the fewest
-pieces, each weighed by log2 of what it had to choose from, per byte, wins.
+pieces, each weighed by log2 of what it had to choose from (a byte at least), per byte, wins.
 
 The automata are transition tables, and whole batches of texts walk them side by side, so
 a step costs a few array operations however many texts there are. Texts are walked in
 segments of ``SEGMENT`` bytes; the last piece of a segment ends with it.
 
-Cases: null text and texts without a letter are ``und`` with score 0; so is everything
-where nothing is learned. Equal entropies go to the first language by name. Null doc_ids
+Cases: null text and texts without a letter of any script are ``und`` with score 0; so is
+everything where nothing is learned. Languages without a text of LEAST characters are learned
+from shorter ones. Equal entropies go to the first language by name. Null doc_ids
 are predicted and not learned from; repeated rows are predicted each; an empty table
 gives no rows; other columns are ignored.
 """
@@ -27,6 +28,7 @@ from .textkit import LOWER, SPACE, buffers, pieces
 #: The training sample: bytes of text per language and bytes taken from one document;
 #: documents per language are those of least hash.
 SAMPLE_BYTES, DOC_BYTES, SAMPLE_DOCS = 24_000, 400, 200
+LEAST = 40
 SEGMENT = 1024
 FLAG = np.int32(1 << 30)
 
@@ -94,7 +96,7 @@ class Model:
                 for c, to in edges.items():
                     table[state, self.symbol[c]] = to * self.width
             self.tables.append(table.ravel())
-            self.bits.append(np.log2(max(2, len(samples[lang]))))
+            self.bits.append(np.log2(max(256, len(samples[lang]))))
 
     def pieces_of(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pieces that each segment [begin, end) takes, per language."""
@@ -121,8 +123,11 @@ class Model:
         """(index of the language or -1, score) of each text."""
         n = len(off) - 1
         text = normal(raw)
-        letters = np.concatenate([[0], np.cumsum(text != 32)])
+        letters = np.concatenate([[0], np.cumsum((text != 32) & (text < 128))])
+        others = np.concatenate([[0], np.cumsum(text >= 128)])
         has = letters[off[1:]] > letters[off[:-1]]
+        for k in np.flatnonzero(~has & (others[off[1:]] > others[off[:-1]])):
+            has[k] = any(map(str.isalpha, raw[off[k] : off[k + 1]].tobytes().decode(errors="replace")))
         if not self.langs:
             return np.full(n, -1), np.zeros(n)
         size = np.diff(off)
@@ -141,14 +146,16 @@ class Model:
 def sample(docs: DataFrame) -> dict[str, bytes]:
     """At most SAMPLE_BYTES of text per language, from the SAMPLE_DOCS documents of least hash
     that aren't held out. The languages are those of the rows that may be learned from."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and lang is not null and length(text) >= 40").where(~common.held_out())
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and lang is not null").where((F.length("text") >= LEAST) | F.col("text").rlike(r"\p{L}")).where(~common.held_out())
     # Salted first cut: no language's rows meet in one task before they are few.
-    cut = known.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DOC_BYTES).alias("text")).withColumn("salt", F.pmod("doc_id", F.lit(64)))
-    near = Window.partitionBy("lang", "salt").orderBy("h", "doc_id", "text")
-    last = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    cut = known.select("lang", (F.length("text") < LEAST).alias("short"), F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DOC_BYTES).alias("text")).withColumn("salt", F.pmod("doc_id", F.lit(64)))
+    near = Window.partitionBy("lang", "salt").orderBy("short", "h", "doc_id", "text")
+    last = Window.partitionBy("lang").orderBy("short", "h", "doc_id", "text")
     few = cut.withColumn("r", F.row_number().over(near)).where(F.col("r") <= SAMPLE_DOCS).withColumn("r", F.row_number().over(last)).where(F.col("r") <= SAMPLE_DOCS)
     found: dict[str, bytes] = {}
-    for row in sorted(few.select("lang", "h", "doc_id", "text").collect()):
+    rows = few.select("lang", "short", "h", "doc_id", "text").collect()
+    long = {row["lang"] for row in rows if not row["short"]}
+    for row in sorted(row for row in rows if not row["short"] or row["lang"] not in long):
         raw = normal(np.frombuffer(row["text"].encode(), np.uint8)).tobytes()
         found[row["lang"]] = (found.get(row["lang"], b"") + b" " + b" ".join(raw.split()))[:SAMPLE_BYTES]
     return found
