@@ -495,6 +495,13 @@ def test_pouring(spark):
     assert {(r.p, r.k): r.budget for r in got.collect()} == want
 
 
+def test_source_weights(spark):
+    rows = [(k, "a b c d e f g h i j", "en", ("s0", "s1", "s2")[k % 3]) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = lambda **more: dict(mixing.mix(docs, share=(1, 3), epochs=1, **more).groupBy("source").agg(F.sum("take_tokens")).collect())
+    assert taken(sources=[("s0", 2), ("s2", 0)]) == {"s0": 266, "s1": 133} and taken()["s0"] == taken()["s1"] == taken()["s2"] == 133
+
+
 def test_mixture_hard(hard, empty):
     rows = mixing.mix(hard, epochs=4, share=(2, 1)).collect()
     assert all(0 < r.take_tokens <= r.n_tokens for r in rows)

@@ -67,7 +67,7 @@ def pour(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     return w.withColumn("budget", F.expr("CASE WHEN _full THEN cap ELSE CAST(weight * _rest DIV _open AS BIGINT) END")).drop("_taken", "_used", "_all", "_full", "_rest", "_open")
 
 
-def plan(leaves: DataFrame, budget: Column, epochs: int, domains, languages) -> DataFrame:
+def plan(leaves: DataFrame, budget: Column, epochs: int, domains, languages, sources=()) -> DataFrame:
     """leaves(domain, lang, source, tokens) -> the same with ``budget`` of each leaf."""
     leaves = leaves.where("tokens > 0").withColumn("cap", F.col("tokens") * epochs)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
@@ -78,17 +78,18 @@ def plan(leaves: DataFrame, budget: Column, epochs: int, domains, languages) ->
     tops = pour(tops, ["root"], "domain").select("domain", "budget")
     langs = pour(langs.join(tops, "domain").withColumn("weight", weight_of(F.col("lang"), languages)), ["domain"], "lang").select("domain", "lang", "budget")
     langs = langs.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), "budget")
-    found = leaves.join(langs, F.expr("domain = _d AND lang <=> _l")).drop("_d", "_l").withColumn("weight", F.lit(1).cast("long"))
+    found = leaves.join(langs, F.expr("domain = _d AND lang <=> _l")).drop("_d", "_l").withColumn("weight", weight_of(F.col("source"), sources))
     return pour(found, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "budget")
 
 
-def mix(docs: DataFrame, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain=default_domain, domains=DOMAINS, languages=LANGUAGES) -> DataFrame:
-    """doc_id, epoch, n_tokens, take_tokens, domain, lang, source, row_hash of all that is chosen."""
+def mix(docs: DataFrame, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain=default_domain, domains=DOMAINS, languages=LANGUAGES, sources=()) -> DataFrame:
+    """doc_id, epoch, n_tokens, take_tokens, domain, lang, source, row_hash of all that is chosen.
+    Domains, languages and sources that have no weight given weigh 1."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), n_tokens(F.col("text").cast("string")).alias("n_tokens"), F.xxhash64("text").alias("row_hash")).withColumn("domain", domain(F.col("source")))
     rows = common.settle(rows.where("n_tokens > 0"), "lengths")
     leaf = ["domain", "lang", "source"]
     leaves = rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"))
-    budgets = common.settle(plan(leaves, F.col("tokens") * share[0] / share[1], epochs, domains, languages), "budgets")
+    budgets = common.settle(plan(leaves, F.col("tokens") * share[0] / share[1], epochs, domains, languages, sources), "budgets")
 
     budgets = budgets.select(F.col("domain").alias("_d"), F.col("lang").alias("_l"), F.col("source").alias("_s"), "tokens", "budget")
     asked = rows.join(budgets, F.expr("domain = _d AND lang <=> _l AND source <=> _s")).drop("_d", "_l", "_s")
