@@ -85,11 +85,13 @@ class Crf:
             out[going] = back[going + 1, out[going + 1]]
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 300, rate: float = 0.1, l2: float = 1e-3) -> "Crf":
-        """Maximum conditional likelihood, mean over chains, by Adam on the whole sample."""
+    def fit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 300, rate: float = 0.1, l2: float = 1e-3, warm: bool = False) -> "Crf":
+        """Maximum conditional likelihood, mean over chains, by Adam on the whole sample; warm: from the
+        weights at hand."""
         if not len(x):
             return self
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+        if not warm:
+            self.mean, self.scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6
         z, c = self.standard(x), Chains(first)
         n_chains = max(1, int((c.length > 0).sum()))
         starts = c.begin[: c.active[0]]
@@ -99,7 +101,7 @@ class Crf:
         gold_t = np.zeros((2, 2))
         np.add.at(gold_t, (y[inner - 1], y[inner]), 1)
         gold_s = np.bincount(y[starts], minlength=2)
-        theta = np.zeros(len(self.w) + 7)
+        theta = np.concatenate([self.w, [self.b], self.t.ravel(), self.s]) if warm else np.zeros(len(self.w) + 7)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for r in range(1, rounds + 1):
             self.w, self.b, self.t, self.s = theta[:-7], theta[-7], theta[-6:-2].reshape(2, 2), theta[-2:]

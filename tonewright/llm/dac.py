@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import Hasher, buffers, pieces
+from .textkit import buffers, pieces, slices
 
 MAGIC = b"DACS"
 STEP = 512  # bits between two entries of a rank directory
@@ -112,7 +112,8 @@ class PieceEncoder:
     pre-tokens in a row. Pre-tokens of the byte-level pattern (contractions; letters, numbers
     or other signs with a space before them; white space) are found in all texts at once; a
     table of their 64-bit hashes leads to their ids, and only those not met before go to the
-    library. Texts with the string of an added token, or with code points whose class changed
+    library. A pre-token found is held against the remembered one: the bytes up to eight, else
+    their size and a second hash; one that only shares a hash goes to the library too. Texts with the string of an added token, or with code points whose class changed
     between versions of Unicode, go to the library whole.
     """
 
@@ -139,6 +140,7 @@ class PieceEncoder:
         self.bits, self.n = 16, 0
         self.slots, self.where = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.ids, self.first = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), np.zeros(1 << 14, np.int64)
+        self.checks, self.sizes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each remembered key, or -1. Keys are never 0."""
@@ -160,21 +162,27 @@ class PieceEncoder:
             lost = self.slots[at] != keys
             keys, numbers, at = keys[lost], numbers[lost], (at[lost] + np.uint64(1)) & mask
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Ids of new pre-tokens from the library's model, which reads bytes as printable signs."""
-        merge, ids, size = self.tokenizer.model.tokenize, [], []
+    def _ids(self, word: bytes) -> list[int]:
+        """Ids of a pre-token from the library's model, which reads bytes as printable signs."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.signs))]
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
+        """Remember new pre-tokens with their ids."""
+        ids, size = [], []
         for word in words:
-            got = [t.id for t in merge(word.decode("latin-1").translate(self.signs))]
+            got = self._ids(word)
             ids += got
             size.append(len(got))
         begin, end = int(self.first[self.n]), int(self.first[self.n]) + len(ids)
         if end > len(self.ids):
             self.ids.resize(end * 5 // 4, refcheck=False)
         if self.n + len(words) + 1 > len(self.first):
-            self.first.resize((self.n + len(words) + 1) * 5 // 4, refcheck=False)
+            for held in (self.first, self.checks, self.sizes):
+                held.resize((self.n + len(words) + 1) * 5 // 4, refcheck=False)
         self.ids[begin:end] = ids
         numbers = np.arange(self.n, self.n + len(words), dtype=np.int32)
         self.first[self.n + 1 : self.n + 1 + len(words)] = begin + np.cumsum(size)
+        self.checks[self.n : self.n + len(words)], self.sizes[self.n : self.n + len(words)] = checks, [len(w) for w in words]
         self.n += len(words)
         if 10 * self.n > 6 * len(self.slots):
             old = self.slots != 0
@@ -233,7 +241,8 @@ class PieceEncoder:
         edge[off] = True
         start = at[self.pretokens(points, edge[:-1][at])]
         end = np.append(start[1:], len(raw))
-        keys = Hasher(raw).of(start, end) | np.uint64(1)
+        keys, checks = slices(raw, start, end)
+        keys |= np.uint64(1)
         number = self._find(keys)
         if (number < 0).any():
             new, which = np.unique(keys[number < 0], return_index=True)
@@ -244,12 +253,18 @@ class PieceEncoder:
             else:
                 spans = np.flatnonzero(number < 0)[which]
             view = raw.tobytes()
-            self._learn(new, [view[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist())])
+            self._learn(new, checks[spans], [view[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist())])
             number = self._find(keys)
         begin = self.first[number]
         size = self.first[number + 1] - begin
+        wrong = np.flatnonzero((self.checks[number] != checks) | (self.sizes[number] != end - start))
+        if len(wrong):  # other pre-tokens of the same hash
+            told = [self._ids(raw[start[k] : end[k]].tobytes()) for k in wrong.tolist()]
+            size[wrong] = [len(ids) for ids in told]
         place = np.concatenate([[0], np.cumsum(size)])
-        out = self.ids[np.repeat(begin - place[:-1], size) + np.arange(place[-1])].astype(np.uint32)
+        out = self.ids[np.minimum(np.repeat(begin - place[:-1], size) + np.arange(place[-1]), len(self.ids) - 1)].astype(np.uint32)
+        for k, ids in zip(wrong.tolist(), told if len(wrong) else []):
+            out[place[k] : place[k + 1]] = ids
         edges = place[np.searchsorted(start, off)]
         count = np.diff(edges)
         odd = set(np.searchsorted(off, at[self.classes[points] == 4], "right") - 1) | {k for k in range(n) if any(raw[off[k] : off[k + 1]].tobytes().find(a) >= 0 for a in self.added)} if (self.classes[points] == 4).any() or any(raw.tobytes().find(a) >= 0 for a in self.added) else set()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import LOWER, Hasher, Words, buffers, pieces
+from .textkit import LOWER, Words, buffers, pieces, runs, slices
 
 GRAM, PAD = 4, 12
 RARE, COMMON = 1000, 4  # rare: in at most one document of so many
@@ -44,17 +44,15 @@ _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Words]:
     """Hashes of the words without signs at their ends; words of signs alone keep them."""
     w = Words(raw, off)
-    begin, end = w.start.copy(), w.end.copy()
-    for _ in range(8):
-        if not len(begin):
-            break
-        cut = (end - begin > 1) & _SIGN[raw[end - 1]]
-        head = (end - begin > 1) & _SIGN[raw[begin]] & ~cut
-        if not (cut.any() or head.any()):
-            break
-        end -= cut
-        begin += head
-    return Hasher(LOWER[raw]).of(begin, end), w
+    solid = np.flatnonzero(~_SIGN[raw])
+    if len(w.start) and len(solid):
+        low, high = np.searchsorted(solid, w.start), np.searchsorted(solid, w.end)
+        some = high > low
+        begin = np.where(some, solid[np.minimum(low, len(solid) - 1)], w.start)
+        end = np.where(some, solid[np.maximum(high - 1, 0)] + 1, w.end)
+    else:
+        begin, end = w.start, w.end
+    return slices(LOWER[raw], begin, end)[0], w
 
 
 def grams(words: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +62,7 @@ def grams(words: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarr
     of = np.repeat(np.arange(len(size)), count)
     place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     start = first[:-1][of] + place
-    return of, place, Hasher(words).of(start, start + np.minimum(size, n)[of])
+    return of, place, runs(words, start, np.minimum(size, n)[of], n)
 
 
 class Items:

@@ -1,13 +1,20 @@
 """Quality of documents from a linear-chain CRF that labels every line good or bad.
 
 A line's features describe its characters and words, and those of the lines before and
-after it. In training every line carries its document's label. A document's score is the
+after it. Labels are of documents; those of their lines are latent. The field is first fitted with
+every line under its document's label. Then lines that it is sure are of the other kind (SURE)
+take that label, as long as most of the document's bytes keep the document's, and it is fitted
+again: so it learns where good and bad lines change within a document. A document's score is the
 mean of its lines' forward-backward marginals, weighted by their bytes.
 
+Learned from are whole texts of at most SAMPLE documents of each label; long ones in chains of
+CHAIN lines.
+
 Cases: a null, empty or blank text has no lines and gets the share of good documents
-among those learned from; so does every document where there is nothing to learn from.
-A null doc_id is scored and counts as not held out; repeated rows are scored each; an
-empty table gives no rows; other columns are ignored.
+among those learned from; so does every document where there is nothing to learn from. A very
+long text is scored whole, in memory of its own size. Ids whose labels contradict each other
+are not learned from. A null doc_id is scored and counts as not held out; repeated rows are
+scored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +26,11 @@ from pyspark.sql import functions as F
 
 from . import common
 from .crf import Chains, Crf
-from .textkit import SPACE, Hasher, Words, buffers, mix, pieces, unique_per_doc
+from .textkit import Words, buffers, mix, pieces, unique_per_doc
 
-#: Documents of each label to learn from, and lines of each that are used. Bounds of the training sample only.
-SAMPLE, SAMPLE_LINES = 1500, 100
+#: Documents of each label to learn from: a bound of the training sample only.
+SAMPLE, CHAIN = 1500, 100
+SURE = 0.95
 THRESHOLD = 0.3
 
 _KIND = np.zeros(256, np.uint8)
@@ -72,7 +80,9 @@ class Lines:
         pair[1:] = mix(h[1:] * np.uint64(3) + h[:-1])
         lines_of_pairs = np.flatnonzero(np.concatenate([[False], at[1:] == at[:-1]]))
         pairs = np.bincount(unique_per_doc(at[lines_of_pairs], pair[lines_of_pairs])[0], minlength=n)
-        text = Hasher(raw).of(self.start, self.end)
+        # A line's words by place: lines of equal words are equal.
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        text = np.add.reduceat(mix(h + (np.arange(len(h)) - begins[at]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begins)
         order = np.lexsort((text, self.doc))
         again = np.zeros(n, bool)
         again[order[1:]] = (text[order[1:]] == text[order[:-1]]) & (self.doc[order[1:]] == self.doc[order[:-1]])
@@ -113,12 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Crf, float]:
     least hash), and the share of good documents among all labels that may be learned from."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~common.held_out())
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.5
     model = Crf(3 * N_OWN + 2)
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
-    sample = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, quality int").dropDuplicates(["doc_id"])
+    sample = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, quality int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
 
     def lines(batches):
@@ -127,17 +138,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Crf, float]:
                 found = Lines(*buffers(piece.column(1)))
                 x, ids, y = found.features(), piece.column(0).to_pylist(), piece.column(2).to_pylist()
                 for k in range(piece.num_rows):
-                    a, b = found.first[k], min(found.first[k + 1], found.first[k] + SAMPLE_LINES)
+                    a, b = found.first[k], found.first[k + 1]
                     if b > a:
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[k]], pa.int64()), "y": pa.array([y[k]], pa.int32()), "x": pa.array([x[a:b].tobytes()], pa.binary())})
+                        size = (found.end - found.start)[a:b].astype("<i4")
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[k]], pa.int64()), "y": pa.array([y[k]], pa.int32()), "x": pa.array([x[a:b].tobytes()], pa.binary()), "size": pa.array([size.tobytes()], pa.binary())})
 
-    rows = sorted(texts.mapInArrow(common.tidy(lines), "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows = sorted(texts.mapInArrow(common.tidy(lines), "doc_id long, y int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
     if len({r["y"] for r in rows}) < 2:
         return model, prior
-    x = [np.frombuffer(r["x"], np.float32).reshape(-1, 3 * N_OWN + 2) for r in rows]
-    first = np.concatenate([[0], np.cumsum([len(m) for m in x])])
-    y = np.repeat([r["y"] for r in rows], np.diff(first))
-    return model.fit(np.concatenate(x).astype(float), y, first), prior
+    size = [np.frombuffer(r["size"], "<i4") for r in rows]
+    n = [len(s) for s in size]
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, 3 * N_OWN + 2)
+    size, doc, y = np.concatenate(size), np.repeat(np.arange(len(rows)), n), np.repeat([r["y"] for r in rows], n)
+    ends = np.cumsum(n)
+    # Chains begin with a document and after each CHAIN lines of it.
+    first = np.append(np.flatnonzero((np.arange(len(doc)) - (ends - n)[doc]) % CHAIN == 0), len(doc))
+    model.fit(x, y, first)
+    return model.fit(x, latent(model.marginals(x, Chains(first)), y, size, doc), first, rounds=100, warm=True), prior
+
+
+def latent(p: np.ndarray, y: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Labels of lines, from the field's marginals p and the document's label y: lines that are surely
+    of the other kind take that, surest first, while they have less than half of the document's bytes."""
+    wrong = np.where(y == 1, 1 - p, p)
+    order = np.lexsort((-wrong, doc))
+    total = np.bincount(doc, weights=size)
+    before = np.cumsum(size[order]) - np.repeat(np.cumsum(total) - total, np.bincount(doc))
+    flips = order[(wrong[order] > SURE) & (2 * before < total[doc[order]])]
+    out = y.copy()
+    out[flips] = 1 - y[flips]
+    return out
 
 
 def score(docs: DataFrame, model: Crf, prior: float) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import settle
-from .textkit import Hasher, buffers, mix, pieces
+from .textkit import buffers, mix, pieces, windows
 
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1  # grams of a window
@@ -44,9 +44,7 @@ def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    hashed = Hasher(raw)
-    at = np.arange(n - GRAM + 1)
-    gram = hashed.of(at, at + GRAM)
+    gram, at = windows(raw, GRAM), np.arange(n - GRAM + 1)
     bits = int(n).bit_length()
     least = (gram >> np.uint64(bits) << np.uint64(bits)) | at.astype(np.uint64)
     width = 1
@@ -66,7 +64,9 @@ def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     a = np.concatenate([[0], cut])
     b = np.concatenate([cut, [len(window)]]) - 1
     p, first, last, of = suffix[a], window[a], window[b], doc[a]
-    run = mix(hashed.of(first, last + LENGTH) + (p - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # The first and last window overlap, so together they are the run.
+    whole = windows(raw, LENGTH)
+    run = mix(mix(whole[first] + (p - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + whole[last] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return of, p - off[of], first - off[of], last - off[of], gram[p], run
 
 
@@ -92,12 +92,12 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def repeated(hashed: Hasher, begin: np.ndarray, windows: np.ndarray, lead: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, window of the row) for every window that another row of its group has at the same distance."""
-    row = np.repeat(np.arange(len(begin)), windows)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = begin[row] + within
-    key = mix(hashed.of(start, start + LENGTH) + (lead[row] - within).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mix(group[row].astype(np.uint64))
+def repeated(hashed: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window of the row) for every window that another row of its group has at the same distance.
+    hashed: of every window of LENGTH bytes."""
+    row = np.repeat(np.arange(len(begin)), count)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    key = mix(hashed[begin[row] + within] + (lead[row] - within).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mix(group[row].astype(np.uint64))
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     twice = np.zeros(len(key), bool)
@@ -234,18 +234,18 @@ def find(docs: DataFrame) -> DataFrame:
         lead = np.frombuffer(b"".join(table.column(0).to_pylist()), ">u8").reshape(-1, GRAM // 8)
         order, group = multikey_order(lead)
         raw, off = buffers(table.column(4))
-        hashed = Hasher(raw)
+        hashed = windows(raw, LENGTH)
         p, da, db = place >> 16, place >> 8 & 255, place & 255
-        windows = da - db + 1
+        count = da - db + 1
         # Whole groups at a time, about CHUNK_WINDOWS windows.
-        total = np.cumsum(windows[order])
+        total = np.cumsum(count[order])
         ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
         at = 0
         while at < len(order):
             fit = ends[np.searchsorted(total[ends - 1], (total[at - 1] if at else 0) + CHUNK_WINDOWS, "right") - 1 :]
             to = int(fit[0]) if fit[0] > at else int(ends[np.searchsorted(ends, at, "right")])
             mine = order[at:to]
-            row, first, last = spans(*repeated(hashed, off[:-1][mine], windows[mine], da[mine], group[at:to]))
+            row, first, last = spans(*repeated(hashed, off[:-1][mine], count[mine], da[mine], group[at:to]))
             r = mine[row]
             if len(r):
                 yield pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), pa.array(p[r] - da[r] + first), pa.array(p[r] - da[r] + last)], ["h1", "h2", "first", "last"])
@@ -264,8 +264,8 @@ def find(docs: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 start = off[:-1][row] + within
-                w1 = Hasher(raw).of(start, start + LENGTH)
-                w2 = mix(Hasher(raw).of(start, start + LENGTH // 2) ^ np.uint64(0x5851F42D4C957F2D))
+                half = windows(raw, LENGTH // 2)
+                w1, w2 = windows(raw, LENGTH)[start], mix(half[start] * np.uint64(0x5851F42D4C957F2D) + half[start + LENGTH // 2])
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(h1[row]), pa.array(h2[row]), pa.array((p - da)[row] + within)], ["w1", "w2", "h1", "h2", "first"])
 
         each = settle(suffixes.join(hot, "gram", "left_semi").select("h1", "h2", "place", "part").mapInArrow(common.tidy(windows_of), f"w1 long, w2 long, {KEY}, first long").distinct(), "windows")

@@ -2,8 +2,9 @@
 
 An Arrow string column is one run of UTF-8 bytes with offsets. Everything here works
 on that run at once with numpy, so a batch of documents costs a handful of array
-passes instead of Python work for every word. Hashes are polynomial prefix hashes
-modulo 2**64: the hash of any slice takes two look-ups.
+passes instead of Python work for every word. Every eight bytes go through a finaliser
+before they are joined to others, so no regularity of the text cancels out, as it does in
+polynomial hashes modulo 2**64 (Thue-Morse words).
 """
 
 from __future__ import annotations
@@ -12,11 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
-_powers = np.ones(1, U64)
-_inverse = np.ones(1, U64)
+_STEP, _SIZE, _OTHER = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0x5851F42D4C957F2D)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 #: Bytes at which words end: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -33,31 +31,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, len(_powers) * 5 // 4)
-        full = np.full(n, _BASE, U64)
-        full[0] = 1
-        _powers = np.multiply.accumulate(full)
-        full = np.full(n, _BASE_INV, U64)
-        full[0] = 1
-        _inverse = np.multiply.accumulate(full)
-
-
-class Hasher:
-    """Prefix hashes of a run of symbols; ``of(start, end)`` hashes slices, vectorised."""
-
-    def __init__(self, symbols: np.ndarray):
-        """symbols: uint8 bytes, or uint64 values that are hashes already."""
-        n = len(symbols)
-        _grow(n + 1)
-        values = _TABLE[symbols] if symbols.dtype == np.uint8 else symbols | U64(1)
-        self.prefix = np.zeros(n + 1, U64)
-        np.cumsum(values * _powers[:n], out=self.prefix[1:])
-
-    def of(self, start, end) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * _inverse[start])
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; past the end come zeros."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, check) of each slice [start, end). The check is the slice itself where it has
+    eight bytes at most, else a second hash; equal hash, check and size: equal slices."""
+    if not len(start):
+        return np.zeros(0, U64), np.zeros(0, U64)
+    size, eight = end - start, eights(raw)
+    check = eight[start] & _MASK[np.minimum(size, 8)]
+    total = mix(check + _STEP)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) // 8  # further chunks of eight bytes
+        first = np.cumsum(n) - n
+        row = np.repeat(long, n)
+        step = np.arange(len(row)) - np.repeat(first, n) + 1
+        chunk = eight[start[row] + 8 * step] & _MASK[np.minimum(size[row] - 8 * step, 8)]
+        place = (step + 1).astype(U64)
+        total[long] += np.add.reduceat(mix(chunk + place * _STEP), first)
+        check[long] = mix(check[long] + _OTHER) + np.add.reduceat(mix((chunk ^ _OTHER) - place * _SIZE), first)
+    return mix(total + size.astype(U64) * _SIZE), check
+
+
+def windows(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` (eight at least) bytes, by doubling: len(raw) - size + 1 values."""
+    n, part = len(raw) - size + 1, 1 << 15  # parts that stay in the cache
+    if n <= 0:
+        return np.zeros(0, U64)
+    if n > part:
+        return np.concatenate([windows(raw[k : min(k + part, n) + size - 1], size) for k in range(0, n, part)])
+    now, width = mix(eights(raw)[: len(raw) - 7] + _STEP), 8
+    while width < size:
+        step = min(width, size - width)  # the halves overlap where the size isn't a power of two
+        now = mix(now[:-step] * _SIZE + now[step:])
+        width += step
+    return now
+
+
+def runs(hashed: np.ndarray, start: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
+    """Hash of each run of ``length`` (``most`` at most) values that are hashes already."""
+    out = length.astype(U64) * _SIZE
+    full = bool(len(length)) and int(length.min()) == most
+    for k in range(most):
+        if full:
+            out = out * _STEP + hashed[start + k]
+        else:
+            at = np.flatnonzero(length > k)
+            out[at] = out[at] * _STEP + hashed[start[at] + k]
+    return mix(out)
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -107,21 +133,19 @@ class Words:
         self.off = off
 
     def hashes(self) -> np.ndarray:
-        return Hasher(self.raw).of(self.start, self.end)
+        return slices(self.raw, self.start, self.end)[0]
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document index, hash) of every run of ``size`` words; a document with fewer words
     gives its whole sequence, one without words nothing. Repeats are not removed."""
     hashed = words.hashes()
-    runs = Hasher(hashed)
     n_words = np.diff(words.first)
     count = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
     doc = np.repeat(np.arange(len(n_words)), count)
     within = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     start = words.first[:-1][doc] + within
-    length = np.minimum(n_words, size)[doc]
-    return doc, runs.of(start, start + length) + length.astype(U64)
+    return doc, runs(hashed, start, np.minimum(n_words, size)[doc], size)
 
 
 def unique_per_doc(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
