@@ -252,33 +252,97 @@ def test_quality_held_out(spark, empty, hard):
     assert quality.score(empty, *quality.fit(empty, labels)).count() == 0
 
 
+# --- structured words ----------------------------------------------------------------------
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def opposites(n):
+    word = thue_morse(n)
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [128, 1024, 2048, 8192])
+def test_structured_words_differ(spark, n):
+    """Thue-Morse words and their complements, equal under polynomial hashes modulo 2**64."""
+    import public_tokenizers
+
+    x, y = opposites(n)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, size = dac.PieceEncoder(path)(pa.array([x, y, f"{x} {y}"]))
+    whole = [dac.PieceEncoder(path).tokenizer.encode(t, add_special_tokens=False).ids for t in (x, y, f"{x} {y}")]
+    assert ids.tolist() == sum(whole, []) and size.tolist() == list(map(len, whole))
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x), (4, f"{y} {x}"), (5, f"{x} {y}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    items = spark.createDataFrame([(7, f"one two {x} three four")], "item_id long, text string")
+    held = spark.createDataFrame([(1, f"one two {x} three four"), (2, f"q r {y} s t")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.find(held, items).collect()] == [1]
+    lines = quality.Lines(*quality.buffers(pa.array([f"{x}\n{y}", f"{x}\n{x}"])))
+    assert lines.own()[:, 12].tolist() == [0, 0, 0, 1]
+    listed = texts(docs)
+    assert Counter(tuple(r) for r in suffixes.dedup(docs).drop("spans").collect()) == Counter((i, *w) for (i, _), w in zip(listed, removed([t for _, t in listed])))
+
+
+def test_remembered_pre_tokens_are_held_against_the_bytes(monkeypatch):
+    """Where all hashes of a length are one, the ids are still the library's."""
+    import public_tokenizers
+
+    monkeypatch.setattr(dac, "slices", lambda raw, a, b: ((b - a).astype(np.uint64) << np.uint64(1), SLICES(raw, a, b)[1]))
+    encoder = dac.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = ["the cat and the dog sat on a mat", "extraordinary circumstances, internationalisation of electroencephalographs", "don't we'll"]
+    for _ in range(2):
+        ids, _ = encoder(pa.array(rows))
+        assert ids.tolist() == sum((encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in rows), [])
+
+
+SLICES = dac.slices
+
+
 # --- language ---------------------------------------------------------------------------
 
 def longest_pieces(known, text):
-    n = k = 0
-    while k < len(text):
-        j = 0
-        while k + j < len(text) and text[k : k + j + 1] in known:
-            j += 1
-        k += max(j, 1)
-        n += 1
+    """Greedy parse by search. A sign that isn't known begins a piece, which what follows continues."""
+    n, piece = 1 if text else 0, b""
+    for k in range(len(text)):
+        c = text[k : k + 1]
+        if piece + c in known:
+            piece += c
+        else:
+            n, piece = n + 1, c if c in known else b""
     return n
 
 
-def test_automata_parse_like_a_search():
+@pytest.mark.parametrize("segment", [langid.SEGMENT, 1, 3, 16])
+def test_automata_parse_like_a_search(monkeypatch, segment):
+    """Whole texts in one go, over the seams of segments and inside code points of several bytes."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
     rng = random.Random(0)
-    known = {"x": "".join(rng.choices("abc ", k=300)), "y": "".join(rng.choices("abd ", k=300))}
-    model = langid.Model({k: v.encode() for k, v in known.items()})
-    for _ in range(60):
-        text = "".join(rng.choices("abcde ", k=rng.randint(1, 50)))
-        raw = np.frombuffer(text.encode(), np.uint8)
-        took = model.pieces_of(model.symbol[langid.normal(raw)], np.array([0]), np.array([len(raw)]))[0]
-        # A piece ends where no edge leads on; an unknown symbol is a piece, and what follows starts anew.
-        for k, lang in enumerate(model.langs):
-            want = longest_pieces(known[lang], text)
-            assert abs(int(took[k]) - want) <= sum(c not in known[lang] for c in text) + 1
-            if all(c in known[lang] for c in text):
-                assert took[k] == want
+    known = {"x": "".join(rng.choices("abcé ж", k=300)).encode(), "y": "".join(rng.choices("abdü日 ", k=300)).encode()}
+    model = langid.Model(known)
+    texts_ = ["".join(rng.choices("abcdeé ж日", k=rng.choice([0, 1, 5, 50, 3000]))).encode() for _ in range(60)] + [known["x"] * 20, b"abab" * 900, known["y"][:200]]
+    raw, off = np.frombuffer(b"".join(texts_), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts_])])
+    took = model.pieces_of(raw, off)
+    for k, lang in enumerate(model.langs):
+        assert took[:, k].tolist() == [longest_pieces(known[lang], t) for t in texts_]
+
+
+def test_language_sample_takes_whole_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, sentence(rng, 40), "en") for k in range(300)] + [(1000 + k, sentence(rng, 9000), "xx") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tidied = {lang: {" ".join(langid.normal(np.frombuffer(t.encode(), np.uint8)).tobytes().decode().split()) for i, t, x in rows if x == lang} for lang in ("en", "xx")}
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 6000)
+    held = langid.sample(docs)
+    assert 4000 < len(held["en"]) <= 6100
+    rest = held["en"].decode()
+    for t in sorted(tidied["en"], key=len, reverse=True):
+        rest = rest.replace(" " + t, "", 1)
+    assert not rest  # nothing but whole texts
+    assert held["xx"].decode().strip() in tidied["xx"]  # none fits: one, whole
 
 
 def test_languages(spark, sf, empty):
@@ -301,10 +365,10 @@ def test_letters_and_short_languages(spark, sf):
     got = {r.doc_id: r for r in langid.predict(odd, held).collect()}
     assert [(got[k].lang_pred, got[k].score) for k in range(len(signs))] == [("und", 0)] * len(signs)
     assert all(got[k].lang_pred in held and got[k].score > 0 for k in range(len(signs), len(got)))
-    # A language of short rows only is learned from them, and takes no other's texts; signs teach nothing.
+    # A language of short rows only is learned from them, and leaves the others as they are; signs teach nothing.
     short = spark.createDataFrame([(10_000 + k, f"zzyq wvuu qxx {k}", "zq") for k in range(20)] + [(10_100 + k, "—", "signs") for k in range(20)] + [(10_200 + k, "brief", "en") for k in range(20)], docs.schema)
     more = langid.sample(docs.unionByName(short))
-    assert more.keys() == held.keys() | {"zq"} and all(more[k] == held[k] for k in held)
+    assert more.keys() == held.keys() | {"zq"} and all(more[k] == held[k] for k in held if k != "en")
     rows = langid.predict(docs.unionByName(short), more).join(docs.unionByName(short).select("doc_id", "lang"), "doc_id").where("lang not in ('signs') and doc_id not between 10200 and 10219").collect()
     assert all(r.lang_pred == "zq" for r in rows if r.lang == "zq")
     assert np.mean([r.lang_pred == r.lang for r in rows if r.held_out]) > 0.95
@@ -489,7 +553,12 @@ def test_pouring(spark):
     for p in range(60):
         kids = {k: (rng.randint(1, 9), rng.randint(1, 100)) for k in range(rng.randint(1, 7))}
         budget = min(rng.randint(0, 300), sum(c for _, c in kids.values()))
-        want |= {(p, k): v for k, v in poured(budget, kids).items()}
+        shares = poured(budget, kids)
+        rest = sorted((hashlib.md5(str(k).encode()).hexdigest(), k) for k, v in shares.items() if v < kids[k][1])
+        for _, k in rest[: budget - sum(shares.values())]:
+            shares[k] += 1
+        assert sum(shares.values()) == budget
+        want |= {(p, k): v for k, v in shares.items()}
         rows += [(p, k, w, c, budget) for k, (w, c) in kids.items()]
     got = mixing.pour(spark.createDataFrame(rows, "p long, k long, weight long, cap long, budget long"), ["p"], "k")
     assert {(r.p, r.k): r.budget for r in got.collect()} == want
@@ -499,7 +568,30 @@ def test_source_weights(spark):
     rows = [(k, "a b c d e f g h i j", "en", ("s0", "s1", "s2")[k % 3]) for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     taken = lambda **more: dict(mixing.mix(docs, share=(1, 3), epochs=1, **more).groupBy("source").agg(F.sum("take_tokens")).collect())
-    assert taken(sources=[("s0", 2), ("s2", 0)]) == {"s0": 266, "s1": 133} and taken()["s0"] == taken()["s1"] == taken()["s2"] == 133
+    def near(got, want):  # what rounding leaves is given to some of them
+        return sum(got.values()) == 400 and got.keys() == want.keys() and all(0 <= got[s] - n <= 1 for s, n in want.items())
+
+    assert near(taken(sources=[("s0", 2), ("s2", 0)]), {"s0": 266, "s1": 133}) and near(taken(), {"s0": 133, "s1": 133, "s2": 133})
+
+
+def test_unusable_children_leave_their_share(spark):
+    """A language of weight 0 holds half of web: all that web can't give goes to code."""
+    rows = [(k, "a b c d e f g h i j", ("en", "xx", "en")[k % 3], ("w0", "w0", "c9")[k % 3]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, share=(2, 3), epochs=1, domains=[("web", 3), ("code", 1)], languages=[("en", 1), ("xx", 0)])
+    assert dict(got.groupBy("domain").agg(F.sum("take_tokens")).collect()) == {"web": 1000, "code": 1000}
+    assert got.where("lang = 'xx'").count() == 0
+
+
+@pytest.mark.parametrize("bucket", [mixing.BUCKET, 40])
+def test_bucket_size_changes_nothing(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rng = random.Random(2)
+    rows = [(k if k % 9 else None, sentence(rng, rng.randint(1, 12)), "en", "s0") for k in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), epochs=2, share=(3, 2)).collect()
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    assert sum(r.take_tokens for r in got) == total * 3 // 2
+    assert sum(r.take_tokens < r.n_tokens for r in got) <= 1
 
 
 def test_mixture_hard(hard, empty):
@@ -509,7 +601,7 @@ def test_mixture_hard(hard, empty):
     for r in rows:
         by[r.epoch] += r.take_tokens
     total = hard.select(F.sum(mixing.n_tokens(F.col("text"))).alias("n")).first().n
-    assert total * 2 - 60 <= sum(by.values()) <= total * 2 and all(v <= total for v in by.values())
+    assert sum(by.values()) == total * 2 and all(v <= total for v in by.values())
     assert mixing.mix(empty).count() == 0
     kept = mixing.select_texts(hard, share=(1, 2))
     assert kept.columns == hard.columns
