@@ -8,17 +8,22 @@ The field is trained on labelled pages and the best labels are decoded by Viterb
 Labelled pages are made by a seeded generator of page layouts (menus, notices, adverts,
 sidebars, forms, comments, footers around and inside articles) and, from the table itself, a
 bounded sample of pages that mark their article; there the blocks inside it are the main text.
+The sample is of rows of any length; tasks send on its features, not its pages.
 
 Cases: null, empty and blank html and pages without a good block give the empty text;
-comments, scripts, styles and tags that never close end with the page; unknown tags are
-inline; repeated rows are extracted each; an empty table gives no rows; other columns are
-ignored. Nothing is capped.
+comments, scripts, styles and tags that never close end with the page; a quote opens a value
+only after an equals sign, so one inside a bare value is part of it; unknown tags are
+inline, and what stands in math, objects, canvases and noscript is text like other; very long pages
+are parsed whole in one task, in time proportional to their length; pages of equal html give equal
+texts, and of labels that fit equally well the block is left out; repeated rows are extracted each;
+an empty table gives no rows; other columns are ignored. Nothing is capped.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -53,7 +58,13 @@ _TAG_BIT = {t: 1 << k for k, t in enumerate(TAGS)}
 N_BITS = len(TAGS) + len(HINTS)
 N_TEXT = 9
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|template|svg|iframe|textarea)(?=[\s/>])(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)"
+    r"|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|style|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.I)
 
 
@@ -73,6 +84,8 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
     """(text, bits of its ancestors, share of its characters in links) of each leaf block."""
     out: list[tuple[str, int, float]] = []
     stack: list[tuple[str, int]] = []
+    holders: list[int] = []  # places of block elements in the stack
+    opened: Counter[str] = Counter()
     bits, held, linked, in_link = 0, [], 0, 0
 
     def close() -> None:
@@ -87,16 +100,17 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         nonlocal bits, in_link
         for name, _ in stack[to:]:
             in_link -= name == "a"
+            opened[name] -= 1
         del stack[to:]
+        while holders and holders[-1] >= to:
+            holders.pop()
         bits = stack[-1][1] if stack else 0
 
     for found in _TOKEN.finditer(page):
         shut, tag, attributes = found.group(2, 3, 4)
-        if tag is None:
-            shut, tag, attributes = found.group(5, 6, 7)
         if tag is None:
             text = found.group()
-            if found.group(1) is None and (text[0] != "<" or text == "<"):
+            if text[0] != "<" or text == "<":
                 held.append(text)
                 linked += in_link and len(text.strip())
             continue
@@ -104,10 +118,11 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         if tag in BLOCKS:
             close()
         if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop(k)
             continue
         if tag in VOID:
             held.append(" ")
@@ -115,15 +130,12 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         if tag in BLOCKS:
             # A paragraph ends where a block begins; items and cells end their like.
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name == "p" or name in ends:
-                    pop(k)
-                    break
-                if name in BLOCKS:
-                    break
+            if holders and stack[holders[-1]][0] in ("p", *ends):
+                pop(holders[-1])
+            holders.append(len(stack))
         stack.append((tag, bits | _bits(tag, attributes)))
         bits = stack[-1][1]
+        opened[tag] += 1
         in_link += tag == "a"
     close()
     return out
@@ -154,13 +166,13 @@ def features(pages: list[list[tuple[str, int, float]]]) -> tuple[np.ndarray, np.
     width = N_BITS + N_TEXT
     x = np.zeros((n, 3 * width + 2), np.float32)
     x[:, :width] = own
+    some = np.diff(first) > 0
+    x[first[:-1][some], -2], x[first[1:][some] - 1, -1] = 1, 1
     if n > 1:
         page = np.repeat(np.arange(len(pages)), np.diff(first))
         joined = page[1:] == page[:-1]
         x[1:, width : 2 * width][joined] = own[:-1][joined]
         x[:-1, 2 * width : 3 * width][joined] = own[1:][joined]
-        x[1:, -2], x[:-1, -1] = ~joined, ~joined
-        x[0, -2], x[-1, -1] = 1, 1
     return x, first
 
 
@@ -248,16 +260,25 @@ def made_pages(n: int, seed: int = 11) -> list[tuple[list[tuple[str, int, float]
 
 def fit(pages: DataFrame) -> Crf:
     """The field, from made pages and a bounded sample of pages that mark their article."""
-    sample = made_pages(MADE_PAGES)
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where("length(html) <= 200000")
-    rows = common.hash_sample(known, SAMPLE_PAGES, pages.count(), "page_id", "html").collect()
-    for row in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"])):
-        found = blocks(row["html"])
-        y = marked(found)
-        if y is not None:
-            sample.append((found, y))
-    x, first = features([p for p, _ in sample])
-    return Crf(x.shape[1]).fit(x.astype(float), np.array([v for _, y in sample for v in y], np.int64), first, rounds=120)
+    made = made_pages(MADE_PAGES)
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where("html is not null")
+    picked = common.hash_sample(known, SAMPLE_PAGES, pages.count(), "page_id", "html")
+
+    def learned(batches):
+        for batch in batches:
+            for k, page in enumerate(batch.column(1).to_pylist()):
+                found = blocks(page)
+                y = marked(found)
+                if y is not None:
+                    x = features([found])[0]
+                    yield pa.RecordBatch.from_pydict({"page_id": batch.column(0)[k : k + 1], "x": pa.array([x.tobytes()], pa.binary()), "y": pa.array([bytes(y)], pa.binary())})
+
+    rows = sorted(picked.mapInArrow(common.tidy(learned), "page_id long, x binary, y binary").collect(), key=lambda r: (r["page_id"] is None, r["page_id"], r["x"], r["y"]))
+    x, first = features([p for p, _ in made])
+    x = np.concatenate([x, *(np.frombuffer(r["x"], np.float32).reshape(-1, x.shape[1]) for r in rows)])
+    y = np.array([v for _, labels in made for v in labels] + [v for r in rows for v in r["y"]], np.int64)
+    first = np.concatenate([first, first[-1] + np.cumsum([len(r["y"]) for r in rows], dtype=np.int64)])
+    return Crf(x.shape[1]).fit(x, y, first, rounds=120)
 
 
 def extract(pages: DataFrame, model: Crf) -> DataFrame:
