@@ -584,6 +584,14 @@ def test_contaminated(spark, hard, empty):
     assert decontaminate.find(empty, bench).count() == 0 and decontaminate.find(table, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_signs(spark):
+    items = spark.createDataFrame([(1, "Two words"), (2, "alone"), (3, "three small words"), (4, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here are two words inside"), (2, "two words"), (3, "...Alone!!!!!!!!!!!!!!!!"), (4, "words two"), (5, "a three small words"), (6, "one two three............ four five six"), (7, "-" * 300), (8, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.n_seeds) for r in decontaminate.find(docs, items).collect()}
+    assert {k for k, (s, _) in got.items() if s == 1} == {(1, 1), (2, 1), (3, 2), (5, 3), (6, 4)}
+    assert got[1, 1][1] == got[2, 1][1] == 1
+
+
 def test_benchmark_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 300)
     rng = random.Random(1)

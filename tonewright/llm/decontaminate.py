@@ -11,16 +11,19 @@ little, so paraphrased copies are found as well as exact ones.
 Grams that aren't rare are seeds too. The words around them are aligned unless too few are the
 item's for any alignment to reach the threshold; so rarity steers the cost and never the result.
 
-The items are held by every worker in chunks of at most CHUNK_BYTES; a benchmark beyond that
-takes further passes. Nothing is shuffled but counts.
+All items' grams are counted in one scan of the documents. The items are held by every worker in
+chunks of at most CHUNK_BYTES, one scan each; nothing is shuffled but counts.
 
-Cases: null or blank texts and items match nothing; items shorter than a gram have their whole
-text as seed; equal items are each reported, as are repeated documents; null ids are kept; an
-empty table gives no rows; other columns are ignored.
+Cases: null or blank texts and items match nothing; an item shorter than a gram is its own seed and
+is found wherever a document holds it; equal items are each reported, as are repeated documents; of
+places that align equally well the first is reported; very long texts are scanned whole, one at a
+time; null ids are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +36,7 @@ GRAM, PAD = 4, 12
 RARE, COMMON = 1000, 4  # rare: in at most one document of so many
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
 BATCH_CELLS = 4_000_000  # of alignment tables at once
 BATCH_HITS = 1_000_000  # places of items that documents' grams point at, at once
 
@@ -65,6 +68,30 @@ def grams(words: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarr
     return of, place, runs(words, start, np.minimum(size, n)[of], n)
 
 
+def grams_of(words: np.ndarray, first: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of documents, and their runs of as many words as short items have; by document."""
+    found = [grams(words, first)]
+    size = np.diff(first)
+    for n in short:
+        count = np.where(size > n, size - n + 1, 0)  # a document of n words is its own gram already
+        of = np.repeat(np.arange(len(size)), count)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        found.append((of, place, runs(words, first[:-1][of] + place, np.full(len(of), n), n)))
+    if len(found) == 1:
+        return found[0]
+    of, place, gram = map(np.concatenate, zip(*found))
+    order = np.argsort(of, kind="stable")
+    return of[order], place[order], gram[order]
+
+
+def find_in(known: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted array, or -1."""
+    if not len(known):
+        return np.full(len(gram), -1)
+    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+    return np.where(known[at] == gram, at, -1)
+
+
 class Items:
     """Test items as word hashes, with their grams sorted for look-up."""
 
@@ -73,18 +100,13 @@ class Items:
         self.words, w = word_hashes(*buffers(pa.array(texts, pa.large_string())))
         self.first = w.first
         self.of, self.place, gram = grams(self.words, self.first)
+        size = np.diff(self.first)
+        self.short = np.unique(size[(size > 0) & (size < GRAM)]).tolist()
         order = np.argsort(gram, kind="stable")
-        self.of, self.place, self.gram = self.of[order], self.place[order], gram[order]
+        self.of, self.place, self.gram = self.of[order].astype(np.int32), self.place[order].astype(np.int32), gram[order]
         self.known, self.start = np.unique(self.gram, return_index=True)
         self.start = np.append(self.start, len(self.gram))
 
-    def hits(self, gram: np.ndarray) -> np.ndarray:
-        """Number of each known gram among ``known``, or -1."""
-        if not len(self.known):
-            return np.full(len(gram), -1)
-        at = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
-        return np.where(self.known[at] == gram, at, -1)
-
     def seeds(self, df: np.ndarray, n_docs: int) -> "Items":
         """Keep the grams that occur and mark those that are rare, for the corpus or for their item."""
         count = np.repeat(df, np.diff(self.start))
@@ -150,8 +172,8 @@ def matches(items: Items, raw: np.ndarray, off: np.ndarray, threshold: float = T
     """(document, item, similarity, last word, seeds) of the pairs with a gram in common; those
     that can't reach the threshold may be left out."""
     words, w = word_hashes(raw, off)
-    of, place, gram = grams(words, w.first)
-    number = items.hits(gram)
+    of, place, gram = grams_of(words, w.first, items.short)
+    number = find_in(items.known, gram)
     at = np.flatnonzero(number >= 0)
     of, place, number = of[at], place[at], number[at]
     ends = np.cumsum(items.start[number + 1] - items.start[number])
@@ -232,20 +254,27 @@ def chunks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-def seeded(docs: DataFrame, items: DataFrame) -> Items:
-    """The items of one chunk with their seeds, counted over all documents."""
+def held_items(items: DataFrame) -> Items:
     rows = sorted(items.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"] or ""))
-    held = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    return Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+def counted(docs: DataFrame, parts: list[DataFrame]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(grams of all items, number of documents with each, number of documents), in one scan."""
+    known, short = np.zeros(0, np.uint64), set()
+    for items in parts:
+        held = held_items(items)
+        known, short = np.union1d(known, held.known), short | set(held.short)
+    shared = docs.sparkSession.sparkContext.broadcast((known, sorted(short)))
 
     def count(batches):
-        known, n = shared.value, 0
-        df = np.zeros(len(known.known), np.int64)
+        (known, short), n = shared.value, 0
+        df = np.zeros(len(known), np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words, w = word_hashes(*buffers(piece.column(0)))
-                of, _, gram = grams(words, w.first)
-                number = known.hits(gram)
+                of, _, gram = grams_of(words, w.first, short)
+                number = find_in(known, gram)
                 at = np.flatnonzero(number >= 0)
                 pair = np.unique(of[at] * len(df) + number[at]) if len(at) else at
                 df += np.bincount(pair % max(len(df), 1), minlength=len(df))
@@ -253,21 +282,27 @@ def seeded(docs: DataFrame, items: DataFrame) -> Items:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], n))], ["gram", "n"])
 
-    df, n_docs = np.zeros(len(held.known), np.int64), 0
-    # One row for each gram of the chunk at most.
-    for row in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        if row["gram"] < 0:
-            n_docs = row["n"]
-        else:
-            df[row["gram"]] = row["n"]
-    return held.seeds(df, n_docs)
+    # One row for each gram of the items at most.
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = np.asarray(found.column(0).combine_chunks()), np.asarray(found.column(1).combine_chunks())
+    df = np.zeros(len(known), np.int64)
+    df[gram[gram >= 0]] = n[gram >= 0]
+    return known, df, int(n[gram < 0].sum())
+
+
+def seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast items with their seeds, one chunk after the other."""
+    parts = chunks(benchmark)
+    known, df, n_docs = counted(docs, parts)
+    for items in parts:
+        held = held_items(items)
+        yield docs.sparkSession.sparkContext.broadcast(held.seeds(df[find_in(known, held.known)], n_docs))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, last_word, n_seeds of every pair at or above the threshold."""
     out = None
-    for items in chunks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(seeded(docs, items))
+    for shared in seeded(docs, benchmark):
 
         def scan(batches, shared=shared):
             held = shared.value
@@ -287,10 +322,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a match, with all their columns."""
+    """The documents without a match, with all their columns. Rows without id or text and repeated rows
+    are judged each by their text; an empty table of documents or items leaves all as it is."""
     clean = docs
-    for items in chunks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(seeded(docs, items))
+    for k, shared in enumerate(seeded(docs, benchmark)):
 
         def keep(batches, shared=shared):
             for batch in batches:
@@ -300,5 +335,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     bad[doc[similarity >= THRESHOLD]] = True
                     yield piece.filter(pa.array(~bad))
 
-        clean = clean.mapInArrow(common.tidy(keep), docs.schema)
+        # Between chunks the rest is written, so that a task holds one of them.
+        clean = (common.settle(clean, "clean") if k else clean).mapInArrow(common.tidy(keep), docs.schema)
     return clean
