@@ -8,11 +8,12 @@ answered by brute force, and the walk is made as long as TARGET of their neighbo
 
 Equal vectors are one entry of the index with their RESULTS + 1 smallest ids, which is all
 that a list of RESULTS with ties to smaller ids can hold. Cells are dealt to shards of
-bounded size; a cell larger than a shard is dealt over several.
+bounded size; a cell larger than a shard is dealt over several. The queries that visit a shard
+meet it in batches of bounded size, so no task holds more than one shard and one batch.
 
 Cases: vectors null, zero, of another length than most, or with null or non-finite
 components, and rows without id, take no part; where there are fewer candidates all are
-returned; a table without queries or vectors gives no rows; other columns are ignored.
+returned; rows that repeat an id are candidates each; ties go to the smaller id; a table without queries or vectors gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import settle
 EVERY, RESULTS = 20, 20
 TARGET, PROBES = 0.95, 128  # recall to reach on so many queries, those of least hash
 SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on, those of least hash
-SHARD = 8_192  # vectors in a shard
+SHARD, BATCH = 8_192, 8_192  # vectors in a shard, and queries (about) that meet it in one task
 ROUNDS = 12
 
 
@@ -182,9 +183,10 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(lists, pa.list_(pa.int32()))], ["shard", "qid", "embedding", "cells"])
 
     asked = rows.where(F.col("vec_id") % every == 0)
-    distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("qid"))
-    left = distinct.select("qid", "embedding").mapInArrow(common.tidy(probes), "shard int, qid long, embedding array<double>, cells array<int>")
-    right = placed.mapInArrow(common.tidy(dealt), "shard int, cell int, embedding array<double>, ids array<long>")
+    distinct = settle(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")), "queries")
+    batches = -(-distinct.count() // BATCH) or 1
+    left = distinct.select("qid", "embedding").mapInArrow(common.tidy(probes), "shard int, qid long, embedding array<double>, cells array<int>").withColumn("batch", F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int"))
+    right = placed.mapInArrow(common.tidy(dealt), "shard int, cell int, embedding array<double>, ids array<long>").withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
 
     def rank(queries: pa.Table, held: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -210,7 +212,7 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
                 out[2].extend(-s for s, _ in found)
         return pa.table({"qid": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(rank, "qid long, vec_id long, score double")
+    found = left.groupBy("shard", "batch").cogroup(right.groupBy("shard", "batch")).applyInArrow(rank, "qid long, vec_id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= results + 1).select("qid", F.col("vec_id").alias("found"), "score")
     every_query = asked.join(distinct, "embedding").select("vec_id", "qid")

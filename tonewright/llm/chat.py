@@ -1,8 +1,9 @@
 """Chat formatting with tool calls linked to their results. DataFrame operations only.
 
-Results are hash-joined to calls by identifier. Messages are put in topological order: a
-call stands at its own turn or, if it waits for another call, after that one's result; a
-result stands after its call whatever its turn. Arguments are checked against the schema of
+Results are hash-joined to calls by identifier, the calls being counted first: beyond HASHED for
+each shuffle partition a hash table might not fit, and Spark sorts both sides instead. Messages are
+put in topological order: a call stands at its own turn or, if it waits for another call, after
+that one's result; a result stands after its call whatever its turn. Arguments are checked against the schema of
 the tool by name: required and known fields, types, bounds. Every message becomes one line of
 canonical JSON: sorted keys at every depth, no spaces. What isn't a call is valid.
 
@@ -11,7 +12,7 @@ is not linked; of calls that share an identifier the first (by turn, then argume
 to; arguments that aren't a JSON object, and tools without a schema, are invalid; calls that
 wait in a circle, or for a call that isn't there, stand at their own turn; null text is null
 in the line; rows without a conversation or turn are kept, those without a turn first; repeated
-rows are kept; an empty table gives no rows; other columns are ignored.
+rows are kept, and so are very long texts, whole; what ties in turn and kind goes by its line; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from . import common
 
 #: Tools of the query: field, type, required, least and most (length of strings, value of numbers).
 SCHEMAS = {"reply": [("text", "string", True, 1, 1000), ("turn", "integer", True, 0, None)]}
+HASHED = 1_000_000  # calls of a shuffle partition that are joined by hash
 TURNS = 64  # of a conversation in one range of its order
 _KIND = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN"}
 
@@ -82,13 +84,16 @@ def link(messages: DataFrame, schemas: dict, waits: bool = True) -> DataFrame:
     ``result`` or ``message`` -> conv_id, position, turn, role, kind, call_id, linked, valid, line."""
     first = messages.where("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "arguments", "after")).alias("call")).select("conv_id", "call_id", F.col("call.turn").alias("call_turn"), F.col("call.after").alias("after"))
     answered = messages.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.max("turn").alias("result_turn"))
-    known = first.join(answered, ["conv_id", "call_id"], "left")
+    first = common.settle(first, "calls")
+    fits = first.count() <= HASHED * int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = lambda df: df.hint("shuffle_hash") if fits else df
+    known = hashed(first).join(answered, ["conv_id", "call_id"], "left")
     if waits:
         known = known.join(depths(known.select("conv_id", "call_id", F.col("call_turn").alias("turn"), F.greatest("call_turn", "result_turn").alias("done"), "after")), ["conv_id", "call_id"], "left").withColumns({"at": F.coalesce(F.greatest("call_turn", "base"), "call_turn"), "depth": F.coalesce("depth", F.lit(0))})
     else:
         known = known.withColumns({"at": F.col("call_turn"), "depth": F.lit(0)})
     known = known.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "at", "depth", "n_results")
-    joined = messages.join(known, F.expr("conv_id <=> _c AND call_id = _i"), "left")
+    joined = messages.join(hashed(known), F.expr("conv_id <=> _c AND call_id = _i"), "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     linked = F.when(is_call, F.coalesce(F.col("n_results") > 0, F.lit(False))).when(is_result, F.col("at").isNotNull()).otherwise(F.lit(False))
     told = joined.withColumns({

@@ -19,17 +19,21 @@ BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Where the session keeps Spark's default of rows in an Arrow batch, it is
+    set to BATCH_ROWS for the session: it can't be set for one query."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); where none is set,
-    as in tests, a temporary one."""
+    """The folder that all executors share (``spark.checkpoint.dir``); where none is set and
+    driver and executors are one process, as in tests, a temporary one."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="tonewright-")
         context.setCheckpointDir(found)
         found = context.getCheckpointDir()
