@@ -148,6 +148,42 @@ def test_jaccard_near_copies(spark, monkeypatch, block):
     assert Counter(map(tuple, got)) == classes(rows)
 
 
+@pytest.mark.parametrize("share,slab,pairs", [(jaccard.SHARE, jaccard.SLAB, jaccard.PAIRS), (10_000, 7, 50), (1, 3, 20)])
+def test_links_equal_all_pairs(monkeypatch, share, slab, pairs):
+    """Heavy and light lists give the overlaps of all pairs, wherever the boundary lies."""
+    for name, value in (("SHARE", share), ("SLAB", slab), ("PAIRS", pairs)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = int(rng.integers(1, 80))
+        base = rng.integers(0, 1 << 60, 40).tolist()
+        sets = [set(base[: rng.integers(1, 40)]) | set(rng.integers(0, 200, rng.integers(0, 5)).tolist()) for _ in range(n)]
+        size, copies, side = np.array([len(s) for s in sets]), rng.integers(1, 4, n), rng.integers(0, 2, n)
+        doc, value = np.repeat(np.arange(n), size), np.array([v for s in sets for v in sorted(s)], np.uint64)
+        for across in (False, True):
+            near = [[b for b in range(n) if a != b and (not across or side[a] != side[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])] for a in range(n)]
+            root = [-1] * n
+            for x in range(n):
+                todo = [x] if root[x] < 0 else []
+                while todo:
+                    y = todo.pop()
+                    if root[y] < 0:
+                        root[y] = x
+                        todo += near[y]
+            got = jaccard.links(doc, value, size, copies, side, across)
+            assert got[0].tolist() == root and got[1].tolist() == [copies[y].sum() for y in near]
+
+
+def test_members_by_broadcast_or_shuffle(spark, monkeypatch):
+    rng = random.Random(16)
+    base = sentence(rng, 60).split()
+    rows = [(k, " ".join(w if rng.random() > 0.01 else "new" for w in base)) for k in range(40)] + [(100 + k, sentence(rng, 20)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, jaccard.join(docs).collect()))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, jaccard.join(docs).collect())) == want
+
+
 def test_jaccard_keys_meet(spark):
     """Every two sets that link share a key, light or heavy, whatever the boundary."""
     rng = np.random.default_rng(2)

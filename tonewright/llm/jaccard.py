@@ -9,13 +9,15 @@ scanning inverted lists. The boundary is the size with the least expected cost.
 2. Every distinct set posts its keys. Two sets that may link share a key, and all sets
    between them by size on that key's list are chained, so one edge for each neighbour
    suffices: copies never make all pairs.
-3. Chained sets form candidate clusters. Each cluster's texts meet once; inverted lists give
-   the overlaps of all its sets, hence exact links. Large clusters are dealt in
-   pairs of blocks.
+3. Chained sets form candidate clusters. Each cluster's texts meet once, and inverted lists give
+   the overlaps of all its sets, hence exact links: short ("light") lists give their pairs, long
+   ("heavy") ones are columns of a matrix whose product with itself counts for all sets at once.
+   Large clusters are dealt in pairs of blocks, so no task holds more than two.
 4. Links make classes; equal sets were one set all along.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer words than
-a shingle has make one; equal texts, repeated rows and ties are one set and share a class;
+a shingle has make one; equal texts, repeated rows and ties are one set and share a class; a
+very long text is cut into shingles whole, in one task and memory of some thirty times its size;
 null doc_ids take part but are never a class id; an empty table gives no rows; other columns
 are ignored.
 """
@@ -34,9 +36,11 @@ from .textkit import Words, buffers, mix, pieces, shingles, unique_per_doc
 
 SIZE, PART, WHOLE = 5, 80, 100  # shingle words; 100 * intersection >= 80 * union
 SLOT_BITS, SLAB_BITS = 22, 16  # the sketch: 2**22 counters, moved in slabs of 2**16
+SHARE, SLAB = 11, 2048  # lists of more than one in SHARE of the sets of a comparison are heavy; columns of a product
+PAIRS = 1_000_000  # pairs of light lists that are counted at once
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
 BROADCAST_ROWS = 500_000  # members (about 60 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle
-BLOCK, BLOCK_SHINGLES = 1024, 1_500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
+BLOCK, BLOCK_SHINGLES = 2048, 1_500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
 
 
 def sets_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +127,9 @@ def spare(size):
 
 def boundary(hist: np.ndarray) -> int:
     """The largest size of a light set: light sets post pairs of their prefix, heavy ones post and
-    scan; sets a heavy one may reach below the boundary do both."""
+    scan; sets a heavy one may reach below the boundary do both. A set of 10 posts more pairs than
+    it would postings twice over, so the least cost lies well below 40, and sizes above 255 (the last
+    entry of the table) are heavy at any boundary."""
     a = np.arange(256)
     p = spare(a) + 1
     light, heavy = hist * p * (p + 1) // 2, hist * p * (1 + SCAN_COST)
@@ -151,51 +157,53 @@ def keys_of(doc: np.ndarray, value: np.ndarray, size: np.ndarray, level: np.ndar
     return np.concatenate(out_doc), np.concatenate(out_key)
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
 def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """By scanning inverted lists: (root of each set in the forest of links, number of documents
-    it links with). across: only sets of different sides are held against each other."""
+    """(least set that each set reaches by links, number of documents it links with). across: only
+    sets of different sides are held against each other."""
     n = len(size)
     _, term = np.unique(value, return_inverse=True)
     order = np.argsort(term, kind="stable")
-    posted, start = doc[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
-    first = np.concatenate([[0], np.cumsum(size)])
-    forest, found = Forest(n), np.zeros(n, np.int64)
+    posted, length = doc[order], np.bincount(term, minlength=1)
+    first = np.cumsum(length) - length
+    both = np.zeros((n, n), np.float32)
+    heavy = np.flatnonzero(length > max(16, n // SHARE))
+    for k in range(0, len(heavy), SLAB):
+        lists = heavy[k : k + SLAB]
+        column = np.repeat(np.arange(len(lists)), length[lists])
+        row = posted[np.arange(len(column)) + np.repeat(first[lists] - np.cumsum(length[lists]) + length[lists], length[lists])]
+        holds = np.zeros((n, len(lists)), np.float32)
+        holds[row, column] = 1
+        both += holds @ holds.T
+    # Light lists: each posting with all after it in its list.
+    light = (length > 1) & (length <= max(16, n // SHARE))
+    after = np.where(light[term[order]], (first + length)[term[order]] - np.arange(len(order)) - 1, 0)
+    ends, k = np.cumsum(after), 0
+    flat = both.reshape(-1)
+    while k < len(order) and ends[-1] > (ends[k - 1] if k else 0):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        x = np.repeat(np.arange(k, to), after[k:to])
+        y = x + np.arange(len(x)) - np.repeat(np.cumsum(after[k:to]) - after[k:to], after[k:to]) + 1
+        pair, times = np.unique(posted[x] * n + posted[y], return_counts=True)
+        flat[pair] += times
+        flat[pair % n * n + pair // n] += times
+        k = to
+    linked, found = np.zeros((n, n), bool), np.zeros(n, np.int64)
+    for k in range(0, n, 256):  # a few rows at a time: the matrix alone is in memory whole
+        rows = slice(k, k + 256)
+        linked[rows] = WHOLE * both[rows] >= PART * (size[rows, None] + size[None, :] - both[rows])
+        if across:
+            linked[rows] &= side[rows, None] != side[None, :]
+    np.fill_diagonal(linked, False)
+    for k in range(0, n, 256):
+        found[k : k + 256] = linked[k : k + 256] @ copies
+    root = np.full(n, -1)
     for x in range(n):
-        t = term[first[x] : first[x + 1]]
-        a, length = start[t], start[t + 1] - start[t]
-        keep = length > 1
-        a, length = a[keep], length[keep]
-        if not len(a):
-            continue
-        at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
-        seen = posted[at]
-        seen = seen[(seen > x) & (side[seen] != side[x])] if across else seen[seen > x]
-        if not len(seen):
-            continue
-        y, both = np.unique(seen, return_counts=True)
-        y = y[WHOLE * both >= PART * (size[x] + size[y] - both)]
-        for k in y.tolist():
-            forest.join(x, k)
-        found[x] += copies[y].sum()
-        found[y] += copies[x]
-    return np.array([forest.root(x) for x in range(n)], np.int64), found
+        if root[x] < 0:
+            root[x], edge = x, np.array([x])
+            while len(edge):
+                edge = np.flatnonzero(linked[edge].any(0) & (root < 0))
+                root[edge] = x
+    return root, found
 
 
 def join(docs: DataFrame) -> DataFrame:
