@@ -825,6 +825,82 @@ def test_pipeline(spark, sf):
     assert ids.count() == mixed.count() == pipeline.run(spark, sf).count()
 
 
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontamination", "mixing", "token_ids"])
+def test_stages_on_hard_and_empty_tables(spark, sf, hard, empty, name):
+    import corpus_pipeline as pipeline
+
+    stage = dict(pipeline.STAGES)[name]
+    got, nothing = stage(spark, hard, sf), stage(spark, empty, sf)
+    assert nothing.count() == 0 and nothing.columns == got.columns
+    rows, held = got.collect(), hard.collect()
+    if name == "token_ids":
+        assert len(rows) == len(held) and sum(r.n_tokens == 1 for r in rows) == sum(not r.text for r in held)
+        return
+    assert got.schema == hard.schema
+    same_row = lambda r: tuple(r)[:2] + tuple(r)[2:4] + tuple(r)[5:]  # noqa: E731  n_chars is counted anew where a text is cut
+    if name == "mixing":
+        assert all(any(r.text == h.text or (h.text or "").startswith(r.text) for h in held) for r in rows) and all((r.text or "").split() for r in rows)
+    else:
+        assert not Counter(map(same_row, rows)) - Counter(map(same_row, held))
+        assert sum(not (r.text or "").split() for r in rows) in (0, sum(not (r.text or "").split() for r in held))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All stages after quality on a small table, against plain Python for each decision."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(31)
+    item = sentence(rng, 20)
+    rows, base = [], sentence(rng, 80).split()
+    for k in range(60):
+        text = sentence(rng, rng.randint(10, 60))
+        if k % 10 == 3:
+            text = " ".join(w if i != k else "x" for i, w in enumerate(base))
+        if k % 10 == 7:
+            text = text + " " + item
+        rows.append((k, text, ("en", "de")[k % 2], f"src{k % 4}", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(pipeline.STAGES)
+    one = common.settle(stage["near_duplicates"](spark, docs, str(tmp_path)), "t")
+    assert {r.doc_id for r in one.collect()} == {least for _, _, least in classes([r[:2] for r in rows])}
+    clean = common.settle(stage["decontamination"](spark, one, str(tmp_path)), "t")
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect() if item not in r.text}
+    mixed = common.settle(stage["mixing"](spark, clean, str(tmp_path)), "t")
+    total = sum(len(r.text.split()) for r in clean.collect())
+    kept = {r.doc_id: r for r in mixed.collect()}
+    assert sum(len(r.text.split()) for r in kept.values()) == total * 4 // 5
+    whole = {r.doc_id: r for r in clean.collect()}
+    assert all(whole[k].text.startswith(r.text) and r.n_chars == len(r.text) for k, r in kept.items())
+    cut = Counter((r.source, r.lang) for k, r in kept.items() if r.text != whole[k].text)
+    assert all(n == 1 for n in cut.values())  # a prefix of each source: one document at most is cut
+    import public_tokenizers
+
+    encoder = dac.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer
+    start = 0
+    for r in sorted(stage["token_ids"](spark, mixed, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = [*encoder.encode(kept[r.doc_id].text, add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_very_long_texts(spark):
+    """Some MB in one row, through the operators that read texts."""
+    rng = random.Random(41)
+    part = [sentence(rng, 30) for _ in range(200)]
+    long = "\n".join(rng.choice(part) + sentence(rng, 12) for _ in range(8000))  # 2 MB
+    docs = spark.createDataFrame([(1, long, "en", "s1"), (2, long + " end", "en", "s1"), (3, part[0], "en", "s2"), (4, "x" * 1_000_000, "en", "s2")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id for r in decontaminate.find(docs, spark.createDataFrame([(9, part[0])], "item_id long, text string")).collect()} == {1, 2, 3}
+    got = {r.doc_id: r for r in suffixes.dedup(docs).collect()}
+    assert got[1].n_removed == got[1].n_bytes and got[4].n_removed == 1_000_000 and got[3].n_bytes == len(part[0])
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, {"en": b" the and of", "de": b" der und die"}).collect()}.keys() == {1, 2, 3, 4}
+    labels = spark.createDataFrame([(1, 1), (3, 1), (4, 0)], "doc_id long, quality int")
+    assert quality.score(docs, *quality.fit(docs, labels)).count() == 4
+    assert sum(r.take_tokens for r in mixing.mix(docs, epochs=1, share=(1, 2)).collect()) == sum(len(t.split()) for t in (long, long + " end", part[0], "x")) // 2
+    assert {r.doc_id: r.n_tokens for r in dac.write_and_read(docs).collect()}[1] > 300_000
+
+
 def test_sieve(spark):
     keys = spark.range(0, 3000, 3).withColumnRenamed("id", "key")
     sifted = common.sift(spark.range(6000).withColumnRenamed("id", "key"), "key", common.sieve(keys, "key"), "f").where("f")
