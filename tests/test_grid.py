@@ -29,12 +29,35 @@ def test_fit_and_search_find_the_tempo(spark):
     assert G.fit(on).first().bpm == pytest.approx(114, rel=1e-3)
 
 
-def test_fit_equals_a_plain_loop():
-    t = steps(100, 80, 2)
+def test_fit_equals_a_plain_loop(spark):
+    """Sums over stretches of time give every candidate's r and phase, before time 0 as well."""
+    t = np.concatenate([steps(100, 300, 2), [-3.7, -0.2, 0.0, 16.0, 32.0]])
     sixes = 60 / 101 / 4 * np.linspace(0.97, 1.03, 6001)
-    r = [abs(np.exp(2j * np.pi * t / s).mean()) for s in sixes]
-    assert G.best_period(t, 101.0)[2] == pytest.approx(max(r), abs=1e-12)
-    assert G.best_period(t, 101.0)[0] == pytest.approx(15 / sixes[int(np.argmax(r))])
+    z = np.array([np.exp(2j * np.pi * t / s).mean() for s in sixes])
+    known = G.moments(onsets(spark, t), 101 * 0.96 / 15, 101 * 1.04 / 15).toPandas()
+    r, phase = G.Spectrum(known).of(sixes)
+    assert np.abs(r * np.exp(1j * phase) - z).max() < 1e-9
+    got = G.fit(onsets(spark, t), 101.0).first()
+    k = int(np.argmax(abs(z)))
+    assert got.r == pytest.approx(abs(z[k]), abs=1e-9) and got.bpm == pytest.approx(15 / sixes[k], rel=1e-9) and got.n == len(t)
+    tempi = np.exp(np.arange(np.log(60), np.log(200), 1e-4))
+    free = G.Spectrum(G.moments(onsets(spark, t), 59 / 15, 202 / 15).toPandas()).of(15 / tempi)[0]
+    assert np.abs(free - [abs(np.exp(2j * np.pi * t * b / 15).mean()) for b in tempi]).max() < 1e-9
+
+
+@pytest.mark.parametrize("beats", [[0.0, 1.0, 2.0, 5.0, 6.0], [0.0, 0.5, 3.0, 3.5, 4.0, 9.0, 9.5], [1.0, 1.4], [0.0, 1.0, 2.5, 4.0, 5.5, 7.1, 7.2, 11.0]])
+def test_gaps_are_filled_at_the_local_pulse(beats):
+    """By the rule itself: while the next pulse is more than one and a half off, another is put out."""
+    want = beats[:1]
+    for b in beats[1:]:
+        near = np.diff(want[-8:])
+        p = float(np.median(near)) if len(near) > 1 else b - want[-1]
+        want += [want[-1] + p * (k + 1) for k in range(100) if b - (want[-1] + p * k) > 1.5 * p and p > 0]
+        want.append(b)
+    inner = P.extended(np.array(beats), beats[0], beats[-1])
+    assert inner == pytest.approx(want)
+    wide = P.extended(np.array(beats), beats[0] - 3, beats[-1] + 3)
+    assert wide[0] <= beats[0] - 3 < wide[1] and wide[-2] < beats[-1] + 3 <= wide[-1] and len(wide) >= len(want)
 
 
 def test_too_few_onsets_fit_nothing(spark):

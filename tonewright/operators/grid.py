@@ -6,6 +6,8 @@ columns, so many songs are fitted in one job.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,54 +33,91 @@ def alignment(onsets: DataFrame, six: float | Column, keys: list[str] = TRACK) -
     return a.select(*keys, "n", F.hypot("_x", "_y").alias("r"), F.atan2("_y", "_x").alias("phase"))
 
 
-def _periodogram(t: np.ndarray, sixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """r and phase of each candidate, in blocks that bound the memory."""
-    r, phase = np.empty(len(sixes)), np.empty(len(sixes))
-    block = max(1, 2_000_000 // max(1, len(t)))
-    for k in range(0, len(sixes), block):
-        turn = 2 * np.pi * t[None, :] / sixes[k : k + block, None]
-        x, y = np.cos(turn).mean(1), np.sin(turn).mean(1)
-        r[k : k + block], phase[k : k + block] = np.hypot(x, y), np.arctan2(y, x)
-    return r, phase
-
-
-def best_period(t: np.ndarray, bpm: float, span: float = FIT_SPAN, steps: int = FIT_STEPS) -> tuple[float, float, float]:
+#: A stretch of time in seconds; within it the sums of a band of periods are a polynomial of TERMS terms.
+STRETCH, TERMS = 16.0, 14
+
+
+def moments(onsets: DataFrame, low: float, high: float, keys: list[str] = TRACK) -> DataFrame:
+    """What the periods of frequencies [low, high] Hz need to know of each track: per stretch of time and
+    band of frequencies (around ``f0``, wide enough that a stretch turns by one radian either way),
+    the sums of u**m cos and u**m sin, u an onset's place in its stretch and the angle at f0.
+
+    A candidate's sum over all onsets is then a few terms for each stretch, however many onsets there are.
+    All sums add up, so they are taken before the shuffle and no task sees a track."""
+    half = 1 / (np.pi * STRETCH)
+    bands = [float(f) for f in np.arange(low + half, high + 2 * half, 2 * half)]
+    s = F.floor(F.col("t") / STRETCH)
+    here = onsets.select(*keys, s.alias("stretch"), (F.col("t") - (s + 0.5) * STRETCH).alias("v")).withColumn("f0", F.explode(F.lit(bands)))
+    turned = here.select(*keys, "stretch", "f0", (F.col("v") / (STRETCH / 2)).alias("u"), F.cos(2 * np.pi * F.col("f0") * F.col("v")).alias("c"), F.sin(2 * np.pi * F.col("f0") * F.col("v")).alias("s"))
+    sums, power = [F.count("*").alias("n")], F.lit(1.0)
+    for m in range(TERMS):
+        turned = turned.withColumns({f"p{m}": F.col(f"p{m - 1}") * F.col("u") if m else F.lit(1.0)})
+        sums += [F.sum(F.col(f"p{m}") * F.col(x)).alias(f"{x}{m}") for x in ("c", "s")]
+    return turned.groupBy(*keys, "stretch", "f0").agg(*sums)
+
+
+class Spectrum:
+    """One track's moments; r and phase of any candidate within their frequencies."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.bands, at = np.unique(pdf["f0"].to_numpy(), return_inverse=True)
+        stretches, row = np.unique(pdf["stretch"].to_numpy(), return_inverse=True)
+        self.centre = (stretches + 0.5) * STRETCH
+        self.sums = np.zeros((len(self.bands), TERMS, len(stretches)), complex)
+        for m in range(TERMS):
+            self.sums[at, m, row] = (pdf[f"c{m}"].to_numpy() + 1j * pdf[f"s{m}"].to_numpy()) * 1j**m / math.factorial(m)
+        self.n = int(pdf.loc[pdf["f0"] == self.bands[0], "n"].sum())
+
+    def of(self, sixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = 1 / sixes
+        z = np.zeros(len(f), complex)
+        band = np.abs(f[:, None] - self.bands[None, :]).argmin(1) if len(self.bands) < 64 else np.clip(np.rint((f - self.bands[0]) / (self.bands[1] - self.bands[0])).astype(int), 0, len(self.bands) - 1)
+        for b in np.unique(band):
+            mine = np.flatnonzero(band == b)
+            x = np.pi * STRETCH * (f[mine] - self.bands[b])
+            inner = np.power(x[:, None], np.arange(TERMS)) @ self.sums[b]
+            # The stretches' own phases; their centres are even multiples of half a stretch.
+            z[mine] = (inner * np.exp(2j * np.pi * np.mod(f[mine, None] * self.centre, 1.0))).sum(1)
+        z /= self.n
+        return np.abs(z), np.angle(z)
+
+
+def best_period(track: Spectrum, bpm: float, span: float = FIT_SPAN, steps: int = FIT_STEPS) -> tuple[float, float, float]:
     """(bpm, anchor, r) of the grid near ``bpm`` that fits best; the first of equals."""
     sixes = 60.0 / bpm / 4 * np.linspace(1 - span, 1 + span, steps)
-    r, phase = _periodogram(t, sixes)
+    r, phase = track.of(sixes)
     k = int(np.argmax(r))
     return 60.0 / (4 * sixes[k]), phase[k] / (2 * np.pi) * sixes[k] % sixes[k], float(r[k])
 
 
-def free_tempo(t: np.ndarray) -> tuple[float, float, float]:
+def free_tempo(track: Spectrum) -> tuple[float, float, float]:
     """The same without a guess: of the near-best tempi the one nearest the prior, refined."""
     bpms = np.exp(np.arange(np.log(SEARCH_LOW), np.log(SEARCH_HIGH), SEARCH_STEP))
-    r, _ = _periodogram(t, 15.0 / bpms)
+    r, _ = track.of(15.0 / bpms)
     good = np.flatnonzero(r >= 0.95 * r.max())
     runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1)
     peaks = np.array([run[np.argmax(r[run])] for run in runs])
     best = peaks[np.argmin(np.abs(np.log(bpms[peaks] / TEMPO_PRIOR)))]
-    return best_period(t, float(bpms[best]), 0.002, 2001)
+    return best_period(track, float(bpms[best]), 0.002, 2001)
 
 
 FITTED = "song_id long, track string, n long, bpm double, anchor double, r double"
 
 
 def fit(onsets: DataFrame, bpm: float | None = None, least: int = 1) -> DataFrame:
-    """Best grid of every track with at least so many onsets; without ``bpm`` a free search.
-
-    The candidates meet the onsets in numpy, one track at a time: as a cross join they would be
-    thousands of rows for each onset.
-    """
+    """Best grid of every track with at least so many onsets; without ``bpm`` a free search. Onsets become
+    moments in Spark; candidates are held against a track's few moments in numpy."""
+    tempi = (SEARCH_LOW * 0.99, SEARCH_HIGH * 1.01) if bpm is None else (bpm * (1 - FIT_SPAN) * 0.99, bpm * (1 + FIT_SPAN) * 1.01)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["t"].to_numpy())
-        if len(t) < least:
+        track = Spectrum(pdf)
+        if track.n < least:
             return pd.DataFrame(columns=["song_id", "track", "n", "bpm", "anchor", "r"])
-        found = free_tempo(t) if bpm is None else best_period(t, bpm)
-        return pd.DataFrame([[pdf["song_id"].iloc[0], pdf["track"].iloc[0], len(t), *found]], columns=["song_id", "track", "n", "bpm", "anchor", "r"])
+        found = free_tempo(track) if bpm is None else best_period(track, bpm)
+        return pd.DataFrame([[pdf["song_id"].iloc[0], pdf["track"].iloc[0], track.n, *found]], columns=["song_id", "track", "n", "bpm", "anchor", "r"])
 
-    return dealt(onsets.select(*TRACK, "t"), *TRACK).groupBy(*TRACK).applyInPandas(one, FITTED)
+    known = moments(onsets.select(*TRACK, "t"), tempi[0] / 15, tempi[1] / 15)
+    return dealt(known, *TRACK).groupBy(*TRACK).applyInPandas(one, FITTED)
 
 
 def fit_tracks(onsets: DataFrame, bpm: float, least: int = MIN_ONSETS) -> DataFrame:

@@ -33,6 +33,8 @@ MAP_THRESHOLD = 0.08
 MAP_GAIN = 0.02
 MAP_SR = 200
 MAP_TIGHTNESS = 400
+MAP_GAP, MAP_RECENT = 1.5, 8  # pulses beyond which a gap is filled; pulses whose gaps tell the local one
+PHASE_WARN, SOURCE_LAG_WARN = 0.2, 0.1  # confidence of bar one, and seconds off its audio, that are worth a warning
 LAG_WINDOW = 0.3
 LAG_MIN_SCORE = 1.0
 FIT_SPAN, FIT_STEPS = 0.03, 6001
@@ -53,6 +55,7 @@ UNPITCHED_STEMS = ("drums",)
 DRUM_TO_GM = {35: 35, 36: 36, 37: 37, 38: 38, 39: 39, 40: 40, 41: 41, 42: 42, 43: 44, 44: 46, 45: 47, 46: 49, 47: 50, 48: 51, 49: 52, 50: 54, 51: 55, 52: 56, 53: 58, 54: 60, 55: 69, 56: 71, 57: 73, 58: 75, 59: 78, 60: 80}
 
 
+# The steps' names, which are on, and their limits.
 @dataclass(frozen=True)
 class CleanupParams:
     """Steps of the cleanup and their limits; tempo in quarters a minute."""
