@@ -99,8 +99,8 @@ def test_log_streams(spark, tmp_path):
         spark.createDataFrame(part, event_log.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     event_log.stream_replay(spark, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
-    event_log.stream_latest(spark, str(tmp_path / "log"), str(tmp_path / "c2"), "latest_parts").awaitTermination(120)
-    assert sorted((r.job_id, r.part, r.notes) for r in spark.table("latest_parts").collect()) == [("a", "bass", 5), ("b", "drums", 1)]
+    event_log.stream_latest(spark, str(tmp_path / "log"), str(tmp_path / "latest"), str(tmp_path / "c2"), max_files=1).awaitTermination(120)
+    assert sorted((r.job_id, r.part, r.notes) for r in event_log.latest(spark, str(tmp_path / "latest")).collect()) == [("a", "bass", 5), ("b", "drums", 1)]
 
 
 def test_cache(spark, tmp_path):
@@ -110,6 +110,10 @@ def test_cache(spark, tmp_path):
     assert cache.put("stems", "k", spark.range(9)).count() == 3  # the first writer's
     assert cache.get("stems", "k").count() == 3 and cache.size_bytes() > 0
     assert cache.summary()["hits"] == ["stems"] and cache.sweep() == 0
+    # A writer that comes second, at the same time, leaves nothing behind; one that never ends is swept.
+    assert len(list((tmp_path / "cache" / "stems" / "k").iterdir())) == 1
+    (tmp_path / "cache" / "stems" / "k" / "unfinished").mkdir()
+    assert cache.sweep() == 0 and cache.sweep(-1) == 1 and cache.get("stems", "k").count() == 3
     assert cache.clear() > 0 and cache.size_bytes() == 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 class Cache:
-    """Tables under root/kind/key. A result is written aside and renamed into place; a rename that
-    comes second fails, and its writer takes what is there."""
+    """Results under root/kind/key, every write in a folder of its own. The result is the write that was
+    complete first; one that comes second sees so, removes its own and takes the first. No rename is
+    needed, and writers never touch each other's folders."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -23,31 +25,35 @@ class Cache:
     def _at(self, kind: str, key: str) -> str:
         return f"{self.root}/{kind}/{key}"
 
+    def _listed(self, pattern: str) -> list:
+        return list(self._fs.globStatus(self._path(pattern)) or [])
+
+    def _first(self, kind: str, key: str) -> str | None:
+        """The name of the write that was complete first."""
+        done = [(s.getModificationTime(), s.getPath().getParent().getName()) for s in self._listed(self._at(kind, key) + "/*/_SUCCESS")]
+        return min(done)[1] if done else None
+
     def get(self, kind: str, key: str) -> DataFrame | None:
         """The result, if all of it is there."""
-        if self._fs.exists(self._path(self._at(kind, key) + "/_SUCCESS")):
-            self.hits.append(kind)
-            return self.spark.read.parquet(self._at(kind, key))
-        self.misses.append(kind)
-        return None
+        first = self._first(kind, key)
+        (self.hits if first else self.misses).append(kind)
+        return self.spark.read.parquet(f"{self._at(kind, key)}/{first}") if first else None
 
     def put(self, kind: str, key: str, df: DataFrame) -> DataFrame:
-        aside = self._at(kind, f".tmp-{uuid.uuid4().hex}")
-        df.write.parquet(aside)
-        if self._fs.exists(self._path(self._at(kind, key))) or not self._fs.rename(self._path(aside), self._path(self._at(kind, key))):
-            self._fs.delete(self._path(aside), True)
-        return self.spark.read.parquet(self._at(kind, key))
+        mine = uuid.uuid4().hex
+        df.write.parquet(f"{self._at(kind, key)}/{mine}")
+        first = self._first(kind, key)
+        if first != mine:
+            self._fs.delete(self._path(f"{self._at(kind, key)}/{mine}"), True)
+        return self.spark.read.parquet(f"{self._at(kind, key)}/{first}")
 
     def sweep(self, age_s: float = 86400.0) -> int:
-        """Removes unfinished writes older than an age; returns how many."""
-        import time
-
+        """Removes writes that were never completed and are older than an age; returns how many."""
         n = 0
-        for kind in self._fs.globStatus(self._path(f"{self.root}/*")) or []:
-            for entry in self._fs.globStatus(self._path(kind.getPath().toString() + "/.tmp-*")) or []:
-                if time.time() - entry.getModificationTime() / 1000 > age_s:
-                    self._fs.delete(entry.getPath(), True)
-                    n += 1
+        for write in self._listed(f"{self.root}/*/*/*"):
+            if time.time() - write.getModificationTime() / 1000 > age_s and not self._fs.exists(self._path(write.getPath().toString() + "/_SUCCESS")):
+                self._fs.delete(write.getPath(), True)
+                n += 1
         return n
 
     def size_bytes(self) -> int:

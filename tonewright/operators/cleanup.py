@@ -74,11 +74,13 @@ def monophonic(notes: DataFrame, keep: str = "lowest") -> DataFrame:
     """
     sign = 1 if keep == "lowest" else -1
     isles = islands(notes)
+    fold = """aggregate(all, named_struct('live', slice(all, 1, 0), 'ids', transform(slice(all, 1, 0), n -> n.note_id)),
+        (a, n) -> if(exists(a.live, m -> m.start_s < n.end_s AND n.start_s < m.end_s AND m.rank < n.rank), a,
+            named_struct('live', concat(filter(a.live, m -> m.end_s > n.start_s), array(n)), 'ids', concat(a.ids, array(n.note_id)))), a -> a.ids)"""
     kept = (
         isles.groupBy(*TRACK, "island")
         .agg(F.array_sort(F.collect_list(F.struct("start_s", (F.col("pitch") * sign).alias("rank"), "note_id", "end_s"))).alias("all"))
-        .select(*TRACK, F.explode(F.expr("aggregate(all, slice(all, 1, 0), (out, n) -> if(exists(out, m -> m.start_s < n.end_s AND n.start_s < m.end_s AND m.rank < n.rank), out, concat(out, array(n))))")).alias("n"))
-        .select(*TRACK, F.col("n.note_id").alias("note_id"))
+        .select(*TRACK, F.explode(F.expr(fold)).alias("note_id"))
     )
     return notes.join(kept, [*TRACK, "note_id"], "left_semi")
 

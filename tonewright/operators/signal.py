@@ -131,17 +131,17 @@ def decode_tokens(tokens: DataFrame) -> DataFrame:
     399, velocities from 400; a pitch counts right after a time, a velocity two after one; the three
     lists are then paired in order, without velocities all are 100."""
 
-    def notes(frames):
-        for frame in frames:
-            out = []
-            for clip, listed in zip(frame["clip_id"], frame["tokens"]):
-                onset = {i: (t - 4) / 100 for i, t in enumerate(listed) if 4 <= t < 300}
-                pitch = [t - 300 for i, t in enumerate(listed) if 300 <= t < 400 and i - 1 in onset]
-                velocity = [t - 400 for i, t in enumerate(listed) if t >= 400 and i - 2 in onset] or [100] * len(onset)
-                out += [(clip, k, p, int(v), a, a + 0.1) for k, (a, p, v) in enumerate(zip(onset.values(), pitch, velocity))]
-            yield pd.DataFrame(out, columns=["clip_id", "note_id", "pitch", "velocity", "start_s", "end_s"])
-
-    return tokens.select("clip_id", "tokens").mapInPandas(notes, "clip_id long, note_id long, pitch int, velocity int, start_s double, end_s double")
+    listed = F.col("tokens")
+    timed = lambda i: F.get(listed, i).between(4, 299)
+    on = F.filter(listed, lambda t: t.between(4, 299))
+    pitch = F.filter(listed, lambda t, i: t.between(300, 399) & timed(i - 1))
+    loud = F.filter(listed, lambda t, i: (t >= 400) & timed(i - 2))
+    loud = F.when(F.size(loud) > 0, loud).otherwise(F.array_repeat(F.lit(500), F.size(on)))
+    n = F.least(F.size(on), F.size(pitch), F.size(loud))
+    cut = lambda a: F.slice(a, F.lit(1), n)
+    each = tokens.select("clip_id", F.posexplode(F.arrays_zip(cut(on).alias("on"), cut(pitch).alias("pitch"), cut(loud).alias("loud"))).alias("k", "e"))
+    start = (F.col("e.on") - 4) / F.lit(100.0)
+    return each.select("clip_id", F.col("k").cast("long").alias("note_id"), (F.col("e.pitch") - 300).cast("int").alias("pitch"), (F.col("e.loud") - 400).cast("int").alias("velocity"), start.alias("start_s"), (start + 0.1).alias("end_s"))
 
 
 def mel_filters(rate: int, n_fft: int, n_mels: int, low: float = 0.0, high: float | None = None) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import grid as G
 from ..operators.measure import onset_dedupe
-from ..schema import TRACK
+from ..schema import SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, TEMPO_PRIOR, TRACK
 from ..sources.notes import ANCHOR, BPM, GRIDDED_SQL, SIX, gridded, notes
 from .note_queries import DEDUPE, ROW
 
@@ -49,9 +51,16 @@ def grid_fit(spark, d):
     return G.fit(onset_dedupe(gridded(spark, d)), 112.0).select(*TRACK, "n", F.round("bpm", 4).alias("bpm"), F.round("r", 6).alias("r"))
 
 
-@_q("grid_search")
+N_TEMPI = math.ceil((math.log(SEARCH_HIGH) - math.log(SEARCH_LOW)) / SEARCH_STEP)
+# All tempi; of the runs of near-best ones the peak nearest the prior; then the periods around it.
+SEARCHED = f"""s AS (SELECT i, exp(ln({SEARCH_LOW}::double) + i * {SEARCH_STEP}::double) AS bpm FROM (SELECT unnest(range({N_TEMPI})) AS i)), z AS (SELECT song_id, track, i, bpm, sqrt(power(avg(cos(2 * pi() * t * bpm / 15)), 2) + power(avg(sin(2 * pi() * t * bpm / 15)), 2)) AS r FROM onsets, s GROUP BY ALL),
+good AS (SELECT *, i - row_number() OVER (PARTITION BY song_id, track ORDER BY i) AS run FROM (SELECT *, max(r) OVER (PARTITION BY song_id, track) AS top FROM z) WHERE r >= 0.95 * top), peak AS (SELECT song_id, track, arg_max(bpm, struct_pack(r := r, j := -i)) AS bpm, arg_max(i, struct_pack(r := r, j := -i)) AS i FROM good GROUP BY song_id, track, run),
+near AS (SELECT song_id, track, arg_min(bpm, struct_pack(d := abs(ln(bpm / {TEMPO_PRIOR})), i := i)) AS bpm FROM peak GROUP BY ALL), c AS (SELECT song_id, track, i, 15 / bpm * (0.998::double + i * (0.004::double / 2000)) AS six FROM near, (SELECT unnest(range(2001)) AS i)),
+f AS (SELECT song_id, track, i, six, count(*) AS n, sqrt(power(avg(cos(2 * pi() * t / six)), 2) + power(avg(sin(2 * pi() * t / six)), 2)) AS r FROM onsets JOIN c USING (song_id, track) GROUP BY ALL)"""
+
+
+@_q("grid_search", f"{DEDUPE}, {SEARCHED} SELECT song_id, track, max(n) AS n, round(15 / arg_max(six, struct_pack(r := r, j := -i)), 4) AS bpm, round(max(r), 6) AS r FROM f GROUP BY song_id, track")
 def grid_search(spark, d):
-    """Too slow as SQL over 12,000 tempi; tested against a brute-force version."""
     return G.fit(onset_dedupe(gridded(spark, d))).select(*TRACK, "n", F.round("bpm", 4).alias("bpm"), F.round("r", 6).alias("r"))
 
 
@@ -93,8 +102,6 @@ def off_fill(spark, d):
     return G.off_fill(onset_dedupe(n), grids).select(*TRACK, F.round("off_fill", 6).alias("off_fill"))
 
 
-import math  # noqa: E402
-
 FIRST = ANCHOR - math.ceil(ANCHOR / BEAT) * BEAT
 OFFSET = math.ceil(ANCHOR / BEAT)
 CHROMA = f"""pit AS (SELECT * FROM notes WHERE NOT is_drum), fin AS (SELECT song_id, CAST(ceil((max(end_s) - {FIRST!r}::double) / {BEAT!r}::double) AS BIGINT) - 1 AS last FROM pit GROUP BY song_id),

@@ -203,10 +203,10 @@ def cache_summary(spark, d):
     return K.summary(_table(spark, d, "conversations").select(F.col("role").alias("kind"), F.octet_length("text").cast("long").alias("bytes"), (F.col("turn") % 2 == 0).alias("hit")))
 
 
-@_q("sweep_stale", "SELECT event_id FROM events WHERE event_id % 3 = 0 AND 2000000 - event_id * 191 > 86400 AND 2000000 - (2000000 - event_id * 191) > 86400")
+@_q("sweep_stale", "SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_id % 10000 * 191 > 86400")
 def sweep_stale(spark, d):
     i = F.col("event_id")
-    e = events(spark, d).where(F.lit(2000000) - i * 191 > 86400).select("event_id", F.concat(F.when(i % 3 == 0, ".tmp-").otherwise("t-"), i.cast("string")).alias("name"), (F.lit(2000000) - i * 191).alias("modified_s"))
+    e = events(spark, d).select("event_id", F.concat(F.when(i % 3 == 0, ".tmp-").otherwise("t-"), i.cast("string")).alias("name"), (F.lit(2000000) - i % 10000 * 191).alias("modified_s"))
     return K.stale(e, 2000000.0).select("event_id")
 
 

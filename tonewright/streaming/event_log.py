@@ -42,13 +42,24 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
-def stream_latest(spark: SparkSession, path: str, checkpoint: str, name: str, max_files: int | None = None):
-    """A query that keeps the latest parts of all jobs in a table of that name (update by key)."""
-    latest = parts_latest(read_stream(spark, path, max_files))
-    return latest.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_latest(spark: SparkSession, path: str, out: str, checkpoint: str, max_files: int | None = None):
+    """A query that writes the latest parts of each batch to ``out``; ``latest`` reads them. A batch that
+    is run again replaces what it wrote, and no state is kept, on the driver or elsewhere."""
 
+    def keep(batch: DataFrame, number: int) -> None:
+        parts_latest(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def stream_replay(spark: SparkSession, path: str, out: str, checkpoint: str):
-    """Appends each event once to ``out``: a job's events that are delivered again are dropped."""
-    once = read_stream(spark, path).dropDuplicates(["job_id", "seq"])
+    return read_stream(spark, path, max_files).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The latest part of each over all batches written so far."""
+    return parts_latest(spark.read.parquet(out))
+
+
+def stream_replay(spark: SparkSession, path: str, out: str, checkpoint: str, again: str = "1 day"):
+    """Appends each event once to ``out``: what is delivered again within ``again`` (by the time of its
+    file) is dropped. Keys older than that are forgotten, so the state stays bounded."""
+    arrived = read_stream(spark, path).withColumn("_arrived", F.col("_metadata.file_modification_time")).withWatermark("_arrived", again)
+    once = arrived.dropDuplicatesWithinWatermark(["job_id", "seq"]).drop("_arrived")
     return once.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
