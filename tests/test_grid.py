@@ -183,4 +183,45 @@ def test_the_whole_stage_follows_a_drift(spark):
 def test_songs_without_a_grid_are_left(spark):
     rng = np.random.default_rng(0)
     info, notes = G.apply(song(spark, np.sort(rng.uniform(0, 100, 300))), 114.0)
-    assert not info.first().fitted and notes.count() == 0
+    row = info.first()
+    assert not row.fitted and row.warnings and notes.count() == 300
+
+
+def test_apply_follows_the_kit(spark):
+    """A dense, well-aligned other track doesn't lead the map where there is a kit."""
+    kit = [(0, "kit", 10_000 + i, 36, 120, float(t), float(t) + 0.1, True, 0) for i, t in enumerate(drifting(200))]
+    dense = [(0, "dense", i, 60, 90, 0.5 + i * 0.15, 0.6 + i * 0.15, False, 0) for i in range(800)]
+    notes = spark.createDataFrame(kit + dense, NOTE)
+    on = G.onset_dedupe(notes)
+    assert G.map_source(notes, on, 99.0).first().track == "kit"
+    assert G.map_source(notes.where("track = 'dense'"), on.where("track = 'dense'"), 100.0).first().track == "dense"
+
+
+def test_apply_without_a_tempo_or_snapping(spark):
+    starts = 1.0 + np.arange(160) * 60 / 114
+    notes = whole_song(spark, starts)
+    info, out = G.apply(notes, None, snap_notes=False)
+    row = info.first()
+    assert row.fitted and row.bpm == pytest.approx(114, rel=2e-3) and row.source_track
+    assert sorted(map(tuple, out.select("note_id", "start_s", "end_s").collect())) == sorted(map(tuple, notes.select("note_id", "start_s", "end_s").collect()))
+    per_song, _ = G.apply(notes, spark.createDataFrame([(0, 113.0)], "song_id long, bpm double"), fixed_pulse=True)
+    assert per_song.first().bpm == pytest.approx(114, rel=2e-3)
+    G.release()
+
+
+def test_latency_unfolds_by_the_sound(spark):
+    """A bass 195 ms late, more than a sixteenth: its own sound tells by how many."""
+    rng = np.random.default_rng(0)
+    beat = 0.8 + np.sort(rng.choice(np.arange(900), 450, replace=False)) * 15 / 114
+    notes = spark.createDataFrame([(0, "lead", i, 60, 100, float(t), float(t) + 0.1, False, 0) for i, t in enumerate(beat)] + [(0, "bass", 1000 + i, 40, 100, float(t) + 0.195, float(t) + 0.3, False, 0) for i, t in enumerate(beat)], NOTE)
+    n = int((beat[-1] + 2) / 0.003)
+    env = np.zeros(n)
+    env[np.rint(beat / 0.003).astype(int)] = 1.0
+    env = np.convolve(env, [0.3, 0.7, 1.0, 0.7, 0.3], "same")
+    env = (env - env.mean()) / env.std()
+    audio = spark.createDataFrame([(0, track, k, float(v)) for track in ("lead", "bass") for k, v in enumerate(env)], "song_id long, track string, frame long, v double")
+    told = {t.track: t for t in G.apply(notes, 114.0, audio=audio)[0].first().tracks}
+    assert told["bass"].latency_ms == pytest.approx(195, abs=5) and told["bass"].audio_lag_ms == pytest.approx(195, abs=5)
+    folded = {t.track: t for t in G.apply(notes, 114.0)[0].first().tracks}
+    assert folded["bass"].latency_ms == pytest.approx(195 - 15 / 114 * 1000, abs=5)
+    G.release()

@@ -1,5 +1,7 @@
 """Codecs, signals, matching, streaming and the cache."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from tonewright.functions import backends
 from tonewright.operators import signal as A
 from tonewright.operators.cache import Cache
+from tonewright.operators.run import process
+from tonewright.operators.tokens import EVENTS, tracked_notes
 from tonewright.plans import media_queries
 from tonewright.sources import midi, wav
 from tonewright.streaming import event_log
@@ -126,3 +130,102 @@ def test_backends(spark, monkeypatch):
     monkeypatch.setenv("TONEWRIGHT_COMMERCIAL", "1")
     with pytest.raises(backends.BackendError, match="non-commercial"):
         backends.guard("muscriptor")
+
+
+def told(chunks):
+    """The tracker from its description, token by token: chunks of (seek, next seek, [(type, value)])."""
+    open_, notes, prologue, seek = {}, [], False, 0.0
+
+    def end(keys, t):
+        for k in list(keys):
+            notes[open_.pop(k)][3] = t
+
+    for seek_, next_seek, tokens in chunks:
+        if prologue:
+            end(list(open_), seek)
+        seek, prologue, skip, program, velocity, tied, tick = seek_, True, False, None, None, set(), round(seek_ * 100)
+        begin = tick
+        for kind, value in tokens:
+            if prologue:
+                if kind == "tie":
+                    prologue, velocity = False, None
+                    end([k for k in open_ if k not in tied], seek)
+                elif kind == "shift":
+                    prologue, skip = False, True
+                    end(list(open_), seek)
+                elif kind == "program":
+                    program = value
+                elif kind == "pitch" and program is not None:
+                    tied.add((program, value))
+            elif skip:
+                continue
+            elif kind == "shift":
+                tick = begin + value if value > 0 else tick
+            elif kind == "program":
+                program = value
+            elif kind == "velocity":
+                velocity = value
+            elif next_seek is not None and tick / 100 >= next_seek:
+                continue
+            elif kind == "drum":
+                notes.append([128, value, tick / 100, tick / 100 + 0.01])
+            elif kind == "pitch" and program is not None and velocity is not None:
+                if (program, value) in open_:
+                    end([(program, value)], tick / 100)
+                if velocity > 0:
+                    open_[program, value] = len(notes)
+                    notes.append([program, value, tick / 100, None])
+    if prologue:
+        end(list(open_), seek)
+    for k in open_.values():
+        notes[k][3] = notes[k][2] + 0.01
+    return sorted((p, q, round(a, 4), round(b, 4)) for p, q, a, b in notes)
+
+
+def test_tracked_notes_equal_the_state_machine(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for song in range(40):
+        chunks = []
+        for c in range(6):
+            kinds = [(rng.choice(["program", "pitch", "pitch"]), rng.randint(0, 3)) for _ in range(rng.randint(0, 8))] + [rng.choice([("tie", 0), ("tie", 0), ("tie", 0), ("shift", 30)])] * (rng.random() < 0.9)
+            tick = 0
+            for _ in range(rng.randint(0, 25)):
+                kind = rng.choice(["shift", "program", "velocity", "pitch", "pitch", "drum"])
+                tick += rng.randint(0, 60) * (kind == "shift")
+                kinds.append((kind, {"shift": tick, "program": rng.randint(0, 1), "velocity": rng.randint(0, 2) * 50}.get(kind, rng.randint(0, 3))))
+            chunks.append((c * 5.0, (c + 1) * 5.0 if c < 5 else None, kinds))
+            rows += [(song, "t", c, *chunks[-1][:2], i, *k) for i, k in enumerate(kinds or [("none", 0)])]
+        want[song] = told(chunks)
+    got = {}
+    for r in tracked_notes(spark.createDataFrame(rows, EVENTS)).collect():
+        got.setdefault(r.song_id, []).append((r.program, r.pitch, round(r.start_s, 4), round(r.end_s, 4)))
+    assert {s: sorted(v) for s, v in got.items()} == {s: v for s, v in want.items() if v}
+
+
+def test_stem_files_and_sections(spark, tmp_path):
+    x = np.sin(np.arange(5000) / 7).astype(np.float32) * 0.5
+    blocks = spark.createDataFrame([(3, "bass", c, k, 1000, (x[k * 1000 : k * 1000 + 1000] * (1 - c / 2)).tolist()) for k in range(5) for c in (0, 1)], "song_id long, stem string, channel int, block_id long, sr int, samples array<float>")
+    data = bytes(wav.to_files(blocks).first().wav)
+    rate, y = wav.decode(data)
+    assert rate == 1000 and y.shape == (5000, 2) and np.abs(y[:, 0] - x).max() < 1e-4 and np.abs(y[:, 1] - x / 2).max() < 1e-4
+    (tmp_path / "a.wav").write_bytes(data)
+    rows = wav.read_blocks(spark, str(tmp_path / "a.wav"), 1.5, 2.0).where("channel = 0").orderBy("t0").collect()
+    assert np.abs(np.concatenate([r.samples for r in rows]) - x[1500:3500]).max() < 1e-4 and rows[0].t0 == 1.5
+    assert wav.read_blocks(spark, str(tmp_path / "a.wav"), 9.0).count() == 0
+
+
+def test_a_whole_run(spark):
+    """Sparse stems take the fallback's notes; a grid and files come out."""
+    beat = 60 / 114
+    schema = "song_id long, track string, note_id long, pitch int, velocity int, start_s double, end_s double, is_drum boolean, program int"
+    lead = [(0, "other", i, 60 + i % 4 * 3, 90, 1.0 + i * beat / 2, 1.2 + i * beat / 2, False, 0) for i in range(300)]
+    notes = spark.createDataFrame([*lead, (0, "bass", 900, 40, 90, 1.0, 1.3, False, 0)], schema)
+    more = spark.createDataFrame([(0, "bass", 1000 + i, 40, 90, 1.0 + i * beat, 1.2 + i * beat, False, 0) for i in range(150)], schema)
+    stems = spark.createDataFrame([(0, "other", 80.0, 0.1), (0, "bass", 80.0, 0.1), (0, "vocals", 80.0, 1e-6)], "song_id long, track string, seconds double, rms double")
+    run = process(notes, stems, more, tempo=114.0, mono_stems=("bass",), mode="constant")
+    assert {(r.track, r["count"]) for r in run.notes.groupBy("track").count().collect()} == {("comping", 300), ("bass", 150)}
+    assert run.info.first().fitted and run.tempo.first().bpm == pytest.approx(114, rel=1e-3)
+    assert any("vocals" in r.warning for r in run.warnings.collect())
+    assert sum(len(t.notes) for _, t in midi.parse(bytes(run.files().first().midi))[2]) == 450
+    assert process(notes, params=None, fit_grid=False).tempo.first().bpm > 0

@@ -1 +1,9 @@
-"""Spark-native analytics over interval events (notes), and training-data operators in ``llm``."""
+"""Spark-native analytics of note events: the operators a user starts from."""
+
+from .operators.cache import Cache
+from .operators.cleanup import clean, stats
+from .operators.grid import apply, release
+from .operators.run import Run, process
+from .schema import CleanupParams
+
+__all__ = ["Cache", "CleanupParams", "Run", "apply", "clean", "process", "release", "stats"]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGHT, MAP_GAIN, MAP_THRESHOLD, MIN_ALIGNMENT, MIN_ONSETS, OFF_FILL, PULSE_TOL, SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, TEMPO_PRIOR, TRACK, dealt
+from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGHT, LAG_MIN_SCORE, MAP_GAIN, MAP_THRESHOLD, MIN_ALIGNMENT, MIN_ONSETS, OFF_FILL, PHASE_WARN, PULSE_TOL, SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, SOURCE_LAG_WARN, TEMPO_PRIOR, TRACK, dealt
 from .measure import onset_dedupe
 
 
@@ -101,32 +101,71 @@ def free_tempo(track: Spectrum) -> tuple[float, float, float]:
     return best_period(track, float(bpms[best]), 0.002, 2001)
 
 
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """A table that is read several times: a checkpoint where the session has a folder for them, so that
+    lost executors cost nothing; else a cache."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    _held.append(df.cache())
+    return _held[-1]
+
+
+def release() -> None:
+    """Gives back what ``hold`` cached; tables made from it are computed anew if they are read again."""
+    while _held:
+        _held.pop().unpersist()
+
+
 FITTED = "song_id long, track string, n long, bpm double, anchor double, r double"
 
 
-def fit(onsets: DataFrame, bpm: float | None = None, least: int = 1) -> DataFrame:
-    """Best grid of every track with at least so many onsets; without ``bpm`` a free search. Onsets become
-    moments in Spark; candidates are held against a track's few moments in numpy."""
-    tempi = (SEARCH_LOW * 0.99, SEARCH_HIGH * 1.01) if bpm is None else (bpm * (1 - FIT_SPAN) * 0.99, bpm * (1 + FIT_SPAN) * 1.01)
+def fit(onsets: DataFrame, bpm: float | DataFrame | None = None, least: int = 1, factor: int = 1) -> DataFrame:
+    """Best grid of every track with at least so many onsets, near ``factor`` times a tempo: one for all
+    songs, or one for each (song_id, bpm); without ``bpm`` a free search. Onsets become moments in
+    Spark; candidates are held against a track's few moments in numpy."""
+    single = isinstance(bpm, (int, float))
+    given = bpm if single else None
+    low, high = (bpm * (1 - FIT_SPAN), bpm / (1 - FIT_SPAN)) if single else (SEARCH_LOW * 0.95, SEARCH_HIGH * 1.05)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         track = Spectrum(pdf)
         if track.n < least:
             return pd.DataFrame(columns=["song_id", "track", "n", "bpm", "anchor", "r"])
-        found = free_tempo(track) if bpm is None else best_period(track, bpm)
+        near = given if single else (float(pdf["near"].iloc[0]) if "near" in pdf else None)
+        found = free_tempo(track) if near is None else best_period(track, near * factor)
         return pd.DataFrame([[pdf["song_id"].iloc[0], pdf["track"].iloc[0], track.n, *found]], columns=["song_id", "track", "n", "bpm", "anchor", "r"])
 
-    known = moments(onsets.select(*TRACK, "t"), tempi[0] / 15, tempi[1] / 15)
+    known = moments(onsets.select(*TRACK, "t"), 0.99 * low * factor / 15, 1.01 * high * factor / 15)
+    if isinstance(bpm, DataFrame):
+        known = known.join(bpm.select("song_id", F.col("bpm").alias("near")), "song_id")
     return dealt(known, *TRACK).groupBy(*TRACK).applyInPandas(one, FITTED)
 
 
-def fit_tracks(onsets: DataFrame, bpm: float, least: int = MIN_ONSETS) -> DataFrame:
+def search(onsets: DataFrame, least: int = MIN_ONSETS) -> DataFrame:
+    """(song_id, bpm) by a free search on the track with most onsets, the first by name of equals."""
+    counts = onsets.groupBy(*TRACK).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    order = Window.partitionBy("song_id").orderBy(F.desc("n"), "track")
+    most = counts.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*TRACK)
+    return fit(onsets.join(most, TRACK, "left_semi")).select("song_id", "bpm")
+
+
+def fit_tracks(onsets: DataFrame, bpm: float | DataFrame, least: int = MIN_ONSETS, factor: int = 1) -> DataFrame:
     """Per song: the grid of its best-aligned track (the first by name of equals), and which it is."""
-    fits = fit(onsets, bpm, least)
+    fits = fit(onsets, bpm, least, factor)
     best = F.max_by(F.struct("track", "bpm", "anchor", "r", "n"), F.struct("r", F.lit(1)))
     return fits.groupBy("song_id").agg(best.alias("b"), F.count("*").alias("n_tracks")).select("song_id", "b.track", "b.bpm", "b.anchor", "b.r", "b.n", "n_tracks")
 
 
+def map_source(notes: DataFrame, onsets: DataFrame, bpm: float | DataFrame, factor: int = 1) -> DataFrame:
+    """(song_id, track) that a tempo map follows: the best-aligned kit, and where a song has none with
+    enough onsets its best-aligned track."""
+    kit = notes.groupBy(*TRACK).agg(F.max("is_drum").alias("is_drum"))
+    return fit(onsets, bpm, MIN_ONSETS, factor).join(kit, TRACK).groupBy("song_id").agg(F.max_by("track", F.struct("is_drum", "r")).alias("track"))
+
+
 def align_to_beats(onsets: DataFrame, grids: DataFrame) -> DataFrame:
     """Grids with the anchor on the sixteenth of the pulse that most onsets start on (the lowest of equals)."""
     k = F.pmod(step_of(F.col("t"), F.col("anchor"), 15.0 / F.col("bpm")), F.lit(4.0)).cast("int")
@@ -161,13 +200,13 @@ def off_fill(onsets: DataFrame, grids: DataFrame) -> DataFrame:
     return stream.withColumns({"before": before, "after": after}).where("q = 1").groupBy(*TRACK).agg(F.avg((gap <= F.col("near")).cast("double")).alias("off_fill"))
 
 
-def fit_pulse(onsets: DataFrame, bpm: float, den: int = 4, fixed: bool = False, min_alignment: float = MIN_ALIGNMENT) -> DataFrame:
+def fit_pulse(onsets: DataFrame, bpm: float | DataFrame, den: int = 4, fixed: bool = False, min_alignment: float = MIN_ALIGNMENT) -> DataFrame:
     """Per song the grid in the meter's pulse: the tracked beat, or in x/8 the coarsest of it, its half
     and its third, unless a finer one is clearly needed (nearer by FINER_GAIN and PULSE_TOL, and its
     own pulses mostly played)."""
     kept = None
     for d in (1, 2, 3) if den >= 8 and not fixed else (1,):
-        found = fit_tracks(onsets, bpm * d).where(F.col("r") >= min_alignment)
+        found = fit_tracks(onsets, bpm, factor=d).where(F.col("r") >= min_alignment)
         aligned = align_to_beats(onsets, found).select("song_id", "track", "bpm", "anchor", "r")
         source = onsets.join(aligned.select("song_id", "track"), TRACK, "left_semi")
         aligned = aligned.join(pulse_offset(source, aligned, ["song_id"]), "song_id").withColumn("factor", F.lit(d))
@@ -301,54 +340,92 @@ def warp(notes: DataFrame, grids: DataFrame) -> DataFrame:
     return joined.withColumns({"start_s": (F.col("start_s") - F.col("anchor")) / p + base, "end_s": (F.col("end_s") - F.col("anchor")) / p + base, "base": base}).drop("bpm", "anchor")
 
 
-def apply(notes: DataFrame, bpm: float, groups: tuple[int, ...] = (1, 1, 1, 1), den: int = 4, mode: str = "constant", downbeat: int | None = None, shift_pulses: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The whole grid stage for songs near one tempo: (info, snapped notes).
+def apply(notes: DataFrame, bpm: float | DataFrame | None = None, groups: tuple[int, ...] = (1, 1, 1, 1), den: int = 4, mode: str = "constant", downbeat: int | None = None, shift_pulses: int = 0,
+          snap_notes: bool = True, fixed_pulse: bool = False, audio: DataFrame | None = None, hop: float = 0.003) -> tuple[DataFrame, DataFrame]:
+    """The whole grid stage for songs near a tempo, one for all or one for each (song_id, bpm), searched
+    for where none is given: (info, notes).
+
+    Per song: the grid in the meter's pulse (``bpm`` itself if ``fixed_pulse``), bar one from the harmony
+    (or ``downbeat`` from 1), moved by ``shift_pulses``; per track: its latency; notes snapped unless
+    ``snap_notes`` is false. ``mode`` map follows a tempo map instead, of the kit where there is one; auto
+    does so where no constant grid fits, or its track is off it and a map, fitted on every other note,
+    is clearly nearer to the rest. audio(song_id, track, frame, v) is the onset strength of each track's
+    own sound, z-scored, a frame every ``hop`` seconds: tracks that line up with theirs, as the grid's
+    own track does, have their latency told apart beyond half a sixteenth.
 
-    Per song: the grid in the meter's pulse, bar one from the harmony (or ``downbeat`` from 1), moved by
-    ``shift_pulses``; per track: its latency; notes snapped. ``mode`` map follows a tempo map instead,
-    auto does so where no constant grid fits or a map is clearly nearer. Notes are warped to pulses, where
-    every song has one and the same grid, so each step is one job over all songs. Songs without a fit are
-    left out of the notes and have ``fitted`` false.
+    Notes are warped to pulses, where every song has one and the same grid, so each step is one job over
+    all songs. Songs without a fit keep their notes and have ``fitted`` false; ``warnings`` says what to
+    look at. What is read several times is written to checkpoints if the session has a folder for
+    them, else cached; ``release`` gives the cache back.
     """
+    from . import signal as A
     from . import tempo_map as P
 
     pulses = sum(groups)
-    # Each of these is small beside the notes, costs a fit, and is read several times.
-    onsets = onset_dedupe(notes).cache()
-    found = fit_pulse(onsets, bpm, den, min_alignment=0.0 if mode != "constant" else MIN_ALIGNMENT).cache()
+    onsets = hold(onset_dedupe(notes))
+    if bpm is None:
+        bpm = hold(search(onsets))
+    found = hold(fit_pulse(onsets, bpm, den, fixed=fixed_pulse, min_alignment=0.0 if mode == "map" else MIN_ALIGNMENT))
     songs = notes.select("song_id").distinct()
     flat = warp(notes, found)
+    measured = songs.select("song_id", F.lit(None).cast("double").alias("constant_offset"), F.lit(None).cast("double").alias("map_gain"), F.lit(mode == "map").alias("follows"))
     mapped = None
     if mode != "constant":
-        beats = P.fit_map(notes, notes, bpm).cache()
-        chosen = found.select("song_id")
+        tried = found if mode == "map" else hold(fit_pulse(onsets, bpm, den, fixed=fixed_pulse, min_alignment=0.0))
+        followed = notes.join(map_source(notes, onsets, bpm), TRACK, "left_semi")
+        beats = hold(P.fit_map(followed, notes, tried))
         if mode == "auto":
-            off = flat.groupBy("song_id").agg(F.avg(F.abs(signed(F.col("start_s"), F.lit(0.0), F.lit(0.25)) / 0.25)).alias("offset"))
-            near = P.offset_16th(notes, beats).join(off, "song_id")
-            chosen = near.where(use_map(F.col("offset"), F.col("offset") - F.col("offset_16th"))).select("song_id")
-        chosen = chosen.cache()
-        mapped = beats.join(chosen, "song_id", "left_semi").cache()
-        at = lambda c: P.position(notes.join(chosen, "song_id", "left_semi"), mapped, c, c + "_p").select(*TRACK, "note_id", c + "_p")
-        placed = notes.join(at("start_s"), [*TRACK, "note_id"]).join(at("end_s"), [*TRACK, "note_id"]).withColumns({"start_s": F.col("start_s_p"), "end_s": F.col("end_s_p"), "base": F.lit(0).cast("long")}).drop("start_s_p", "end_s_p")
+            own = notes.join(found.select(*TRACK, "bpm", "anchor"), TRACK)
+            six = 15.0 / F.col("bpm")
+            constant = own.groupBy("song_id").agg(F.avg(F.abs(signed(F.col("start_s"), F.col("anchor"), six) / six)).alias("constant_offset"))
+            gain = P.map_gain(followed, notes, found).select("song_id", F.col("gain").alias("map_gain"))
+            measured = songs.join(constant, "song_id", "left").join(gain, "song_id", "left").withColumn("follows", use_map(F.col("constant_offset"), F.col("map_gain")))
+        measured = hold(measured)
+        mapped = hold(beats.join(measured.where("follows").select("song_id"), "song_id", "left_semi"))
+        chosen = mapped.select("song_id").distinct()
+        inside = notes.join(chosen, "song_id", "left_semi")
+        at = lambda c: P.position(inside, mapped, c, c + "_p").select(*TRACK, "note_id", c + "_p")
+        placed = inside.join(at("start_s"), [*TRACK, "note_id"]).join(at("end_s"), [*TRACK, "note_id"]).withColumns({"start_s": F.col("start_s_p"), "end_s": F.col("end_s_p"), "base": F.lit(0).cast("long")}).drop("start_s_p", "end_s_p")
         flat = flat.join(chosen, "song_id", "left_anti").unionByName(placed)
-    flat = flat.cache()
+        known = tried.join(chosen, "song_id", "left_semi").join(found.select("song_id"), "song_id", "left_anti")
+        found = hold(found.unionByName(known))
+    flat = hold(flat)
     phase = bar_phase(flat, 60.0, 0.0, groups).select("song_id", F.col("phase").alias("bar_one"), "confidence")
     one = F.lit(downbeat - 1) if downbeat else F.col("bar_one")
     late = latency(flat, 60.0, 0.0)
+    lags = None
+    if audio is not None:
+        lags = hold(A.audio_lag(onsets, audio, hop).where(F.col("score") >= LAG_MIN_SCORE).select(*TRACK, "lag"))
+        lead = lags.join(found.select(*TRACK, "bpm"), TRACK).select("song_id", F.col("lag").alias("_lead"), "bpm")
+        hinted = lags.join(lead, "song_id").select(*TRACK, ((F.col("lag") - F.col("_lead")) * F.col("bpm") / 60).alias("hint"))
+        late = late.join(hinted, TRACK, "left").withColumn("latency", F.col("latency") + F.coalesce(F.rint((F.col("hint") - F.col("latency")) / 0.25) * 0.25, F.lit(0.0))).drop("hint")
+    late = hold(late)
     fitted = fit_ms(flat, late, 60.0, 0.0).withColumnRenamed("grid_fit_ms", "_fit")
-    snapped = snap(flat, late, 60.0, 0.0)
-    tempo = found.select("song_id", "bpm", "anchor", "r")
-    seconds = lambda c: F.greatest(F.lit(0.0), F.col("anchor") + (F.col(c) - F.col("base")) * 60.0 / F.col("bpm"))
-    back = snapped.join(tempo, "song_id").withColumns({c: seconds(c) for c in ("start_s", "end_s")}).drop("bpm", "anchor", "r", "base", "step")
-    kind = songs.withColumn("tempo", F.lit("constant"))
-    if mapped is not None:
-        has = mapped.select("song_id").distinct()
-        timed = P.time_at(P.time_at(snapped.join(has, "song_id", "left_semi"), mapped, "start_s", "_on"), mapped, "end_s", "_off").withColumns({"start_s": F.greatest(F.lit(0.0), "_on"), "end_s": F.col("_off")}).drop("_on", "_off", "base", "step")
-        back = back.join(has, "song_id", "left_anti").unionByName(timed)
-        kind = songs.join(has.withColumn("m", F.lit(True)), "song_id", "left").select("song_id", F.when(F.col("m"), "map").otherwise("constant").alias("tempo"))
+    tempo = found.select("song_id", "bpm", "anchor", "r", F.col("track").alias("source_track"))
+    has = mapped.select("song_id").distinct() if mapped is not None else None
+    back = notes
+    if snap_notes:
+        snapped = snap(flat, late, 60.0, 0.0)
+        seconds = lambda c: F.greatest(F.lit(0.0), F.col("anchor") + (F.col(c) - F.col("base")) * 60.0 / F.col("bpm"))
+        back = snapped.join(tempo.drop("source_track"), "song_id").withColumns({c: seconds(c) for c in ("start_s", "end_s")}).drop("bpm", "anchor", "r", "base", "step")
+        if has is not None:
+            timed = P.time_at(P.time_at(snapped.join(has, "song_id", "left_semi"), mapped, "start_s", "_on"), mapped, "end_s", "_off").withColumns({"start_s": F.greatest(F.lit(0.0), "_on"), "end_s": F.col("_off")}).drop("_on", "_off", "base", "step")
+            back = back.join(has, "song_id", "left_anti").unionByName(timed)
+        back = back.unionByName(notes.join(found.select("song_id"), "song_id", "left_anti"))
+    kind = songs.withColumn("tempo", F.lit("constant")) if has is None else songs.join(has.withColumn("m", F.lit(True)), "song_id", "left").select("song_id", F.when(F.col("m"), "map").otherwise("constant").alias("tempo"))
     base = flat.groupBy("song_id").agg(F.min("base").alias("base"))
-    info = kind.join(tempo, "song_id", "left").join(phase, "song_id", "left").join(base, "song_id", "left")
+    info = kind.join(tempo, "song_id", "left").join(phase, "song_id", "left").join(base, "song_id", "left").join(measured.drop("follows"), "song_id", "left")
     bar = F.pmod(one + F.lit(shift_pulses), F.lit(pulses))
     first = F.when(F.col("tempo") == "constant", F.pmod(F.col("anchor") + (bar - F.col("base")) * 60.0 / F.col("bpm"), pulses * 60.0 / F.col("bpm")))
-    tracks = late.join(fitted, TRACK).join(tempo, "song_id").groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("track", F.round(F.col("latency") * 60000 / F.col("bpm"), 2).alias("latency_ms"), F.round(F.col("_fit") * 60 / F.col("bpm"), 2).alias("grid_fit_ms")))).alias("tracks"))
-    return info.join(tracks, "song_id", "left").select("song_id", F.col("r").isNotNull().alias("fitted"), "tempo", "bpm", bar.cast("int").alias("bar_one"), first.alias("first_bar"), "confidence", "tracks"), back
+    each = late.join(fitted, TRACK).join(tempo, "song_id")
+    each = each.join(lags, TRACK, "left") if lags is not None else each.withColumn("lag", F.lit(None).cast("double"))
+    row = F.struct("track", F.round(F.col("latency") * 60000 / F.col("bpm"), 2).alias("latency_ms"), F.round(F.col("_fit") * 60 / F.col("bpm"), 2).alias("grid_fit_ms"), F.round(F.col("lag") * 1000, 1).alias("audio_lag_ms"))
+    tracks = each.groupBy("song_id").agg(F.array_sort(F.collect_list(row)).alias("tracks"), F.max(F.when(F.col("track") == F.col("source_track"), F.col("lag"))).alias("source_lag"))
+    unsure = (F.col("confidence") < PHASE_WARN) & F.lit(downbeat is None and pulses > 1)
+    warnings = F.filter(F.array(
+        F.when(F.col("r").isNull(), "no track sits on a steady grid: nothing was moved"),
+        F.when(unsure, F.format_string("bar one is a guess of low confidence (%.2f)", F.col("confidence"))),
+        F.when(F.abs(F.col("source_lag")) >= SOURCE_LAG_WARN, F.format_string("the notes of %s run %+.0f ms from their sound", F.col("source_track"), F.col("source_lag") * 1000)),
+    ), lambda w: w.isNotNull())
+    out = info.join(tracks, "song_id", "left").select("song_id", F.col("r").isNotNull().alias("fitted"), "tempo", "bpm", bar.cast("int").alias("bar_one"), first.alias("first_bar"), "confidence", "source_track", "constant_offset", "map_gain", "tracks", warnings.alias("warnings"))
+    return out, back

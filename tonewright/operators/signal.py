@@ -144,6 +144,20 @@ def decode_tokens(tokens: DataFrame) -> DataFrame:
     return each.select("clip_id", F.col("k").cast("long").alias("note_id"), (F.col("e.pitch") - 300).cast("int").alias("pitch"), (F.col("e.loud") - 400).cast("int").alias("velocity"), start.alias("start_s"), (start + 0.1).alias("end_s"))
 
 
+def chunked(blocks: DataFrame, size: int) -> DataFrame:
+    """blocks(song_id, stem, channel, block_id, samples, first), ``first`` the place of a block's first sample,
+    as chunks of ``size`` samples, the last filled up with zeros: song_id, stem, channel, chunk, samples."""
+    k = lambda c: F.floor(c / size)
+    n = F.size("samples")
+    spread = blocks.where(n > 0).withColumn("chunk", F.explode(F.sequence(k(F.col("first")), k(F.col("first") + n - 1))))
+    a = F.greatest(F.col("chunk") * size - F.col("first"), F.lit(0))
+    b = F.least((F.col("chunk") + 1) * size - F.col("first"), n)
+    part = F.struct((F.col("first") + a).alias("at"), F.slice("samples", (a + 1).cast("int"), (b - a).cast("int")).alias("x"))
+    listed = spread.groupBy(*STEM, "channel", "chunk").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    whole = F.flatten(F.transform("parts", lambda p: p["x"]))
+    return listed.select(*STEM, "channel", "chunk", F.concat(whole, F.array_repeat(F.lit(0).cast(blocks.schema["samples"].dataType.elementType), F.lit(size) - F.size(whole))).alias("samples"))
+
+
 def mel_filters(rate: int, n_fft: int, n_mels: int, low: float = 0.0, high: float | None = None) -> np.ndarray:
     """Triangular filters at equal steps of the mel scale, of equal area."""
     high = high or rate / 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import merge as G
 from ..operators import signal as A
 from ..operators.measure import onset_dedupe
+from ..operators.tokens import tracked_notes as tracked
 from ..schema import LAG_WINDOW, TRACK
 from ..sources import midi, wav
 from ..sources.notes import NOTES_SQL, notes
@@ -142,6 +143,38 @@ def decode_tokens(spark, d):
     return A.decode_tokens(tokens(spark, d)).select("clip_id", "note_id", "pitch", "velocity", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
 
 
+def model_events(spark, d):
+    """Tokens of a model that writes five seconds at a time and ties all even pitches over every seam."""
+    frame, chunk = F.rint(F.col("start_s") * 100), F.floor(F.col("start_s") / 5)
+    n = notes(spark, d).select(*TRACK, "note_id", "pitch", "velocity", frame.cast("int").alias("frame"), chunk.alias("chunk"))
+    ends = n.groupBy(*TRACK).agg(F.max("chunk").alias("end"))
+    n = n.join(ends, TRACK).withColumns({"seek": F.col("chunk") * 5.0, "next_seek": F.when(F.col("chunk") < F.col("end"), (F.col("chunk") + 1) * 5.0)})
+    place = F.row_number().over(Window.partitionBy(*TRACK, "chunk").orderBy("frame", "note_id")) * 10 + 100
+    token = lambda i, kind, value: F.struct((F.col("place") + i).cast("long").alias("i"), F.lit(kind).alias("type"), value.cast("int").alias("value"))
+    body = n.withColumn("place", place).withColumn("e", F.explode(F.array(token(0, "shift", F.col("frame") - F.col("chunk") * 500), token(1, "program", F.lit(0)), token(2, "velocity", F.col("velocity")), token(3, "pitch", F.col("pitch")))))
+    ties = F.concat(F.array(token(0, "program", F.lit(0))), F.transform(F.sequence(F.lit(0), F.lit(120), F.lit(2)), lambda p: F.struct((p + 1).cast("long").alias("i"), F.lit("pitch").alias("type"), p.cast("int").alias("value"))), F.array(F.struct(F.lit(130).cast("long").alias("i"), F.lit("tie").alias("type"), F.lit(0).alias("value"))))
+    head = n.select(*TRACK, "chunk", "seek", "next_seek").distinct().withColumn("place", F.lit(0)).withColumn("e", F.explode(ties))
+    body = body.withColumn("e", F.struct((F.col("e.i") + 1000).alias("i"), F.col("e.type").alias("type"), F.col("e.value").alias("value")))
+    return head.unionByName(body, allowMissingColumns=True).select(*TRACK, "chunk", "seek", "next_seek", "e.*")
+
+
+@_q("tracked_notes", """n AS (SELECT song_id, track, note_id, pitch, CAST(round_even(start_s * 100, 0) AS BIGINT) AS frame, CAST(floor(start_s / 5) AS BIGINT) AS chunk FROM notes), e AS (SELECT song_id, track, max(chunk) AS last FROM n GROUP BY ALL), c AS (SELECT DISTINCT song_id, track, chunk FROM n),
+o AS (SELECT n.* FROM n JOIN e USING (song_id, track) WHERE chunk = last OR frame < (chunk + 1) * 500), x AS (SELECT *, lead(frame) OVER (PARTITION BY song_id, track, pitch ORDER BY chunk, frame, note_id) AS again FROM o)
+SELECT x.song_id, x.track, 0 AS program, pitch, round(frame / 100.0::double, 4) AS start_s, round(coalesce(least(again, CASE WHEN pitch % 2 = 1 THEN c.chunk * 500 END), frame + 1) / 100.0::double, 4) AS end_s FROM x LEFT JOIN c ON c.song_id = x.song_id AND c.track = x.track AND c.chunk = x.chunk + 1""")
+def tracked_notes(spark, d):
+    """Notes over the seams of a model's chunks: the next of their pitch or the first seam not tied over ends them."""
+    return tracked(model_events(spark, d)).select(*TRACK, "program", "pitch", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"))
+
+
+@_q("chunked_audio", f"{SAMPLES_SQL} SELECT song_id, stem, i // 96 AS chunk, 96 AS n, round(sum(x), 5) AS total, round(sum(x * (i % 96)), 4) AS weighted FROM s GROUP BY ALL")
+def chunked_audio(spark, d):
+    """Chunks of 96 samples, the last filled up with zeros."""
+    c = A.chunked(blocks(spark, d).withColumn("first", F.col("block_id") * SR), 96)
+    add = lambda a, x: a + x
+    zero = F.lit(0.0)
+    return c.select("song_id", "stem", "chunk", F.size("samples").alias("n"), F.round(F.aggregate("samples", zero, add), 5).alias("total"), F.round(F.aggregate(F.transform("samples", lambda x, i: x * i), zero, add), 4).alias("weighted"))
+
+
 @_q("midi_roundtrip", """d AS (SELECT * REPLACE (start_s * 3 + note_id % 2 * 400 AS start_s) FROM notes), t AS (SELECT song_id, track, pitch, velocity, CAST(round_even(note_id * 0.25 * 960, 0) AS BIGINT) AS a FROM d)
 SELECT song_id, track, count(*) AS n, CAST(sum(pitch) AS BIGINT) AS pitches, CAST(sum(velocity) AS BIGINT) AS velocities, round(sum(a / 960.0), 4) AS starts FROM t GROUP BY ALL""")
 def midi_roundtrip(spark, d):

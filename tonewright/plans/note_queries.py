@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleanup as C
 from ..operators import measure as M
 from ..operators import merge as G
+from ..operators.run import process
 from ..schema import DRUM_TO_GM, TRACK, CleanupParams
 from ..sources.notes import GRIDDED_SQL, NOTES_SQL, gridded, notes
 
@@ -94,6 +95,12 @@ def clean_notes(spark, d):
     return _timed(C.clean(notes(spark, d), CleanupParams(legato=True)))
 
 
+@_q("process_notes", f"{FLOOR}, {DEOV.format('floored')}, {CAP.format('deov')}, {SWEEP.format('capped')}, {LEGATO.format('swept')} SELECT {TIMED} FROM tied")
+def process_notes(spark, d):
+    """A whole run at a given tempo, without a grid."""
+    return _timed(process(notes(spark, d), tempo=120.0, params=CleanupParams(legato=True), fit_grid=False).notes)
+
+
 @_q("clean_notes_stats", f"{FLOOR}, {DEOV.format('floored')}, {CAP.format('deov')}, {SWEEP.format('capped')}, {MEASURES.format('swept', 'measured')} SELECT * FROM measured")
 def clean_notes_stats(spark, d):
     return C.measures(C.clean(notes(spark, d)))

@@ -100,6 +100,22 @@ def stamp_constant(spark, d):
     return P.stamp_constant(_grids(spark, d), 6, 8).select("song_id", "tick", F.round("qpm", 6).alias("qpm"))
 
 
+@_q("restamp_tempo", f"""{GRIDS_SQL}, n AS (SELECT song_id, 60.0::double + 40 * song_id AS bpm, anchor FROM grids WHERE 60 + 40 * song_id BETWEEN 20 AND 400), p AS (SELECT *, 360.0 / bpm AS bar, {fmod('anchor', '360.0 / bpm')} AS first FROM n), r AS (SELECT *, CASE WHEN first >= bar / 2 THEN first ELSE first + bar END AS pickup FROM p)
+SELECT song_id, 0 AS tick, round(180 / pickup, 6) AS qpm FROM r UNION ALL SELECT song_id, 2880, round(bpm * 4 / 8, 6) FROM r""")
+def restamp_tempo(spark, d):
+    """A tempo of the user's own, where it is in range."""
+    grids = _grids(spark, d)
+    own = grids.select("song_id", (F.lit(60.0) + 40 * F.col("song_id")).alias("bpm"))
+    return P.restamp(grids, own, 6, 8).select("song_id", "tick", F.round("qpm", 6).alias("qpm"))
+
+
+@_q("move_bar", f"{GRIDS_SQL} SELECT song_id, round(anchor + (song_id - 4) * 60 / bpm, 6) AS anchor FROM grids WHERE abs(song_id - 4) < 4")
+def move_bar(spark, d):
+    """Bar one moved by whole pulses, by less than a bar."""
+    grids = _grids(spark, d)
+    return P.shift_bar(grids, grids.select("song_id", (F.col("song_id") - 4).alias("beats")), 4).select("song_id", F.round("anchor", 6).alias("anchor"))
+
+
 @_q("stamp_map", f"""{SEG}, b AS (SELECT song_id, min(k) AS k0, min(t) AS t0 FROM seg WHERE k >= 1 AND (k - 1) % 4 = 0 AND t >= 2 * (t_next - t) GROUP BY song_id)
 SELECT song_id, CAST(0 AS BIGINT) AS tick, round(240 / t0, 5) AS qpm FROM b UNION ALL SELECT seg.song_id, CAST(3840 + (k - k0) * 960 AS BIGINT), round(60 / (t_next - t), 5) FROM seg JOIN b ON b.song_id = seg.song_id WHERE k >= k0 AND t_next IS NOT NULL""")
 def stamp_map(spark, d):

@@ -36,6 +36,7 @@ MAP_TIGHTNESS = 400
 MAP_GAP, MAP_RECENT = 1.5, 8  # pulses beyond which a gap is filled; pulses whose gaps tell the local one
 PHASE_WARN, SOURCE_LAG_WARN = 0.2, 0.1  # confidence of bar one, and seconds off its audio, that are worth a warning
 LAG_WINDOW = 0.3
+FRAME_RATE, LEAST_NOTE = 100, 0.01  # frames of a second in a model's tokens, and seconds of its shortest note
 LAG_MIN_SCORE = 1.0
 FIT_SPAN, FIT_STEPS = 0.03, 6001
 SEARCH_LOW, SEARCH_HIGH, SEARCH_STEP = 60.0, 200.0, 1e-4

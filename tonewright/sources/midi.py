@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "path string, track_index int, track string, channel int, program int, is_drum boolean, pitch int, velocity int, start_tick long, end_tick long, start_s double, end_s double"
@@ -189,16 +190,19 @@ def read_notes(spark, path: str):
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parsed, SCHEMA)
 
 
-def to_files(notes, bpm: float = 120.0):
-    """notes(song_id, track, program, is_drum, pitch, velocity, start_s, end_s, note_id) -> (song_id, midi binary)."""
+def to_files(notes, bpm: float = 120.0, tempi=None):
+    """notes(song_id, track, program, is_drum, pitch, velocity, start_s, end_s, note_id) -> (song_id, midi
+    binary), at one tempo or at each song's of tempi(song_id, bpm)."""
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["track", "start_s", "pitch", "note_id"])
         tracks = [Track(name, int(g["program"].iloc[0]), bool(g["is_drum"].iloc[0]), list(zip(g["pitch"].tolist(), g["velocity"].tolist(), g["start_s"].tolist(), g["end_s"].tolist()))) for name, g in pdf.groupby("track")]
-        return pd.DataFrame({"song_id": [pdf["song_id"].iloc[0]], "midi": [write(tracks, bpm)]})
+        return pd.DataFrame({"song_id": [pdf["song_id"].iloc[0]], "midi": [write(tracks, float(pdf["_bpm"].iloc[0]))]})
 
-    return notes.groupBy("song_id").applyInPandas(one, "song_id long, midi binary")
+    held = notes.select("song_id", "track", "program", "is_drum", "pitch", "velocity", "start_s", "end_s", "note_id")
+    held = held.withColumn("_bpm", F.lit(bpm)) if tempi is None else held.join(tempi.select("song_id", F.col("bpm").alias("_bpm")), "song_id")
+    return held.groupBy("song_id").applyInPandas(one, "song_id long, midi binary")
 
 
 class _File(InputPartition):

@@ -15,10 +15,14 @@ BLOCKS = "path string, channel int, block_id long, t0 double, sr int, samples ar
 BLOCK = 4096
 
 
-def decode(data: bytes) -> tuple[int, np.ndarray]:
-    """(samples a second, samples x channels in -1 to 1) of 8, 16, 24 or 32 bit PCM."""
+def decode(data: bytes, start: float = 0.0, seconds: float | None = None) -> tuple[int, np.ndarray]:
+    """(samples a second, samples x channels in -1 to 1) of 8, 16, 24 or 32 bit PCM; of a section, nothing
+    outside it is decoded."""
     with wave.open(io.BytesIO(data)) as w:
-        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+        width, channels, rate, n = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.getnframes()
+        a = min(max(int(start * rate), 0), n)
+        w.setpos(a)
+        raw = w.readframes(n - a if seconds is None else min(n - a, int(seconds * rate)))
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 3:
@@ -58,11 +62,24 @@ def read_blocks(spark, path: str, start: float = 0.0, seconds: float | None = No
         for frame in frames:
             out = []
             for p, data in zip(frame["path"], frame["content"]):
-                rate, x = decode(bytes(data))
+                rate, x = decode(bytes(data), start, seconds)
                 a = int(start * rate)
-                b = len(x) if seconds is None else min(len(x), a + int(seconds * rate))
                 for channel in range(x.shape[1]):
-                    out += [(p, channel, k // BLOCK, (a + k) / rate, rate, x[a + k : min(a + k + BLOCK, b), channel].tolist()) for k in range(0, max(b - a, 0), BLOCK)]
+                    out += [(p, channel, k // BLOCK, (a + k) / rate, rate, x[k : k + BLOCK, channel].tolist()) for k in range(0, len(x), BLOCK)]
             yield pd.DataFrame(out, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(blocks, BLOCKS)
+
+
+def to_files(blocks):
+    """blocks(song_id, stem, channel, block_id, sr, samples) -> (song_id, stem, wav binary): a file for each
+    stem, its channels side by side."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.concatenate([np.asarray(s, np.float32) for s in g.sort_values("block_id")["samples"]]) for _, g in pdf.groupby("channel")]
+        n = min(map(len, parts))
+        data = encode(int(pdf["sr"].iloc[0]), np.stack([p[:n] for p in parts], 1))
+        return pd.DataFrame({"song_id": [pdf["song_id"].iloc[0]], "stem": [pdf["stem"].iloc[0]], "wav": [data]})
+
+    return blocks.groupBy("song_id", "stem").applyInPandas(one, "song_id long, stem string, wav binary")
