@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EPOCHS, SEED, BUCKET = 3, 17, 2_000_000
+EPOCHS, SEED, BUCKET = 3, 17, 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Default tree: sources by the last digit of their name, with weights of domains and languages.
 DOMAINS = (("web", 5), ("books", 3), ("code", 2))
