@@ -130,16 +130,3 @@ def map_calibration(spark, d):
     n = gridded(spark, d)
     gain = P.map_gain(n, n, BPM, ANCHOR)
     return gain.select("song_id", *[F.round(c, 4).alias(c) for c in ("constant", "map", "gain")], G.use_map(F.col("constant"), F.col("gain")).alias("use_map"))
-
-
-@_q("grid_apply")
-def grid_apply(spark, d):
-    """The whole constant-grid stage: tested on a song with a known grid."""
-    info, _ = G.apply(gridded(spark, d), 112.0)
-    return info.select("song_id", "fitted", "tempo", F.round("bpm", 3).alias("bpm"), "bar_one", F.round("first_bar", 4).alias("first_bar"), F.round("confidence", 4).alias("confidence"), F.to_json("tracks").alias("tracks"))
-
-
-@_q("grid_apply_notes")
-def grid_apply_notes(spark, d):
-    _, snapped = G.apply(gridded(spark, d), 112.0)
-    return snapped.select(*TRACK, "note_id", "pitch", "velocity", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"))

@@ -104,13 +104,21 @@ def off_fill(spark, d):
 
 FIRST = ANCHOR - math.ceil(ANCHOR / BEAT) * BEAT
 OFFSET = math.ceil(ANCHOR / BEAT)
-CHROMA = f"""pit AS (SELECT * FROM notes WHERE NOT is_drum), fin AS (SELECT song_id, CAST(ceil((max(end_s) - {FIRST!r}::double) / {BEAT!r}::double) AS BIGINT) - 1 AS last FROM pit GROUP BY song_id),
-spread AS (SELECT song_id, pitch, start_s, end_s, unnest(range(greatest(CAST(floor((start_s - {FIRST!r}::double) / {BEAT!r}::double) AS BIGINT), 0), least(CAST(floor((end_s - {FIRST!r}::double) / {BEAT!r}::double) AS BIGINT), last) + 1)) AS beat FROM pit JOIN fin USING (song_id)),
-ov AS (SELECT song_id, beat, pitch % 12 AS pc, least(end_s, {FIRST!r}::double + beat * {BEAT!r}::double + {BEAT!r}::double) - greatest(start_s, {FIRST!r}::double + beat * {BEAT!r}::double) AS w FROM spread),
+
+
+def chroma_sql(source: str, first: str, beat: str) -> str:
+    """Seconds of each pitch class in each pulse of ``source``, whose pulses begin at ``first``."""
+    return f"""pit AS (SELECT * FROM {source} WHERE NOT is_drum), fin AS (SELECT song_id, CAST(ceil((max(end_s) - {first}) / {beat}) AS BIGINT) - 1 AS last FROM pit GROUP BY song_id),
+spread AS (SELECT song_id, pitch, start_s, end_s, unnest(range(greatest(CAST(floor((start_s - {first}) / {beat}) AS BIGINT), 0), least(CAST(floor((end_s - {first}) / {beat}) AS BIGINT), last) + 1)) AS beat FROM pit JOIN fin USING (song_id)),
+ov AS (SELECT song_id, beat, pitch % 12 AS pc, least(end_s, {first} + beat * {beat} + {beat}) - greatest(start_s, {first} + beat * {beat}) AS w FROM spread),
 chroma AS (SELECT song_id, beat, pc, sum(w) AS w FROM ov WHERE w > 0 GROUP BY ALL)"""
-CHANGE = f"""{CHROMA}, nrm AS (SELECT song_id, beat, sqrt(sum(w * w)) AS norm FROM chroma GROUP BY ALL), dot AS (SELECT a.song_id, a.beat, sum(a.w * b.w) AS dot FROM chroma a JOIN chroma b ON a.song_id = b.song_id AND a.pc = b.pc AND a.beat = b.beat + 1 GROUP BY ALL),
+
+
+CHROMA = chroma_sql("notes", f"{FIRST!r}::double", f"{BEAT!r}::double")
+CHANGED = """nrm AS (SELECT song_id, beat, sqrt(sum(w * w)) AS norm FROM chroma GROUP BY ALL), dot AS (SELECT a.song_id, a.beat, sum(a.w * b.w) AS dot FROM chroma a JOIN chroma b ON a.song_id = b.song_id AND a.pc = b.pc AND a.beat = b.beat + 1 GROUP BY ALL),
 chg AS (SELECT song_id, beat, coalesce(change, 0) AS change FROM (SELECT song_id, unnest(range(last + 1)) AS beat FROM fin) LEFT JOIN
  (SELECT x.song_id, x.beat, 1 - coalesce(dot, 0) / x.norm / y.norm AS change FROM nrm x JOIN nrm y ON x.song_id = y.song_id AND x.beat = y.beat + 1 LEFT JOIN dot ON dot.song_id = x.song_id AND dot.beat = x.beat) USING (song_id, beat))"""
+CHANGE = f"{CHROMA}, {CHANGED}"
 
 
 @_q("chroma", f"{CHROMA} SELECT song_id, beat, CAST(pc AS INT) AS pc, round(w, 6) AS w FROM chroma")
@@ -190,3 +198,32 @@ def snap(spark, d):
 def snap_drums(spark, d):
     n = gridded(spark, d).where("is_drum").withColumn("pitch", F.col("pitch"))
     return G.snap(n, G.latency(n, BPM, ANCHOR), BPM, ANCHOR).select(*ROW, "step", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+# The whole stage: the best track's grid, its anchor on the busiest sixteenth, notes in pulses, bar one, latency.
+APPLIED = f"""{DEDUPE}, {PERIODS}, z AS (SELECT song_id, track, i, six, avg(cos(2 * pi() * t / six)) AS x, avg(sin(2 * pi() * t / six)) AS y, count(*) AS n FROM onsets, p GROUP BY ALL HAVING count(*) >= 64),
+f AS (SELECT song_id, track, arg_max(struct_pack(six := six, x := x, y := y, r := sqrt(x * x + y * y)), struct_pack(r := sqrt(x * x + y * y), j := -i)) AS b FROM z GROUP BY ALL),
+g0 AS (SELECT song_id, arg_max(track, b.r) AS track, arg_max(b, b.r) AS b FROM f GROUP BY song_id HAVING max(b.r) >= 0.5), g1 AS (SELECT song_id, track, b.six AS six, {fmod('atan2(b.y, b.x) / (2 * pi()) * b.six', 'b.six')} AS anchor FROM g0),
+busy AS (SELECT song_id, CAST({fmod('round_even((t - anchor) / six, 0)', '4')} AS INT) AS k, count(*) AS n FROM onsets JOIN (SELECT song_id, six, anchor FROM g1) USING (song_id) GROUP BY ALL),
+g AS (SELECT g1.song_id, g1.track AS source_track, 15 / six AS bpm, anchor + k * six AS anchor, ceil((anchor + k * six) / (4 * six)) AS base FROM g1 JOIN (SELECT song_id, arg_max(k, struct_pack(n := n, j := -k)) AS k FROM busy GROUP BY song_id) USING (song_id)),
+flat AS (SELECT n.* REPLACE ((start_s - anchor) * bpm / 60 + base AS start_s, (end_s - anchor) * bpm / 60 + base AS end_s), bpm, anchor, base FROM notes n JOIN g USING (song_id)),
+late AS (SELECT song_id, track, median({fmod('start_s + 0.125::double', '0.25::double')} - 0.125::double) AS latency FROM flat GROUP BY ALL)"""
+
+
+@_q("grid_apply", f"""{APPLIED}, {chroma_sql('flat', '0.0::double', '1.0::double')}, {CHANGED}, sc AS (SELECT song_id, CAST({fmod('beat', '4')} AS INT) AS pulse, avg(change) AS score FROM chg GROUP BY ALL), ph AS (WITH {PHASE_TAIL.format('0', '0')}),
+ms AS (SELECT song_id, round(sum(round(latency * 60000 / bpm, 2)), 1) AS latency_ms, round(sum(round(fit * 60000 / bpm, 2)), 1) AS grid_fit_ms, count(*) AS n_tracks FROM (SELECT song_id, track, bpm, max(latency) AS latency, median(abs({fmod('start_s - latency + 0.125::double', '0.25::double')} - 0.125::double)) AS fit FROM flat JOIN late USING (song_id, track) GROUP BY ALL) GROUP BY song_id)
+SELECT s.song_id, g.bpm IS NOT NULL AS fitted, 'constant' AS tempo, round(bpm, 3) AS bpm, phase AS bar_one, round({fmod('g.anchor + (phase - base) * 60 / bpm', '(240 / bpm)')}, 4) AS first_bar, round(confidence, 4) AS confidence, source_track, n_tracks, latency_ms, grid_fit_ms
+FROM (SELECT DISTINCT song_id FROM notes) s LEFT JOIN g USING (song_id) LEFT JOIN ph USING (song_id) LEFT JOIN ms USING (song_id)""")
+def grid_apply(spark, d):
+    """The whole constant-grid stage on the planted grid, from a guess of 112."""
+    info, _ = G.apply(gridded(spark, d), 112.0)
+    total = lambda c: F.round(F.aggregate(F.transform("tracks", lambda t: t[c]), F.lit(0.0), lambda a, x: a + x), 1).alias(c)
+    return info.select("song_id", "fitted", "tempo", F.round("bpm", 3).alias("bpm"), "bar_one", F.round("first_bar", 4).alias("first_bar"), F.round("confidence", 4).alias("confidence"), "source_track", F.size("tracks").alias("n_tracks"), total("latency_ms"), total("grid_fit_ms"))
+
+
+@_q("grid_apply_notes", f"""{APPLIED}, mv AS (SELECT n.*, greatest(0, round_even((start_s - latency) * 4, 0) / 4) AS a, round_even((end_s - latency) * 8, 0) / 8 AS b FROM flat n JOIN late USING (song_id, track)), st AS (SELECT * EXCLUDE (b), greatest(a + 0.125::double, b) AS b, row_number() OVER (PARTITION BY song_id, track, round_even(a * 4, 0), pitch ORDER BY velocity DESC, note_id) AS r FROM mv),
+whole AS (SELECT song_id, track, note_id, pitch, velocity, greatest(0, anchor + (a - base) * 60 / bpm) AS a, greatest(0, anchor + (b - base) * 60 / bpm) AS b FROM st WHERE NOT is_drum OR r = 1 UNION ALL SELECT song_id, track, note_id, pitch, velocity, start_s, end_s FROM notes WHERE song_id NOT IN (SELECT song_id FROM g))
+SELECT song_id, track, note_id, pitch, velocity, round(a, 4) AS start_s, round(b, 4) AS end_s FROM whole""")
+def grid_apply_notes(spark, d):
+    _, snapped = G.apply(gridded(spark, d), 112.0)
+    return snapped.select(*TRACK, "note_id", "pitch", "velocity", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"))
