@@ -69,9 +69,28 @@ def fit_tracks(spark, d):
     return G.fit_tracks(onset_dedupe(gridded(spark, d)), 112.0).select("song_id", "track", F.round("bpm", 4).alias("bpm"), F.round("r", 6).alias("r"), "n_tracks")
 
 
-@_q("fit_pulse")
+# For the pulse, its half and its third: the best track's grid, its anchor on the busiest sixteenth, and how far that track's onsets lie from its pulses.
+PULSES = f"""{PERIODS}, z AS (SELECT song_id, track, d, i, six / d AS six, avg(cos(2 * pi() * t * d / six)) AS x, avg(sin(2 * pi() * t * d / six)) AS y FROM onsets, p, (SELECT unnest([1, 2, 3]) AS d) GROUP BY ALL HAVING count(*) >= 64),
+f AS (SELECT song_id, track, d, arg_max(struct_pack(six := six, x := x, y := y, r := sqrt(x * x + y * y)), struct_pack(r := sqrt(x * x + y * y), j := -i)) AS b FROM z GROUP BY ALL),
+g0 AS (SELECT song_id, d, arg_max(track, b.r) AS track, arg_max(b, b.r) AS b FROM f GROUP BY song_id, d HAVING max(b.r) >= 0.5), g1 AS (SELECT song_id, d, track, b.six AS six, b.r AS r, {fmod('atan2(b.y, b.x) / (2 * pi()) * b.six', 'b.six')} AS anchor FROM g0),
+busy AS (SELECT song_id, d, CAST({fmod('round_even((t - anchor) / six, 0)', '4')} AS INT) AS k, count(*) AS n FROM onsets JOIN (SELECT song_id, d, six, anchor FROM g1) USING (song_id) GROUP BY ALL),
+g2 AS (SELECT g1.*, anchor + k * six AS on_beat FROM g1 JOIN (SELECT song_id, d, arg_max(k, struct_pack(n := n, j := -k)) AS k FROM busy GROUP BY ALL) USING (song_id, d)),
+s1 AS (SELECT song_id, track, d, 15 / max(six) AS bpm, max(on_beat) AS anchor, max(r) AS r, avg(abs({fmod('t - on_beat + 2 * six', '(4 * six)')} - 2 * six)) AS po FROM g2 JOIN onsets USING (song_id, track) GROUP BY ALL)"""
+
+
+def _finer(before: str, d: int, name: str) -> str:
+    """The coarser pulse kept so far, unless that of factor ``d`` is clearly nearer and mostly played."""
+    return f"""{name}f AS (SELECT * FROM s1 WHERE d = {d}), {name}e AS (SELECT f.song_id, f.track, 60 / f.bpm AS p, f.anchor AS fa, 60 / k.bpm AS c, k.anchor AS ca, min(t) AS a, max(t) AS b FROM {name}f f JOIN {before} k ON f.song_id = k.song_id JOIN onsets o ON o.song_id = f.song_id AND o.track = f.track GROUP BY ALL HAVING count(*) >= 2),
+{name}x AS (SELECT song_id, track, p, fa + k * p AS x FROM (SELECT *, unnest(range(CAST(ceil((a - fa) / p) AS BIGINT), CAST(floor((b - fa) / p) AS BIGINT) + 1)) AS k FROM {name}e) WHERE abs({fmod('fa + k * p - ca + c / 2', 'c')} - c / 2) > p / 4),
+{name}o AS (SELECT song_id, avg(CASE WHEN (SELECT min(abs(t - x.x)) FROM onsets n WHERE n.song_id = x.song_id AND n.track = x.track) <= x.p / 4 THEN 1.0 ELSE 0.0 END) AS filled FROM {name}x x GROUP BY song_id),
+{name} AS (SELECT coalesce(k.song_id, f.song_id) AS song_id, CASE WHEN k.song_id IS NULL OR coalesce(f.po < 0.5 * k.po AND f.po < k.po - 0.002 AND coalesce(filled, 0) >= 0.6, false) THEN struct_pack(track := f.track, d := f.d, bpm := f.bpm, anchor := f.anchor, r := f.r, po := f.po)
+ ELSE struct_pack(track := k.track, d := k.d, bpm := k.bpm, anchor := k.anchor, r := k.r, po := k.po) END AS b FROM {before} k FULL JOIN {name}f f ON k.song_id = f.song_id LEFT JOIN {name}o o ON o.song_id = k.song_id),
+{name}u AS (SELECT song_id, b.track AS track, b.d AS d, b.bpm AS bpm, b.anchor AS anchor, b.r AS r, b.po AS po FROM {name})"""
+
+
+@_q("fit_pulse", f"{DEDUPE}, {PULSES}, k1 AS (SELECT * FROM s1 WHERE d = 1), {_finer('k1', 2, 'two')}, {_finer('twou', 3, 'three')} SELECT song_id, track, CAST(d AS INT) AS factor, round(bpm, 4) AS bpm, round(r, 6) AS r, round(po, 6) AS pulse_offset FROM threeu")
 def fit_pulse(spark, d):
-    """Bar in eighths: pulse, half and third compared; tested on songs with a known pulse."""
+    """Bar in eighths: pulse, half and third compared."""
     return G.fit_pulse(onset_dedupe(gridded(spark, d)), 112.0, den=8).select("song_id", "track", "factor", F.round("bpm", 4).alias("bpm"), F.round("r", 6).alias("r"), F.round("pulse_offset", 6).alias("pulse_offset"))
 
 
