@@ -31,19 +31,20 @@ def de_overlap(notes: DataFrame) -> DataFrame:
 
 def duration_cap(notes: DataFrame, beats: float = 2.0, tempo: float = 120.0) -> DataFrame:
     """A note longer than so many beats ends at the track's next onset, if that comes first."""
-    following = F.expr("min(start_s) OVER (PARTITION BY song_id, track ORDER BY start_s RANGE BETWEEN 1e-6D FOLLOWING AND UNBOUNDED FOLLOWING)")
+    # From the end on, so that the frame only grows: one that shrinks is added up anew for every row.
+    following = F.expr("min(start_s) OVER (PARTITION BY song_id, track ORDER BY start_s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-6D PRECEDING)")
     out = notes.withColumn("_next", following).withColumn("trimmed_duration_cap", F.coalesce((_length() > F.lit(beats * 60.0 / tempo)) & (F.col("_next") < F.col("end_s")), F.lit(False)))
     return out.withColumn("end_s", F.when(F.col("trimmed_duration_cap"), F.col("_next")).otherwise(F.col("end_s"))).drop("_next")
 
 
 def next_onset_after(notes: DataFrame, time: Column, name: str) -> DataFrame:
     """Adds the track's first onset after ``time``. Onsets and questions are one sorted stream, so
-    there is no range join: each question takes the next onset below it."""
+    there is no range join: read from the end, each question takes the last onset above it."""
     asked = notes.withColumns({"_t": time, "_q": F.lit(1)})
     onsets = notes.select(*TRACK, F.col("start_s").alias("_t"), F.lit(0).alias("_q"), F.col("start_s").alias("_onset")).distinct()
     stream = asked.unionByName(onsets, allowMissingColumns=True)
-    below = _by().orderBy("_t", "_q").rowsBetween(1, Window.unboundedFollowing)
-    return stream.withColumn(name, F.first("_onset", ignorenulls=True).over(below)).where("_q = 1").drop("_t", "_q", "_onset")
+    later = _by().orderBy(F.desc("_t"), F.desc("_q")).rowsBetween(Window.unboundedPreceding, -1)
+    return stream.withColumn(name, F.last("_onset", ignorenulls=True).over(later)).where("_q = 1").drop("_t", "_q", "_onset")
 
 
 def legato(notes: DataFrame, gap_beats: float = 0.25, tempo: float = 120.0, joint: float = 0.005) -> DataFrame:

@@ -195,7 +195,7 @@ def off_fill(onsets: DataFrame, grids: DataFrame) -> DataFrame:
     stream = off.unionByName(onsets.select(*TRACK, F.col("t").alias("s"), F.lit(0).alias("q"), F.col("t").alias("onset")), allowMissingColumns=True)
     order = Window.partitionBy(*TRACK).orderBy("s", "q")
     before = F.last("onset", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("onset", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last("onset", True).over(Window.partitionBy(*TRACK).orderBy(F.desc("s"), F.desc("q")).rowsBetween(Window.unboundedPreceding, -1))
     gap = F.least(F.abs(F.col("s") - F.col("before")), F.abs(F.col("after") - F.col("s")))
     return stream.withColumns({"before": before, "after": after}).where("q = 1").groupBy(*TRACK).agg(F.avg((gap <= F.col("near")).cast("double")).alias("off_fill"))
 
@@ -206,7 +206,8 @@ def fit_pulse(onsets: DataFrame, bpm: float | DataFrame, den: int = 4, fixed: bo
     own pulses mostly played)."""
     kept = None
     for d in (1, 2, 3) if den >= 8 and not fixed else (1,):
-        found = fit_tracks(onsets, bpm, factor=d).where(F.col("r") >= min_alignment)
+        # A row per song, read several times below and dear to fit.
+        found = hold(fit_tracks(onsets, bpm, factor=d).where(F.col("r") >= min_alignment))
         aligned = align_to_beats(onsets, found).select("song_id", "track", "bpm", "anchor", "r")
         source = onsets.join(aligned.select("song_id", "track"), TRACK, "left_semi")
         aligned = aligned.join(pulse_offset(source, aligned, ["song_id"]), "song_id").withColumn("factor", F.lit(d))
@@ -218,7 +219,7 @@ def fit_pulse(onsets: DataFrame, bpm: float | DataFrame, den: int = 4, fixed: bo
         asked = both.where("k is not null and f is not null").select("song_id", "f.track", F.col("f.bpm").alias("fine_bpm"), F.col("f.anchor").alias("fine_anchor"), F.col("k.bpm").alias("coarse_bpm"), F.col("k.anchor").alias("coarse_anchor"))
         both = both.join(off_fill(onsets, asked).select("song_id", "off_fill"), "song_id", "left")
         finer = (F.col("f.pulse_offset") < FINER_GAIN * F.col("k.pulse_offset")) & (F.col("f.pulse_offset") < F.col("k.pulse_offset") - PULSE_TOL) & (F.coalesce("off_fill", F.lit(0.0)) >= OFF_FILL)
-        kept = both.select("song_id", F.when(F.col("k").isNull() | F.coalesce(finer, F.lit(False)), F.col("f")).otherwise(F.col("k")).alias("b")).select("song_id", "b.*")
+        kept = hold(both.select("song_id", F.when(F.col("k").isNull() | F.coalesce(finer, F.lit(False)), F.col("f")).otherwise(F.col("k")).alias("b")).select("song_id", "b.*"))
     return kept
 
 
