@@ -1,11 +1,13 @@
 """Codecs, signals, matching, streaming and the cache."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonewright import cli
 from tonewright.functions import backends
 from tonewright.operators import signal as A
 from tonewright.operators.cache import Cache
@@ -13,6 +15,7 @@ from tonewright.operators.run import process
 from tonewright.operators.tokens import EVENTS, tracked_notes
 from tonewright.plans import media_queries
 from tonewright.sources import midi, wav
+from tonewright.sources.notes import frozen
 from tonewright.streaming import event_log
 
 
@@ -229,3 +232,36 @@ def test_a_whole_run(spark):
     assert any("vocals" in r.warning for r in run.warnings.collect())
     assert sum(len(t.notes) for _, t in midi.parse(bytes(run.files().first().midi))[2]) == 450
     assert process(notes, params=None, fit_grid=False).tempo.first().bpm > 0
+
+
+def test_tempo_changes_in_files():
+    tempi = [(0, 100.0), (1920, 140.0), (2880, 95.5)]
+    notes = [(60, 90, 0.1 * k, 0.1 * k + 0.05) for k in range(80)]
+    data = midi.write([midi.Track("t", 0, False, notes)], division=960, tempi=tempi)
+    got = list(midi.rows("", data))
+    assert [r[10] for r in got] == pytest.approx([n[2] for n in notes], abs=1e-3)
+    assert [t for t, _ in midi.parse(data)[1]] == [0, 1920, 2880]
+
+
+def test_grid_command(spark, tmp_path, capsys):
+    """Bar lines come to lie on the beat; no note moves."""
+    beat = 60 / 114
+    chords = [(57, 60, 64), (53, 57, 60), (48, 52, 55), (55, 59, 62)]
+    notes = [(p, 80, 1.0 + beat * (4 * bar + b), 1.0 + beat * (4 * bar + b) + 0.4) for bar in range(24) for b in range(4) for p in chords[bar % 4]]
+    (tmp_path / "in.mid").write_bytes(midi.write([midi.Track("chords", 0, False, notes)]))
+    assert cli.main(["grid", str(tmp_path / "in.mid"), "-o", str(tmp_path / "out.mid"), "--tempo", "114"]) == 0
+    told = json.loads((tmp_path / "out.grid.json").read_text())
+    assert told["bpm"] == pytest.approx(114, rel=1e-3) and "114" in capsys.readouterr().out
+    data = (tmp_path / "out.mid").read_bytes()
+    division, tempi, _ = midi.parse(data)
+    assert sorted(r[10] for r in midi.rows("", data)) == pytest.approx(sorted(n[2] for n in notes), abs=2e-3)
+    bar = midi.seconds([division * 4], division, tempi)[0]
+    off = (bar - told["first_bar"]) / (4 * beat)
+    assert off == pytest.approx(round(off), abs=0.01)
+    assert cli.main(["grid", str(tmp_path / "in.mid"), "-o", str(tmp_path / "o.mid"), "--meter", "7/5"]) == 1
+
+
+def test_frozen_songs(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"bpm": 150, "parts": [{"name": "drums", "drum": True, "notes": [[0.5, 0.6, 36, 100], [1.0, 1.1, 38, 90]]}, {"name": "bass", "notes": []}]}, indent=1))
+    got = frozen(spark, str(tmp_path / "a.json")).collect()
+    assert [(r.track, r.is_drum, r.place, r.pitch, r.velocity, r.start_s, r.end_s) for r in got] == [("drums", True, 0, 36, 100, 0.5, 0.6), ("drums", True, 1, 38, 90, 1.0, 1.1)]

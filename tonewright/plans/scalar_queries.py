@@ -193,6 +193,14 @@ def job_status(spark, d):
     return L.job_status(_log(spark, d))
 
 
+@_q("throttle", f"""WITH RECURSIVE notes AS ({NOTES_SQL}), o AS (SELECT song_id, track, start_s, row_number() OVER (PARTITION BY song_id, track ORDER BY start_s, note_id) AS r FROM notes),
+k AS (SELECT song_id, track, r, start_s AS held, true AS keep FROM o WHERE r = 1 UNION ALL SELECT o.song_id, o.track, o.r, CASE WHEN o.start_s - k.held > 0.4::double - 1e-9 THEN o.start_s ELSE k.held END, o.start_s - k.held > 0.4::double - 1e-9 FROM k JOIN o ON o.song_id = k.song_id AND o.track = k.track AND o.r = k.r + 1)
+SELECT song_id, track, round(held, 6) AS t FROM k WHERE keep""")
+def throttle(spark, d):
+    """Events shown at most every 400 ms."""
+    return L.throttle(notes(spark, d)).select(*TRACK, F.round("t", 6).alias("t"))
+
+
 @_q("lookahead", f"WITH notes AS ({NOTES_SQL}) SELECT song_id, track, note_id, round(start_s, 6) AS start_s FROM notes WHERE start_s >= 60 AND start_s < 62")
 def lookahead(spark, d):
     return L.lookahead(notes(spark, d), 60.0, 2.0).select(*TRACK, "note_id", F.round("start_s", 6).alias("start_s"))

@@ -126,9 +126,21 @@ def seconds(ticks: list[int], division: int, tempi: list[tuple[int, int]]) -> li
     return (begin[k] + (t - at[k]) * length[k]).tolist()
 
 
-def write(tracks: list[Track], bpm: float = 120.0, division: int = 480, meter: tuple[int, int] = (4, 4)) -> bytes:
+def ticks(times: list[float], division: int, tempi: list[tuple[int, int]]) -> list[int]:
+    """Ticks of seconds: the inverse of ``seconds``."""
+    import numpy as np
+
+    at = np.array([t for t, _ in tempi])
+    length = np.array([us for _, us in tempi]) / 1e6 / division
+    begin = np.concatenate([[0.0], np.cumsum(np.diff(at) * length[:-1])])
+    t = np.asarray(times, dtype=float)
+    k = np.maximum(np.searchsorted(begin, t, "right") - 1, 0)
+    return np.rint(at[k] + (t - begin[k]) / length[k]).astype(int).tolist()
+
+
+def write(tracks: list[Track], bpm: float = 120.0, division: int = 480, meter: tuple[int, int] = (4, 4), tempi: list[tuple[int, float]] | None = None) -> bytes:
     """A type 1 file: a conductor track, then one track each; drums on channel 9, others around it; at one
-    tick notes end before others begin."""
+    tick notes end before others begin. tempi: changes (tick, quarters a minute), from tick 0 on."""
     def chunk(kind: bytes, body: bytes) -> bytes:
         return kind + struct.pack(">I", len(body)) + body
 
@@ -139,18 +151,18 @@ def write(tracks: list[Track], bpm: float = 120.0, division: int = 480, meter: t
             last = tick
         return chunk(b"MTrk", out + b"\x00\xff\x2f\x00")
 
-    us = round(60e6 / bpm)
-    parts = [track([(0, 0, b"\xff\x51\x03" + us.to_bytes(3, "big")), (0, 0, bytes([0xFF, 0x58, 4, meter[0], meter[1].bit_length() - 1, 24, 8]))])]
+    changes = [(tick, min(round(60e6 / qpm), (1 << 24) - 1)) for tick, qpm in tempi or [(0, bpm)]]
+    conductor = [(tick, 0, b"\xff\x51\x03" + us.to_bytes(3, "big")) for tick, us in changes]
+    parts = [track([*conductor, (0, 0, bytes([0xFF, 0x58, 4, meter[0], meter[1].bit_length() - 1, 24, 8]))])]
     k = 0
     for t in tracks:
         channel = DRUM_CHANNEL if t.is_drum else (k % 15 if k % 15 < DRUM_CHANNEL else k % 15 + 1)
         k += not t.is_drum
         name = t.name.encode()
         events = [(0, 0, b"\xff\x03" + number(len(name)) + name), (0, 1, bytes([0xC0 | channel, t.program]))]
-        for pitch, velocity, start, end in t.notes:
-            a = round(start * 1e6 * division / us)
-            b = max(a + 1, round(end * 1e6 * division / us))
-            events += [(a, 3, bytes([0x90 | channel, pitch, max(1, min(127, velocity))])), (b, 2, bytes([0x80 | channel, pitch, 0]))]
+        flat = ticks([x for n in t.notes for x in n[2:]], division, changes)
+        for (pitch, velocity, _, _), a, b in zip(t.notes, flat[::2], flat[1::2]):
+            events += [(a, 3, bytes([0x90 | channel, pitch, max(1, min(127, velocity))])), (max(a + 1, b), 2, bytes([0x80 | channel, pitch, 0]))]
         parts.append(track(events))
     return chunk(b"MThd", struct.pack(">HHH", 1, len(parts), division)) + b"".join(parts)
 
@@ -190,18 +202,27 @@ def read_notes(spark, path: str):
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parsed, SCHEMA)
 
 
-def to_files(notes, bpm: float = 120.0, tempi=None):
+def to_files(notes, bpm: float = 120.0, tempi=None, stamps=None, division: int = 480, meter: tuple[int, int] = (4, 4)):
     """notes(song_id, track, program, is_drum, pitch, velocity, start_s, end_s, note_id) -> (song_id, midi
-    binary), at one tempo or at each song's of tempi(song_id, bpm)."""
+    binary), at one tempo, at each song's of tempi(song_id, bpm), or with the tempo changes of
+    stamps(song_id, tick, qpm), whose ticks are of ``division`` to a quarter."""
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["track", "start_s", "pitch", "note_id"])
         tracks = [Track(name, int(g["program"].iloc[0]), bool(g["is_drum"].iloc[0]), list(zip(g["pitch"].tolist(), g["velocity"].tolist(), g["start_s"].tolist(), g["end_s"].tolist()))) for name, g in pdf.groupby("track")]
-        return pd.DataFrame({"song_id": [pdf["song_id"].iloc[0]], "midi": [write(tracks, float(pdf["_bpm"].iloc[0]))]})
+        changes = [(int(r["tick"]), float(r["qpm"])) for r in pdf["_tempi"].iloc[0]]
+        return pd.DataFrame({"song_id": [pdf["song_id"].iloc[0]], "midi": [write(tracks, division=division, meter=meter, tempi=changes)]})
 
     held = notes.select("song_id", "track", "program", "is_drum", "pitch", "velocity", "start_s", "end_s", "note_id")
-    held = held.withColumn("_bpm", F.lit(bpm)) if tempi is None else held.join(tempi.select("song_id", F.col("bpm").alias("_bpm")), "song_id")
+    one_tempo = lambda c: F.array(F.struct(F.lit(0).cast("long").alias("tick"), c.cast("double").alias("qpm")))
+    if stamps is not None:
+        listed = stamps.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct(F.col("tick").cast("long").alias("tick"), "qpm"))).alias("_tempi"))
+        held = held.join(listed, "song_id")
+    elif tempi is not None:
+        held = held.join(tempi.select("song_id", one_tempo(F.col("bpm")).alias("_tempi")), "song_id")
+    else:
+        held = held.withColumn("_tempi", one_tempo(F.lit(bpm)))
     return held.groupBy("song_id").applyInPandas(one, "song_id long, midi binary")
 
 

@@ -38,6 +38,17 @@ def gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).withColumn("_new", new).withColumns({"end_s": F.col("_new") + (F.col("end_s") - F.col("start_s")), "start_s": F.col("_new")}).drop("_new")
 
 
+def frozen(spark: SparkSession, path: str) -> DataFrame:
+    """Notes of songs frozen as JSON, a file each: {"parts": [{"name", "drum", "notes": [[start, end, pitch,
+    velocity], ...]}]} -> path, part, track, is_drum, place, pitch, velocity, start_s, end_s."""
+    schema = "parts array<struct<name:string,drum:boolean,notes:array<array<double>>>>"
+    songs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    parts = songs.select("path", F.posexplode("parts").alias("part", "p"))
+    rows = parts.select("path", "part", F.col("p.name").alias("track"), F.coalesce("p.drum", F.lit(False)).alias("is_drum"), F.posexplode("p.notes").alias("place", "n"))
+    at = lambda k: F.get("n", F.lit(k))
+    return rows.select("path", "part", "track", "is_drum", "place", at(2).cast("int").alias("pitch"), at(3).cast("int").alias("velocity"), at(0).alias("start_s"), at(1).alias("end_s"))
+
+
 NOTES_SQL = """SELECT user_id % 10 AS song_id, event_type AS track, event_id AS note_id, CAST(36 + CAST(json_extract_string(props, '$.k') AS INT) % 48 AS INT) AS pitch,
  CAST(1 + (event_id * 31) % 127 AS INT) AS velocity, date_diff('microsecond', timestamp '2024-01-01 00:00:00', ts) / 1e10::double AS start_s,
  date_diff('microsecond', timestamp '2024-01-01 00:00:00', ts) / 1e10::double + value / 100::double AS end_s, event_type = 'click' AS is_drum, 0 AS program FROM events"""

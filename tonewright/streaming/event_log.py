@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.measure import onset_dedupe
+
 EVENTS = "job_id string, seq long, stage string, message string, part string, notes long"
 ENDED = ("done", "error")
 
@@ -35,6 +37,11 @@ def lookahead(events: DataFrame, now: float, ahead: float = 0.2, time: str = "st
     return events.where((F.col(time) >= now) & (F.col(time) < now + ahead))
 
 
+def throttle(events: DataFrame, gap: float = 0.4) -> DataFrame:
+    """events(song_id, track, note_id, start_s) -> those at least ``gap`` seconds after the last one shown."""
+    return onset_dedupe(events, gap - 1e-9)
+
+
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(EVENTS)
     if max_files:
