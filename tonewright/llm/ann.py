@@ -31,7 +31,8 @@ from .common import settle
 EVERY, RESULTS = 20, 20
 TARGET, PROBES = 0.95, 128  # recall to reach on so many queries, those of least hash
 SAMPLE = 20_000  # vectors, about, that the codebooks are fitted on, those of least hash
-SHARD, BATCH = 8_192, 8_192  # vectors in a shard, and queries (about) that meet it in one task
+SHARD, BATCH = 8_192, 8_192  # most vectors in a shard, and queries (about) that meet it in one task
+SHARDS = 64  # shards that smaller tables are dealt over as well
 ROUNDS = 12
 
 
@@ -147,10 +148,11 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
         sizes[row["cell"]] = row["n"]
     candidates = enough(placed, rows.where(F.col("vec_id") % every == 0), books, parts, sizes, results, target)
     shard_of, over, shard, held = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32), 0, 0
+    most = int(np.clip(n // SHARDS, 512, SHARD))
     for cell, size in enumerate(sizes.tolist()):
-        if held and held + size > SHARD:
+        if held and held + size > most:
             shard, held = shard + 1, 0
-        shard_of[cell], over[cell] = shard, -(-size // SHARD) or 1
+        shard_of[cell], over[cell] = shard, -(-size // most) or 1
         held += size
         if over[cell] > 1:
             shard, held = shard + int(over[cell]), 0
