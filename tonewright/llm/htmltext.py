@@ -11,7 +11,8 @@ bounded sample of pages that mark their article; there the blocks inside it are
 The sample is of rows of any length; tasks send on its features, not its pages.
 
 Cases: null, empty and blank html and pages without a good block give the empty text;
-comments, scripts, styles and tags that never close end with the page; a quote opens a value
+comments, scripts, styles and tags that never close end with the page; what stands in scripts, styles,
+templates, drawings, frames and text areas is shown by no browser as text, or is a form's, and goes; a quote opens a value
 only after an equals sign, so one inside a bare value is part of it; unknown tags are
 inline, and what stands in math, objects, canvases and noscript is text like other; very long pages
 are parsed whole in one task, in time proportional to their length; pages of equal html give equal
