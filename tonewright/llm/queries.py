@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, dac, decontaminate, htmltext, importance, jaccard, langid, mixing, quality, suffixes
+from . import ann, audit, chat, dac, decontaminate, htmltext, importance, jaccard, langid, mixing, quality, suffixes
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_chat_format": chat.query,
     "op10_quality": quality.query,
     "op11_importance": importance.query,
+    "op12_filter_audit": audit.query,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op11_importance": importance.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }
