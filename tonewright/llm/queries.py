@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, audit, chat, dac, decontaminate, htmltext, importance, jaccard, langid, mixing, quality, suffixes
+from . import ann, audit, chat, dac, decontaminate, htmltext, importance, jaccard, langid, mixing, quality, shards, suffixes
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_quality": quality.query,
     "op11_importance": importance.query,
     "op12_filter_audit": audit.query,
+    "op13_shards": shards.query,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op11_importance": importance.ORACLE,
     "op12_filter_audit": audit.ORACLE,
+    "op13_shards": shards.ORACLE,
 }
