@@ -35,6 +35,7 @@ from . import common
 LETTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SIGNS = 100, 80, 10, b"#$%&*|"
 HELD = 32 << 20  # bytes of texts that a task holds to find repeats among its own rows
+ROUTED = 64 << 20  # bytes of texts for each partition that they are routed to
 COLUMNS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 _SIGN = re.compile(b"[" + re.escape(SIGNS) + b"]")
 _REPEAT = 1 << LETTERS.index("E")
@@ -108,9 +109,10 @@ def _met(records: Iterable) -> Iterator[tuple]:
 
 def masks(docs: DataFrame, part: str = "lang") -> RDD:
     """(doc_id, part, mask, n) of all documents: n rows of this id and part fail the filters of the mask."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(part).cast("string"), F.col("text").cast("string")).rdd
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    routed = rows.mapPartitions(_own).repartitionAndSortWithinPartitions(n, lambda key: key[0])
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(size // ROUTED, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(part).cast("string"), F.col("text").cast("string"))
+    routed = rows.rdd.mapPartitions(_own).repartitionAndSortWithinPartitions(n, lambda key: key[0])
     return routed.mapPartitions(_met)
 
 
