@@ -436,6 +436,9 @@ def test_neighbours_hard(spark):
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want)
     assert ann.search(table.limit(0)).count() == 0
+    line = spark.createDataFrame([(i, [float(i - 30)]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(line, target=1.0).collect()}
+    assert len(got) == 60 and got[0, 1] == (1, 870.0) and got[40, 1] == (59, 290.0)
     assert ann.search(table.where("vec_id in (0, 7)")).count() == 1
 
 
@@ -499,7 +502,7 @@ class Leaves(HTMLParser):
             if around and self.open[around[-1]][0] in ("p", *ends):
                 del self.open[around[-1] :]
         if tag in htmltext.VOID:
-            self.held += " "
+            self.held += " " * (tag == "br")
         else:
             self.open.append((tag, attrs))
 
@@ -522,12 +525,25 @@ def test_blocks_equal_another_parser(sf):
     rng = random.Random(12)
     pages = [h for (h,) in connect(sf).sql("select html from pages").fetchall()]
     tags = ["p", "div", "b", "i", "a", "li", "ul", "td", "tr", "table", "section", "math", "object", "canvas", "noscript", "font", "span", "h2"]
-    bits = ["<{0}>", "</{0}>", "<{0}>", "</{0}>", "<{0} title=don't>", "<{0} title='a > b'>", '<{0} class="x y" id=z>', "<{0}\n hidden>", "<br>", "<img src=a alt='q'>", "word ", " two words ", "&amp;", "&eacute;", "1 < 2", "<!-- <p>gone</p> -->", "<script>if (a < b) x = '<p>';</script>", "<style>p {{}}</style>"]
+    bits = ["<{0}>", "</{0}>", "<{0}>", "</{0}>", "<{0} title=don't>", "<{0} title='a > b'>", '<{0} class="x y" id=z>', "<{0}\n hidden>", "<br>", "<img src=a alt='q'>", "word ", " two words ", "&amp;", "&eacute;", "1 < 2", "<!-- <p>gone</p> -->", "foo<wbr>", "&am<b></b>p;", "&am<i>p;</i>", "<script>if (a < b) x = '<p>';</script>", "<style>p {{}}</style>"]
     pages += ["".join(rng.choice(bits).format(rng.choice(tags)) for _ in range(rng.randint(1, 60))) for _ in range(400)]
     for page in pages:
         assert [b[0] for b in htmltext.blocks(page)] == [b[0] for b in Leaves(page).out], page
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>a one</p><!--><p>b two</p></article>", ["a one", "b two"]),
+    ("<p>a<!---></p><p>c</p>", ["a", "c"]),
+    ("<p>a<!-- x --!>b</p><p>c</p>", ["ab", "c"]),
+    ("<p>a</p><script>x</script foo><p>b</p>", ["a", "b"]),
+    ("<p>a</p><style>x</style/><p>b</p><script>y</scriptx><p>z</p></script ><p>c</p>", ["a", "b", "c"]),
+    ("<p>super<wbr>cali foo<img src=x>bar a<br>b</p>", ["supercali foobar a b"]),
+    ("<p>&am<b></b>p; x &amp; y &lt<b>;</b></p>", ["&amp; x & y <;"]),
+])
+def test_where_things_end(page, want):
+    assert [b[0] for b in htmltext.blocks(page)] == want
+
+
 def test_quotes_in_bare_values_and_long_pages():
     page = "<article><p title=don't>First paragraph here.</p><p title=can't>Second one.</p><p>with <math><mi>x</mi></math> and <object>fallback</object></p></article>"
     assert [b[0] for b in htmltext.blocks(page)] == ["First paragraph here.", "Second one.", "with x and fallback"]

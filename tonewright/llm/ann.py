@@ -37,6 +37,8 @@ ROUNDS = 12
 
 def codebook(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     """k-means (Lloyd) with centroids started at distinct sample rows."""
+    if not x.shape[1]:  # the second half of vectors of one component
+        return np.zeros((1, 0))
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(ROUNDS):
@@ -184,9 +186,11 @@ def search(vectors: DataFrame, every: int = EVERY, results: int = RESULTS, targe
 
     asked = rows.where(F.col("vec_id") % every == 0)
     distinct = settle(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")), "queries")
-    batches = -(-distinct.count() // BATCH) or 1
-    left = distinct.select("qid", "embedding").mapInArrow(common.tidy(probes), "shard int, qid long, embedding array<double>, cells array<int>").withColumn("batch", F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int"))
-    right = placed.mapInArrow(common.tidy(dealt), "shard int, cell int, embedding array<double>, ids array<long>").withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    visits = settle(distinct.select("qid", "embedding").mapInArrow(common.tidy(probes), "shard int, qid long, embedding array<double>, cells array<int>"), "visits")
+    # A shard is copied as often as the queries that visit it fill batches, and not at all if none does.
+    batches = visits.groupBy("shard").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("batches"))
+    left = visits.join(batches, "shard").withColumn("batch", F.pmod(F.xxhash64("qid"), "batches").cast("int")).drop("batches")
+    right = placed.mapInArrow(common.tidy(dealt), "shard int, cell int, embedding array<double>, ids array<long>").join(batches, "shard").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
 
     def rank(queries: pa.Table, held: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])

@@ -11,7 +11,8 @@ bounded sample of pages that mark their article; there the blocks inside it are
 The sample is of rows of any length; tasks send on its features, not its pages.
 
 Cases: null, empty and blank html and pages without a good block give the empty text;
-comments, scripts, styles and tags that never close end with the page; what stands in scripts, styles,
+comments, scripts, styles and tags that never close end with the page, others where browsers end them
+(a comment at once after its dashes or at ``--!>``, a script at any end tag of its name); what stands in scripts, styles,
 templates, drawings, frames and text areas is shown by no browser as text, or is a form's, and goes; a quote opens a value
 only after an equals sign, so one inside a bare value is part of it; unknown tags are
 inline, and what stands in math, objects, canvases and noscript is text like other; very long pages
@@ -60,8 +61,8 @@ N_BITS = len(TAGS) + len(HINTS)
 N_TEXT = 9
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|svg|iframe|textarea)(?=[\s/>])(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|template|svg|iframe|textarea)(?=[\s/>])(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?:>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
@@ -92,7 +93,7 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
     def close() -> None:
         nonlocal held, linked
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
                 out.append((text, bits, min(1.0, linked / max(1, len(text)))))
         held, linked = [], 0
@@ -112,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         if tag is None:
             text = found.group()
             if text[0] != "<" or text == "<":
-                held.append(text)
+                held.append(entities.unescape(text))  # a reference never goes on past a tag
                 linked += in_link and len(text.strip())
             continue
         tag = tag.lower()
@@ -126,7 +127,8 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
                 pop(k)
             continue
         if tag in VOID:
-            held.append(" ")
+            if tag == "br":  # the others part no words
+                held.append(" ")
             continue
         if tag in BLOCKS:
             # A paragraph ends where a block begins; items and cells end their like.

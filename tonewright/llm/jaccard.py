@@ -165,7 +165,7 @@ def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarr
     order = np.argsort(term, kind="stable")
     posted, length = doc[order], np.bincount(term, minlength=1)
     first = np.cumsum(length) - length
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n))  # doubles: counts are exact beyond 2**24 as well
     heavy = np.flatnonzero(length > max(16, n // SHARE))
     for k in range(0, len(heavy), SLAB):
         lists = heavy[k : k + SLAB]
