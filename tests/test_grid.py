@@ -45,6 +45,26 @@ def test_fit_equals_a_plain_loop(spark):
     assert np.abs(free - [abs(np.exp(2j * np.pi * t * b / 15).mean()) for b in tempi]).max() < 1e-9
 
 
+def test_fit_of_songs_at_all_tempi(spark):
+    """Tables of tempi give what single tempi give, from 20 to 400, also for twice and three times the pulse."""
+    tempi = [20.0, 33.0, 40.0, 57.0, 120.0, 210.0, 300.0, 400.0]
+    rows = [(i, "t", float(s)) for i, b in enumerate(tempi) for s in steps(b * 1.004, 300, jitter=0.001)]
+    on = spark.createDataFrame(rows, "song_id long, track string, t double")
+    near = spark.createDataFrame([*enumerate(tempi), (99, 50.0)], "song_id long, bpm double")
+    for factor in (1, 2, 3):
+        got = {r.song_id: r for r in G.fit(on, near, factor=factor).collect()}
+        assert sorted(got) == list(range(len(tempi))) and all(r.r <= 1 for r in got.values())
+        for i, b in enumerate(tempi):
+            if factor == 1:
+                assert got[i].bpm == pytest.approx(b * 1.004, rel=2e-4)
+    one = G.fit(on.where("song_id = 6"), 300.0).first()
+    assert one.bpm == pytest.approx(G.fit(on, near).where("song_id = 6").first().bpm, rel=1e-9)
+    bad = spark.createDataFrame([(0, None), (1, 0.0), (2, -5.0), (3, 57.0)], "song_id long, bpm double")
+    assert [r.song_id for r in G.fit(on, bad).collect()] == [3]
+    with pytest.raises(ValueError):
+        G.Spectrum(G.moments(onsets(spark, steps(100, 300)), 5.0, 6.0).toPandas()).of(np.array([0.1]))
+
+
 @pytest.mark.parametrize("beats", [[0.0, 1.0, 2.0, 5.0, 6.0], [0.0, 0.5, 3.0, 3.5, 4.0, 9.0, 9.5], [1.0, 1.4], [0.0, 1.0, 2.5, 4.0, 5.5, 7.1, 7.2, 11.0]])
 def test_gaps_are_filled_at_the_local_pulse(beats):
     """By the rule itself: while the next pulse is more than one and a half off, another is put out."""

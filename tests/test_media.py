@@ -234,6 +234,33 @@ def test_a_whole_run(spark):
     assert process(notes, params=None, fit_grid=False).tempo.first().bpm > 0
 
 
+NOTE = "song_id long, track string, note_id long, pitch int, velocity int, start_s double, end_s double, is_drum boolean, program int"
+
+
+def test_a_run_goes_at_its_own_tempo(spark):
+    """Two beats are two seconds at 60: a note of 1.5 s stays whole; at 120 it ends at the next onset."""
+    notes = spark.createDataFrame([(s, "bass", i, 40 + i, 90, a, b, False, 0) for s in (0, 1) for i, (a, b) in enumerate([(0.0, 1.5), (1.2, 1.4)])], NOTE)
+    tempi = spark.createDataFrame([(0, 60.0), (1, 120.0)], "song_id long, bpm double")
+    run = process(notes, tempo=tempi, fit_grid=False)
+    assert {r.song_id: r.end_s for r in run.notes.where("start_s = 0").collect()} == {0: 1.5, 1: 1.2}
+    assert process(notes.where("song_id = 0"), tempo=60.0, fit_grid=False).notes.agg({"end_s": "max"}).first()[0] == 1.5
+    some = process(notes, tempo=tempi.where("song_id = 0"), fit_grid=False, groups=(1, 1, 1))
+    said = {(r.song_id, r.warning) for r in some.warnings.collect()}
+    assert (1, "no tempo found: written at 120 BPM") in said and sum("meter" in w for _, w in said) == 2
+    some.release()
+
+
+def test_sparse_stems_by_tempo_and_meter(spark):
+    """Eight bars last 32 s at 60 BPM in 4/4 and 24 s in 3/4."""
+    notes = spark.createDataFrame([(0, "bass", 0, 40, 90, 1.0, 1.5, False, 0)], NOTE)
+    more = spark.createDataFrame([(0, "bass", 1 + i, 40, 90, float(i), i + 0.5, False, 0) for i in range(20)], NOTE)
+    stems = spark.createDataFrame([(0, "bass", 28.0, 0.1)], "song_id long, track string, seconds double, rms double")
+    four = process(notes, stems, more, tempo=60.0, fit_grid=False)
+    three = process(notes, stems, more, tempo=60.0, fit_grid=False, groups=(1, 1, 1))
+    assert four.notes.count() == 1 and three.notes.count() == 20
+    assert any("fallback" in r.warning for r in three.warnings.collect())
+
+
 def test_tempo_changes_in_files():
     tempi = [(0, 100.0), (1920, 140.0), (2880, 95.5)]
     notes = [(60, 90, 0.1 * k, 0.1 * k + 0.05) for k in range(80)]

@@ -11,6 +11,10 @@ def _length() -> Column:
     return F.col("end_s") - F.col("start_s")
 
 
+def _seconds(beats: float, tempo: float | Column) -> Column:
+    return F.lit(beats * 60.0) / tempo if isinstance(tempo, Column) else F.lit(beats * 60.0 / tempo)
+
+
 def _by(*more: str):
     return Window.partitionBy(*TRACK, *more)
 
@@ -29,11 +33,11 @@ def de_overlap(notes: DataFrame) -> DataFrame:
     return notes.withColumn("_again", again).withColumns({"trimmed_de_overlap": F.coalesce(F.col("end_s") > F.col("_again"), F.lit(False)), "end_s": F.least("end_s", F.coalesce("_again", "end_s"))}).drop("_again")
 
 
-def duration_cap(notes: DataFrame, beats: float = 2.0, tempo: float = 120.0) -> DataFrame:
+def duration_cap(notes: DataFrame, beats: float = 2.0, tempo: float | Column = 120.0) -> DataFrame:
     """A note longer than so many beats ends at the track's next onset, if that comes first."""
     # From the end on, so that the frame only grows: one that shrinks is added up anew for every row.
     following = F.expr("min(start_s) OVER (PARTITION BY song_id, track ORDER BY start_s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1e-6D PRECEDING)")
-    out = notes.withColumn("_next", following).withColumn("trimmed_duration_cap", F.coalesce((_length() > F.lit(beats * 60.0 / tempo)) & (F.col("_next") < F.col("end_s")), F.lit(False)))
+    out = notes.withColumn("_next", following).withColumn("trimmed_duration_cap", F.coalesce((_length() > _seconds(beats, tempo)) & (F.col("_next") < F.col("end_s")), F.lit(False)))
     return out.withColumn("end_s", F.when(F.col("trimmed_duration_cap"), F.col("_next")).otherwise(F.col("end_s"))).drop("_next")
 
 
@@ -47,18 +51,19 @@ def next_onset_after(notes: DataFrame, time: Column, name: str) -> DataFrame:
     return stream.withColumn(name, F.last("_onset", ignorenulls=True).over(later)).where("_q = 1").drop("_t", "_q", "_onset")
 
 
-def legato(notes: DataFrame, gap_beats: float = 0.25, tempo: float = 120.0, joint: float = 0.005) -> DataFrame:
+def legato(notes: DataFrame, gap_beats: float = 0.25, tempo: float | Column = 120.0, joint: float = 0.005) -> DataFrame:
     """Closes gaps of up to so many beats before the next onset, but for a short joint."""
     out = next_onset_after(notes, F.col("end_s") - F.lit(1e-9), "_next").withColumn("_gap", F.col("_next") - F.col("end_s"))
-    close = F.coalesce((F.col("_gap") > 0) & (F.col("_gap") <= F.lit(gap_beats * 60.0 / tempo)), F.lit(False))
+    close = F.coalesce((F.col("_gap") > 0) & (F.col("_gap") <= _seconds(gap_beats, tempo)), F.lit(False))
     return out.withColumn("extended_legato", close).withColumn("end_s", F.when(F.col("extended_legato"), F.col("_next") - F.lit(joint)).otherwise(F.col("end_s"))).drop("_next", "_gap")
 
 
-def quantize(notes: DataFrame, step: float = 0.125, strength: float = 0.5, keep_duration: bool = True, least: float = 0.02) -> DataFrame:
+def quantize(notes: DataFrame, step: float | Column = 0.125, strength: float = 0.5, keep_duration: bool = True, least: float = 0.02) -> DataFrame:
     """Pulls starts toward the grid by ``strength``; ends move along or to the grid themselves."""
     if not 0 < strength <= 1:
         return notes
-    pull = lambda c: (F.rint(F.col(c) / F.lit(step)) * F.lit(step) - F.col(c)) * F.lit(strength)
+    step = step if isinstance(step, Column) else F.lit(step)
+    pull = lambda c: (F.rint(F.col(c) / step) * step - F.col(c)) * F.lit(strength)
     out = notes.withColumns({"_d": pull("start_s"), "_e": pull("end_s")}).withColumn("quantized", F.col("_d") != 0)
     end = F.col("end_s") + (F.col("_d") if keep_duration else F.col("_e"))
     out = out.withColumns({"_s": F.when(F.col("quantized"), F.col("start_s") + F.col("_d")).otherwise(F.col("start_s")), "_f": F.when(F.col("quantized"), end).otherwise(F.col("end_s"))})
@@ -94,20 +99,23 @@ def islands(notes: DataFrame) -> DataFrame:
     return notes.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def clean(notes: DataFrame, p: CleanupParams = CleanupParams()) -> DataFrame:
-    """All steps in their fixed order; trimmed and extended notes carry flags."""
+def clean(notes: DataFrame, p: CleanupParams = CleanupParams(), tempo: Column | None = None) -> DataFrame:
+    """All steps in their fixed order; trimmed and extended notes carry flags. ``tempo``: a column of the
+    notes, quarters a minute, in place of that of the parameters."""
+    step = p.step if tempo is None else F.lit(60.0 / p.quantize_division) / tempo
+    tempo = p.tempo if tempo is None else tempo
     out = velocity_floor(notes, p.velocity_floor)
     if p.monophonic:
         out = monophonic(out, p.mono_keep)
     if p.quantize:
-        out = quantize(out, p.step, p.quantize_strength, p.quantize_keep_duration, p.min_duration)
+        out = quantize(out, step, p.quantize_strength, p.quantize_keep_duration, p.min_duration)
     if p.de_overlap:
         out = de_overlap(out)
     if p.duration_cap and p.max_duration_beats > 0:
-        out = duration_cap(out, p.max_duration_beats, p.tempo)
+        out = duration_cap(out, p.max_duration_beats, tempo)
     out = min_duration(out, p.min_duration)
     if p.legato:
-        out = legato(out, p.legato_max_gap_beats, p.tempo, p.legato_gap)
+        out = legato(out, p.legato_max_gap_beats, tempo, p.legato_gap)
     return out
 
 

@@ -7,6 +7,8 @@ columns, so many songs are fitted in one job.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -35,19 +37,21 @@ def alignment(onsets: DataFrame, six: float | Column, keys: list[str] = TRACK) -
 
 #: A stretch of time in seconds; within it the sums of a band of periods are a polynomial of TERMS terms.
 STRETCH, TERMS = 16.0, 14
+BAND = 2 / (math.pi * STRETCH)  # Hz from one band to the next
 
 
-def moments(onsets: DataFrame, low: float, high: float, keys: list[str] = TRACK) -> DataFrame:
-    """What the periods of frequencies [low, high] Hz need to know of each track: per stretch of time and
-    band of frequencies (around ``f0``, wide enough that a stretch turns by one radian either way),
-    the sums of u**m cos and u**m sin, u an onset's place in its stretch and the angle at f0.
+def moments(onsets: DataFrame, low: float | Column, high: float | Column, keys: list[str] = TRACK) -> DataFrame:
+    """What the periods of frequencies [low, high] Hz, of all or of each onset's song, need to know of each
+    track: per stretch of time and band of frequencies (around ``f0``, wide enough that a stretch turns by
+    one radian either way), the sums of u**m cos and u**m sin, u an onset's place in its stretch and the
+    angle at f0.
 
     A candidate's sum over all onsets is then a few terms for each stretch, however many onsets there are.
     All sums add up, so they are taken before the shuffle and no task sees a track."""
-    half = 1 / (np.pi * STRETCH)
-    bands = [float(f) for f in np.arange(low + half, high + 2 * half, 2 * half)]
+    place = lambda f: F.floor((f if isinstance(f, Column) else F.lit(float(f))) / BAND)
     s = F.floor(F.col("t") / STRETCH)
-    here = onsets.select(*keys, s.alias("stretch"), (F.col("t") - (s + 0.5) * STRETCH).alias("v")).withColumn("f0", F.explode(F.lit(bands)))
+    bands = F.transform(F.sequence(place(low), place(high)), lambda k: (k + 0.5) * BAND)
+    here = onsets.select(*keys, s.alias("stretch"), (F.col("t") - (s + 0.5) * STRETCH).alias("v"), F.explode(bands).alias("f0"))
     turned = here.select(*keys, "stretch", "f0", (F.col("v") / (STRETCH / 2)).alias("u"), F.cos(2 * np.pi * F.col("f0") * F.col("v")).alias("c"), F.sin(2 * np.pi * F.col("f0") * F.col("v")).alias("s"))
     sums, power = [F.count("*").alias("n")], F.lit(1.0)
     for m in range(TERMS):
@@ -71,7 +75,9 @@ class Spectrum:
     def of(self, sixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = 1 / sixes
         z = np.zeros(len(f), complex)
-        band = np.abs(f[:, None] - self.bands[None, :]).argmin(1) if len(self.bands) < 64 else np.clip(np.rint((f - self.bands[0]) / (self.bands[1] - self.bands[0])).astype(int), 0, len(self.bands) - 1)
+        band = np.clip(np.floor((f - self.bands[0]) / BAND + 0.5).astype(int), 0, len(self.bands) - 1)
+        if np.abs(f - self.bands[band]).max() > 0.51 * BAND:  # the series holds within a band only
+            raise ValueError(f"periods of {sixes.min():.4f} to {sixes.max():.4f} s lie outside of the bands at hand")
         for b in np.unique(band):
             mine = np.flatnonzero(band == b)
             x = np.pi * STRETCH * (f[mine] - self.bands[b])
@@ -79,7 +85,9 @@ class Spectrum:
             # The stretches' own phases; their centres are even multiples of half a stretch.
             z[mine] = (inner * np.exp(2j * np.pi * np.mod(f[mine, None] * self.centre, 1.0))).sum(1)
         z /= self.n
-        return np.abs(z), np.angle(z)
+        r = np.abs(z)
+        assert r.max() <= 1 + 1e-6
+        return np.minimum(r, 1.0), np.angle(z)
 
 
 def best_period(track: Spectrum, bpm: float, span: float = FIT_SPAN, steps: int = FIT_STEPS) -> tuple[float, float, float]:
@@ -101,22 +109,40 @@ def free_tempo(track: Spectrum) -> tuple[float, float, float]:
     return best_period(track, float(bpms[best]), 0.002, 2001)
 
 
-_held: list[DataFrame] = []
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
 def hold(df: DataFrame) -> DataFrame:
     """A table that is read several times: a checkpoint where the session has a folder for them, so that
-    lost executors cost nothing; else a cache."""
+    lost executors cost nothing; else a cache, noted for this thread."""
     if df.sparkSession.sparkContext.getCheckpointDir():
         return df.checkpoint()
-    _held.append(df.cache())
-    return _held[-1]
+    if _held.get() is None:
+        _held.set([])
+    _held.get().append(df.cache())
+    return _held.get()[-1]
 
 
 def release() -> None:
-    """Gives back what ``hold`` cached; tables made from it are computed anew if they are read again."""
-    while _held:
-        _held.pop().unpersist()
+    """Gives back what ``hold`` cached in this thread; tables made from it are computed anew if they are
+    read again."""
+    free(_held.get() or [])
+
+
+def free(held: list[DataFrame]) -> None:
+    while held:
+        held.pop().unpersist()
+
+
+@contextmanager
+def holding():
+    """What is held meanwhile is noted in a list of its own, which is returned: ``free`` gives it back."""
+    own: list[DataFrame] = []
+    token = _held.set(own)
+    try:
+        yield own
+    finally:
+        _held.reset(token)
 
 
 FITTED = "song_id long, track string, n long, bpm double, anchor double, r double"
@@ -126,21 +152,23 @@ def fit(onsets: DataFrame, bpm: float | DataFrame | None = None, least: int = 1,
     """Best grid of every track with at least so many onsets, near ``factor`` times a tempo: one for all
     songs, or one for each (song_id, bpm); without ``bpm`` a free search. Onsets become moments in
     Spark; candidates are held against a track's few moments in numpy."""
-    single = isinstance(bpm, (int, float))
-    given = bpm if single else None
-    low, high = (bpm * (1 - FIT_SPAN), bpm / (1 - FIT_SPAN)) if single else (SEARCH_LOW * 0.95, SEARCH_HIGH * 1.05)
+    given = float(bpm) if isinstance(bpm, (int, float)) else None
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         track = Spectrum(pdf)
         if track.n < least:
             return pd.DataFrame(columns=["song_id", "track", "n", "bpm", "anchor", "r"])
-        near = given if single else (float(pdf["near"].iloc[0]) if "near" in pdf else None)
+        near = float(pdf["near"].iloc[0]) if "near" in pdf else given
         found = free_tempo(track) if near is None else best_period(track, near * factor)
         return pd.DataFrame([[pdf["song_id"].iloc[0], pdf["track"].iloc[0], track.n, *found]], columns=["song_id", "track", "n", "bpm", "anchor", "r"])
 
-    known = moments(onsets.select(*TRACK, "t"), 0.99 * low * factor / 15, 1.01 * high * factor / 15)
-    if isinstance(bpm, DataFrame):
-        known = known.join(bpm.select("song_id", F.col("bpm").alias("near")), "song_id")
+    keys, rows = list(TRACK), onsets.select(*TRACK, "t")
+    if isinstance(bpm, DataFrame):  # a song's onsets meet the bands around its own tempo alone
+        keys.append("near")
+        rows = rows.join(bpm.where("bpm > 0").select("song_id", F.col("bpm").alias("near")), "song_id")
+    around = F.col("near") if isinstance(bpm, DataFrame) else given
+    low, high = (SEARCH_LOW * 0.95, SEARCH_HIGH * 1.05) if bpm is None else (around * (factor * (1 - FIT_SPAN)), around * (factor / (1 - FIT_SPAN)))
+    known = moments(rows, low / 15, high / 15, keys)
     return dealt(known, *TRACK).groupBy(*TRACK).applyInPandas(one, FITTED)
 
 

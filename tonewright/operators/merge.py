@@ -85,9 +85,9 @@ def section(notes: DataFrame, begin: float, end: float) -> DataFrame:
     return shift(notes.where((F.col("start_s") >= begin) & (F.col("start_s") < end)), F.lit(-begin))
 
 
-def is_sparse(n: Column, seconds: Column, bpm: float, rms: Column, beats_per_bar: float = 4.0) -> Column:
+def is_sparse(n: Column, seconds: Column, bpm: float | Column, rms: Column, beats_per_bar: float = 4.0) -> Column:
     """Sound, eight bars or more, and under one note for four bars."""
-    bars = seconds * F.lit(bpm) / F.lit(60.0 * beats_per_bar)
+    bars = seconds * (bpm if isinstance(bpm, Column) else F.lit(bpm)) / F.lit(60.0 * beats_per_bar)
     return (rms > SILENT_RMS) & (bars >= 8) & (n < bars / 4)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ class Run:
     info: DataFrame | None
     tempo: DataFrame
     warnings: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Gives back what the run keeps in memory; its tables are computed anew if they are read again."""
+        grid.free(self.held)
 
     def files(self) -> DataFrame:
         """(song_id, midi): a file for each song, at its own tempo."""
@@ -37,28 +42,51 @@ def process(notes: DataFrame, stems: DataFrame | None = None, fallback: DataFram
     voice. ``tempo`` is found from the notes where none is given (by songs: song_id, bpm); songs in
     which none is found go at the default. The grid is fitted near it, exactly there if it was given.
     """
-    warnings = notes.select("song_id", F.lit(None).cast("string").alias("warning")).limit(0)
-    if stems is not None:
-        counts = stems.join(notes.groupBy(*TRACK).agg(F.count("*").alias("n")), TRACK, "left").na.fill(0, ["n"])
-        warnings = counts.select("song_id", F.concat(F.col("track"), F.lit(": "), merge.silent(F.col("n"), F.col("rms"))).alias("warning")).where("warning is not null")
-        if fallback is not None:
-            sparse = counts.where(merge.is_sparse(F.col("n"), F.col("seconds"), DEFAULT_TEMPO, F.col("rms")))
-            notes = merge.fallback_merge(notes, fallback, sparse.select(*TRACK))
+    with grid.holding() as held:
+        return _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap, groups, den, mode, downbeat, audio, held)
+
+
+def _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap, groups, den, mode, downbeat, audio, held) -> Run:
+    """``process``; the steps measured in beats go at each song's own tempo."""
+    songs = notes.select("song_id")
+    for more in (stems, fallback):
+        songs = songs if more is None else songs.unionByName(more.select("song_id"))
+    songs = songs.distinct()
     found = backends.estimate_tempo(notes).select("song_id", "bpm") if tempo is None else tempo
-    songs = notes.select("song_id").distinct()
     if isinstance(found, DataFrame):
-        songs = songs.join(found.select("song_id", "bpm"), "song_id", "left").withColumn("bpm", F.coalesce("bpm", F.lit(DEFAULT_TEMPO)))
+        songs = songs.join(found.where("bpm > 0").select("song_id", F.col("bpm").cast("double").alias("bpm")), "song_id", "left").withColumn("known", F.col("bpm").isNotNull()).withColumn("bpm", F.coalesce("bpm", F.lit(DEFAULT_TEMPO)))
     else:
-        songs = songs.withColumn("bpm", F.lit(float(found)))
+        songs = songs.withColumns({"bpm": F.lit(float(found)), "known": F.lit(True)})
     tempi = grid.hold(songs)
+    told = [tempi.where("NOT known").select("song_id", F.lit(f"no tempo found: written at {DEFAULT_TEMPO:g} BPM").alias("warning"))]
+    tempi = tempi.select("song_id", "bpm")
+    if stems is not None:
+        counts = grid.hold(stems.join(notes.groupBy(*TRACK).agg(F.count("*").alias("n")), TRACK, "left").na.fill(0, ["n"]).join(tempi, "song_id"))
+        say = lambda text: F.concat(F.col("track"), F.lit(": "), text).alias("warning")
+        told.append(counts.select("song_id", say(merge.silent(F.col("n"), F.col("rms")))).where("warning is not null"))
+        if fallback is not None:
+            quarters = sum(groups) * 4 / den
+            sparse = counts.where(merge.is_sparse(F.col("n"), F.col("seconds"), F.col("bpm"), F.col("rms"), quarters))
+            told.append(sparse.select("song_id", say(F.format_string("only %d notes, taken from the fallback instead", "n"))))
+            notes = merge.fallback_merge(notes, fallback, sparse.select(*TRACK))
     if params is not None:
+        timed = notes.join(tempi.withColumnRenamed("bpm", "_bpm"), "song_id")
         mono = F.col("track").isin(*mono_stems) if mono_stems else F.lit(False)
-        notes = cleanup.clean(notes.where(~mono), params).unionByName(cleanup.clean(notes.where(mono), replace(params, monophonic=True))) if mono_stems else cleanup.clean(notes, params)
+        done = cleanup.clean(timed.where(~mono), params, F.col("_bpm"))
+        if mono_stems:
+            done = done.unionByName(cleanup.clean(timed.where(mono), replace(params, monophonic=True), F.col("_bpm")))
+        notes = done.drop("_bpm")
     merged = merge.merge_tracks(notes).drop("place", "rank")
-    if not fit_grid:
-        return Run(merged, None, tempi, warnings)
-    info, out = grid.apply(merged, tempi, groups, den, mode, downbeat, snap_notes=snap, fixed_pulse=tempo is not None, audio=audio)
-    told = info.select("song_id", F.explode("warnings").alias("warning"))
-    fitted = info.where("fitted").select("song_id", F.col("bpm").alias("_bpm"))
-    final = tempi.join(fitted, "song_id", "left").select("song_id", F.coalesce("_bpm", "bpm").alias("bpm"))
-    return Run(out, info, final, warnings.unionByName(told))
+    plain = (tuple(groups), den) == ((1, 1, 1, 1), 4)
+    info, out, final = None, merged, tempi
+    if fit_grid:
+        info, out = grid.apply(merged, tempi, groups, den, mode, downbeat, snap_notes=snap, fixed_pulse=tempo is not None, audio=audio)
+        told.append(info.select("song_id", F.explode("warnings").alias("warning")))
+        # The grid counts pulses, a file quarters.
+        final = tempi.join(info.where("fitted").select("song_id", F.col("bpm").alias("_bpm")), "song_id", "left").select("song_id", F.coalesce("_bpm", "bpm").alias("bpm"))
+    elif not plain:
+        told.append(tempi.select("song_id", F.lit("the meter needs a grid: no bar lines are written").alias("warning")))
+    warnings = told[0]
+    for more in told[1:]:
+        warnings = warnings.unionByName(more)
+    return Run(out, info, final, warnings, held)

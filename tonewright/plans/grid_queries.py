@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as G
 from ..operators.measure import onset_dedupe
 from ..schema import SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, TEMPO_PRIOR, TRACK
-from ..sources.notes import ANCHOR, BPM, GRIDDED_SQL, SIX, gridded, notes
+from ..sources.notes import ANCHOR, BPM, GRIDDED_SQL, NOTES_SQL, SIX, gridded, notes
 from .note_queries import DEDUPE, ROW
 
 QUERIES: dict = {}
@@ -69,6 +69,24 @@ def fit_tracks(spark, d):
     return G.fit_tracks(onset_dedupe(gridded(spark, d)), 112.0).select("song_id", "track", F.round("bpm", 4).alias("bpm"), F.round("r", 6).alias("r"), "n_tracks")
 
 
+# A tempo of its own for each song, over all that the contract allows, and a guess one part in a hundred above it.
+OWN_BPM = "(20 + 42 * song_id)::double"
+OWN_GRID = f"""SELECT * EXCLUDE (start_s, six) REPLACE (end_s AS end_s), {ANCHOR_SQL} + round_even(start_s / six, 0) * six + (velocity % 5 - 2) / 1000::double AS start_s FROM (SELECT *, 15 / {OWN_BPM} AS six FROM ({NOTES_SQL}))"""
+OWN_FITS = f"""p AS (SELECT song_id, i, (60 / ({OWN_BPM} * 1.01::double) / 4) * (0.97::double + i * (0.06::double / 6000)) AS six FROM (SELECT DISTINCT song_id FROM notes), (SELECT unnest(range(6001)) AS i)),
+z AS (SELECT song_id, track, i, six, avg(cos(2 * pi() * t / six)) AS x, avg(sin(2 * pi() * t / six)) AS y, count(*) AS n FROM onsets JOIN p USING (song_id) GROUP BY ALL),
+f AS (SELECT song_id, track, arg_max(struct_pack(bpm := 60 / (4 * six), r := sqrt(x * x + y * y), n := n), struct_pack(r := sqrt(x * x + y * y), j := -i)) AS b FROM z GROUP BY ALL)"""
+
+
+@_q("fit_by_song", f"{DEDUPE}, {OWN_FITS} SELECT song_id, track, b.n AS n, round(b.bpm, 4) AS bpm, round(b.r, 6) AS r FROM f", OWN_GRID)
+def fit_by_song(spark, d):
+    """A table of tempi, 20 to 398: each song's onsets meet the periods around its own."""
+    own = (F.lit(20) + 42 * F.col("song_id")).cast("double")
+    n = notes(spark, d).withColumn("_six", 15 / own)
+    n = n.withColumn("start_s", F.lit(ANCHOR) + F.rint(F.col("start_s") / F.col("_six")) * F.col("_six") + (F.col("velocity") % 5 - 2) / F.lit(1000.0)).drop("_six")
+    guesses = n.select("song_id").distinct().withColumn("bpm", own * 1.01)
+    return G.fit(onset_dedupe(n), guesses).select(*TRACK, "n", F.round("bpm", 4).alias("bpm"), F.round("r", 6).alias("r"))
+
+
 # For the pulse, its half and its third: the best track's grid, its anchor on the busiest sixteenth, and how far that track's onsets lie from its pulses.
 PULSES = f"""{PERIODS}, z AS (SELECT song_id, track, d, i, six / d AS six, avg(cos(2 * pi() * t * d / six)) AS x, avg(sin(2 * pi() * t * d / six)) AS y FROM onsets, p, (SELECT unnest([1, 2, 3]) AS d) GROUP BY ALL HAVING count(*) >= 64),
 f AS (SELECT song_id, track, d, arg_max(struct_pack(six := six, x := x, y := y, r := sqrt(x * x + y * y)), struct_pack(r := sqrt(x * x + y * y), j := -i)) AS b FROM z GROUP BY ALL),

@@ -101,6 +101,18 @@ def process_notes(spark, d):
     return _timed(process(notes(spark, d), tempo=120.0, params=CleanupParams(legato=True), fit_grid=False).notes)
 
 
+# The cleanup's limits in beats, at each song's own tempo.
+OWN_TEMPO = "(CASE WHEN song_id % 2 = 0 THEN 60 ELSE 200 END)"
+
+
+@_q("process_two_tempi", f"{FLOOR}, {DEOV.format('floored')}, {CAP.format('deov').replace('> 1.0', f'> 120.0 / {OWN_TEMPO}')}, {SWEEP.format('capped')}, {LEGATO.format('swept').replace('<= 0.125', f'<= 15.0 / {OWN_TEMPO}')} SELECT {TIMED} FROM tied")
+def process_two_tempi(spark, d):
+    """A whole run in which every other song goes at 60 and at 200, without a grid."""
+    n = notes(spark, d)
+    tempi = n.select("song_id").distinct().withColumn("bpm", F.when(F.col("song_id") % 2 == 0, 60.0).otherwise(200.0))
+    return _timed(process(n, tempo=tempi, params=CleanupParams(legato=True), fit_grid=False).notes)
+
+
 @_q("clean_notes_stats", f"{FLOOR}, {DEOV.format('floored')}, {CAP.format('deov')}, {SWEEP.format('capped')}, {MEASURES.format('swept', 'measured')} SELECT * FROM measured")
 def clean_notes_stats(spark, d):
     return C.measures(C.clean(notes(spark, d)))
