@@ -32,10 +32,10 @@ STRETCH = 1_000_000  # rows of a stretch, where a table has many; else a 1,024th
 _KEY = ("k", "high", "low", "place")  # each fits in 63 bits, so does the difference of two
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The columns of every row as ``row``, its id, size and text_crc32, and the key but for ``place``."""
+def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """Every row's id, size and text_crc32, the key but for ``place``, and if asked all columns as ``row``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("k"))
+    rows = docs.select(*[F.struct("*").alias("row")] * keep, F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("k"))
     # An id in two halves; a null one stands before all others.
     return rows.withColumns({"high": F.coalesce(F.shiftright("doc_id", 32), F.lit(-(1 << 31) - 1)), "low": F.coalesce(F.col("doc_id").bitwiseAND((1 << 32) - 1), F.lit(0))})
 
@@ -105,27 +105,27 @@ def _cut(told: DataFrame, shards: int, tolerance: tuple[int, int]) -> DataFrame:
     return out.select(F.col("path").alias("_path"), "shard", (F.col("rows_before") - F.min("rows_before").over(Window.partitionBy("shard"))).alias("_first"))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, tolerance: tuple[int, int] = TOLERANCE, probes: int = PROBES) -> DataFrame:
-    """row, doc_id, size, text_crc32, shard, slot (from 0, in the order of the key) of every row."""
-    rows = common.settle(keyed(docs), "keys").withColumn("place", F.monotonically_increasing_id())
+def assign(docs: DataFrame, shards: int = SHARDS, tolerance: tuple[int, int] = TOLERANCE, probes: int = PROBES, keep: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (from 0, in the order of the key) of every row; if asked all its
+    columns as ``row``."""
+    rows = common.settle(keyed(docs, keep), "keys").withColumn("place", F.monotonically_increasing_id())
     rows, told = stretches(rows, shards, tolerance, probes)
     cut = common.settle(_cut(told, shards, tolerance), "cuts")
     number = F.row_number().over(Window.partitionBy("path").orderBy(*_KEY))
     out = rows.withColumn("_number", number).join(cut, F.col("path") == F.col("_path"))
-    return out.select("row", "doc_id", "size", "text_crc32", "shard", F.expr("CAST(_first + _number - 1 AS BIGINT)").alias("slot"))
+    return out.select(*["row"] * keep, "doc_id", "size", "text_crc32", "shard", F.expr("CAST(_first + _number - 1 AS BIGINT)").alias("slot"))
 
 
 def place(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: a shard more moves splitters) of every row."""
-    found = assign(docs.select("doc_id", "text"), **options)
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return assign(docs, **options).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write(docs: DataFrame, path: str, **options) -> str:
     """Writes the rows as Parquet, a folder for each shard, with their slot. The names of both begin with
     underscores enough to clash with none; that prefix is returned."""
     own = common.unused(docs)
-    found = assign(docs, **options).select("row.*", F.col("shard").alias(own + "shard"), F.col("slot").alias(own + "slot"))
+    found = assign(docs, keep=True, **options).select("row.*", F.col("shard").alias(own + "shard"), F.col("slot").alias(own + "slot"))
     found.write.partitionBy(own + "shard").parquet(path)
     return own
 
