@@ -67,24 +67,41 @@ def silence_bounds(blocks: DataFrame, top_db: float = 50.0) -> DataFrame:
     return level.withColumn("top", top).groupBy("song_id").agg(F.min(F.when(loud, F.col("t0"))).alias("begin"), F.max(F.when(loud, F.col("t1"))).alias("end"))
 
 
-def z_score(env: DataFrame) -> DataFrame:
+def z_score(env: DataFrame, keys: list[str] = TRACK) -> DataFrame:
     """Onset strength less its mean over its deviation, by track."""
-    w = Window.partitionBy(*TRACK)
-    return env.withColumn("v", (F.col("v") - F.avg("v").over(w)) / (F.stddev_pop("v").over(w) + F.lit(1e-9)))
+    level = env.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_d"))
+    return env.join(level, keys).withColumn("v", (F.col("v") - F.col("_m")) / (F.col("_d") + F.lit(1e-9))).drop("_m", "_d")
+
+
+#: Seconds of a track whose onsets meet their strength in one task.
+LAG_PIECE = 20.0
 
 
 def audio_lag(onsets: DataFrame, env: DataFrame, hop: float, window: float = LAG_WINDOW, step: float = 0.001) -> DataFrame:
     """The lag (positive: notes come later) at which a track's onsets meet the most strength, and that
-    mean. env(song_id, track, frame, v), a frame every ``hop`` seconds: strength at any time is a look-up
-    of two frames, an equi-join on the frame."""
+    mean. env(song_id, track, frame, v), a frame every ``hop`` seconds; between frames strength is a
+    straight line, outside of them 0. Pieces of a track give sums for each lag, which add up."""
     n = int(np.floor(2 * window / step + 1e-6)) + 1
-    lags = onsets.select(*TRACK, "t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("x", (F.col("t") - (F.lit(-window) + F.col("i") * F.lit(step))) / F.lit(hop))
-    frames = env.select(*TRACK, "frame", "v", F.lead("v").over(Window.partitionBy(*TRACK).orderBy("frame")).alias("w"))
-    # The frames of long songs are too many to broadcast.
-    at = lags.withColumn("frame", F.floor("x")).join(frames.hint("merge"), [*TRACK, "frame"], "left")
-    f = F.col("x") - F.col("frame")
-    value = F.when(F.col("w").isNotNull(), F.col("v") * (1 - f) + F.col("w") * f).when(f < 1e-9, F.col("v"))
-    score = at.groupBy(*TRACK, "i").agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("score"))
+    piece = lambda t: F.floor(t / F.lit(LAG_PIECE))
+    t = F.col("frame") * F.lit(hop)
+    margin = window + 2 * hop
+    asked = onsets.select(*TRACK, "t", piece(F.col("t")).alias("piece"))
+    near = env.select(*TRACK, "frame", F.col("v").cast("double").alias("v"), F.explode(F.sequence(piece(t - margin), piece(t + margin))).alias("piece"))
+
+    def sums(on: pd.DataFrame, frames: pd.DataFrame) -> pd.DataFrame:
+        if not len(on):
+            return pd.DataFrame({"song_id": np.zeros(0, int), "track": np.zeros(0, object), "i": np.zeros(0, int), "s": np.zeros(0), "n": np.zeros(0, int)})
+        total = np.zeros(n)
+        if len(frames):
+            frames = frames.sort_values("frame")
+            first, v = int(frames["frame"].iloc[0]), frames["v"].to_numpy()
+            for k in range(0, len(on), 256):
+                x = (on["t"].to_numpy()[k : k + 256, None] - (-window + np.arange(n) * step)) / hop - first
+                total += np.interp(np.where(np.abs(x - np.rint(x)) < 1e-9, np.rint(x), x), np.arange(len(v)), v, left=0.0, right=0.0).sum(0)
+        return pd.DataFrame({"song_id": on["song_id"].iloc[0], "track": on["track"].iloc[0], "i": np.arange(n), "s": total, "n": len(on)})
+
+    parts = asked.groupBy(*TRACK, "piece").cogroup(near.groupBy(*TRACK, "piece")).applyInPandas(sums, "song_id long, track string, i int, s double, n long")
+    score = parts.groupBy(*TRACK, "i").agg((F.sum("s") / F.sum("n")).alias("score"))
     best = score.groupBy(*TRACK).agg(F.max_by(F.struct("i", "score"), F.struct(F.round("score", 9), -F.col("i"))).alias("b"))
     return best.select(*TRACK, (F.lit(-window) + F.col("b.i") * F.lit(step)).alias("lag"), F.col("b.score").alias("score"))
 

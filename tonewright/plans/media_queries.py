@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge as G
 from ..operators import signal as A
+from ..operators import strength as S
 from ..operators.measure import onset_dedupe
 from ..operators.tokens import tracked_notes as tracked
 from ..schema import LAG_WINDOW, TRACK
@@ -98,6 +99,53 @@ def onset_envelope(spark, d):
     return A.z_score(envelope(spark, d)).select(*TRACK, "frame", F.round("v", 5).alias("v"))
 
 
+# Frames of 16 samples every 4, as sums over sines; mel bands; rises from frame to frame, half a window later.
+N_FFT, HOP, MELS, LOCAL = 16, 4, 4, 16
+_FILTERS = ", ".join(f"({m}, {k}, {w!r}::double)" for m, row in enumerate(A.mel_filters(SR, N_FFT, MELS).tolist()) for k, w in enumerate(row) if w)
+STRENGTH_SQL = f"""{SAMPLES_SQL}, fl(m, k, w) AS (VALUES {_FILTERS}), ends AS (SELECT song_id, stem, count(*) AS n FROM s GROUP BY ALL),
+fr AS (SELECT song_id, stem, unnest(range(n // {HOP} + 1)) AS f FROM ends), j AS (SELECT unnest(range({N_FFT})) AS j),
+cut AS (SELECT fr.song_id, fr.stem, f, j, x * (0.5 - 0.5 * cos(2 * pi() * j / {N_FFT})) AS x FROM fr, j JOIN s ON s.song_id = fr.song_id AND s.stem = fr.stem AND s.i = f * {HOP} - {N_FFT // 2} + j),
+dft AS (SELECT song_id, stem, f, k, power(sum(x * cos(2 * pi() * k * j / {N_FFT})), 2) + power(sum(x * sin(2 * pi() * k * j / {N_FFT})), 2) AS p FROM cut, (SELECT unnest(range({N_FFT // 2 + 1})) AS k) GROUP BY ALL),
+mel AS (SELECT fr.song_id, fr.stem, fr.f, b.m, 10 * log10(greatest(coalesce(sum(p * w), 0), 1e-10)) AS db FROM fr CROSS JOIN (SELECT unnest(range({MELS})) AS m) b LEFT JOIN fl ON fl.m = b.m LEFT JOIN dft ON dft.song_id = fr.song_id AND dft.stem = fr.stem AND dft.f = fr.f AND dft.k = fl.k GROUP BY ALL),
+cl AS (SELECT song_id, stem, f, m, greatest(db, max(db) OVER (PARTITION BY song_id, stem) - 80) AS db FROM mel), up AS (SELECT song_id, stem, f, avg(greatest(coalesce(d, 0), 0)) AS v FROM (SELECT *, db - lag(db) OVER (PARTITION BY song_id, stem, m ORDER BY f) AS d FROM cl) GROUP BY ALL),
+env AS (SELECT fr.song_id, fr.stem, fr.f AS frame, coalesce(v, 0) AS v FROM fr LEFT JOIN up ON up.song_id = fr.song_id AND up.stem = fr.stem AND up.f = fr.f - {N_FFT // (2 * HOP)})"""
+
+
+def sound_strength(spark, d):
+    return S.onset_strength(blocks(spark, d), HOP / SR, N_FFT, MELS)
+
+
+@_q("onset_strength", f"{STRENGTH_SQL} SELECT song_id, stem, frame, round(frame * {HOP} / {SR}.0, 6) AS t, round(v, 5) AS v FROM env")
+def onset_strength(spark, d):
+    """From the sound itself: spectra of frames that cross blocks."""
+    return sound_strength(spark, d).select("song_id", "stem", "frame", F.round("t", 6).alias("t"), F.round("v", 5).alias("v"))
+
+
+@_q("tempogram", f"""{STRENGTH_SQL}, x AS (SELECT a.song_id, a.stem, a.frame, j, b.v * (0.5 - 0.5 * cos(2 * pi() * j / {LOCAL})) AS x FROM env a, (SELECT unnest(range({LOCAL})) AS j) JOIN env b ON a.song_id = b.song_id AND a.stem = b.stem AND b.frame = a.frame - {LOCAL // 2} + j),
+ac AS (SELECT a.song_id, a.stem, a.frame, b.j - a.j AS lag, sum(a.x * b.x) AS c FROM x a JOIN x b ON a.song_id = b.song_id AND a.stem = b.stem AND a.frame = b.frame AND b.j >= a.j GROUP BY ALL),
+nm AS (SELECT song_id, stem, lag, CASE WHEN max(c) OVER w > 1e-12 THEN c / max(c) OVER w ELSE c END AS c FROM ac WINDOW w AS (PARTITION BY song_id, stem, frame)), n AS (SELECT song_id, stem, count(*) AS n FROM env GROUP BY ALL)
+SELECT song_id, stem, CAST(l.lag AS INT) AS lag, round(coalesce(c, 0) / n, 6) AS strength FROM n CROSS JOIN (SELECT unnest(range({LOCAL})) AS lag) l LEFT JOIN (SELECT song_id, stem, lag, sum(c) AS c FROM nm GROUP BY ALL) t USING (song_id, stem, lag)""")
+def tempogram(spark, d):
+    """How strongly the sound repeats after each lag, on the mean of all windows of 16 frames."""
+    return S.tempogram(sound_strength(spark, d), LOCAL).select("song_id", "stem", "lag", F.round("strength", 6).alias("strength"))
+
+
+@_q("audio_tempo")
+def audio_tempo(spark, d):
+    """Tempo of each stem's sound; held against clicks of known tempi in the tests."""
+    found, _ = S.audio_tempo(blocks(spark, d), HOP / SR, 64, N_FFT, MELS)
+    return found.select("song_id", "stem", F.round("bpm", 3).alias("bpm"))
+
+
+@_q("trim_frames", f"""{SAMPLES_SQL}, q AS (SELECT song_id, i, {QUIET} AS x FROM s), ends AS (SELECT song_id, max(i) + 1 AS n FROM q GROUP BY ALL), fr AS (SELECT song_id, n, unnest(range(n // 8 + 1)) AS f FROM ends),
+p AS (SELECT song_id, i // 8 AS c, sum(x * x) AS p FROM q GROUP BY ALL), m AS (SELECT fr.song_id, n, f, coalesce(sum(p), 0) / 32 AS m FROM fr LEFT JOIN p ON p.song_id = fr.song_id AND p.c BETWEEN f - 2 AND f + 1 GROUP BY ALL),
+t AS (SELECT *, max(m) OVER (PARTITION BY song_id) AS top FROM m) SELECT song_id, round(min(f) * 8 / 32.0, 6) AS "begin", round(max(least((f + 1) * 8, n)) / 32.0, 6) AS "end" FROM t WHERE 10 * log10(greatest(m, 1e-10)) - 10 * log10(greatest(top, 1e-10)) > -50 GROUP BY song_id""")
+def trim_frames(spark, d):
+    """Silence at both ends by frames of 32 samples every 8, across blocks."""
+    quiet = blocks(spark, d).withColumn("samples", F.when((F.col("block_id") < 2) | (F.col("block_id") > 4), F.transform("samples", lambda x: x * F.lit(0.001))).otherwise(F.col("samples")))
+    return S.trim_bounds(quiet, 50.0, 8, 4).select("song_id", F.round("begin", 6).alias("begin"), F.round("end", 6).alias("end"))
+
+
 LAG_STEPS = int(2 * LAG_WINDOW / 0.001 + 1e-6) + 1
 LAGS = f"""o AS (SELECT song_id, track, round_even(start_s * 2, 0) / 2 AS start_s, row_number() OVER (PARTITION BY song_id, track ORDER BY round_even(start_s * 2, 0), note_id) AS r FROM notes), onsets AS (SELECT DISTINCT song_id, track, start_s AS t FROM o),
 x AS (SELECT song_id, track, i, (t - ({-LAG_WINDOW}::double + i * 0.001::double)) / 0.003::double AS x FROM onsets, (SELECT unnest(range({LAG_STEPS})) AS i)),
