@@ -6,11 +6,16 @@ Reading yields a row per note of every track, with seconds from the file's tempo
 from __future__ import annotations
 
 import struct
+import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
+from pyarrow.fs import FileType
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .stores import listed, store_of
+
 SCHEMA = "path string, track_index int, track string, channel int, program int, is_drum boolean, pitch int, velocity int, start_tick long, end_tick long, start_s double, end_s double"
 DRUM_CHANNEL = 9
 
@@ -233,42 +238,82 @@ class _File(InputPartition):
 
 
 class MidiReader(DataSourceReader):
+    """A file to a task. ``read_notes`` reads stores that only Spark knows."""
+
     def __init__(self, options):
-        self.options = options
+        self.path = options["path"]
 
     def partitions(self):
-        import glob
-        import os
-
-        path = self.options["path"]
-        found = sorted(glob.glob(os.path.join(path, "*.mid*"))) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [_File(p) for p in found] or [_File("")]
+        return [_File(x.path) for x in listed(self.path, ".mid", ".midi")[1]] or [_File("")]
 
     def read(self, partition):
         if partition.path:
-            with open(partition.path, "rb") as f:
+            with store_of(self.path)[0].open_input_file(partition.path) as f:
                 yield from rows(partition.path, f.read())
 
 
-class MidiWriter(DataSourceWriter):
-    """One file for each song and task, in a local folder."""
+@dataclass
+class Staged(WriterCommitMessage):
+    """What one attempt of one task has written: song and file."""
 
-    def __init__(self, options):
-        self.options = options
+    files: list[tuple[str, str]]
 
-    def write(self, iterator):
-        import os
-        import uuid
 
+class MidiWriter(DataSourceWriter):
+    """A file for each song, by a commit protocol: attempts of tasks write to a folder of the job, each
+    under names of its own; once all tasks are done, the files of the attempts that counted are moved
+    into place and the folder goes, with what failed attempts left in it. A job that fails publishes nothing.
+
+    Rows are files (song_id, midi) as ``to_files`` makes them, a song each, or notes, which a task gathers
+    by song. A song over several tasks is refused: ``save`` brings songs together first."""
+
+    def __init__(self, options, overwrite: bool = False, files: bool = False):
+        self.path, self.bpm, self.overwrite, self.files = options["path"], float(options.get("bpm", 120.0)), overwrite, files
+        self.job = uuid.uuid4().hex
+        self.stage = f"{store_of(self.path)[1].rstrip('/')}/_staging-{self.job}"
+
+    def _songs(self, iterator):
+        if self.files:
+            for row in iterator:
+                yield str(row["song_id"]), bytes(row["midi"])
+            return
         songs: dict = {}
         for row in iterator:
             t = songs.setdefault(row["song_id"], {}).setdefault(row["track"], Track(row["track"], row["program"], row["is_drum"]))
             t.notes.append((row["pitch"], row["velocity"], row["start_s"], row["end_s"]))
-        os.makedirs(self.options["path"], exist_ok=True)
         for song, tracks in songs.items():
-            with open(os.path.join(self.options["path"], f"{song}-{uuid.uuid4().hex[:8]}.mid"), "wb") as f:
-                f.write(write(list(tracks.values()), float(self.options.get("bpm", 120.0))))
-        return WriterCommitMessage()
+            yield str(song), write(list(tracks.values()), self.bpm)
+
+    def write(self, iterator):
+        store, out = store_of(self.path)[0], []
+        store.create_dir(self.stage, recursive=True)
+        for song, data in self._songs(iterator):
+            name = f"{self.stage}/{uuid.uuid4().hex}.part"
+            with store.open_output_stream(name) as f:
+                f.write(data)
+            out.append((song, name))
+        return Staged(out)
+
+    def commit(self, messages):
+        store, where = store_of(self.path)
+        files = [x for m in messages if m is not None for x in m.files]
+        twice = sorted(song for song, n in Counter(song for song, _ in files).items() if n > 1)
+        if twice:
+            self.abort(messages)
+            raise ValueError(f"songs that came from several tasks: {', '.join(twice[:5])}; save() brings a song's notes together")
+        old = [x.path for x in listed(self.path, ".mid", ".midi")[1]] if self.overwrite else []
+        for song, name in files:
+            store.move(name, f"{where.rstrip('/')}/{song}-{self.job[:8]}.mid")
+        for path in old:  # the new ones are there by now
+            store.delete_file(path)
+        self._clear(store)
+
+    def abort(self, messages):
+        self._clear(store_of(self.path)[0])
+
+    def _clear(self, store) -> None:
+        if store.get_file_info(self.stage).type != FileType.NotFound:
+            store.delete_dir(self.stage)
 
 
 class MidiSource(DataSource):
@@ -283,8 +328,14 @@ class MidiSource(DataSource):
         return MidiReader(self.options)
 
     def writer(self, schema, overwrite):
-        return MidiWriter(self.options)
+        return MidiWriter(self.options, overwrite, "midi" in schema.fieldNames())
 
 
 def register(spark) -> None:
     spark.dataSource.register(MidiSource)
+
+
+def save(notes, path: str, mode: str = "append", **options) -> None:
+    """Writes a file for each song, whatever tasks its notes are in; options as of ``to_files``."""
+    register(notes.sparkSession)
+    to_files(notes, **options).write.format("midi").mode(mode).save(path)

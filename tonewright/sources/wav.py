@@ -23,14 +23,17 @@ def decode(data: bytes, start: float = 0.0, seconds: float | None = None) -> tup
         a = min(max(int(start * rate), 0), n)
         w.setpos(a)
         raw = w.readframes(n - a if seconds is None else min(n - a, int(seconds * rate)))
+    return rate, samples(raw, width).reshape(-1, channels)
+
+
+def samples(raw: bytes, width: int) -> np.ndarray:
+    """-1 to 1 from little-endian PCM of so many bytes a sample; of one byte without sign."""
     if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
+        return (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    if width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / 2**23
-    else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / 2 ** (8 * width - 1)
-    return rate, x.reshape(-1, channels)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / 2**23
+    return np.frombuffer(raw, f"<i{width}").astype(np.float32) / 2 ** (8 * width - 1)
 
 
 def encode(rate: int, x: np.ndarray) -> bytes:
