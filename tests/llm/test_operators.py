@@ -790,7 +790,7 @@ def test_tool_calls(spark):
 def test_calls_that_wait(spark):
     rows = [(1, 0, "c", "call", None), (1, 5, "b", "call", "c"), (1, 2, "a", "call", "b"), (1, 1, "x", "call", "y"), (1, 3, "y", "call", "x"), (1, 4, "z", "call", "gone")]
     table = spark.createDataFrame([(c, t, "assistant", k, i, "f", "{}", a, None) for c, t, i, k, a in rows] + [(1, 9, "tool", "result", "b", None, None, None, "done")], "conv_id long, turn long, role string, kind string, call_id string, name string, arguments string, after string, text string")
-    order = [r.call_id + r.kind[0] for r in sorted(chat.link(table, {}, waits=True).collect(), key=lambda r: r.position)]
+    order = [r.call_id + r.kind[0] for r in sorted(chat.link(table, {}).collect(), key=lambda r: r.position)]
     assert order.index("cc") < order.index("bc") < order.index("ac") and order.index("bc") < order.index("br") and len(order) == 7
 
 
@@ -805,6 +805,62 @@ def test_query_orders_calls_that_wait(spark, tmp_path):
     assert [r.turn for r in got if r.conv_id == 2] == [0] * 5 + [1] and got[-1].call_id == "y"
 
 
+def waits_by_hand(calls):
+    """(base, depth) of each call that waits, by walking all ways."""
+    by = {c[0]: c for c in calls}
+    after = {i: [a for a in w if a in by] for i, _, _, w in calls}
+
+    def go(i, seen):
+        if not after[i]:
+            return None, 0
+        best = (-1, 0)
+        for a in after[i]:
+            if a in seen:
+                return "circle"
+            far = go(a, seen | {a})
+            if far == "circle":
+                return far
+            best = (max(best[0], by[a][2], far[0] if far[0] is not None else -1), max(best[1], 1 + far[1]))
+        return best
+
+    found = {i: go(i, {i}) for i in by}
+    return {i: f for i, f in found.items() if f != "circle" and after[i]}
+
+
+def test_calls_that_wait_for_several(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in range(40):
+        n = rng.randint(2, 9)
+        calls = []
+        for k in range(n):
+            pool = [f"c{j}" for j in range(n if conv % 4 == 0 else k)] + ["gone"]
+            calls.append((f"c{k}", k, k + rng.randint(0, 6), rng.sample(pool, min(len(pool), rng.choice([0, 1, 1, 2, 3])))))
+        want |= {(conv, i): x for i, x in waits_by_hand(calls).items()}
+        rows += [(conv, i, t, d, None if not a else a[0] if len(a) == 1 and rng.random() < 0.5 else json.dumps(a)) for i, t, d, a in calls]
+    rows += [(99, f"n{k}", k, 100 + k, f"n{k - 1}" if k else None) for k in range(60)]  # a long chain: few rounds
+    want |= {(99, f"n{k}"): (99 + k, k) for k in range(1, 60)}
+    table = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, done long, after string")
+    assert {(r.conv_id, r.call_id): (r.base, r.depth) for r in chat.depths(table).collect()} == want
+
+
+def test_calls_as_exports_write_them(spark):
+    text = json.dumps({"role": "assistant", "content": None, "model": "m", "n": [1, {"b": 2, "a": 1}], "tool_calls": [
+        {"id": "a", "type": "function", "function": {"name": "reply", "arguments": '{"text": "hi", "turn": 1}'}},
+        {"id": "b", "type": "function", "function": {"name": "reply", "arguments": {"turn": 2, "text": "yo"}}, "after": ["a", "x"]}]})
+    rows = [(1, 0, "assistant", text), (1, 3, "tool", json.dumps({"tool_call_id": "a", "content": "7"})), (1, 1, "tool", json.dumps({"tool_call_id": "b", "content": "8"}))]
+    got = sorted(chat.link(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.SCHEMAS).collect(), key=lambda r: r.position)
+    assert [(r.kind, r.call_id, r.valid) for r in got] == [("call", "a", True), ("message", None, True), ("result", "a", True), ("call", "b", True), ("result", "b", True)]
+    assert got[1].line == '{"content":null,"kind":"message","other":{"model":"m","n":[1,{"a":1,"b":2}]},"role":"assistant"}'
+    assert json.loads(got[0].line)["arguments"] == {"text": "hi", "turn": 1} and json.loads(got[3].line)["name"] == "reply"
+
+
+def test_long_turns(spark):
+    rows = [(1, 0, "user", "long " * 500_000), (1, 1, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": json.dumps({"text": "w" * 2_000_000})}]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "x" * 2_000_000}))]
+    got = sorted(chat.link(chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), {}).collect(), key=lambda r: r.position)
+    assert [r.kind for r in got] == ["call", "call", "result"] and [len(r.line) > 1_900_000 for r in got] == [True] * 3
+
+
 def test_turns_keep_what_they_hold(spark):
     texts = ['{"content":"hi","tool_calls":[]}', '{"tool_calls":"x"}', '{"tool_calls":[1,2]}', '{"tool_calls":null,"content":"n"}', '{"tool_calls":{"id":"o"}}', '{"tool_calls":[null]}', '{"tool_calls":[{"id":"p"},7]}', '{"tool_calls":[[{"id":"q"}]]}', '{"tool_calls":[{"id":']
     rows = [(1, k, "system", t) for k, t in enumerate(texts)] + [(1, 20, "assistant", '{"content":"so","tool_calls":[{"id":"a","name":"f","arguments":"{}"},{"id":"b","arguments":{"x":1}}]}'), (1, 21, "assistant", '{"content":null,"tool_calls":[{}]}')]

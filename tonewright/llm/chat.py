@@ -10,7 +10,7 @@ canonical JSON: sorted keys at every depth, no spaces. What isn't a call is vali
 Cases: a result without a call is an ``orphan`` and stays at its turn; a call without a result
 is not linked; of calls that share an identifier the first (by turn, then arguments) is linked
 to; arguments that aren't a JSON object, and tools without a schema, are invalid; calls that
-wait in a circle, or for a call that isn't there, stand at their own turn; null text is null
+wait in a circle or for one, stand at their own turn, and a call that isn't there is not waited for; null text is null
 in the line; rows without a conversation or turn are kept, those without a turn first; repeated
 rows are kept, and so are very long texts, whole; what ties in turn and kind goes by its line; an empty table gives no rows; other columns are ignored.
 """
@@ -60,35 +60,56 @@ def canonical(json: Column) -> Column:
 
 def depths(calls: DataFrame) -> DataFrame:
     """calls(conv_id, call_id, turn, done, after) -> conv_id, call_id, base, depth of those that wait for
-    others: base the last turn of the calls it waits for, through others, and of their results
-    (``done``); depth how many there are. Pointers double each round."""
-    waiting = calls.where("after is not null").select("conv_id", "call_id", "turn", "done", F.col("after").alias("next"))
-    there = calls.select("conv_id", F.col("call_id").alias("next"), F.col("done").alias("done2"))
-    now = waiting.join(there, ["conv_id", "next"]).select("conv_id", "call_id", F.greatest("turn", "done2").alias("base"), F.greatest("done", "done2").alias("done"), F.lit(1).cast("long").alias("depth"), "next")
-    # A pointer stays where it leads to a call that itself waits for one that is there.
-    there = now.select("conv_id", F.col("call_id").alias("next"), F.lit(True).alias("there"))
-    now = common.settle(now.join(there, ["conv_id", "next"], "left").select("conv_id", "call_id", "base", "done", "depth", F.when(F.col("there"), F.col("next")).alias("next")), "depths")
-    # Each round resolves some call, unless all that are left wait in a circle.
-    waiting, left = None, now.where("next is not null").count()
-    while left and left != waiting:
-        waiting = left
-        far = now.select("conv_id", F.col("call_id").alias("next"), F.col("done").alias("done2"), F.col("depth").alias("depth2"), F.col("next").alias("next2"))
-        now = common.settle(now.join(far, ["conv_id", "next"], "left").select("conv_id", "call_id", F.greatest("base", "done2").alias("base"), F.greatest("done", "done2").alias("done"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("next2").alias("next")), "depths")
-        left = now.where("next is not null").count()
-    # What still has a pointer waits in a circle.
-    return now.where("next is null").select("conv_id", "call_id", "base", "depth")
-
-
-def link(messages: DataFrame, schemas: dict, waits: bool = True) -> DataFrame:
-    """messages(conv_id, turn, role, kind, call_id, name, arguments, after, text), kind ``call``,
-    ``result`` or ``message`` -> conv_id, position, turn, role, kind, call_id, linked, valid, line."""
+    others, all of which are there: base the last turn of the calls it waits for, through others, and of
+    their results (``done``); depth how many there are on the longest way.
+
+    Each round settles the calls that wait for settled ones only, and lets those that wait for a call
+    with a single wait of its own look past it, so chains halve in a round."""
+    key = ["conv_id", "call_id"]
+    listed = F.coalesce(F.when(F.col("after").startswith("["), F.from_json("after", "array<string>")), F.array("after"))
+    there = calls.select("conv_id", F.col("call_id").alias("next"), F.col("done").alias("base"))
+    # A way to wait: what is known of the calls on it (base, depth), and the call that it goes on from (next).
+    ways = calls.where("after is not null").select(*key, F.explode(F.array_distinct(listed)).alias("next")).join(there, ["conv_id", "next"]).select(*key, "next", "base", F.lit(1).cast("long").alias("depth"))
+    own = ["conv_id", F.col("call_id").alias("next")]
+    waiting = ways.select(*own).distinct().withColumn("open", F.lit(True))
+    best = [F.max("base").alias("base"), F.max("depth").alias("depth")]
+    now = common.settle(ways.join(waiting, ["conv_id", "next"], "left").select(*key, F.when(F.col("open"), F.col("next")).alias("next"), "base", "depth").groupBy(*key, "next").agg(*best), "waits")
+    before = None
+    while True:
+        # Calls by what is left: those with no way that goes on are settled.
+        state = now.groupBy(*key).agg(F.count("next").alias("left"), F.max(F.when(F.col("next").isNull(), F.struct("base", "depth"))).alias("_closed"), F.max("base").alias("base"), F.max("depth").alias("depth"), F.max("next").alias("only"))
+        unsettled = state.where("left > 0").count()
+        if not unsettled or unsettled == before:  # what is left waits in a circle, or for one
+            return state.where("left = 0").select(*key, "base", "depth")
+        before = unsettled
+        far = state.where("left <= 1").select(*own, F.col("left"), F.col("base").alias("_base"), F.col("only"))
+        ends = now.where("next is null").select(*own, F.col("depth").alias("_done_depth"))
+        goes = now.where("next is not null").select(*own, F.col("depth").alias("_way"))
+        # For one that waits on a single way: the depth on it, and that of what is settled beside it.
+        far = far.join(ends, ["conv_id", "next"], "left").join(goes, ["conv_id", "next"], "left")
+        open_ways = now.where("next is not null").join(far, ["conv_id", "next"], "left")
+        base = F.greatest("base", "_base")
+        stay = open_ways.where("left is null").select(*key, "next", "base", "depth")
+        settled = open_ways.where("left is not null and _done_depth is not null").select(*key, F.lit(None).cast("string").alias("next"), base.alias("base"), (F.col("depth") + F.col("_done_depth")).alias("depth"))
+        on = open_ways.where("left = 1").select(*key, F.col("only").alias("next"), base.alias("base"), (F.col("depth") + F.col("_way")).alias("depth"))
+        done = now.where("next is null").select(*key, "next", "base", "depth")
+        now = common.settle(stay.unionByName(settled).unionByName(on).unionByName(done).groupBy(*key, "next").agg(*best), "waits")
+
+
+def link(messages: DataFrame, schemas: dict) -> DataFrame:
+    """messages(conv_id, turn, role, kind, call_id, name, arguments, after, text, other), kind ``call``,
+    ``result`` or ``message``, after the id of a call that a call waits for or a JSON list of such, other
+    a JSON object of what else a turn holds, or null -> conv_id, position, turn, role, kind, call_id,
+    linked, valid, line."""
+    if "other" not in messages.columns:
+        messages = messages.withColumn("other", F.lit(None).cast("string"))
     first = messages.where("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "arguments", "after")).alias("call")).select("conv_id", "call_id", F.col("call.turn").alias("call_turn"), F.col("call.after").alias("after"))
     answered = messages.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"), F.max("turn").alias("result_turn"))
     first = common.settle(first, "calls")
     fits = first.count() <= HASHED * int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = lambda df: df.hint("shuffle_hash") if fits else df
     known = hashed(first).join(answered, ["conv_id", "call_id"], "left")
-    if waits:
+    if not first.where("after is not null").isEmpty():
         known = known.join(depths(known.select("conv_id", "call_id", F.col("call_turn").alias("turn"), F.greatest("call_turn", "result_turn").alias("done"), "after")), ["conv_id", "call_id"], "left").withColumns({"at": F.coalesce(F.greatest("call_turn", "base"), "call_turn"), "depth": F.coalesce("depth", F.lit(0))})
     else:
         known = known.withColumns({"at": F.col("call_turn"), "depth": F.lit(0)})
@@ -109,6 +130,7 @@ def link(messages: DataFrame, schemas: dict, waits: bool = True) -> DataFrame:
         F.when(F.col("call_id").isNotNull(), F.concat(F.lit('"id":'), F.to_json(F.col("call_id").cast("variant")), F.lit(","))).otherwise(F.lit("")),
         F.lit('"kind":"'), F.col("kind"), F.lit('"'),
         F.when(is_call, F.concat(F.lit(',"name":'), F.coalesce(F.to_json(F.col("name").cast("variant")), F.lit("null")))).otherwise(F.lit("")),
+        F.when(F.col("other").isNotNull(), F.concat(F.lit(',"other":'), canonical(F.col("other")))).otherwise(F.lit("")),
         F.lit(',"role":'), F.coalesce(F.to_json(F.col("role").cast("variant")), F.lit("null")),
         F.when(is_call, F.concat(F.lit(',"valid":'), F.col("valid").cast("string"))).otherwise(F.lit("")),
     )
@@ -125,11 +147,12 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     """Events of a plain conversation: a user's turn calls the tool ``reply`` with its text, an
     assistant's turn is the result of the turn before it; other roles are messages. Turns whose
     text is JSON with ``tool_calls`` (a list of objects, one at least) or ``tool_call_id`` are read
-    as that; content beside calls is a message of the same turn."""
+    as that; content beside calls, and other keys of the turn, are a message of the same turn. A call's
+    name and arguments are its own or those of its ``function``; ``after`` is an id or a list of ids."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     name = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
     asked = F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - 1).cast("string"))
-    told = F.from_json(F.when(F.col("text").startswith("{"), F.get_json_object("text", "$.tool_calls")), "array<struct<id:string,name:string,arguments:string,after:string>>")
+    told = F.from_json(F.when(F.col("text").startswith("{"), F.get_json_object("text", "$.tool_calls")), "array<struct<id:string,name:string,arguments:string,after:string,function:struct<name:string,arguments:string>>>")
     kinds = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.when(F.col("text").startswith("{"), F.col("text"))), "$.tool_calls", "variant"))
     rows = rows.withColumn("_calls", F.when(kinds.startswith("ARRAY<OBJECT<") & (F.size(told) > 0), told))
     answer = F.when(F.col("text").startswith("{"), F.get_json_object("text", "$.tool_call_id"))
@@ -142,10 +165,11 @@ def from_turns(conversations: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("after"), "text",
     )
     calls = rows.where("_calls is not null").select("conv_id", "turn", "role", F.explode("_calls").alias("c"), "text")
-    calls = calls.select("conv_id", "turn", "role", F.lit("call").alias("kind"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"), "text")
-    beside = rows.where("_calls is not null").withColumn("text", F.get_json_object("text", "$.content")).where("text is not null")
-    beside = beside.select("conv_id", "turn", "role", F.lit("message").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("call_id", "name", "arguments", "after")], "text")
-    return plain.unionByName(calls).unionByName(beside)
+    calls = calls.select("conv_id", "turn", "role", F.lit("call").alias("kind"), F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("name"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"), F.col("c.after").alias("after"), "text")
+    more = F.map_filter(F.from_json("text", "map<string,variant>"), lambda k, _: ~k.isin("tool_calls", "content", "role"))
+    beside = rows.where("_calls is not null").withColumn("other", F.when(F.size(more) > 0, F.to_json(more))).withColumn("text", F.get_json_object("text", "$.content")).where("text is not null or other is not null")
+    beside = beside.select("conv_id", "turn", "role", F.lit("message").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("call_id", "name", "arguments", "after")], "text", "other")
+    return plain.unionByName(calls).unionByName(beside, allowMissingColumns=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
