@@ -612,6 +612,19 @@ def test_alignment_equals_the_table():
     assert best.tolist() == [local_score(x.tolist(), y.tolist()) for x, y in zip(a, b)]
 
 
+@pytest.mark.parametrize("period, phase", [(3, 0), (3, 1), (4, 0), (4, 1), (4, 3), (5, 2), (7, 0)])
+def test_items_with_every_nth_word_replaced(spark, period, phase):
+    """Similarity 0.625 where every fourth word is another one, 0.5 where every third is: both are matches."""
+    item = sentence(random.Random(3), 60)
+    words = item.split()
+    edited = " ".join(f"new{k}" if k % period == phase else w for k, w in enumerate(words))
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, 200)) for k in range(30)] + [(50, sentence(rng, 40) + " " + edited + " " + sentence(rng, 40))]
+    found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, sentence(rng, 60))], "item_id long, text string"), 0.45)
+    got = [(r.doc_id, r.item_id) for r in found.collect()]
+    assert got == [(50, 7)]
+
+
 def test_contaminated(spark, hard, empty):
     rng = random.Random(9)
     items = [(k, sentence(rng, rng.randint(15, 50))) for k in range(20)]

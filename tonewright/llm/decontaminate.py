@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Words are runs without white space, ASCII letters lower-cased, signs at their ends cut off.
-Every GRAM-word gram of a test item is counted over all documents. An item's rare seeds are its
+Every GRAM-word gram of a test item is counted over all documents, and so are those with one of the inner
+words left open, so that seeds survive where every third or fourth word is replaced. An item's rare seeds are its
 grams that are rare in the corpus (RARE) or, so that an item leaked many times keeps its own,
 not much more frequent than the item's rarer ones (COMMON times its lower quartile). Where a document holds a rare seed, the
 words around it are aligned locally with the item's (MATCH, MISMATCH, GAP), and the best score
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .textkit import LOWER, Words, buffers, pieces, runs, slices
+from .textkit import LOWER, Words, buffers, mix, pieces, runs, slices
 
 GRAM, PAD = 4, 12
 RARE, COMMON = 1000, 4  # rare: in at most one document of so many
@@ -68,20 +69,54 @@ def grams(words: np.ndarray, first: np.ndarray, n: int = GRAM) -> tuple[np.ndarr
     return of, place, runs(words, start, np.minimum(size, n)[of], n)
 
 
-def grams_of(words: np.ndarray, first: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The grams of documents, and their runs of as many words as short items have; by document."""
-    found = [grams(words, first)]
+def spaced(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of the windows of GRAM words with one word within left open; shorter texts have none."""
+    size = np.diff(first)
+    count = np.maximum(size - GRAM + 1, 0)
+    of = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[:-1][of] + place
+    found = []
+    for left in range(1, GRAM - 1):
+        total = np.full(len(of), left, np.uint64)
+        for k in range(GRAM):
+            if k != left:
+                total = total * np.uint64(0x9E3779B97F4A7C15) + words[start + k]
+        found.append(mix(total))
+    return np.tile(of, len(found)), np.tile(place, len(found)), np.concatenate(found)
+
+
+def grams_of(words: np.ndarray, first: np.ndarray, short: list[int], held: "Known") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position in words, place in ``held``) of the grams of documents that are held, of those with an
+    open word and of the runs of as many words as short items have; by document."""
+    found = [grams(words, first), spaced(words, first)]
     size = np.diff(first)
     for n in short:
         count = np.where(size > n, size - n + 1, 0)  # a document of n words is its own gram already
         of = np.repeat(np.arange(len(size)), count)
         place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         found.append((of, place, runs(words, first[:-1][of] + place, np.full(len(of), n), n)))
-    if len(found) == 1:
-        return found[0]
-    of, place, gram = map(np.concatenate, zip(*found))
+    kept = []
+    for of, place, gram in found:
+        at, number = held.find(gram)
+        kept.append((of[at], place[at], number))
+    of, place, number = map(np.concatenate, zip(*kept))
     order = np.argsort(of, kind="stable")
-    return of[order], place[order], gram[order]
+    return of[order], place[order], number[order]
+
+
+class Known:
+    """A sorted set of hashes, with a table of their leading bits: most that is asked for isn't there."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.some = hashes, np.zeros(1 << 20, bool)
+        self.some[hashes >> np.uint64(44)] = True
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``asked`` of what is there, where it is)."""
+        at = np.flatnonzero(self.some[asked >> np.uint64(44)])
+        number = find_in(self.hashes, asked[at])
+        return at[number >= 0], number[number >= 0]
 
 
 def find_in(known: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -99,7 +134,7 @@ class Items:
         self.ids = ids
         self.words, w = word_hashes(*buffers(pa.array(texts, pa.large_string())))
         self.first = w.first
-        self.of, self.place, gram = grams(self.words, self.first)
+        self.of, self.place, gram = map(np.concatenate, zip(grams(self.words, self.first), spaced(self.words, self.first)))
         size = np.diff(self.first)
         self.short = np.unique(size[(size > 0) & (size < GRAM)]).tolist()
         order = np.argsort(gram, kind="stable")
@@ -120,7 +155,10 @@ class Items:
         self.of, self.place, self.gram, self.rare = self.of[occurs], self.place[occurs], self.gram[occurs], rare[occurs]
         self.known, self.start = np.unique(self.gram, return_index=True)
         self.start = np.append(self.start, len(self.gram))
+        self.held = Known(self.known)
         # Entries by gram and item, and how often each item has each of its words.
+        order = np.lexsort((self.of, np.repeat(np.arange(len(self.known)), np.diff(self.start))))
+        self.of, self.place, self.rare = self.of[order], self.place[order], self.rare[order]
         self.entry = np.repeat(np.arange(len(self.known)), np.diff(self.start)) * len(self.ids) + self.of
         self.vocabulary, word = np.unique(self.words, return_inverse=True)
         self.has, self.times = np.unique(np.repeat(np.arange(len(self.ids)), np.diff(self.first)) * len(self.vocabulary) + word, return_counts=True)
@@ -172,10 +210,8 @@ def matches(items: Items, raw: np.ndarray, off: np.ndarray, threshold: float = T
     """(document, item, similarity, last word, seeds) of the pairs with a gram in common; those
     that can't reach the threshold may be left out."""
     words, w = word_hashes(raw, off)
-    of, place, gram = grams_of(words, w.first, items.short)
-    number = find_in(items.known, gram)
-    at = np.flatnonzero(number >= 0)
-    of, place, number = of[at], place[at], number[at]
+    of, place, number = grams_of(words, w.first, items.short, items.held)
+    at = of
     ends = np.cumsum(items.start[number + 1] - items.start[number])
     out, k = [], 0
     while k < len(at):
@@ -269,14 +305,12 @@ def counted(docs: DataFrame, parts: list[DataFrame]) -> tuple[np.ndarray, np.nda
 
     def count(batches):
         (known, short), n = shared.value, 0
-        df = np.zeros(len(known), np.int64)
+        df, held = np.zeros(len(known), np.int64), Known(known)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words, w = word_hashes(*buffers(piece.column(0)))
-                of, _, gram = grams_of(words, w.first, short)
-                number = find_in(known, gram)
-                at = np.flatnonzero(number >= 0)
-                pair = np.unique(of[at] * len(df) + number[at]) if len(at) else at
+                of, _, number = grams_of(words, w.first, short, held)
+                pair = np.unique(of * len(df) + number)
                 df += np.bincount(pair % max(len(df), 1), minlength=len(df))
                 n += piece.num_rows
         some = np.flatnonzero(df)
