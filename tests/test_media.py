@@ -288,6 +288,67 @@ def test_grid_command(spark, tmp_path, capsys):
     assert cli.main(["grid", str(tmp_path / "in.mid"), "-o", str(tmp_path / "o.mid"), "--meter", "7/5"]) == 1
 
 
+def drifting(bars=40, low=96.0, high=102.0):
+    """Chords on every pulse of a song that goes from one tempo to another; its pulses."""
+    times, t = [], 0.7
+    for k in range(bars * 4):
+        times.append(t)
+        t += 60 / (low + (high - low) * k / (bars * 4))
+    chords = [(57, 60, 64), (53, 57, 60), (48, 52, 55), (55, 59, 62)]
+    between = [(72, 60, a + (b - a) * q / 4, a + (b - a) * q / 4 + 0.05) for a, b in zip(times, times[1:]) for q in (1, 2)]
+    return times, [(p, 80, t, t + 0.4) for k, t in enumerate(times) for p in chords[k // 4 % 4]] + between
+
+
+def bars_of(data, pulses=4):
+    """Times of a file's bar lines after the pickup."""
+    division, tempi, _ = midi.parse(data)
+    last = max(r[9] for r in midi.rows("", data))
+    return midi.seconds(list(range(pulses * division, last, pulses * division)), division, tempi)
+
+
+def test_files_of_a_run_have_bar_lines_on_the_grid(spark):
+    """A constant song, one that drifts and one that fits nothing, in one run; no note moves."""
+    beat = 60 / 114
+    chords = [(57, 60, 64), (53, 57, 60), (48, 52, 55), (55, 59, 62)]
+    steady = [(p, 80, 1.0 + beat * k, 1.0 + beat * k + 0.4) for k in range(96) for p in chords[k // 4 % 4]]
+    times, moving = drifting()
+    rng = np.random.default_rng(0)
+    free = [(60, 80, float(t), float(t) + 0.1) for t in np.cumsum(rng.uniform(0.1, 0.9, 30))]
+    rows = [(s, "other", i, p, v, a, b, False, 0) for s, song in enumerate((steady, moving, free)) for i, (p, v, a, b) in enumerate(song)]
+    tempi = spark.createDataFrame([(0, 114.0), (1, 99.0), (2, 90.0)], "song_id long, bpm double")
+    run = process(spark.createDataFrame(rows, NOTE), tempo=tempi, params=None, mode="auto")
+    kind = {r.song_id: (r.fitted, r.tempo) for r in run.info.collect()}
+    assert kind[0] == (True, "constant") and kind[1] == (True, "map") and not kind[2][0]
+    files = {r.song_id: bytes(r.midi) for r in run.files().collect()}
+    for s, song in enumerate((steady, moving, free)):
+        assert sorted(r[10] for r in midi.rows("", files[s])) == pytest.approx(sorted(n[2] for n in song), abs=2e-3)
+    tick = beat / 960
+    for t in bars_of(files[0]):
+        assert abs((t - 1.0) / (4 * beat) - round((t - 1.0) / (4 * beat))) * 4 * beat < max(tick, 5e-4) * 1.5
+    lines = bars_of(files[1])
+    assert len(lines) > 30 and all(min(abs(t - x) for x in times[::4]) < 0.012 for t in lines[1:-1])
+    assert midi.parse(files[2])[1] == [(0, round(60e6 / 90))]
+    run.release()
+
+
+def test_grid_command_over_a_folder(spark, tmp_path, capsys):
+    """Each file a song, all in one job; a map where the tempo drifts."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "drift.mid").write_bytes(midi.write([midi.Track("chords", 0, False, drifting()[1]), midi.Track("", 0, False, [(40, 90, 1.0, 1.2)]), midi.Track("chords", 0, False, [(41, 90, 1.0, 1.2)])]))
+    beat = 60 / 114
+    (tmp_path / "in" / "steady.mid").write_bytes(midi.write([midi.Track("x", 0, False, [(60 + k % 3, 80, 1.0 + beat * k / 4, 1.1 + beat * k / 4) for k in range(400) if k % 4 != 3])]))
+    assert cli.main(["grid", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--tempo-mode", "auto"]) == 0
+    told = {n: json.loads((tmp_path / "out" / f"{n}.grid.json").read_text()) for n in ("drift", "steady")}
+    assert told["drift"]["tempo"] == "map" and told["steady"]["tempo"] == "constant" and told["steady"]["bpm"] == pytest.approx(114, rel=1e-3)
+    assert 94 < told["drift"]["bpm_range"][0] < told["drift"]["bpm_range"][1] < 104
+    out = capsys.readouterr().out
+    assert "drift.mid: map of" in out and "steady.mid: 114.0" in out
+    data = (tmp_path / "out" / "drift.mid").read_bytes()
+    assert {t.name for _, t in midi.parse(data)[2]} == {"chords 0", "track 1", "chords 2"}
+    assert len(bars_of(data)) > 30
+    assert cli.main(["grid", str(tmp_path / "in"), "-o", str(tmp_path / "out2"), "--downbeat", "9"]) == 1
+
+
 def test_frozen_songs(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"bpm": 150, "parts": [{"name": "drums", "drum": True, "notes": [[0.5, 0.6, 36, 100], [1.0, 1.1, 38, 90]]}, {"name": "bass", "notes": []}]}, indent=1))
     got = frozen(spark, str(tmp_path / "a.json")).collect()

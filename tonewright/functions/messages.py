@@ -32,6 +32,10 @@ STATUS = {
 ECHOED = ("online", "queue")
 WRITING_A_PART = "writing down the %s"
 
+# Fixed values. What tells a used-up quota from other failures, and the time to wait, as patterns.
+QUOTA = r"(?i)quota|exceeded your|gpu (?:task|duration).*(?:abort|limit)|no gpu (?:was )?available"
+WAIT = r"(?i)try again in\s+([0-9:]+)"
+
 # Fixed values. A download button: with no part on, with all, with up to FEW of them, with more.
 FEW = 3
 BUTTON_NONE, BUTTON_ALL = "Switch a part on to download it", "Download all parts as MIDI"

@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGHT, LAG_MIN_SCORE, MAP_GAIN, MAP_THRESHOLD, MIN_ALIGNMENT, MIN_ONSETS, OFF_FILL, PHASE_WARN, PULSE_TOL, SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, SOURCE_LAG_WARN, TEMPO_PRIOR, TRACK, dealt
+from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGHT, LAG_MIN_SCORE, MAP_GAIN, MAP_THRESHOLD, MIN_ALIGNMENT, MIN_ONSETS, OFF_FILL, PHASE_WARN, PULSE_TOL, RESOLUTION, SEARCH_HIGH, SEARCH_LOW, SEARCH_STEP, SOURCE_LAG_WARN, TEMPO_PRIOR, TRACK, dealt
 from .measure import onset_dedupe
 
 
@@ -387,6 +388,37 @@ def apply(notes: DataFrame, bpm: float | DataFrame | None = None, groups: tuple[
     look at. What is read several times is written to checkpoints if the session has a folder for
     them, else cached; ``release`` gives the cache back.
     """
+    found = fit_songs(notes, bpm, groups, den, mode, downbeat, shift_pulses, snap_notes, fixed_pulse, audio, hop)
+    return found.info, found.notes
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """Songs on their grids: the report, the notes, and the pulses (song_id, k, t) of those that follow a map."""
+
+    info: DataFrame
+    notes: DataFrame
+    beats: DataFrame | None
+    pulses: int
+    den: int
+
+    def stamps(self, resolution: int = RESOLUTION) -> DataFrame:
+        """Tempo changes (song_id, tick, qpm) that put bar lines on the grid and move no note: a pickup bar,
+        then the grid's tempo, or one change for each pulse of a map. Songs without a fit have none."""
+        from . import tempo_map as P
+
+        known = self.info.where("fitted")
+        out = P.stamp_constant(known.where("tempo = 'constant'").select("song_id", "bpm", F.col("first_bar").alias("anchor")), self.pulses, self.den, resolution)
+        out = out.select("song_id", F.col("tick").cast("long").alias("tick"), "qpm")
+        if self.beats is None:
+            return out
+        each = self.beats.join(known.where("tempo = 'map'").select("song_id", F.col("bar_one").alias("_one")), "song_id")
+        return out.unionByName(P.stamp_map(each, self.pulses, self.den, F.col("_one"), resolution))
+
+
+def fit_songs(notes: DataFrame, bpm: float | DataFrame | None = None, groups: tuple[int, ...] = (1, 1, 1, 1), den: int = 4, mode: str = "constant", downbeat: int | None = None, shift_pulses: int = 0,
+              snap_notes: bool = True, fixed_pulse: bool = False, audio: DataFrame | None = None, hop: float = 0.003) -> Fitted:
+    """``apply`` with what a file needs besides."""
     from . import signal as A
     from . import tempo_map as P
 
@@ -457,4 +489,4 @@ def apply(notes: DataFrame, bpm: float | DataFrame | None = None, groups: tuple[
         F.when(F.abs(F.col("source_lag")) >= SOURCE_LAG_WARN, F.format_string("the notes of %s run %+.0f ms from their sound", F.col("source_track"), F.col("source_lag") * 1000)),
     ), lambda w: w.isNotNull())
     out = info.join(tracks, "song_id", "left").select("song_id", F.col("r").isNotNull().alias("fitted"), "tempo", "bpm", bar.cast("int").alias("bar_one"), first.alias("first_bar"), "confidence", "source_track", "constant_offset", "map_gain", "tracks", warnings.alias("warnings"))
-    return out, back
+    return Fitted(out, back, mapped, pulses, den)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import backends
-from ..schema import DEFAULT_TEMPO, TRACK, CleanupParams
+from ..schema import DEFAULT_TEMPO, RESOLUTION, TRACK, CleanupParams
 from . import cleanup, grid, merge
 
 
@@ -21,32 +21,42 @@ class Run:
     tempo: DataFrame
     warnings: DataFrame
     held: list[DataFrame] = field(default_factory=list)
+    fitted: grid.Fitted | None = None
 
     def release(self) -> None:
         """Gives back what the run keeps in memory; its tables are computed anew if they are read again."""
         grid.free(self.held)
 
+    def stamps(self) -> DataFrame:
+        """(song_id, tick, qpm): the tempo changes of each song's grid or map; one tempo where none was fitted."""
+        flat = self.tempo.select("song_id", F.lit(0).cast("long").alias("tick"), F.col("bpm").alias("qpm"))
+        if self.fitted is None:
+            return flat
+        known = self.fitted.stamps()
+        return known.unionByName(flat.join(known.select("song_id").distinct(), "song_id", "left_anti"))
+
     def files(self) -> DataFrame:
-        """(song_id, midi): a file for each song, at its own tempo."""
+        """(song_id, midi): a file for each song, with bar lines on its grid."""
         from ..sources import midi
 
-        return midi.to_files(self.notes, tempi=self.tempo)
+        meter = (self.fitted.pulses, self.fitted.den) if self.fitted else (4, 4)
+        return midi.to_files(self.notes, stamps=self.stamps(), division=RESOLUTION, meter=meter)
 
 
 def process(notes: DataFrame, stems: DataFrame | None = None, fallback: DataFrame | None = None, tempo: float | DataFrame | None = None, params: CleanupParams | None = CleanupParams(), mono_stems: tuple[str, ...] = (),
-            fit_grid: bool = True, snap: bool = False, groups: tuple[int, ...] = (1, 1, 1, 1), den: int = 4, mode: str = "auto", downbeat: int | None = None, audio: DataFrame | None = None) -> Run:
+            fit_grid: bool = True, snap: bool = False, groups: tuple[int, ...] = (1, 1, 1, 1), den: int = 4, mode: str = "auto", downbeat: int | None = None, audio: DataFrame | None = None, hop: float = 0.003) -> Run:
     """notes(song_id, track, ...) with stems' names as tracks -> Run.
 
     stems(song_id, track, seconds, rms) describe the sound; where a stem sounds and has next to no notes,
     those of ``fallback`` take their place. ``params`` None leaves notes as they are; ``mono_stems`` keep one
     voice. ``tempo`` is found from the notes where none is given (by songs: song_id, bpm); songs in
-    which none is found go at the default. The grid is fitted near it, exactly there if it was given.
+    which none is found go at the default. The grid is fitted near it, in that pulse if it was given.
     """
     with grid.holding() as held:
-        return _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap, groups, den, mode, downbeat, audio, held)
+        return _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap, groups, den, mode, downbeat, audio, hop, held)
 
 
-def _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap, groups, den, mode, downbeat, audio, held) -> Run:
+def _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap, groups, den, mode, downbeat, audio, hop, held) -> Run:
     """``process``; the steps measured in beats go at each song's own tempo."""
     songs = notes.select("song_id")
     for more in (stems, fallback):
@@ -78,15 +88,15 @@ def _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap,
         notes = done.drop("_bpm")
     merged = merge.merge_tracks(notes).drop("place", "rank")
     plain = (tuple(groups), den) == ((1, 1, 1, 1), 4)
-    info, out, final = None, merged, tempi
+    info, out, final, fitted = None, merged, tempi, None
     if fit_grid:
-        info, out = grid.apply(merged, tempi, groups, den, mode, downbeat, snap_notes=snap, fixed_pulse=tempo is not None, audio=audio)
+        fitted = grid.fit_songs(merged, tempi, groups, den, mode, downbeat, snap_notes=snap, fixed_pulse=tempo is not None, audio=audio, hop=hop)
+        info, out = grid.hold(fitted.info), fitted.notes
         told.append(info.select("song_id", F.explode("warnings").alias("warning")))
-        # The grid counts pulses, a file quarters.
         final = tempi.join(info.where("fitted").select("song_id", F.col("bpm").alias("_bpm")), "song_id", "left").select("song_id", F.coalesce("_bpm", "bpm").alias("bpm"))
     elif not plain:
         told.append(tempi.select("song_id", F.lit("the meter needs a grid: no bar lines are written").alias("warning")))
     warnings = told[0]
     for more in told[1:]:
         warnings = warnings.unionByName(more)
-    return Run(out, info, final, warnings, held)
+    return Run(out, info, final, warnings, held, replace(fitted, info=info) if fitted else None)
