@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..schema import dealt
+
 NOTES = "song_id long, stem string, note_id long, pitch int, velocity int, start_s double, end_s double"
 Transcriber = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -49,9 +51,23 @@ def guard(name: str) -> None:
         raise BackendError(f"{name!r} is for non-commercial use only")
 
 
-def transcribe(blocks: DataFrame, name: str) -> DataFrame:
+def device(gpus: float, cpus: int = 1):
+    """What a task of a model needs: a share of a device, of which an executor has one."""
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    tasks = TaskResourceRequests().cpus(cpus).resource("gpu", gpus)
+    return ResourceProfileBuilder().require(ExecutorResourceRequests().cores(max(cpus, round(1 / gpus) * cpus if gpus < 1 else cpus)).resource("gpu", max(1, int(gpus)))).require(tasks).build
+
+
+def transcribe(blocks: DataFrame, name: str, gpus: float = 0.0) -> DataFrame:
+    """Notes of stems' blocks. With ``gpus`` the model's tasks are a stage of their own, between two exchanges,
+    on executors that have devices; the stages around it don't hold any."""
     guard(name)
-    return blocks.mapInPandas(_get(_transcribers, name, "transcriber"), NOTES)
+    model = _get(_transcribers, name, "transcriber")
+    if not gpus:
+        return blocks.mapInPandas(model, NOTES)
+    held = dealt(blocks, "song_id", "stem").mapInPandas(model, NOTES, barrier=False, profile=device(gpus))
+    return dealt(held, "song_id", "stem")
 
 
 def estimate_tempo(notes: DataFrame, name: str = "autocorrelation") -> DataFrame:

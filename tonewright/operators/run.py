@@ -100,3 +100,21 @@ def _process(notes, stems, fallback, tempo, params, mono_stems, fit_grid, snap,
     for more in told[1:]:
         warnings = warnings.unionByName(more)
     return Run(out, info, final, warnings, held, replace(fitted, info=info) if fitted else None)
+
+
+def song_keys(notes: DataFrame, *options) -> DataFrame:
+    """(song_id, key): a hash of a song's notes, in whatever order, and of options."""
+    row = F.struct(*sorted(c for c in notes.columns if c != "song_id"))
+    sums = notes.groupBy("song_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), row).cast("decimal(38,0)")).alias("b"))
+    return sums.select("song_id", F.sha2(F.concat_ws("|", "n", "a", "b", F.lit(repr(options))), 256).alias("key"))
+
+
+def process_new(notes: DataFrame, results, tempo: float | None = None, **options) -> DataFrame:
+    """Notes of ``process``, by song from ``results`` (a ``cache.Results``): only songs that are new, or whose
+    notes or options are others than before, are worked on."""
+    keys = song_keys(notes, tempo, sorted(options.items()))
+
+    def work(missing: DataFrame) -> DataFrame:
+        return process(notes.join(missing.select("song_id"), "song_id", "left_semi"), tempo=tempo, **options).notes
+
+    return results.of("process", keys, work)
