@@ -98,9 +98,17 @@ def normalise_stems(spark, d):
     return x.join(m, "song_id").groupBy("song_id", "stem").agg(F.count("*").alias("n"), F.round(F.sum(F.abs((F.col("x") - F.col("m")) / F.col("s"))), 5).alias("total"))
 
 
-@_q("log_mel")
+_MEL = ", ".join(f"({m}, {k}, {w!r}::double)" for m, row in enumerate(A.mel_filters(SR, 64, 8).tolist()) for k, w in enumerate(row) if w)
+LOG_MEL_SQL = f"""WITH notes AS ({NOTES_SQL}), {SAMPLES_SQL}, fl(m, k, w) AS (VALUES {_MEL}), n AS (SELECT song_id, stem, greatest(count(*), 64) AS n FROM s GROUP BY ALL),
+fr AS (SELECT song_id, stem, unnest(range((n - 64) // 32 + 1)) AS f FROM n), cut AS (SELECT fr.song_id, fr.stem, f, i - f * 32 AS j, x * (0.5 - 0.5 * cos(2 * pi() * (i - f * 32) / 64)) AS x FROM fr JOIN s ON s.song_id = fr.song_id AND s.stem = fr.stem AND s.i BETWEEN f * 32 AND f * 32 + 63),
+dft AS (SELECT song_id, stem, f, k, power(sum(x * cos(2 * pi() * k * j / 64)), 2) + power(sum(x * sin(2 * pi() * k * j / 64)), 2) AS p FROM cut, (SELECT unnest(range(33)) AS k) GROUP BY ALL),
+mel AS (SELECT song_id, stem, f, m, ln(greatest(sum(p * w), 1e-10)) AS v FROM dft JOIN fl USING (k) GROUP BY ALL), band AS (SELECT song_id, stem, m, avg(v) AS v, count(*) AS frames FROM mel GROUP BY ALL)
+SELECT song_id, stem, max(frames) AS frames, arg_max(m, struct_pack(v := v, j := -m))::BIGINT AS band, round(avg(v), 5) AS level FROM band GROUP BY ALL"""
+
+
+@_q("log_mel", LOG_MEL_SQL)
 def log_mel(spark, d):
-    """Log-mel frames of each stem, mean and peak band; tested on tones."""
+    """Log-mel frames of each stem, mean and peak band."""
 
     def bands(rate, x):
         m = A.log_mel(x, rate, 64, 32, 8)
