@@ -43,19 +43,31 @@ def louder_than(blocks: DataFrame, db: float) -> DataFrame:
 def mixdown(blocks: DataFrame, leave_out: tuple[str, ...] = ("vocals",), peak: float = 0.99) -> DataFrame:
     """The sum of a song's stems but those left out, by block; scaled where its peak is above ``peak``.
     Stems that end early are silent there."""
-    rows = blocks.where(~F.col("stem").isin(*leave_out)).select("song_id", "channel", "block_id", "t0", "sr", F.posexplode("samples").alias("i", "x"))
-    sums = rows.groupBy("song_id", "channel", "block_id", "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.min("t0").alias("t0"), F.min("sr").alias("sr"))
-    whole = sums.groupBy("song_id", "channel", "block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("samples"), F.min("t0").alias("t0"), F.min("sr").alias("sr"))
+    # Whole blocks are added up, a stem at a time; no sample is a row.
+    add = lambda a, x: F.zip_with(a, x, lambda p, q: F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0)))
+    listed = blocks.where(~F.col("stem").isin(*leave_out)).groupBy("song_id", "channel", "block_id").agg(F.array_sort(F.collect_list(F.struct("stem", F.col("samples").cast("array<double>").alias("x")))).alias("all"), F.min("t0").alias("t0"), F.min("sr").alias("sr"))
+    total = F.aggregate(F.transform("all", lambda e: e["x"]), F.array().cast("array<double>"), add)
+    whole = listed.select("song_id", "channel", "block_id", total.alias("samples"), "t0", "sr").where(F.size("samples") > 0)
     top = whole.groupBy("song_id").agg(F.max(F.array_max(F.transform("samples", lambda x: F.abs(x)))).alias("top"))
     gain = F.when(F.col("top") > peak, F.lit(peak) / F.col("top")).otherwise(1.0)
     return whole.join(top, "song_id").withColumn("gain", gain).withColumn("samples", F.transform("samples", lambda x: x * F.col("gain"))).drop("top")
 
 
+def normalised(blocks: DataFrame) -> DataFrame:
+    """Samples less their song's mean over its deviation, as a separator's input; songs without any are left out."""
+    sums = blocks.groupBy("song_id").agg((F.sum(_sum("samples", lambda x: x)) / F.sum(F.size("samples"))).alias("_m"))
+    centred = blocks.join(sums, "song_id")
+    spread = centred.groupBy("song_id").agg(F.sqrt(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m")))) / (F.sum(F.size("samples")) - 1)).alias("_d"))
+    return centred.join(spread, "song_id").withColumn("samples", F.transform("samples", lambda x: (x - F.col("_m")) / F.col("_d"))).drop("_m", "_d")
+
+
 def wave_peaks(blocks: DataFrame, buckets: int, stride: int = 16) -> DataFrame:
     """Largest size of every ``stride``-th sample in each of so many equal parts of a stem, over all channels."""
     total = blocks.groupBy(*STEM, "channel").agg(F.sum(F.size("samples")).alias("n")).groupBy(*STEM).agg(F.max("n").alias("n"))
     first = Window.partitionBy(*STEM, "channel").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("at", F.coalesce(F.sum(F.size("samples")).over(first), F.lit(0))).select(*STEM, "at", F.posexplode("samples").alias("i", "x")).withColumn("at", F.col("at") + F.col("i")).where(F.col("at") % stride == 0)
+    placed = blocks.withColumn("at", F.coalesce(F.sum(F.size("samples")).over(first), F.lit(0))).withColumn("_i", F.pmod(-F.col("at"), F.lit(stride)).cast("int")).where(F.col("_i") < F.size("samples"))
+    # Only the samples that count become rows.
+    placed = placed.select(*STEM, "at", "samples", F.explode(F.sequence("_i", F.size("samples") - 1, F.lit(stride))).alias("i")).select(*STEM, (F.col("at") + F.col("i")).alias("at"), F.get("samples", "i").alias("x"))
     return placed.join(total, STEM).groupBy(*STEM, F.floor(F.col("at") * buckets / F.col("n")).alias("bucket")).agg(F.max(F.abs("x")).cast("double").alias("peak"))
 
 

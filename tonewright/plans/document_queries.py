@@ -93,9 +93,8 @@ def prepare_audio(spark, d):
 @_q("normalise_stems", f"WITH notes AS ({NOTES_SQL}), {SAMPLES_SQL} SELECT song_id, stem, count(*) AS n, round(sum(abs((x - m) / d)), 5) AS total FROM s JOIN (SELECT song_id, avg(x) AS m, stddev_samp(x) AS d FROM s GROUP BY song_id) USING (song_id) GROUP BY ALL")
 def normalise_stems(spark, d):
     """Samples less the song's mean over its deviation, as a separator's input."""
-    x = blocks(spark, d).select("song_id", "stem", F.explode("samples").alias("x"))
-    m = x.groupBy("song_id").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    return x.join(m, "song_id").groupBy("song_id", "stem").agg(F.count("*").alias("n"), F.round(F.sum(F.abs((F.col("x") - F.col("m")) / F.col("s"))), 5).alias("total"))
+    each = A.normalised(blocks(spark, d)).select("song_id", "stem", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("total"))
+    return each.groupBy("song_id", "stem").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 5).alias("total"))
 
 
 _MEL = ", ".join(f"({m}, {k}, {w!r}::double)" for m, row in enumerate(A.mel_filters(SR, 64, 8).tolist()) for k, w in enumerate(row) if w)
