@@ -65,6 +65,40 @@ def test_fit_of_songs_at_all_tempi(spark):
         G.Spectrum(G.moments(onsets(spark, steps(100, 300)), 5.0, 6.0).toPandas()).of(np.array([0.1]))
 
 
+def tracked_by_frames(times, weights, bpm, end, tightness=400, rate=200):
+    """The tracker a frame at a time."""
+    n = int(np.ceil((end + 2.0) * rate)) + 2
+    env = np.bincount(np.clip(np.rint(times * rate).astype(int), 0, n - 1), weights, n)
+    env = np.convolve(env, np.sin(np.pi * np.arange(1, 8) / 8) ** 2, "same")
+    env = env / np.sqrt(env.var() * n / (n - 1))
+    period = 60.0 * rate / bpm
+    local = np.convolve(env, np.exp(-0.5 * (np.arange(-int(period), int(period) + 1) * 32.0 / period) ** 2), "same")
+    steps = np.arange(-int(round(2 * period)), -int(round(period / 2)) + 1)
+    score, back, begun = np.zeros(n), np.full(n, -1), False
+    for i in range(n):
+        reach = [-tightness * np.log(-s / period) ** 2 + (score[i + s] if i + s >= 0 else 0.0) for s in steps]
+        k = int(np.argmax(reach))
+        score[i] = local[i] + reach[k]
+        begun = begun or local[i] >= 0.01 * local.max()
+        back[i] = i + steps[k] if begun else -1
+    peaks = np.flatnonzero((score[1:-1] > score[:-2]) & (score[1:-1] >= score[2:])) + 1
+    good = peaks[score[peaks] * 2 > np.median(score[peaks])]
+    i, out = int(good[-1]), []
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return np.array(out[::-1]) / rate
+
+
+@pytest.mark.parametrize("bpm, guess", [(114.0, 112.0), (61.0, 60.0), (187.0, 190.0), (40.0, 41.0)])
+def test_tracker_takes_many_frames_at_once(bpm, guess):
+    rng = np.random.default_rng(int(bpm))
+    t = 1.3 + np.arange(40) * 60 / bpm + rng.normal(0, 0.01, 40)
+    t = np.sort(np.concatenate([t, rng.uniform(0, t[-1], 15)]))
+    w = rng.uniform(0.2, 1, len(t))
+    assert P.tracked(t, w, guess, float(t[-1])).tolist() == tracked_by_frames(t, w, guess, float(t[-1])).tolist()
+
+
 @pytest.mark.parametrize("beats", [[0.0, 1.0, 2.0, 5.0, 6.0], [0.0, 0.5, 3.0, 3.5, 4.0, 9.0, 9.5], [1.0, 1.4], [0.0, 1.0, 2.5, 4.0, 5.5, 7.1, 7.2, 11.0]])
 def test_gaps_are_filled_at_the_local_pulse(beats):
     """By the rule itself: while the next pulse is more than one and a half off, another is put out."""

@@ -1,5 +1,8 @@
 """Results kept by song, songs that land as files, and stages with resources of their own."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,30 @@ def test_only_new_songs_are_computed(spark, tmp_path):
     assert told() == []
 
 
+def test_sweep_keeps_results_and_writers_at_work(spark, tmp_path):
+    """Unfinished and beaten writes go once nothing happens in them; one that is still written to stays."""
+    store = cache.Cache(spark, str(tmp_path / "cache"))
+    store.put("stems", "k", spark.range(3))
+    at = tmp_path / "cache" / "stems" / "k"
+    old = time.time() - 1000
+    for name, files, moved in (("lost", ["part-0", "_SUCCESS"], old + 999), ("dead", ["part-0"], old), ("alive", ["part-0", "sub/part-1"], old)):
+        for f in files:
+            (at / name / f).parent.mkdir(parents=True, exist_ok=True)
+            (at / name / f).write_bytes(b"x")
+            os.utime(at / name / f, (moved, moved))
+        os.utime(at / name, (old, old))
+    os.utime(at / "alive" / "sub" / "part-1")
+    winner = next(p.name for p in at.iterdir() if p.name not in ("lost", "dead", "alive"))
+    for f in at.rglob("*"):
+        if winner in str(f):
+            os.utime(f, (old - 5, old - 5))
+    assert store.sweep(500) == 1 and {p.name for p in at.iterdir()} == {winner, "lost", "alive"}
+    os.utime(at / "lost" / "_SUCCESS", (old, old))
+    os.utime(at / "lost" / "part-0", (old, old))
+    assert store.sweep(500) == 1 and store.get("stems", "k").count() == 3
+    assert {p.name for p in at.iterdir()} == {winner, "alive"}
+
+
 def test_a_second_run_works_on_the_new_song(spark, tmp_path, monkeypatch):
     store, seen = cache.Results(spark, str(tmp_path / "runs")), []
     real = process

@@ -47,12 +47,24 @@ class Cache:
             self._fs.delete(self._path(f"{self._at(kind, key)}/{mine}"), True)
         return self.spark.read.parquet(f"{self._at(kind, key)}/{first}")
 
+    def _newest(self, path) -> int:
+        """When anything in a folder was last written: a writer at work keeps its folder young."""
+        newest, files = self._fs.getFileStatus(path).getModificationTime(), self._fs.listFiles(path, True)
+        while files.hasNext():
+            newest = max(newest, files.next().getModificationTime())
+        return newest
+
     def sweep(self, age_s: float = 86400.0) -> int:
-        """Removes writes that were never completed and are older than an age; returns how many."""
-        n = 0
+        """Removes writes in which nothing has happened for an age and that aren't results: those never completed,
+        and those that came second but whose writers were killed before they removed them; returns how many."""
+        n, first = 0, {}
         for write in self._listed(f"{self.root}/*/*/*"):
-            if time.time() - write.getModificationTime() / 1000 > age_s and not self._fs.exists(self._path(write.getPath().toString() + "/_SUCCESS")):
-                self._fs.delete(write.getPath(), True)
+            path = write.getPath()
+            kind, key = path.getParent().getParent().getName(), path.getParent().getName()
+            if (kind, key) not in first:
+                first[kind, key] = self._first(kind, key)
+            if path.getName() != first[kind, key] and time.time() - self._newest(path) / 1000 > age_s:
+                self._fs.delete(path, True)
                 n += 1
         return n
 
