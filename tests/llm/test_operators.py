@@ -67,9 +67,10 @@ def removed(bodies, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
-def test_suffixes_hard(hard, monkeypatch, hot):
+@pytest.mark.parametrize("hot, chunk", [(suffixes.HOT, suffixes.CHUNK), (2, suffixes.CHUNK), (suffixes.HOT, 3)])
+def test_suffixes_hard(hard, monkeypatch, hot, chunk):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
     listed = texts(hard)
     want = Counter((i, *w) for (i, _), w in zip(listed, removed([t for _, t in listed])))
     assert Counter(tuple(r) for r in suffixes.dedup(hard).drop("spans").collect()) == want
@@ -89,6 +90,39 @@ def test_suffixes_planted(spark):
     assert got == dict(enumerate(removed([t for _, t in rows])))
 
 
+def test_suffix_classes():
+    """Windows that repeat, by sorted suffixes and prefixes, against a count of (distance, bytes)."""
+    rng = np.random.default_rng(4)
+    length, reach = suffixes.LENGTH, suffixes.REACH
+    base = rng.integers(0, 256, (3, reach - 1 + length)).astype(np.uint8)
+    parts, da, db = [], [], []
+    for _ in range(80):
+        own = base[rng.integers(0, 3)].copy()
+        # Bytes before and after the suffix differ from some place on; zeros stand at ends, too.
+        for _ in range(int(rng.integers(0, 3))):
+            own[rng.integers(0, len(own))] = rng.integers(0, 2)
+        a = int(rng.integers(0, reach))
+        b = int(rng.integers(0, a + 1))
+        parts.append(own[reach - 1 - a : reach - 1 - b + length])
+        da.append(a)
+        db.append(b)
+    seen = Counter((d, part[a - d : a - d + length].tobytes()) for part, a, b in zip(parts, da, db) for d in range(b, a + 1))
+    want = [(k, w) for k, (part, a, b) in enumerate(zip(parts, da, db)) for w in range(a - b + 1) if seen[a - w, part[w : w + length].tobytes()] > 1]
+    begin = np.cumsum([0] + [len(x) for x in parts[:-1]])
+    row, within = suffixes.repeated(np.concatenate(parts), begin, np.array(da), np.array(db))
+    assert list(zip(row.tolist(), within.tolist())) == want and 0 < len(want) < sum(len(x) - length + 1 for x in parts)
+
+
+def test_suffixes_line_in_every_document(spark):
+    rng = random.Random(12)
+    line = sentence(rng, 60)
+    rows = [(i, f"{sentence(rng, rng.randint(1, 30))} {line} {sentence(rng, rng.randint(1, 30))}") for i in range(120)]
+    rows += [(200 + i, rows[0][1]) for i in range(30)] + [(300, None), (301, "ab" * 400), (302, "c" * 199)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r[0]: tuple(r)[1:] for r in suffixes.dedup(docs).drop("spans").collect()}
+    assert got == dict(zip([i for i, _ in rows], removed([t for _, t in rows])))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 3, (500, 4)).astype(np.uint64)

@@ -3,28 +3,35 @@
 A string of LENGTH bytes that starts at two places is found through one suffix it holds:
 the start of its GRAM-byte gram of least hash, the same in every occurrence. Only these
 sampled suffixes, about one in seventy, are sorted, which is exact: the string's windows
-form runs around their suffix, and equal strings have equal suffixes at equal distance.
+form a run around their suffix, and equal strings have equal suffixes at equal distance.
 
 1. Every text gives its sampled suffixes with the run of windows around each. A shuffle by
-   the suffix's gram drops suffixes seen once; runs that are equal as a whole are repeated.
-2. What is left, runs that agree only in part, is fetched as bytes. Sampled splitters
-   range-partition it by the suffix's leading bytes; equal leading bytes never straddle a
-   boundary. Each bucket is sorted by multikey quicksort (a word of eight bytes at a time,
-   ties only), and neighbours with equal grams compare their windows.
-3. Suffixes with more than HOT such runs are dealt by window instead: counts are aggregated
-   before the shuffle, so no task holds them.
+   the suffix's gram drops suffixes seen once. Equal texts are one string that is there twice.
+2. The others are fetched as bytes. Sampled splitters range-partition them by their leading
+   GRAM bytes, as many ranges as the rows ask for. Splitters fall between unlike leads, so two
+   suffixes on either side of a boundary share less than a window can need. A range is worked on
+   in chunks of whole leads: suffixes are sorted by multikey quicksort (a word of eight bytes at
+   a time, ties only), and so is what stands before them, read backwards. Common prefixes of
+   neighbours cut each order into classes for every depth; a window of LENGTH bytes that begins
+   d before its suffix repeats if another row has its class at depth d backwards and at
+   LENGTH - d forwards. Bytes decide, not hashes.
+3. Suffixes with more than HOT unlike surroundings are dealt by window instead: counts are
+   aggregated before the shuffle, so no task holds them.
 
 Cases: null and short texts lose nothing; equal texts of LENGTH bytes or more are removed
 whole, also when doc_ids repeat or are null; an empty table gives no rows; other columns
-are ignored. Matches never cross texts.
+are ignored. Matches never cross texts. Which copy comes first never matters: all are removed, so
+there are no ties. Very long texts are cut in tasks that hold one of them at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +42,8 @@ from .textkit import buffers, mix, pieces, windows
 LENGTH, GRAM = 200, 64
 REACH = LENGTH - GRAM + 1  # grams of a window
 HOT = 50_000
-CHUNK_WINDOWS = 4_000_000
+CHUNK = 20_000  # rows that are sorted together, if no lead has more
+RANGE = 200_000  # rows of a range
 
 
 def sampled(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -92,18 +100,50 @@ def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def repeated(hashed: np.ndarray, begin: np.ndarray, count: np.ndarray, lead: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, window of the row) for every window that another row of its group has at the same distance.
-    hashed: of every window of LENGTH bytes."""
-    row = np.repeat(np.arange(len(begin)), count)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    key = mix(hashed[begin[row] + within] + (lead[row] - within).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ mix(group[row].astype(np.uint64))
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    return row[twice], within[twice]
+def shared(chars: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row of a sorted table shares with the row before it; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    unlike = chars[order[1:]] != chars[order[:-1]]
+    out[1:] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), chars.shape[1])
+    return out
+
+
+def laid(raw: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
+    """A table of bytes: of each row ``size`` from ``start`` on, forwards or backwards, then zeros."""
+    out = np.zeros((len(start), width), np.uint8)
+    for k in range(width):
+        mine = np.flatnonzero(size > k)
+        out[mine, k] = raw[start[mine] + step * k]
+    return out
+
+
+def repeated(raw: np.ndarray, begin: np.ndarray, da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window of the row) for every window that another row has at the same distance. Row k
+    holds the windows that begin da to db bytes before its suffix, the first of them at begin."""
+    n = len(begin)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tables = [laid(raw, begin + da, LENGTH - db, LENGTH, 1), laid(raw, begin + da - 1, da, REACH - 1, -1)]
+    orders, commons = [], []
+    for chars in tables:
+        order, _ = multikey_order(chars.view(">u8").astype(np.uint64))
+        orders.append(order)
+        commons.append(shared(chars, order))
+    hit = np.zeros((n, REACH), bool)  # by the window's place in the row
+    place, first = np.arange(n), np.empty(n, np.int64)
+    for d in range(int(db.min()), int(da.max()) + 1):
+        mine = np.flatnonzero((db <= d) & (d <= da))
+        if len(mine) < 2:
+            continue
+        key = np.zeros(len(mine), np.int64)
+        for order, common_bytes, depth in zip(orders, commons, (LENGTH - d, d)):
+            first[order] = np.maximum.accumulate(np.where(common_bytes < depth, place, 0))
+            key = key * n + first[mine]
+        by = np.argsort(key, kind="stable")
+        same = key[by[1:]] == key[by[:-1]]
+        r = mine[by[np.append(same, False) | np.insert(same, 0, False)]]
+        hit[r, da[r] - d] = True
+    return np.nonzero(hit)
 
 
 def spans(row: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,115 +183,110 @@ def find(docs: DataFrame) -> DataFrame:
                 h = [np.asarray(piece.column(k))[of] for k in (1, 2)]
                 place = p << 16 | (p - a) << 8 | (p - b)
                 # Runs that repeat within the piece are known to: they travel marked, each under a
-                # key of its own, and two of them stand for the rest. So a frequent gram stays few rows.
+                # key of its own, and one of them stands for all. So a frequent gram stays few rows.
                 both = mix(gram) ^ run
                 order = np.argsort(both, kind="stable")
                 left = np.zeros(len(both), bool)
                 left[1:] = both[order][1:] == both[order][:-1]
-                right = np.append(left[1:], False)
-                known = order[left | right]
-                third = np.zeros(len(both), bool)
-                third[2:] = left[2:] & left[1:-1]
-                rest = np.sort(order[~third])
+                known = order[left | np.append(left[1:], False)]
+                rest = np.sort(order[~left])
                 alone = mix(h[0][known].view(np.uint64) ^ mix(h[1][known].view(np.uint64) + place[known].astype(np.uint64)))
-                gram, run = np.concatenate([gram[rest], alone]), np.concatenate([run[rest], alone])
+                gram = np.concatenate([gram[rest], alone])
                 h = [np.concatenate([x[rest], x[known]]) for x in h]
                 place = np.concatenate([place[rest], place[known] | KNOWN])
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(run.view(np.int64)), pa.array(h[0]), pa.array(h[1]), pa.array(place)], ["gram", "run", "h1", "h2", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(h[0]), pa.array(h[1]), pa.array(place)], ["gram", "h1", "h2", "place"])
 
     def pair(batches):
-        """Rows sorted by gram and run. kind 0: the whole run repeats; 1: to be looked into;
-        2: stands for a repeated run among others of its gram."""
-        held = None  # the last row, and whether the row before it has its gram and its run
-
-        def told(rows, before_gram, before_run, closed):
-            gram, run, kept = rows[0], rows[1], rows
-            n = len(gram)
-            same_gram, same_run = gram[1:] == gram[:-1], (gram[1:] == gram[:-1]) & (run[1:] == run[:-1])
-            left_g, left_r = np.concatenate([[before_gram], same_gram]), np.concatenate([[before_run], same_run])
-            right_g, right_r = np.concatenate([same_gram, [False]]), np.concatenate([same_run, [False]])
-            use = np.ones(n, bool)
-            use[-1] = closed
-            known = rows[4] >= KNOWN
-            rows = [*rows[:4], rows[4] & (KNOWN - 1)]
-            whole = left_r | right_r | known
-            edge = whole & ((left_g & ~left_r) | (right_g & ~right_r))
-            kinds = [(0, whole), (1, ~whole & (left_g | right_g)), (2, edge)]
-            at = np.concatenate([np.flatnonzero(m & use) for _, m in kinds])
-            kind = np.concatenate([np.full(int((m & use).sum()), k, np.int32) for k, m in kinds])
-            out = pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(rows[k][at]) for k in (0, 2, 3, 4))], ["kind", "gram", "h1", "h2", "place"])
-            return out, ([r[-1:] for r in kept], bool(left_g[-1]), bool(left_r[-1]))
-
-        for batch in batches:
-            rows = [np.asarray(batch.column(k)) for k in range(5)]
-            if not len(rows[0]):
-                continue
-            if held is not None:
-                rows = [np.concatenate([a, b]) for a, b in zip(held[0], rows)]
-            out, held = told(rows, *(held[1:] if held else (False, False)), False)
-            if out.num_rows:
-                yield out
-        if held is not None:
-            out, _ = told(*held, True)
-            if out.num_rows:
-                yield out
+        """Rows sorted by gram, text and place. kind 0: the whole run repeats, as its text does or as it is
+        known to; 1: another row has its gram."""
+        held, twice0, others0 = None, False, False  # the last row, and what is known of it by then
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                if held is None:
+                    return
+                rows = held
+            else:
+                rows = [np.asarray(batch.column(k)) for k in range(4)]
+                if not len(rows[0]):
+                    continue
+                if held is not None:
+                    rows = [np.concatenate([a, b]) for a, b in zip(held, rows)]
+            at = np.arange(len(rows[0]))
+            same_gram = rows[0][1:] == rows[0][:-1]
+            same_row = same_gram & np.logical_and.reduce([r[1:] == r[:-1] for r in rows[1:]])
+            gram_from, row_from = (np.maximum.accumulate(np.where(np.insert(same, 0, False), 0, at)) for same in (same_gram, same_row))
+            twice = (at > row_from) | ((row_from == 0) & twice0)
+            others = (row_from > gram_from) | ((row_from == 0) & others0)
+            last = np.append(~same_row, batch is None)  # of its equals
+            masks = [last & (twice | (rows[3] >= KNOWN)), last & (others | np.append(same_gram, False)) & (rows[3] < KNOWN)]
+            held, twice0, others0 = [r[-1:] for r in rows], bool(twice[-1]), bool(others[-1])
+            pick = np.concatenate([np.flatnonzero(m) for m in masks])
+            kind = np.repeat(np.arange(2, dtype=np.int32), [m.sum() for m in masks])
+            if len(pick):
+                yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(r[pick]) for r in rows[:3]), pa.array(rows[3][pick] & (KNOWN - 1))], ["kind", "gram", "h1", "h2", "place"])
 
     texts = _identified(docs)
-    grams = texts.select("text", "h1", "h2").mapInArrow(common.tidy(sample), f"gram long, run long, {KEY}, place long")
-    paired = settle(grams.repartition("gram").sortWithinPartitions("gram", "run").mapInArrow(common.tidy(pair), f"kind int, gram long, {KEY}, place long"), "paired")
+    grams = texts.select("text", "h1", "h2").mapInArrow(common.tidy(sample), f"gram long, {KEY}, place long")
+    paired = settle(grams.repartition("gram").sortWithinPartitions("gram", "h1", "h2", "place").mapInArrow(common.tidy(pair), f"kind int, gram long, {KEY}, place long"), "paired")
     p, before, after = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     whole = paired.where("kind = 0").select("h1", "h2", (p - before).alias("first"), (p - after).alias("last"))
 
-    asked = paired.where("kind > 0").dropDuplicates(["h1", "h2", "place"])
-    lists = asked.groupBy("h1", "h2").agg(F.collect_list(F.struct("place", "gram")).alias("runs"))
+    lists = paired.where("kind = 1").groupBy("h1", "h2").agg(F.collect_list(F.struct("place", "gram")).alias("runs"))
     holders = texts.join(lists, ["h1", "h2"]).select("h1", "h2", "text", "runs")
 
     def cut(batches):
+        seen = set()  # equal texts meet in a task: one of them is enough
         for batch in batches:
             for k in range(batch.num_rows):
+                own = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if own in seen:
+                    continue
+                seen.add(own)
                 text = (batch.column(2)[k].as_py() or "").encode()
                 runs = batch.column(3)[k].values
                 place, gram = np.asarray(runs.field(0)), np.asarray(runs.field(1))
                 p, da, db = place >> 16, place >> 8 & 255, place & 255
                 part = [text[i:j] for i, j in zip((p - da).tolist(), (p - db + LENGTH).tolist())]
                 n = len(place)
-                yield pa.RecordBatch.from_arrays([pa.array([text[i : i + GRAM] for i in p.tolist()], pa.binary()), pa.array(gram), pa.array(np.full(n, batch.column(0)[k].as_py())), pa.array(np.full(n, batch.column(1)[k].as_py())), pa.array(place), pa.array(part, pa.binary())], ["lead", "gram", "h1", "h2", "place", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([text[i : i + GRAM] for i in p.tolist()], pa.binary()), pa.array(gram), pa.array(np.full(n, own[0])), pa.array(np.full(n, own[1])), pa.array(place), pa.array(part, pa.binary())], ["lead", "gram", "h1", "h2", "place", "part"])
 
     suffixes = settle(holders.mapInArrow(common.tidy(cut), f"lead binary, gram long, {KEY}, place long, part binary"), "suffixes")
     hot = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
     some_hot = hot.first() is not None
     rest = suffixes.join(hot, "gram", "left_anti") if some_hot else suffixes
 
-    def bucket(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows).combine_chunks()
-        h1, h2, place = (np.asarray(table.column(k).combine_chunks()) for k in (1, 2, 3))
-        # Equal texts fetched for the same run are one occurrence.
+    def judge(table):
+        h1, h2, place = (np.asarray(table.column(k)) for k in (1, 2, 3))
+        # Equal texts that were fetched in two tasks are one occurrence.
         _, one = np.unique(np.stack([h1, h2, place]), axis=1, return_index=True)
-        table, h1, h2, place = table.take(pa.array(one)), h1[one], h2[one], place[one]
-        lead = np.frombuffer(b"".join(table.column(0).to_pylist()), ">u8").reshape(-1, GRAM // 8)
-        order, group = multikey_order(lead)
-        raw, off = buffers(table.column(4))
-        hashed = windows(raw, LENGTH)
+        h1, h2, place = h1[one], h2[one], place[one]
+        raw, off = buffers(table.column(4).take(pa.array(one)))
         p, da, db = place >> 16, place >> 8 & 255, place & 255
-        count = da - db + 1
-        # Whole groups at a time, about CHUNK_WINDOWS windows.
-        total = np.cumsum(count[order])
-        ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-        at = 0
-        while at < len(order):
-            fit = ends[np.searchsorted(total[ends - 1], (total[at - 1] if at else 0) + CHUNK_WINDOWS, "right") - 1 :]
-            to = int(fit[0]) if fit[0] > at else int(ends[np.searchsorted(ends, at, "right")])
-            mine = order[at:to]
-            row, first, last = spans(*repeated(hashed, off[:-1][mine], count[mine], da[mine], group[at:to]))
-            r = mine[row]
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), pa.array(p[r] - da[r] + first), pa.array(p[r] - da[r] + last)], ["h1", "h2", "first", "last"])
-            at = to
-
-    parts = rest.select("lead", "h1", "h2", "place", "part").repartitionByRange("lead").mapInArrow(common.tidy(bucket), f"{KEY}, first long, last long")
+        r, first, last = spans(*repeated(raw, off[:-1], da, db))
+        return pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), pa.array(p[r] - da[r] + first), pa.array(p[r] - da[r] + last)], ["h1", "h2", "first", "last"])
+
+    def bucket(batches):
+        """Rows sorted by lead, in chunks of whole leads."""
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                lead = table.column(0)
+                unlike = np.flatnonzero(np.asarray(pc.not_equal(lead[1:], lead[:-1]).cast(pa.uint8())))
+                if len(unlike):
+                    to = int(unlike[-1]) + 1
+                    yield judge(table.slice(0, to))
+                    table = table.slice(to)
+                held, n = [table], table.num_rows
+        if held:
+            yield judge(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // RANGE)
+    dealt = rest.select("lead", "h1", "h2", "place", "part").repartitionByRange(ranges, "lead").sortWithinPartitions("lead")
+    parts = dealt.mapInArrow(common.tidy(bucket), f"{KEY}, first long, last long")
     out = whole.union(parts)
     if some_hot:
 
