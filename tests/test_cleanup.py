@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tonewright.operators import cleanup as C
 from tonewright.operators import measure as M
@@ -108,3 +109,31 @@ def test_random_notes(spark, k, p):
 def test_onsets_compare_with_the_last_kept(spark):
     n = table(spark, [(60, s / 1000, 1, 80) for s in (0, 20, 40, 60, 100, 125, 131)])
     assert sorted(round(r.t, 3) for r in M.onset_dedupe(n).collect()) == [0, 0.04, 0.1, 0.131]
+
+
+@pytest.mark.parametrize("keep", ["lowest", "highest"])
+def test_one_voice_of_a_long_island(spark, keep):
+    """Sound without a gap for longer than a stretch of the fold."""
+    rng = random.Random(3)
+    ns = [(rng.randint(40, 90), i * 0.1, i * 0.1 + rng.uniform(0.15, 0.6), 80) for i in range(700)]
+    sign, kept = 1 if keep == "lowest" else -1, []
+    for q, a, b, _ in sorted(ns, key=lambda n: (n[1], sign * n[0])):
+        if not any(m[1] < b and a < m[2] and sign * m[0] < sign * q for m in kept[-40:]):
+            kept.append((q, a, b))
+    assert [(r[0], r[1]) for r in rows(C.monophonic(table(spark, ns), keep))] == [(q, pytest.approx(a)) for q, a, _ in kept]
+
+
+@pytest.mark.parametrize("p", [CleanupParams(), CleanupParams(legato=True, monophonic=True), CleanupParams(de_overlap=False, quantize=True, velocity_floor=30)])
+def test_stats_in_one_pass(spark, p):
+    rng = random.Random(11)
+    n = table(spark, [(rng.randint(58, 62), round(rng.uniform(0, 60), 3), 0.0, rng.randint(1, 127)) for _ in range(300)]).withColumn("end_s", F.col("start_s") + F.col("velocity") / 50.0 - F.when(F.col("velocity") % 9 == 0, F.col("velocity") / 50.0 - 0.01).otherwise(0.0))
+    got, done = C.stats(n, p).first(), C.clean(n, p)
+    assert (got.notes_before, got.notes_after) == (300, done.count())
+    assert got.dropped_velocity_floor == n.where(F.col("velocity") < p.velocity_floor).count() > 0
+    for name, of in (("before", n), ("after", done)):
+        m = C.measures(of, p.step).first()
+        for c in ("median_duration", "polyphony", "silence_ratio", "grid_error"):
+            assert got[f"{c}_{name}"] == pytest.approx(m[c], abs=2e-4)
+    if not p.monophonic:
+        assert got.dropped_too_short == 300 - got.dropped_velocity_floor - got.notes_after > 0
+    assert (got.trimmed_de_overlap > 0) == p.de_overlap

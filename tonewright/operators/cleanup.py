@@ -80,9 +80,12 @@ def monophonic(notes: DataFrame, keep: str = "lowest") -> DataFrame:
     """
     sign = 1 if keep == "lowest" else -1
     isles = islands(notes)
-    fold = """aggregate(all, named_struct('live', slice(all, 1, 0), 'ids', transform(slice(all, 1, 0), n -> n.note_id)),
+    # By stretches of 128 notes: one list of all would be copied whole for every note that it gains.
+    step = """aggregate(slice(all, k * 128 + 1, 128), named_struct('live', s.live, 'ids', transform(slice(all, 1, 0), n -> n.note_id)),
         (a, n) -> if(exists(a.live, m -> m.start_s < n.end_s AND n.start_s < m.end_s AND m.rank < n.rank), a,
-            named_struct('live', concat(filter(a.live, m -> m.end_s > n.start_s), array(n)), 'ids', concat(a.ids, array(n.note_id)))), a -> a.ids)"""
+            named_struct('live', concat(filter(a.live, m -> m.end_s > n.start_s), array(n)), 'ids', concat(a.ids, array(n.note_id)))))"""
+    fold = f"""flatten(aggregate(sequence(0, cast((size(all) - 1) div 128 as int)), named_struct('live', slice(all, 1, 0), 'ids', transform(slice(all, 1, 0), n -> array(n.note_id))),
+        (s, k) -> transform(array({step}), x -> named_struct('live', x.live, 'ids', concat(s.ids, array(x.ids))))[0], s -> s.ids))"""
     kept = (
         isles.groupBy(*TRACK, "island")
         .agg(F.array_sort(F.collect_list(F.struct("start_s", (F.col("pitch") * sign).alias("rank"), "note_id", "end_s"))).alias("all"))
@@ -99,11 +102,8 @@ def islands(notes: DataFrame) -> DataFrame:
     return notes.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def clean(notes: DataFrame, p: CleanupParams = CleanupParams(), tempo: Column | None = None) -> DataFrame:
-    """All steps in their fixed order; trimmed and extended notes carry flags. ``tempo``: a column of the
-    notes, quarters a minute, in place of that of the parameters."""
-    step = p.step if tempo is None else F.lit(60.0 / p.quantize_division) / tempo
-    tempo = p.tempo if tempo is None else tempo
+def _limited(notes: DataFrame, p: CleanupParams, tempo: Column | float, step: Column | float) -> DataFrame:
+    """The steps before the sweep of short notes."""
     out = velocity_floor(notes, p.velocity_floor)
     if p.monophonic:
         out = monophonic(out, p.mono_keep)
@@ -113,7 +113,15 @@ def clean(notes: DataFrame, p: CleanupParams = CleanupParams(), tempo: Column |
         out = de_overlap(out)
     if p.duration_cap and p.max_duration_beats > 0:
         out = duration_cap(out, p.max_duration_beats, tempo)
-    out = min_duration(out, p.min_duration)
+    return out
+
+
+def clean(notes: DataFrame, p: CleanupParams = CleanupParams(), tempo: Column | None = None) -> DataFrame:
+    """All steps in their fixed order; trimmed and extended notes carry flags. ``tempo``: a column of the
+    notes, quarters a minute, in place of that of the parameters."""
+    step = p.step if tempo is None else F.lit(60.0 / p.quantize_division) / tempo
+    tempo = p.tempo if tempo is None else tempo
+    out = min_duration(_limited(notes, p, tempo, step), p.min_duration)
     if p.legato:
         out = legato(out, p.legato_max_gap_beats, tempo, p.legato_gap)
     return out
@@ -130,15 +138,37 @@ def measures(notes: DataFrame, step: float = 0.125) -> DataFrame:
 
 
 def stats(notes: DataFrame, p: CleanupParams = CleanupParams()) -> DataFrame:
-    """Per track: what each step dropped or changed, and the measures before and after."""
-    floored = velocity_floor(notes, p.velocity_floor)
-    capped = duration_cap(de_overlap(floored), p.max_duration_beats, p.tempo)
-    done = clean(notes, p)
-    before = notes.groupBy(*TRACK).agg(F.count("*").alias("notes_before"), F.sum((F.col("velocity") < p.velocity_floor).cast("long")).alias("dropped_velocity_floor"))
-    middle = capped.groupBy(*TRACK).agg(F.sum(F.col("trimmed_de_overlap").cast("long")).alias("trimmed_de_overlap"), F.sum(F.col("trimmed_duration_cap").cast("long")).alias("trimmed_duration_cap"), F.sum((_length() < p.min_duration).cast("long")).alias("dropped_too_short"))
-    name = lambda df, when: df.select(*TRACK, *[F.col(c).alias(f"{c}_{when}") for c in ("median_duration", "polyphony", "silence_ratio", "grid_error")])
-    after = done.groupBy(*TRACK).agg(F.count("*").alias("notes_after"))
-    out = before
-    for more in (middle, after, name(measures(notes, p.step), "before"), name(measures(done, p.step), "after")):
-        out = out.join(more, TRACK, "left")
-    return out.na.fill(0)
+    """Per track: what each step dropped or changed, and the measures before and after.
+
+    Notes before and after stand in one table, those too short flagged: one window tells what
+    each adds to the time that sounds, one aggregation gives all columns. Steps that are
+    off count nothing.
+    """
+    from .measure import off_grid
+
+    done = _limited(notes, p, p.tempo, p.step).withColumn("_short", _length() < p.min_duration)
+    if p.legato:
+        done = legato(done.where(~F.col("_short")), p.legato_max_gap_beats, p.tempo, p.legato_gap).unionByName(done.where("_short"), allowMissingColumns=True)
+    flags = ("trimmed_de_overlap", "trimmed_duration_cap")
+    flag = lambda df, c: F.coalesce(F.col(c), F.lit(False)).alias(c) if c in df.columns else F.lit(False).alias(c)
+    own = [*TRACK, "note_id", "start_s", "end_s", "velocity"]
+    none = [F.lit(False).alias(c) for c in flags]
+    both = notes.select(*own, F.lit(False).alias("after"), F.lit(False).alias("_short"), *none).union(done.select(*own, F.lit(True), "_short", *(flag(done, c) for c in flags)))
+    order = Window.partitionBy(*TRACK, "after").orderBy("start_s", "note_id").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(~F.col("_short"), F.col("end_s"))).over(order)
+    both = both.repartition(*TRACK).withColumn("_adds", F.greatest(F.lit(0.0), F.col("end_s") - F.greatest("start_s", F.coalesce(reach, F.col("start_s")))))
+
+    def measured(name: str, after: bool) -> list[Column]:
+        held = (F.col("after") == after) & ~F.col("_short")
+        of = lambda c: F.when(held, c)
+        span = F.max(of(F.col("end_s"))) - F.min(of(F.col("start_s")))
+        columns = {
+            "median_duration": F.round(F.median(of(_length())), 4),
+            "polyphony": F.when(span > 0, F.round(F.sum(of(_length())) / span, 3)),
+            "silence_ratio": F.when((F.count_if(held) > 1) & (span > 0), F.round(F.greatest(F.lit(0.0), 1 - F.sum(of(F.col("_adds"))) / span), 4)),
+            "grid_error": F.round(F.avg(of(off_grid(F.col("start_s"), p.step))), 4),
+        }
+        return [F.count_if(held).alias(f"notes_{name}"), *(F.coalesce(v, F.lit(0.0)).alias(f"{c}_{name}") for c, v in columns.items())]
+
+    told = [F.count_if(~F.col("after") & (F.col("velocity") < p.velocity_floor)).alias("dropped_velocity_floor"), F.count_if("_short").alias("dropped_too_short"), *(F.count_if(c).alias(c) for c in flags)]
+    return both.groupBy(*TRACK).agg(*measured("before", False), *measured("after", True), *told)

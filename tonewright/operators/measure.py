@@ -78,3 +78,21 @@ def max_note_shift(a: DataFrame, b: DataFrame) -> DataFrame:
     """The largest distance between the starts of two versions of a track, in order of time."""
     place = lambda df, name: df.select(*TRACK, F.row_number().over(Window.partitionBy(*TRACK).orderBy("start_s", "note_id")).alias("r"), F.col("start_s").alias(name))
     return place(a, "x").join(place(b, "y"), [*TRACK, "r"]).groupBy(*TRACK).agg(F.round(F.max(F.abs(F.col("x") - F.col("y"))), 6).alias("max_shift"))
+
+
+def ends(notes: DataFrame) -> DataFrame:
+    """Per track: the first start, the last end and how long the whole song is, up to the last end of any track."""
+    own = notes.groupBy(*TRACK).agg(F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"))
+    return own.withColumn("duration", F.max("last_s").over(Window.partitionBy("song_id")))
+
+
+def places(notes: DataFrame, grids: DataFrame) -> DataFrame:
+    """Adds ``bar``, ``pulse`` and ``sixteenth``: where a note starts on its song's constant grid, each from 0
+    (bars before the anchor are negative), and how many seconds one of them takes. A sixteenth is a quarter of
+    a pulse; grids(song_id, bpm in pulses a minute, anchor, pulses of a bar), one row a song."""
+    own = grids.select("song_id", *(F.col(c).alias(f"_{c}") for c in ("bpm", "anchor", "pulses")))
+    pulse = F.lit(60.0) / F.col("_bpm")
+    step = F.floor(F.round((F.col("start_s") - F.col("_anchor")) / (pulse / 4), 6))
+    placed = notes.join(own, "song_id").withColumns({"_step": step, "pulse_s": pulse, "bar_s": pulse * F.col("_pulses"), "sixteenth_s": pulse / 4})
+    per_bar = F.col("_pulses").cast("long") * 4
+    return placed.withColumns({"bar": F.floor(F.col("_step") / per_bar), "pulse": F.floor(F.pmod("_step", per_bar) / 4), "sixteenth": F.pmod(F.col("_step"), F.lit(4))}).drop("_step", "_bpm", "_anchor", "_pulses")

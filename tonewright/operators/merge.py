@@ -118,3 +118,10 @@ def trim_overlapping(notes: DataFrame) -> DataFrame:
     """A note ends where the same program, pitch and kit sounds again; emptied notes go."""
     again = F.lead("start_s").over(Window.partitionBy("song_id", "program", "pitch", "is_drum").orderBy("start_s", "note_id"))
     return notes.withColumn("end_s", F.least("end_s", F.coalesce(again, F.col("end_s")))).where("start_s < end_s")
+
+
+def in_event_order(notes: DataFrame) -> DataFrame:
+    """Adds ``place``: a note's place (from 0) among its song's, as a transcription model's list has them:
+    by start, then pitched ones before drums, by program and by pitch; ties as they came."""
+    order = Window.partitionBy("song_id").orderBy("start_s", "is_drum", "program", "pitch", "track", "note_id")
+    return notes.withColumn("place", F.row_number().over(order).cast("long") - 1)

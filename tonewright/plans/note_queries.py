@@ -292,3 +292,29 @@ def validate_notes(spark, d):
 @_q("trim_overlapping", f"m AS (SELECT * REPLACE (least(end_s, coalesce(lead(start_s) OVER (PARTITION BY song_id, program, pitch, is_drum ORDER BY start_s, note_id), end_s)) AS end_s) FROM notes) SELECT {TIMED} FROM m WHERE start_s < end_s")
 def trim_overlapping(spark, d):
     return _timed(G.trim_overlapping(notes(spark, d)))
+
+
+@_q("track_ends", "SELECT song_id, track, round(min(start_s), 6) AS first_s, round(max(end_s), 6) AS last_s, round(max(max(end_s)) OVER (PARTITION BY song_id), 6) AS duration FROM notes GROUP BY song_id, track")
+def track_ends(spark, d):
+    return M.ends(notes(spark, d)).select(*TRACK, *(F.round(c, 6).alias(c) for c in ("first_s", "last_s", "duration")))
+
+
+@_q("event_order", "SELECT song_id, track, note_id, row_number() OVER (PARTITION BY song_id ORDER BY start_s, is_drum, program, pitch, track, note_id) - 1 AS place FROM (SELECT * REPLACE (floor(start_s) AS start_s, note_id % 5 AS program) FROM notes)")
+def event_order(spark, d):
+    """Starts as whole seconds, so that the further keys decide."""
+    n = notes(spark, d).withColumns({"start_s": F.floor("start_s").cast("double"), "program": F.col("note_id") % 5})
+    return G.in_event_order(n).select(*TRACK, "note_id", "place")
+
+
+@_q(
+    "grid_places",
+    """g AS (SELECT song_id, 60 + 12 * song_id AS bpm, 0.25 * (song_id % 3) AS anchor, 2 + song_id % 4 AS pulses FROM (SELECT DISTINCT song_id FROM notes)),
+st AS (SELECT n.song_id, track, note_id, bpm, pulses, CAST(floor(round((start_s - anchor) / (60.0::double / bpm / 4), 6)) AS BIGINT) AS step FROM notes n JOIN g USING (song_id))
+SELECT song_id, track, note_id, CAST(floor(step / (4 * pulses)) AS BIGINT) AS bar, CAST(floor((step - 4 * pulses * CAST(floor(step / (4 * pulses)) AS BIGINT)) / 4) AS BIGINT) AS pulse, step - 4 * CAST(floor(step / 4) AS BIGINT) AS sixteenth,
+ round(60.0 / bpm, 6) AS pulse_s, round(60.0 / bpm * pulses, 6) AS bar_s, round(15.0 / bpm, 6) AS sixteenth_s FROM st""",
+)
+def grid_places(spark, d):
+    """Each song with a tempo, an anchor and a number of pulses of its own."""
+    n, i = notes(spark, d), F.col("song_id")
+    grids = n.select("song_id").distinct().select("song_id", (60 + 12 * i).cast("double").alias("bpm"), ((i % 3) * F.lit(0.25)).alias("anchor"), (2 + i % 4).alias("pulses"))
+    return M.places(n, grids).select(*TRACK, "note_id", "bar", "pulse", "sixteenth", *(F.round(c, 6).alias(c) for c in ("pulse_s", "bar_s", "sixteenth_s")))

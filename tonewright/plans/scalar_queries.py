@@ -54,6 +54,12 @@ def safe_stem(spark, d):
     return _table(spark, d, "documents").select("doc_id", S.safe_stem(F.col("text")).alias("stem"))
 
 
+@_q("file_token", r"SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g') AS token FROM documents")
+def file_token(spark, d):
+    """The page's own rule for names: every run of other signs becomes one ``_``, nothing is cut."""
+    return _table(spark, d, "documents").select("doc_id", S.file_token(F.col("text")).alias("token"))
+
+
 @_q("capitalise", "SELECT event_id, concat(upper(event_type[1]), event_type[2:]) AS label FROM events")
 def capitalise(spark, d):
     return events(spark, d).select("event_id", S.capitalise(F.col("event_type")).alias("label"))
