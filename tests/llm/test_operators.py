@@ -307,6 +307,30 @@ def junk(rng, kind, n):
     return {0: " ".join(x + "!!" for x in w).upper(), 1: " | ".join(w), 2: " ".join(x + rng.choice(["***", "###", "%%%"]) for x in w), 3: " ".join(w[0] for _ in w)}[kind]
 
 
+def test_bounded_samples(spark, monkeypatch):
+    """Keys of least hash whose sizes fit together; repeats once, what can't fit alone left out."""
+    rows = [(k, k % 2, 10 + k, str(k)) for k in range(40)] + [(3, 1, 13, "3")] * 5 + [(50, 0, 1000, "long")]
+    df = common.settle(spark.createDataFrame(rows, "k long, y int, n int, more string"), "fixture")
+    everything = common.within(df, "k", "n", 10_000, "y").collect()
+    assert sorted(r.k for r in everything) == [*range(40), 50]
+    got = common.within(df, "k", "n", 200, "y").collect()
+    for y in (0, 1):
+        mine = [r.n for r in got if r.y == y]
+        assert 150 < sum(mine) <= 200
+    assert len({r.k for r in got}) == len(got) and 50 not in {r.k for r in got}
+    assert common.within(df.limit(0), "k", "n", 200, "y").count() == 0
+    assert sum(r.n for r in common.within(df, "k", "n", 200).collect()) <= 200
+
+    rng = random.Random(2)
+    lines = lambda i: junk(rng, i % 4, 60).replace(" ", "\n", 3) if i % 3 == 0 else "\n".join(sentence(rng, 12) for _ in range(4))
+    rows = [(i, lines(i)) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:30] * 3 + [(301, "x\n" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)] + [(301, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 300)
+    got = [(r.predicted, int(r.doc_id % 3 != 0)) for r in quality.score(docs, *quality.fit(docs, labels)).collect() if r.held_out and r.doc_id < 300]
+    assert np.mean([a == b for a, b in got]) > 0.95
+
+
 def test_quality_held_out(spark, empty, hard):
     rng = random.Random(1)
     rows = [(i, junk(rng, i % 4, 60) if i % 3 == 0 else "\n".join(sentence(rng, rng.randint(5, 30)) for _ in range(4)), int(i % 3 != 0)) for i in range(400)] + [(1000, None, 1), (1001, "", 0)]
@@ -417,6 +441,16 @@ def test_language_sample_takes_whole_texts(spark, monkeypatch):
     assert held["xx"].decode().strip() in tidied["xx"]  # none fits: one, whole
 
 
+def test_most_frequent_languages(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, sentence(rng, 20), ["aa", "bb", "cc", "bb"][k % 4]) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.sample(docs)) == {"aa", "bb", "cc"}
+    monkeypatch.setattr(langid, "LANGS", 1)
+    assert set(langid.sample(docs)) == {"bb"}
+    assert {r.lang_pred for r in langid.predict(docs, langid.sample(docs)).collect()} == {"bb"}
+
+
 def test_languages(spark, sf, empty):
     docs = common.table(spark, sf, "documents")
     rows = langid.predict(docs, langid.sample(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()

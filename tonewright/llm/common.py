@@ -10,7 +10,7 @@ import uuid
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,17 @@ def hash_sample(df: DataFrame, n: int, total: int, *columns: str) -> DataFrame:
     return df.limit(2 * n)
 
 
+def within(rows: DataFrame, key: str, size: str, most: int, *parts: str) -> DataFrame:
+    """One row of each key of a settled table whose number of keys is bounded: those of least hash of the
+    key that together have at most ``most`` of the column ``size``, in each of the parts. Of rows with one
+    key that of least hash is taken; keys with more than ``most`` by themselves are left out."""
+    h = F.xxhash64(*rows.columns)
+    one = rows.groupBy(key).agg(F.min(F.struct(h.alias("h"), F.col(size).alias("n"), *parts)).alias("m"))
+    order = Window.partitionBy(*(f"m.{c}" for c in parts)).orderBy(F.xxhash64(key), key)
+    chosen = one.where(F.col("m.n") <= most).withColumn("_total", F.sum("m.n").over(order)).where(F.col("_total") <= most).select(key, F.col("m.h").alias("_h"))
+    return rows.withColumn("_h", h).join(F.broadcast(chosen), [key, "_h"], "left_semi").dropDuplicates([key]).drop("_h")
+
+
 SIEVE_BITS = 1 << 23
 
 

@@ -8,7 +8,8 @@ The field is trained on labelled pages and the best labels are decoded by Viterb
 Labelled pages are made by a seeded generator of page layouts (menus, notices, adverts,
 sidebars, forms, comments, footers around and inside articles) and, from the table itself, a
 bounded sample of pages that mark their article; there the blocks inside it are the main text.
-The sample is of rows of any length; tasks send on its features, not its pages.
+The sample is of rows of any length with at most SAMPLE_BLOCKS blocks together; tasks send on its
+features, not its pages.
 
 Cases: null, empty and blank html and pages without a good block give the empty text;
 comments, scripts, styles and tags that never close end with the page, others where browsers end them
@@ -37,7 +38,7 @@ from . import common
 from .crf import Chains, Crf
 from .textkit import pieces
 
-SAMPLE_PAGES, MADE_PAGES = 200, 400  # training pages from the table (about, those of least hash) and from the generator
+SAMPLE_PAGES, SAMPLE_BLOCKS, MADE_PAGES = 200, 200_000, 400  # training pages from the table (about, those of least hash), their blocks, and pages from the generator
 
 # Elements by kind, and words in attributes that tell what an element is for.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -274,9 +275,11 @@ def fit(pages: DataFrame) -> Crf:
                 y = marked(found)
                 if y is not None:
                     x = features([found])[0]
-                    yield pa.RecordBatch.from_pydict({"page_id": batch.column(0)[k : k + 1], "x": pa.array([x.tobytes()], pa.binary()), "y": pa.array([bytes(y)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"page_id": batch.column(0)[k : k + 1], "n": pa.array([len(y)], pa.int32()), "x": pa.array([x.tobytes()], pa.binary()), "y": pa.array([bytes(y)], pa.binary())})
 
-    rows = sorted(picked.mapInArrow(common.tidy(learned), "page_id long, x binary, y binary").collect(), key=lambda r: (r["page_id"] is None, r["page_id"], r["x"], r["y"]))
+    found = picked.mapInArrow(common.tidy(learned), "page_id long, n int, x binary, y binary")
+    held = common.settle(found.withColumn("key", F.xxhash64("page_id", "x", "y")), "blocks")
+    rows = sorted(common.within(held, "key", "n", SAMPLE_BLOCKS).collect(), key=lambda r: (r["page_id"] is None, r["page_id"], r["x"], r["y"]))
     x, first = features([p for p, _ in made])
     x = np.concatenate([x, *(np.frombuffer(r["x"], np.float32).reshape(-1, x.shape[1]) for r in rows)])
     y = np.array([v for _, labels in made for v in labels] + [v for r in rows for v in r["y"]], np.int64)

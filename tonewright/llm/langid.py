@@ -12,8 +12,8 @@ count is that of the whole text parsed in one go.
 
 Learned from, per language, are whole texts of rows of least hash: up to SAMPLE_DOCS rows are
 looked at and those taken that fit into SAMPLE_BYTES, or into an equal part of TOTAL_BYTES
-where languages are many; where none fits, the shortest of them. Languages are a set of labels
-that every worker holds.
+where languages are many; where none fits, the shortest of them. Of more than LANGS languages those with
+the most rows are learned: they are a set of labels that every worker holds.
 
 Cases: null text and texts without a letter of any script are ``und`` with score 0; so is
 everything where nothing is learned. Very long texts are parsed whole. Equal entropies go to
@@ -33,6 +33,7 @@ from .textkit import LOWER, SPACE, buffers, pieces
 
 #: The training sample: rows looked at and bytes of text taken of each language, and bytes in all.
 SAMPLE_DOCS, SAMPLE_BYTES, TOTAL_BYTES = 200, 48_000, 400_000
+LANGS = 500
 SEGMENT = 1024
 FLAG = np.int32(1 << 30)
 
@@ -181,10 +182,10 @@ def meet(table: np.ndarray, symbols: np.ndarray, begin: np.ndarray, end: np.ndar
 
 def sample(docs: DataFrame) -> dict[str, bytes]:
     """Text to learn from by language, as the module says, of documents that aren't held out. The
-    languages are those of the rows that may be learned from and have a letter."""
+    languages are those of the rows that may be learned from and have a letter, the LANGS most frequent."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where("doc_id is not null and lang is not null").where(~common.held_out()).where(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
     # Three times as many rows as are looked at, by hash, so that no language's rows meet in one task.
     h = F.xxhash64("doc_id", "text")
     near = known.join(F.broadcast(counts), "lang").select("lang", "doc_id", h.alias("h"), F.octet_length("text").alias("size"), "n").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 3 * SAMPLE_DOCS)

@@ -7,12 +7,13 @@ take that label, as long as most of the document's bytes keep the document's, an
 again: so it learns where good and bad lines change within a document. A document's score is the
 mean of its lines' forward-backward marginals, weighted by their bytes.
 
-Learned from are whole texts of at most SAMPLE documents of each label; long ones in chains of
-CHAIN lines.
+Learned from are whole texts of at most SAMPLE documents of each label, with at most SAMPLE_LINES lines
+together; long ones in chains of CHAIN lines. Of texts with one id one is learned from.
 
 Cases: a null, empty or blank text has no lines and gets the share of good documents
 among those learned from; so does every document where there is nothing to learn from. A very
-long text is scored whole, in memory of its own size. Ids whose labels contradict each other
+long text is scored whole, in memory that grows with its lines (some 190 bytes each) and its bytes. Scores that are
+equal stay so; nothing is ranked. Ids whose labels contradict each other
 are not learned from. A null doc_id is scored and counts as not held out; repeated rows are
 scored each; an empty table gives no rows; other columns are ignored.
 """
@@ -28,8 +29,8 @@ from . import common
 from .crf import Chains, Crf
 from .textkit import Words, buffers, mix, pieces, unique_per_doc
 
-#: Documents of each label to learn from: a bound of the training sample only.
-SAMPLE, CHAIN = 1500, 100
+#: Documents and lines of each label to learn from: bounds of the training sample only.
+SAMPLE, SAMPLE_LINES, CHAIN = 1500, 250_000, 100
 SURE = 0.95
 THRESHOLD = 0.3
 
@@ -141,9 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Crf, float]:
                     a, b = found.first[k], found.first[k + 1]
                     if b > a:
                         size = (found.end - found.start)[a:b].astype("<i4")
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[k]], pa.int64()), "y": pa.array([y[k]], pa.int32()), "x": pa.array([x[a:b].tobytes()], pa.binary()), "size": pa.array([size.tobytes()], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[k]], pa.int64()), "y": pa.array([y[k]], pa.int32()), "n": pa.array([b - a], pa.int32()), "x": pa.array([x[a:b].tobytes()], pa.binary()), "size": pa.array([size.tobytes()], pa.binary())})
 
-    rows = sorted(texts.mapInArrow(common.tidy(lines), "doc_id long, y int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    held = common.settle(texts.mapInArrow(common.tidy(lines), "doc_id long, y int, n int, x binary, size binary"), "lines")
+    rows = sorted(common.within(held, "doc_id", "n", SAMPLE_LINES, "y").collect(), key=lambda r: (r["doc_id"], r["x"]))
     if len({r["y"] for r in rows}) < 2:
         return model, prior
     size = [np.frombuffer(r["size"], "<i4") for r in rows]
