@@ -14,9 +14,10 @@ form a run around their suffix, and equal strings have equal suffixes at equal d
    a time, ties only), and so is what stands before them, read backwards. Common prefixes of
    neighbours cut each order into classes for every depth; a window of LENGTH bytes that begins
    d before its suffix repeats if another row has its class at depth d backwards and at
-   LENGTH - d forwards. Bytes decide, not hashes.
-3. Suffixes with more than HOT unlike surroundings are dealt by window instead: counts are
-   aggregated before the shuffle, so no task holds them.
+   LENGTH - d forwards. Bytes decide here. Hashes decide before: equal texts (128 bits), and
+   runs that are equal as a whole within one piece of 2 MB, of which one stands for all.
+3. Suffixes with more than HOT unlike surroundings are dealt by window instead: counts of
+   their hashes (128 bits) are aggregated before the shuffle, so no task holds them.
 
 Cases: null and short texts lose nothing; equal texts of LENGTH bytes or more are removed
 whole, also when doc_ids repeat or are null; an empty table gives no rows; other columns
