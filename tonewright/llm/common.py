@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -75,6 +76,13 @@ def unsettle(df: DataFrame) -> None:
     drop(df.sparkSession, df._settled_at)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of steps that are settled. It does so when the driver's memory is
+    collected; a driver with room to spare may not come to that before the job ends."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32(doc_id as text) mod 5 is 0; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, unsettle
+from .common import settle, sweep, unsettle
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -16,6 +16,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     edges, nulls and loops give no rows.
     """
     now = settle(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    sweep(now.sparkSession)  # the edges' lists may be many times the edges
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

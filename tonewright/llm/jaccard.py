@@ -24,6 +24,8 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,7 @@ SHARE, SLAB = 11, 2048  # lists of more than one in SHARE of the sets of a compa
 PAIRS = 1_000_000  # pairs of light lists that are counted at once
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
 BROADCAST_ROWS = 500_000  # members (about 60 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle
+LISTS = 1 << 26  # postings whose lists are sorted at a time
 BLOCK, BLOCK_SHINGLES = 1024, 1_500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
 
 
@@ -72,6 +75,27 @@ def identity(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np
     return size, out[0], out[1]
 
 
+def packed(part: np.ndarray) -> list[bytes]:
+    """Counts of a slab for the shuffle: a byte each, and places and counts of what goes beyond; places
+    and counts alone where few are there."""
+    pairs = lambda at, n: at.astype("<u2").tobytes() + n.astype("<u2").tobytes()
+    at = np.flatnonzero(part)
+    if 4 * len(at) < len(part):
+        return [pairs(at, part[at])] if len(at) else []
+    over, most = np.flatnonzero(part > 0xFF), len(part) // 4 - 1
+    more = [over[k : k + most] for k in range(0, len(over), most)]
+    return [np.minimum(part, 0xFF).astype(np.uint8).tobytes(), *(pairs(x, part[x] - 0xFF) for x in more)]
+
+
+def unpack(data: bytes, total: np.ndarray) -> None:
+    """Adds what ``packed`` gave."""
+    if len(data) == len(total):
+        total += np.frombuffer(data, np.uint8)
+    else:
+        half = len(data) // 2
+        total[np.frombuffer(data[:half], "<u2")] += np.frombuffer(data[half:], "<u2")
+
+
 def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequency level (six steps for each doubling of the count) of each slot over all shingles, and how many
     documents there are of each number of shingles, up to 255."""
@@ -86,10 +110,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 hist += np.bincount(np.minimum(np.bincount(doc, minlength=piece.num_rows), 255), minlength=256)
         small = np.minimum(slots, 0xFFFF).astype("<u2")
         for k in range(len(slots) >> SLAB_BITS):
-            part = small[k * slab : (k + 1) * slab]
-            at = np.flatnonzero(part)
-            if len(at):
-                data = part.tobytes() if len(at) > slab // 2 else at.astype("<u2").tobytes() + part[at].tobytes()
+            for data in packed(small[k * slab : (k + 1) * slab]):
                 yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "data": pa.array([data], pa.binary())})
         yield pa.RecordBatch.from_pydict({"slab": pa.array([-1], pa.int32()), "data": pa.array([hist.astype("<i8").tobytes()], pa.binary())})
 
@@ -100,12 +121,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 if k < 0:
                     sums[k] = sums.get(k, 0) + np.frombuffer(data, "<i8")
                     continue
-                total = sums.setdefault(k, np.zeros(slab, np.int64))
-                if len(data) == 2 * slab:
-                    total += np.frombuffer(data, "<u2")
-                else:
-                    half = len(data) // 2
-                    total[np.frombuffer(data[:half], "<u2")] += np.frombuffer(data[half:], "<u2")
+                unpack(data, sums.setdefault(k, np.zeros(slab, np.int64)))
         for k, total in sums.items():
             data = total.astype("<i8") if k < 0 else np.minimum(np.rint(6 * np.log2(total + 1)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"slab": pa.array([k], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
@@ -235,6 +251,7 @@ def _join(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(size), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order].view(np.int64)))], ["doc_id", "row_id", "n_shingles", "s1", "s2", "keys"])
 
     posted = settle(docs.mapInArrow(common.tidy(post), "doc_id long, row_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "posted")
+    common.sweep(spark)  # the sketch's
 
     def chain(batches):
         last = None
@@ -251,8 +268,18 @@ def _join(docs: DataFrame) -> DataFrame:
                 pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
 
-    lists = posted.select(F.explode("keys").alias("key"), F.col("n_shingles"), "s1").repartition("key").sortWithinPartitions("key", "n_shingles", "s1")
-    cluster = components(lists.mapInArrow(common.tidy(chain), "u long, v long"), "clusters")
+    # Lists are sorted a share of all keys at a time, so that the disk holds one share.
+    shares = -(-int(posted.agg(F.coalesce(F.sum(F.size("keys").cast("long")), F.lit(0))).first()[0]) // LISTS) or 1
+    edges = []
+    for k in range(shares):
+        mine = F.filter("keys", lambda x: F.pmod(x, F.lit(shares)) == k) if shares > 1 else F.col("keys")  # noqa: B023
+        lists = posted.select(F.explode(mine).alias("key"), F.col("n_shingles"), "s1").repartition("key").sortWithinPartitions("key", "n_shingles", "s1")
+        edges.append(lists.mapInArrow(common.tidy(chain), "u long, v long").distinct())
+        if shares > 1:
+            edges[-1] = settle(edges[-1], "edges")
+            common.sweep(spark)
+    cluster = components(functools.reduce(DataFrame.unionByName, edges), "clusters")
+    common.sweep(spark)
 
     kinds = posted.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("row_id").alias("node"), F.first("n_shingles").alias("size"))
     kinds = settle(kinds, "kinds")
@@ -300,6 +327,7 @@ def _join(docs: DataFrame) -> DataFrame:
             yield done()
 
     found = settle(named.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(common.tidy(compare), "node long, root long, links long"), "links")
+    common.sweep(spark)
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = kinds.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
