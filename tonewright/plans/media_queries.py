@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fixed
 from ..operators import merge as G
 from ..operators import signal as A
 from ..operators import strength as S
@@ -269,6 +270,6 @@ def spectral_share(spark, d):
 @_q("freeze_notes", "m AS (SELECT song_id, track, pitch, velocity, note_id, start_s - 20 AS a, end_s - 20 AS b FROM notes), c AS (SELECT *, greatest(a, 0) AS s, least(b, 40) AS e FROM m WHERE b > 0 AND a < 40) SELECT song_id, track, count(*) AS n, concat('[', string_agg(concat('[', printf('%.4f', s), ',', printf('%.4f', e), ',', pitch, ',', velocity, ']'), ',' ORDER BY s, pitch, note_id), ']') AS notes FROM c GROUP BY ALL")
 def freeze_notes(spark, d):
     n = G.clip(G.shift(notes(spark, d), F.lit(-20.0)), 40.0)
-    row = F.concat(F.lit("["), F.format_string("%.4f", "start_s"), F.lit(","), F.format_string("%.4f", "end_s"), F.lit(","), F.col("pitch").cast("string"), F.lit(","), F.col("velocity").cast("string"), F.lit("]"))
+    row = F.concat(F.lit("["), fixed(F.col("start_s"), 4), F.lit(","), fixed(F.col("end_s"), 4), F.lit(","), F.col("pitch").cast("string"), F.lit(","), F.col("velocity").cast("string"), F.lit("]"))
     listed = n.groupBy(*TRACK).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("start_s", "pitch", "note_id", row.alias("j")))).alias("a"))
     return listed.select(*TRACK, "n", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]")).alias("notes"))
