@@ -20,9 +20,15 @@ from ..schema import ACCENT_WEIGHT, FINER_GAIN, FIT_SPAN, FIT_STEPS, GROUP_WEIGH
 from .measure import onset_dedupe
 
 
+def over(x: Column, s: Column) -> Column:
+    """What x has over a whole number of s, taken off in one step as the SQL does: ``pmod`` rounds otherwise
+    in the last bit, which decides where a note lies half-way between two steps."""
+    return x - s * F.floor(x / s)
+
+
 def signed(t: Column, anchor: Column, six: Column) -> Column:
     """Signed distance to the nearest sixteenth, in seconds."""
-    return F.pmod(t - anchor + six / 2, six) - six / 2
+    return over(t - anchor + six / 2, six) - six / 2
 
 
 def step_of(t: Column, anchor: Column, six: Column) -> Column:
@@ -207,7 +213,7 @@ def align_to_beats(onsets: DataFrame, grids: DataFrame) -> DataFrame:
 def pulse_offset(onsets: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
     """Mean distance of onsets to the nearest pulse, in seconds."""
     p = 60.0 / F.col("bpm")
-    return onsets.join(grids.select("song_id", "bpm", "anchor"), "song_id").groupBy(*keys).agg(F.avg(F.abs(F.pmod(F.col("t") - F.col("anchor") + p / 2, p) - p / 2)).alias("pulse_offset"))
+    return onsets.join(grids.select("song_id", "bpm", "anchor"), "song_id").groupBy(*keys).agg(F.avg(F.abs(over(F.col("t") - F.col("anchor") + p / 2, p) - p / 2)).alias("pulse_offset"))
 
 
 def off_fill(onsets: DataFrame, grids: DataFrame) -> DataFrame:
@@ -220,7 +226,7 @@ def off_fill(onsets: DataFrame, grids: DataFrame) -> DataFrame:
     ends = onsets.groupBy(*TRACK).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).where("n >= 2").join(grids, TRACK)
     k0, k1 = F.ceil((F.col("a") - F.col("fine_anchor")) / p), F.floor((F.col("b") - F.col("fine_anchor")) / p)
     pulses = ends.where(k1 >= k0).select("*", F.explode(F.sequence(k0, k1)).alias("k")).withColumn("x", F.col("fine_anchor") + F.col("k") * p)
-    off = pulses.where(F.abs(F.pmod(F.col("x") - F.col("coarse_anchor") + c / 2, c) - c / 2) > p / 4).select(*TRACK, F.col("x").alias("s"), F.lit(1).alias("q"), (p / 4).alias("near"))
+    off = pulses.where(F.abs(over(F.col("x") - F.col("coarse_anchor") + c / 2, c) - c / 2) > p / 4).select(*TRACK, F.col("x").alias("s"), F.lit(1).alias("q"), (p / 4).alias("near"))
     stream = off.unionByName(onsets.select(*TRACK, F.col("t").alias("s"), F.lit(0).alias("q"), F.col("t").alias("onset")), allowMissingColumns=True)
     order = Window.partitionBy(*TRACK).orderBy("s", "q")
     before = F.last("onset", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -477,7 +483,7 @@ def fit_songs(notes: DataFrame, bpm: float | DataFrame | None = None, groups: tu
     base = flat.groupBy("song_id").agg(F.min("base").alias("base"))
     info = kind.join(tempo, "song_id", "left").join(phase, "song_id", "left").join(base, "song_id", "left").join(measured.drop("follows"), "song_id", "left")
     bar = F.pmod(one + F.lit(shift_pulses), F.lit(pulses))
-    first = F.when(F.col("tempo") == "constant", F.pmod(F.col("anchor") + (bar - F.col("base")) * 60.0 / F.col("bpm"), pulses * 60.0 / F.col("bpm")))
+    first = F.when(F.col("tempo") == "constant", over(F.col("anchor") + (bar - F.col("base")) * 60.0 / F.col("bpm"), pulses * 60.0 / F.col("bpm")))
     each = late.join(fitted, TRACK).join(tempo, "song_id")
     each = each.join(lags, TRACK, "left") if lags is not None else each.withColumn("lag", F.lit(None).cast("double"))
     row = F.struct("track", F.round(F.col("latency") * 60000 / F.col("bpm"), 2).alias("latency_ms"), F.round(F.col("_fit") * 60 / F.col("bpm"), 2).alias("grid_fit_ms"), F.round(F.col("lag") * 1000, 1).alias("audio_lag_ms"))
