@@ -6,6 +6,8 @@ spectra and resampling are numpy by stem.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..schema import LAG_WINDOW, TRACK
 
 STEM = ["song_id", "stem"]
+PART = 20_000  # points whose runs are matched together
 
 
 def _sum(samples: str | Column, f) -> Column:
@@ -118,33 +121,66 @@ def audio_lag(onsets: DataFrame, env: DataFrame, hop: float, window: float = LAG
     return best.select(*TRACK, (F.lit(-window) + F.col("b.i") * F.lit(step)).alias("lag"), F.col("b.score").alias("score"))
 
 
+def greedy(t: np.ndarray, estimated: np.ndarray, ids: np.ndarray, tolerance: float) -> list[tuple[int, int, float]]:
+    """(reference id, estimate id, distance) of points sorted by time, kind and id, nearest first, of equals by
+    time and id. Points of one kind at one time are a stack, and the nearest two stacks of unlike kinds
+    are always neighbours among those left: a heap of neighbours stands for all pairs."""
+    first = np.flatnonzero(np.r_[True, (np.diff(t) != 0) | (np.diff(estimated) != 0)]) if len(t) else np.zeros(0, np.int64)
+    time, kind, at, end = t[first].tolist(), estimated[first].tolist(), first.tolist(), [*first[1:].tolist(), len(t)]
+    n = len(time)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap: list[tuple[float, float, float, int, int]] = []
+
+    def meet(a: int, b: int) -> None:
+        if a >= 0 and b >= 0 and kind[a] != kind[b]:
+            d = abs(time[a] - time[b])
+            if d <= tolerance:
+                r, e = (b, a) if kind[a] else (a, b)
+                heapq.heappush(heap, (d, time[r], time[e], r, e))
+
+    for k in range(n - 1):
+        meet(k, k + 1)
+    out = []
+    while heap:
+        d, _, _, r, e = heapq.heappop(heap)
+        many = min(end[r] - at[r], end[e] - at[e])
+        if many <= 0:  # one of them is used up
+            continue
+        out += [(r_id, e_id, d) for r_id, e_id in zip(ids[at[r] : at[r] + many].tolist(), ids[at[e] : at[e] + many].tolist())]
+        for k in (r, e):
+            at[k] += many
+        for k in (r, e):
+            if at[k] == end[k]:
+                x, y = before[k], after[k]
+                if x >= 0:
+                    after[x] = y
+                if y >= 0:
+                    before[y] = x
+                meet(x, y)
+    return out
+
+
 def match_notes(reference: DataFrame, estimate: DataFrame, tolerance: float, same_pitch: bool = False) -> DataFrame:
-    """Pairs of onsets within the tolerance, nearest first, each used once. Candidates come from an
-    equi-join on time slots and their neighbours; the greedy choice runs over runs of onsets that
-    could reach each other, which are short."""
-    slot = lambda c: F.floor(F.col(c) / F.lit(tolerance))
-    r = reference.select(*TRACK, F.col("note_id").alias("r_id"), F.col("start_s").alias("r_t"), F.col("pitch").alias("r_p")).withColumn("slot", F.explode(F.array(slot("r_t") - 1, slot("r_t"), slot("r_t") + 1)))
-    e = estimate.select(*TRACK, F.col("note_id").alias("e_id"), F.col("start_s").alias("e_t"), F.col("pitch").alias("e_p")).withColumn("slot", slot("e_t"))
-    pairs = r.join(e, [*TRACK, "slot"]).withColumn("d", F.abs(F.col("r_t") - F.col("e_t"))).where(F.col("d") <= tolerance)
-    if same_pitch:
-        pairs = pairs.where("r_p = e_p")
-    order = Window.partitionBy(*TRACK).orderBy("r_t", "r_id", "e_t", "e_id")
-    reach = F.max(F.greatest("r_t", "e_t")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("r_t") - F.lit(2 * tolerance) > reach, F.lit(True)).cast("int")
-    runs = pairs.withColumn("_new", new).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_r, used_e, keep = set(), set(), []
-        pdf = pdf.sort_values(["d", "r_t", "r_id", "e_t", "e_id"])
-        for k, (a, b) in enumerate(zip(pdf["r_id"], pdf["e_id"])):
-            if a not in used_r and b not in used_e:
-                used_r.add(a)
-                used_e.add(b)
-                keep.append(k)
-        return pdf.iloc[keep][["song_id", "track", "r_id", "e_id", "d"]]
-
-    # Runs are independent, so a thousand of them at a time are one group.
-    return runs.select(*TRACK, F.floor(F.col("run") / 1000).alias("part"), "r_t", "r_id", "e_t", "e_id", "d").groupBy(*TRACK, "part").applyInPandas(greedy, "song_id long, track string, r_id long, e_id long, d double")
+    """Greedy one-to-one pairs (r_id, e_id, d) of onsets at most ``tolerance`` apart, nearest first, of equals by
+    time and id. Pairs are never listed: a row stands for a note until it is matched."""
+    kind = lambda df, e: df.select(*TRACK, F.col("pitch") if same_pitch else F.lit(0).alias("pitch"), F.col("start_s").alias("t"), F.lit(e).alias("e"), F.col("note_id").alias("id"))
+    keys = [*TRACK, "pitch"]
+    points = kind(reference, 0).unionByName(kind(estimate, 1)).dropna(subset=[*keys, "t", "id"])
+    order = Window.partitionBy(*keys).orderBy("t", "e", "id")
+    # Points further apart than the tolerance part runs that are independent: runs that begin in one stretch of PART points are one group.
+    apart = F.coalesce(F.col("t") - F.lag("t").over(order) > tolerance, F.lit(True))
+    runs = points.withColumns({"_new": apart, "_n": F.row_number().over(order)})
+    runs = runs.withColumn("part", F.max(F.when(F.col("_new"), F.floor(F.col("_n") / PART))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "e", "id"])
+        found = greedy(pdf["t"].to_numpy(), pdf["e"].to_numpy(), pdf["id"].to_numpy(), tolerance)
+        out = pd.DataFrame(found, columns=["r_id", "e_id", "d"])
+        for k, c in enumerate(TRACK):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out
+
+    return runs.select(*keys, "part", "t", "e", "id").groupBy(*keys, "part").applyInPandas(matched, "song_id long, track string, r_id long, e_id long, d double")
 
 
 def onset_f1(reference: DataFrame, estimate: DataFrame, tolerance: float = 0.05, same_pitch: bool = False) -> DataFrame:
