@@ -187,18 +187,29 @@ def search(onsets: DataFrame, least: int = MIN_ONSETS) -> DataFrame:
     return fit(onsets.join(most, TRACK, "left_semi")).select("song_id", "bpm")
 
 
+#: r is exact to about ten digits; tracks nearer than this to the best are equals.
+R_TIE = 1e-9
+
+
+def best_track(fits: DataFrame) -> DataFrame:
+    """Per song: its best-aligned track's fit (the first by name of equals), and how many tracks there are. Tracks
+    with the same onsets have an r that differs in its last bits by the order in which Spark adds up."""
+    top = F.max("r").over(Window.partitionBy("song_id"))
+    first = F.min(F.when(F.col("r") >= F.col("_top") - R_TIE, F.struct("track", "bpm", "anchor", "r", "n")))
+    return fits.withColumn("_top", top).groupBy("song_id").agg(first.alias("b"), F.count("*").alias("n_tracks")).select("song_id", "b.track", "b.bpm", "b.anchor", "b.r", "b.n", "n_tracks")
+
+
 def fit_tracks(onsets: DataFrame, bpm: float | DataFrame, least: int = MIN_ONSETS, factor: int = 1) -> DataFrame:
     """Per song: the grid of its best-aligned track (the first by name of equals), and which it is."""
-    fits = fit(onsets, bpm, least, factor)
-    best = F.max_by(F.struct("track", "bpm", "anchor", "r", "n"), F.struct("r", F.lit(1)))
-    return fits.groupBy("song_id").agg(best.alias("b"), F.count("*").alias("n_tracks")).select("song_id", "b.track", "b.bpm", "b.anchor", "b.r", "b.n", "n_tracks")
+    return best_track(fit(onsets, bpm, least, factor))
 
 
 def map_source(notes: DataFrame, onsets: DataFrame, bpm: float | DataFrame, factor: int = 1) -> DataFrame:
     """(song_id, track) that a tempo map follows: the best-aligned kit, and where a song has none with
-    enough onsets its best-aligned track."""
+    enough onsets its best-aligned track (of equals the first by name)."""
     kit = notes.groupBy(*TRACK).agg(F.max("is_drum").alias("is_drum"))
-    return fit(onsets, bpm, MIN_ONSETS, factor).join(kit, TRACK).groupBy("song_id").agg(F.max_by("track", F.struct("is_drum", "r")).alias("track"))
+    fits = fit(onsets, bpm, MIN_ONSETS, factor).join(kit, TRACK).withColumn("_kits", F.max("is_drum").over(Window.partitionBy("song_id")))
+    return best_track(fits.where(F.col("is_drum") == F.col("_kits"))).select(*TRACK)
 
 
 def align_to_beats(onsets: DataFrame, grids: DataFrame) -> DataFrame:
