@@ -235,8 +235,9 @@ def midi_roundtrip(spark, d):
         import pandas as pd
 
         for frame in frames:
-            out = [(song, *row[2:3], row[6], row[7], row[10]) for song, data in zip(frame["song_id"], frame["midi"]) for row in midi.rows("", bytes(data))]
-            yield pd.DataFrame(out, columns=["song_id", "track", "pitch", "velocity", "start_s"])
+            for song, data in zip(frame["song_id"], frame["midi"]):
+                for some in midi.slabs((song, row[2], row[6], row[7], row[10]) for row in midi.rows("", bytes(data))):
+                    yield pd.DataFrame(some, columns=["song_id", "track", "pitch", "velocity", "start_s"])
 
     back = files.mapInPandas(parsed, "song_id long, track string, pitch int, velocity int, start_s double")
     return back.groupBy(*TRACK).agg(F.count("*").alias("n"), F.sum("pitch").alias("pitches"), F.sum("velocity").alias("velocities"), F.round(F.sum("start_s"), 4).alias("starts"))
