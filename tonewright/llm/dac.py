@@ -118,6 +118,7 @@ class PieceEncoder:
     """
 
     KEEP = 600_000  # pre-tokens remembered; beyond it the memory starts anew
+    IDLE = 150_000  # pre-tokens that a worker still remembers between tasks: it lives on through other stages
     classes: np.ndarray | None = None
 
     def __init__(self, path: str):
@@ -142,6 +143,11 @@ class PieceEncoder:
         self.ids, self.first = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), np.zeros(1 << 14, np.int64)
         self.checks, self.sizes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)
 
+    def rest(self) -> None:
+        """A task is over: what is remembered waits for the next one, if it isn't much."""
+        if self.n > self.IDLE:
+            self.forget()
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each remembered key, or -1. Keys are never 0."""
         mask, out = np.uint64((1 << self.bits) - 1), np.full(len(keys), -1, np.int32)
@@ -314,6 +320,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                     yield block()
         if held:
             yield block()
+        encoder.rest()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(common.tidy(blocks), BLOCKS).write.parquet(path)

@@ -38,8 +38,8 @@ from .textkit import Words, buffers, mix, pieces, shingles, unique_per_doc
 
 SIZE, PART, WHOLE = 5, 80, 100  # shingle words; 100 * intersection >= 80 * union
 SLOT_BITS, SLAB_BITS = 22, 16  # the sketch: 2**22 counters, moved in slabs of 2**16
-SHARE, SLAB = 11, 2048  # lists of more than one in SHARE of the sets of a comparison are heavy; columns of a product
-PAIRS = 1_000_000  # pairs of light lists that are counted at once
+SHARE, SLAB = 11, 512  # lists of more than one in SHARE of the sets of a comparison are heavy; columns of a product
+PAIRS = 1 << 18  # pairs of light lists that are counted at once
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
 BROADCAST_ROWS = 500_000  # members (about 60 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle
 LISTS = 1 << 26  # postings whose lists are sorted at a time
@@ -106,7 +106,8 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 doc, value = shingles(Words(*buffers(piece.column(0))), SIZE)
-                slots += np.bincount((value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots)).astype(np.uint32)
+                slot, times = np.unique((value >> np.uint64(64 - SLOT_BITS)).astype(np.uint32), return_counts=True)
+                slots[slot] += times.astype(np.uint32)  # a bincount would be as long as the sketch, in eight bytes
                 hist += np.bincount(np.minimum(np.bincount(doc, minlength=piece.num_rows), 255), minlength=256)
         small = np.minimum(slots, 0xFFFF).astype("<u2")
         for k in range(len(slots) >> SLAB_BITS):
@@ -181,7 +182,8 @@ def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarr
     order = np.argsort(term, kind="stable")
     posted, length = doc[order], np.bincount(term, minlength=1)
     first = np.cumsum(length) - length
-    both = np.zeros((n, n))  # doubles: counts are exact beyond 2**24 as well
+    # The one large matrix: floats are exact up to 2**24, doubles beyond.
+    both = np.zeros((n, n), np.float32 if size.max(initial=0) < 1 << 24 else np.float64)
     heavy = np.flatnonzero(length > max(16, n // SHARE))
     for k in range(0, len(heavy), SLAB):
         lists = heavy[k : k + SLAB]
@@ -189,7 +191,8 @@ def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarr
         row = posted[np.arange(len(column)) + np.repeat(first[lists] - np.cumsum(length[lists]) + length[lists], length[lists])]
         holds = np.zeros((n, len(lists)), np.float32)
         holds[row, column] = 1
-        both += holds @ holds.T
+        for r in range(0, n, 256):
+            both[r : r + 256] += holds[r : r + 256] @ holds.T
     # Light lists: each posting with all after it in its list.
     light = (length > 1) & (length <= max(16, n // SHARE))
     after = np.where(light[term[order]], (first + length)[term[order]] - np.arange(len(order)) - 1, 0)
@@ -206,7 +209,8 @@ def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarr
     linked, found = np.zeros((n, n), bool), np.zeros(n, np.int64)
     for k in range(0, n, 256):  # a few rows at a time: the matrix alone is in memory whole
         rows = slice(k, k + 256)
-        linked[rows] = WHOLE * both[rows] >= PART * (size[rows, None] + size[None, :] - both[rows])
+        shared = both[rows].astype(np.float64)
+        linked[rows] = WHOLE * shared >= PART * (size[rows, None] + size[None, :] - shared)
         if across:
             linked[rows] &= side[rows, None] != side[None, :]
     np.fill_diagonal(linked, False)
