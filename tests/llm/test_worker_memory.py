@@ -1,9 +1,12 @@
 """What a Python worker takes while it compares clusters, counts, and between tasks."""
 
+import pickle
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import dumps
 
 from tonewright.llm import dac, jaccard
 
@@ -45,3 +48,20 @@ def test_a_worker_keeps_few_pretokens_between_tasks():
     encoder.IDLE = encoder.n - 1
     encoder.rest()
     assert encoder.n == 0 and encoder(texts)[0].tolist() == want
+
+
+def test_tasks_of_a_worker_share_one_encoder(spark, monkeypatch, tmp_path):
+    """Each task gets a copy of its function, and of what that function's globals hold."""
+    import public_tokenizers
+
+    sent, built, begin = [], [], dac.PieceEncoder.__init__
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: sent.append(dumps(f)) or self)
+    monkeypatch.setattr(dac.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(dac.PieceEncoder, "__init__", lambda self, path: built.append(path) or begin(self, path))
+    dac.write(docs, str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["one two", None])})
+    blocks = [next(pickle.loads(sent[0])(iter([batch]))) for _ in range(3)]
+    assert len(built) <= 1
+    assert blocks[0].equals(blocks[1]) and blocks[0].equals(blocks[2])
+    assert len(dac.Reader(blocks[0]["payload"][0].as_py())) == sum(blocks[0]["counts"][0].as_py())

@@ -285,6 +285,15 @@ class PieceEncoder:
 
 _encoders: dict[str, PieceEncoder] = {}
 
+
+def encoder_of(tokenizer: str) -> PieceEncoder:
+    """The worker's own encoder. A task's function is sent with copies of the globals that it names, so it has to
+    ask here: a function of this module is sent by name."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = PieceEncoder(tokenizer)
+    return _encoders[tokenizer]
+
+
 BLOCKS = "part int, start long, doc_ids array<long>, counts array<long>, payload binary"
 
 
@@ -296,9 +305,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """
 
     def blocks(batches):
-        encoder = _encoders.get(tokenizer)
-        if encoder is None:
-            encoder = _encoders.setdefault(tokenizer, PieceEncoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         part, start, ids, counts, held, n_held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block():
@@ -309,7 +316,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             return out
 
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text", 1 << 19):
                 flat, n = encoder(piece.column(1))
                 closed = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
                 held.append(closed)
