@@ -6,9 +6,11 @@ scanning inverted lists. The boundary is the size with the least expected cost.
 
 1. A fixed-size sketch counts all shingles of the corpus; prefixes take rare shingles first.
    The order only steers cost: any fixed order is exact.
-2. Every distinct set posts its keys. Two sets that may link share a key, and all sets
-   between them by size on that key's list are chained, so one edge for each neighbour
-   suffices: copies never make all pairs.
+2. Every distinct set posts its keys. Large sets post a few more than one that links must share, so
+   that such pairs share several: on short lists pairs are counted, and one that shares too few is
+   none. Long texts meet by chance on some key with a number of others that grows with the
+   table; without the count they would make one cluster. On long lists all sets between two
+   that share the key are chained by size, so one edge for each neighbour suffices: copies never make all pairs.
 3. Chained sets form candidate clusters. Each cluster's texts meet once, and inverted lists give
    the overlaps of all its sets, hence exact links: short ("light") lists give their pairs, long
    ("heavy") ones are columns of a matrix whose product with itself counts for all sets at once.
@@ -43,6 +45,7 @@ PAIRS = 1 << 18  # pairs of light lists that are counted at once
 SCAN_COST = 1.0  # cost of scanning one posting, in postings written
 BROADCAST_ROWS = 500_000  # members (about 60 bytes each) that are broadcast to fetch their texts; more are joined by a shuffle
 LISTS = 1 << 26  # postings whose lists are sorted at a time
+COUNTED, ALWAYS, SPENT = 128, 4, 1  # sets of the longest list whose pairs are counted, of one whose always are; pairs for each posting that longer ones may make
 BLOCK, BLOCK_SHINGLES = 1024, 1_500_000  # sets, and their shingles, of a cluster that stand on one side of a comparison
 
 
@@ -142,6 +145,12 @@ def spare(size):
     return size - -(-size * PART // WHOLE)
 
 
+def needed(size, light: int):
+    """Keys that two sets share at least if they link and the lesser has this size: of the elements they
+    share the k-th lies among the first spare + k of both. Light sets share one pair of elements."""
+    return np.where(size > light, np.maximum(3, 1 + (size + 50) // 100), 1)
+
+
 def boundary(hist: np.ndarray) -> int:
     """The largest size of a light set: light sets post pairs of their prefix, heavy ones post and
     scan; sets a heavy one may reach below the boundary do both. A set of 10 posts more pairs than
@@ -149,7 +158,7 @@ def boundary(hist: np.ndarray) -> int:
     entry of the table) are heavy at any boundary."""
     a = np.arange(256)
     p = spare(a) + 1
-    light, heavy = hist * p * (p + 1) // 2, hist * p * (1 + SCAN_COST)
+    light, heavy = hist * p * (p + 1) // 2, hist * (spare(a) + needed(a, 0)) * (1 + SCAN_COST)
     cost = [light[2 : x + 1].sum() + heavy[max(2, -(-(x + 1) * PART // WHOLE)) :].sum() for x in range(1, 41)]
     return int(np.argmin(cost)) + 1
 
@@ -162,7 +171,7 @@ def keys_of(doc: np.ndarray, value: np.ndarray, size: np.ndarray, level: np.ndar
     first = np.concatenate([[0], np.cumsum(size)])
     place = np.arange(len(doc)) - first[doc]
     n = size[doc]
-    prefix = spare(n) + 1
+    prefix = spare(n) + needed(n, light)
     one = (place < prefix) & (n >= -(-(light + 1) * PART // WHOLE)) & (n > 1)
     out_doc, out_key = [doc[one]], [mix(value[one])]
     at = np.flatnonzero((place <= prefix) & (n <= light) & (n > 1))  # light: the prefix is one longer
@@ -174,6 +183,56 @@ def keys_of(doc: np.ndarray, value: np.ndarray, size: np.ndarray, level: np.ndar
     return np.concatenate(out_doc), np.concatenate(out_key)
 
 
+def candidates(batches, light: int):
+    """(u, v, shared, needed) of batches sorted by (key, n_shingles, s1): pairs of sets that share a key, how many they
+    share here and how many they need; neighbours on long lists need none. A list is counted or chained as a whole."""
+    kept, chained, budget = None, False, 0
+
+    def found(key, size, s1, first_chained):
+        nonlocal budget
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(start, len(key)))
+        budget += SPENT * len(key)
+        count = n <= ALWAYS
+        for k in np.flatnonzero((n > ALWAYS) & (n <= COUNTED)):
+            pairs = int(n[k]) * (int(n[k]) - 1) // 2
+            if pairs <= budget:
+                count[k], budget = True, budget - pairs
+        if first_chained:
+            count[0] = False
+        left = np.repeat(start + n, n) - np.arange(len(key)) - 1
+        after = np.where(np.repeat(count, n), left, np.minimum(left, 1))
+        x = np.repeat(np.arange(len(key)), after)
+        y = x + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after) + 1
+        near = PART * size[y] <= WHOLE * size[x]
+        x, y = x[near], y[near]
+        need = np.where(np.repeat(count, n)[x], needed(size[x], light), 0)
+        pair, shared = np.unique(np.stack([np.minimum(s1[x], s1[y]), np.maximum(s1[x], s1[y]), need]), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(shared), pa.array(pair[2])], ["u", "v", "shared", "needed"])
+
+    for batch in batches:
+        rows = [np.asarray(batch.column(k)) for k in range(3)]
+        if kept is not None:
+            rows = [np.concatenate([a, b]) for a, b in zip(kept, rows)]
+        if not len(rows[0]):
+            continue
+        new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in rows], axis=0)])
+        rows = [x[new] for x in rows]
+        key = rows[0]
+        last = int(np.searchsorted(key, key[-1]))  # the last list may go on
+        long = len(key) - last > COUNTED
+        if last or long:
+            out = found(*(x[: len(key) if long else last] for x in rows), chained)
+            if out.num_rows:
+                yield out
+        chained = long or (chained and not last)
+        kept = [x[-1 if long else last :] for x in rows]
+    if kept is not None and len(kept[0]):
+        out = found(*kept, chained)
+        if out.num_rows:
+            yield out
+
+
 def links(doc: np.ndarray, value: np.ndarray, size: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """(least set that each set reaches by links, number of documents it links with). across: only
     sets of different sides are held against each other."""
@@ -257,32 +316,20 @@ def _join(docs: DataFrame) -> DataFrame:
     posted = settle(docs.mapInArrow(common.tidy(post), "doc_id long, row_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "posted")
     common.sweep(spark)  # the sketch's
 
-    def chain(batches):
-        last = None
-        for batch in batches:
-            key, size, s1 = (np.asarray(batch.column(k)) for k in range(3))
-            if last is not None:
-                key, size, s1 = (np.concatenate([[a], b]) for a, b in zip(last, (key, size, s1)))
-            if not len(key):
-                continue
-            last = key[-1], size[-1], s1[-1]
-            near = (key[1:] == key[:-1]) & (s1[1:] != s1[:-1]) & (PART * size[1:] <= WHOLE * size[:-1])
-            u, v = s1[1:][near], s1[:-1][near]
-            if len(u):
-                pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
-
     # Lists are sorted a share of all keys at a time, so that the disk holds one share.
     shares = -(-int(posted.agg(F.coalesce(F.sum(F.size("keys").cast("long")), F.lit(0))).first()[0]) // LISTS) or 1
     edges = []
     for k in range(shares):
         mine = F.filter("keys", lambda x: F.pmod(x, F.lit(shares)) == k) if shares > 1 else F.col("keys")  # noqa: B023
         lists = posted.select(F.explode(mine).alias("key"), F.col("n_shingles"), "s1").repartition("key").sortWithinPartitions("key", "n_shingles", "s1")
-        edges.append(lists.mapInArrow(common.tidy(chain), "u long, v long").distinct())
+        edges.append(lists.mapInArrow(common.tidy(functools.partial(candidates, light=light)), "u long, v long, shared long, needed long").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")))
         if shares > 1:
             edges[-1] = settle(edges[-1], "edges")
             common.sweep(spark)
-    cluster = components(functools.reduce(DataFrame.unionByName, edges), "clusters")
+    pairs = functools.reduce(DataFrame.unionByName, edges)
+    if shares > 1:
+        pairs = pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
+    cluster = components(pairs.where("shared >= needed").select("u", "v"), "clusters")
     common.sweep(spark)
 
     kinds = posted.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("row_id").alias("node"), F.first("n_shingles").alias("size"))
