@@ -187,8 +187,8 @@ def search(onsets: DataFrame, least: int = MIN_ONSETS) -> DataFrame:
     return fit(onsets.join(most, TRACK, "left_semi")).select("song_id", "bpm")
 
 
-#: r is exact to about ten digits; tracks nearer than this to the best are equals.
-R_TIE = 1e-9
+#: r is exact to about twelve digits; tracks nearer than this to the best are equals.
+R_TIE = 1e-11
 
 
 def best_track(fits: DataFrame) -> DataFrame:
